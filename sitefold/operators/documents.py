@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sitefold.functions import urls as U
 from sitefold.functions.plan import fenced_filter
 from sitefold.functions.text import py_rstrip
-from sitefold.operators.titles import display_title, site_suffixes, site_title
+from sitefold.operators.titles import SEPARATORS, display_title, site_suffixes, site_title
 
 # --- fixed values -----------------------------------------------------------------------------
 DEFAULT_SECTION = "Pages"
@@ -72,57 +72,109 @@ def site_sections(meta: DataFrame, sites: DataFrame | None = None, max_pages: in
     )
 
 
+def _best_suffix(titles: Column) -> Column:
+    """T1-T2 over one site's titles (array in page order): struct(suffix, n).
+
+    Candidates are sorted by (suffix, title index, separator); one fold counts each run and keeps
+    the longest run, ties to the run whose first candidate came first.
+    """
+    seps = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(sep).alias("sep")) for i, sep in enumerate(SEPARATORS)])
+    cands = F.flatten(F.transform(titles, lambda t, i: F.transform(
+        F.filter(seps, lambda s: F.instr(t, s["sep"]) > 1),
+        lambda s: F.struct(F.substring(t, F.instr(t, s["sep"]), 1 << 30).alias("suf"),
+                           (i.cast("long") * 8 + s["no"]).alias("first")))))
+    big = F.lit(1 << 62).cast("long")
+    init = F.struct(F.lit("").alias("cs"), F.lit(0).cast("long").alias("cn"), big.alias("cf"),
+                    F.lit("").alias("bs"), F.lit(0).cast("long").alias("bn"), big.alias("bf"))
+
+    def close(a: Column) -> Column:
+        better = (a["cn"] > a["bn"]) | ((a["cn"] == a["bn"]) & (a["cf"] < a["bf"]))
+        return F.struct(F.when(better, a["cs"]).otherwise(a["bs"]).alias("s"),
+                        F.when(better, a["cn"]).otherwise(a["bn"]).alias("n"),
+                        F.when(better, a["cf"]).otherwise(a["bf"]).alias("f"))
+
+    def step(a: Column, x: Column) -> Column:
+        c = close(a)
+        same = a["cs"] == x["suf"]
+        return F.struct(
+            F.when(same, a["cs"]).otherwise(x["suf"]).alias("cs"),
+            F.when(same, a["cn"] + 1).otherwise(F.lit(1).cast("long")).alias("cn"),
+            F.when(same, a["cf"]).otherwise(x["first"]).alias("cf"),
+            F.when(same, a["bs"]).otherwise(c["s"]).alias("bs"),
+            F.when(same, a["bn"]).otherwise(c["n"]).alias("bn"),
+            F.when(same, a["bf"]).otherwise(c["f"]).alias("bf"),
+        )
+
+    return F.aggregate(F.array_sort(cands), init, step, lambda a: close(a))
+
+
 def site_documents(meta: DataFrame, sites: DataFrame | None = None, max_pages: int | None = MAX_PAGES_LIMIT) -> DataFrame:
     """One ``llms.txt`` document per site.
 
     ``meta`` is the page metadata (E0) of the crawled pages with ``page_ord`` as crawl order;
-    ``sites`` (site, root_url) lists the sites to emit, including sites with no page (G9).
+    ``sites`` (site, root_url) lists the sites to emit, including sites with no page (G9); by
+    default every site of ``meta`` with root ``https://<site>/``.
     Columns: site, root_url, page_count, llms_txt.
+
+    Plan: cap (partial top-k per partition, one shuffle by site), then one ``collect_list`` per
+    site of at most ``max_pages`` rows, then array expressions build the document.
     """
     capped = cap_pages(meta, max_pages)
-    if sites is None:
-        sites = default_sites(capped)
-    sites = U.add_normalized(U.add_url_parts(sites.select("site", "root_url"), "root_url", "r"), "r", "norm_root")
-    sites = sites.select("site", "root_url", "norm_root", F.col("r_netloc").alias("root_netloc"))
-    suffix = site_suffixes(capped).select("site", "suffix")
-
-    # T5: root page = first page whose normalized url is the root's, else the first page
-    with_root = capped.join(sites.select("site", "norm_root"), "site")
-    root = with_root.groupBy("site").agg(
-        F.min_by(F.struct("title", "h1", "description"),
-                 F.struct((F.col("norm_url") != F.col("norm_root")).alias("not_root"), F.col("page_ord"))).alias("root"),
-        F.count(F.lit(1)).alias("page_count"),
-    )
-
-    # List items of the non-root pages, sorted by (undescribed, section != Pages, section, title, order)
-    items = site_sections(capped, sites.select("site", "root_url"), max_pages=None)
-    sort_key = F.struct(
-        F.col("undescribed").alias("u"), (F.col("section") != DEFAULT_SECTION).alias("np"), F.col("section").alias("sec"),
-        F.col("display_title").alias("dt"), F.col("page_ord").alias("ord"), F.col("line").alias("line"),
+    page = F.struct(
+        F.col("page_ord").alias("o"), F.col("url").alias("url"), F.col("norm_url").alias("nu"),
+        F.col("path_prefix").alias("pp"), F.col("title").alias("t"), F.col("h1").alias("h"),
+        F.col("description").alias("d"), F.col("has_description").alias("hd"),
     )
-    bodies = items.groupBy("site").agg(F.sort_array(F.collect_list(sort_key)).alias("arr"))
+    per_site = capped.groupBy("site").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    if sites is None:
+        docs = per_site.withColumn("root_url", F.concat(F.lit("https://"), F.col("site"), F.lit("/")))
+    else:
+        docs = sites.select("site", "root_url").join(per_site, "site", "left")
+    docs = U.add_url_parts(docs, "root_url", "r")
+    docs = U.add_normalized(docs, "r", "norm_root").withColumnRenamed("r_netloc", "root_netloc")
+    docs = U.drop_url_parts(docs, "r")
+
+    pages = F.col("pages")
+    titles = F.transform(F.filter(pages, lambda x: x["t"].isNotNull() & (x["t"] != "")), lambda x: x["t"])
+    docs = docs.withColumns({
+        "_best": _best_suffix(titles),
+        "_n_titles": F.size(titles),
+        "_root": F.coalesce(F.try_element_at(F.filter(pages, lambda x: x["nu"] == F.col("norm_root")), F.lit(1)),
+                            F.try_element_at(pages, F.lit(1))),
+    })
+    docs = docs.withColumn("suffix", F.when((F.col("_n_titles") >= 2) & (F.col("_best.n") * 2 > F.col("_n_titles")),
+                                            F.col("_best.s")).otherwise(F.lit("")))
+    suffix = F.col("suffix")
+
+    def item(x: Column) -> Column:
+        dt = display_title(x["t"], x["h"], x["url"], suffix)
+        shown = F.when(dt != "", dt).otherwise(x["url"])
+        desc = F.when(x["d"].isNotNull() & (x["d"] != ""), F.concat(F.lit(": "), x["d"])).otherwise(F.lit(""))
+        sec = F.when(x["hd"], section_name(x["pp"])).otherwise(F.lit(UNDESCRIBED_SECTION))
+        return F.struct((~x["hd"]).alias("u"), (sec != DEFAULT_SECTION).alias("np"), sec.alias("sec"), dt.alias("dt"),
+                        x["o"].alias("o"), F.concat(F.lit("- ["), shown, F.lit("]("), x["url"], F.lit(")"), desc).alias("line"))
+
+    docs = docs.withColumn("_items", F.array_sort(F.transform(F.filter(pages, lambda x: x["nu"] != F.col("norm_root")), item)))
+    items = F.col("_items")
 
     def render(x: Column, i: Column) -> Column:
-        prev = F.element_at(F.col("arr"), F.greatest(i, F.lit(1)))
+        prev = F.element_at(items, F.greatest(i, F.lit(1)))
         new_section = (i == 0) | (prev["u"] != x["u"]) | (prev["sec"] != x["sec"])
         heading = F.concat(F.when(i > 0, F.lit("\n")).otherwise(F.lit("")), F.lit("## "), x["sec"], F.lit("\n\n"))
         return F.concat(F.when(new_section, heading).otherwise(F.lit("")), x["line"], F.lit("\n"))
 
-    bodies = bodies.select("site", F.array_join(F.transform(F.col("arr"), render), "").alias("body"))
-
-    doc = (
-        sites.join(suffix, "site", "left").join(root, "site", "left").join(bodies, "site", "left")
-        .withColumn("title_line", site_title(F.col("root.title"), F.col("root.h1"), F.col("root_netloc"), F.coalesce(F.col("suffix"), F.lit(""))))
-    )
-    rdesc = F.col("root.description")
+    root = F.col("_root")
+    title_line = site_title(root["t"], root["h"], F.col("root_netloc"), suffix)
     header = F.concat(
-        F.lit("# "), F.col("title_line"), F.lit("\n\n"),
-        F.when(rdesc.isNotNull() & (rdesc != ""), F.concat(F.lit("> "), rdesc, F.lit("\n\n"))).otherwise(F.lit("")),
+        F.lit("# "), title_line, F.lit("\n\n"),
+        F.when(root["d"].isNotNull() & (root["d"] != ""), F.concat(F.lit("> "), root["d"], F.lit("\n\n"))).otherwise(F.lit("")),
     )
-    text = F.concat(py_rstrip(F.concat(header, F.coalesce(F.col("body"), F.lit("")))), F.lit("\n"))
+    body = F.array_join(F.transform(items, render), "")
+    text = F.concat(py_rstrip(F.concat(header, body)), F.lit("\n"))
     empty = F.concat(F.lit("# "), F.col("root_netloc"), F.lit("\n\n" + EMPTY_SITE_LINE + "\n"))
-    return doc.select(
+    has_pages = F.coalesce(F.size(pages), F.lit(-1)) > 0
+    return docs.select(
         "site", "root_url",
-        F.coalesce(F.col("page_count"), F.lit(0)).cast("long").alias("page_count"),
-        F.when(F.col("page_count").isNull(), empty).otherwise(text).alias("llms_txt"),
+        F.when(has_pages, F.size(pages)).otherwise(F.lit(0)).cast("long").alias("page_count"),
+        F.when(has_pages, text).otherwise(empty).alias("llms_txt"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
 from sitefold.functions.html import add_html_fields, anchor_hrefs, clean_html
-from sitefold.functions.plan import fenced_filter
+from sitefold.functions.plan import fenced_filter, spread
 from sitefold.functions.text import py_strip
 
 META_COLUMNS = ["site", "page_ord", "url", "norm_url", "path_prefix", "title", "description", "h1", "depth",
@@ -27,7 +27,7 @@ def page_meta(pages: DataFrame, order_col: str = "page_id", depth_col: str | Non
     paragraph has text.
     """
     depth = F.col(depth_col).cast("int") if depth_col else F.lit(0)
-    df = pages.select(F.col(order_col).cast("long").alias("page_ord"), "url", "html", depth.alias("depth"))
+    df = spread(pages.select(F.col(order_col).cast("long").alias("page_ord"), "url", "html", depth.alias("depth")))
     df = U.add_url_parts(df, "url", "u")
     df = df.withColumns({"site": U.site_of("u"), "path_prefix": U.path_prefix_of("u")})
     df = U.add_normalized(df, "u", "norm_url")
@@ -45,7 +45,7 @@ def page_links(pages: DataFrame, order_col: str = "page_id") -> DataFrame:
 
     Columns: site, src_ord, src_url, src_norm, pos, href, url, norm_url, dst_site.
     """
-    df = pages.select(F.col(order_col).cast("long").alias("src_ord"), F.col("url").alias("src_url"), "html")
+    df = spread(pages.select(F.col(order_col).cast("long").alias("src_ord"), F.col("url").alias("src_url"), "html"))
     df = df.select("src_ord", "src_url", anchor_hrefs(clean_html(F.col("html"))).alias("hrefs"))
     df = df.select("src_ord", "src_url", F.posexplode("hrefs").alias("pos", "raw_href"))
     df = df.withColumn("href", py_strip(F.col("raw_href")))
