@@ -31,3 +31,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once into the cluster's checkpoint folder and read it back (reliable, survives
+    executor loss; cuts lineage).  For small derived tables that several branches of a plan read."""
+    from sitefold.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
