@@ -190,8 +190,8 @@ def outcomes() -> str:
     return f"""
     WITH c AS ({c}),
     t AS (SELECT norm_url, min(attempt) FILTER (WHERE kind IN ('ok', 'final')) AS t, max(attempt) AS last_,
-                 arg_min({'k': kind, 'e': error}, attempt) FILTER (WHERE kind IN ('ok', 'final')) AS term,
-                 arg_max({'e': error}, attempt) FILTER (WHERE kind = 'retry') AS last_retry_s,
+                 arg_min({{'k': kind, 'e': error}}, attempt) FILTER (WHERE kind IN ('ok', 'final')) AS term,
+                 arg_max({{'e': error}}, attempt) FILTER (WHERE kind = 'retry') AS last_retry_s,
                  arg_min(body, attempt) FILTER (WHERE kind = 'ok') AS first_ok_body FROM c GROUP BY norm_url),
     w AS (SELECT c.norm_url, sum(wait) AS waited FROM c JOIN t USING (norm_url) WHERE t.t IS NULL OR c.attempt < t.t GROUP BY c.norm_url)
     SELECT t.norm_url, coalesce(term.k = 'ok', false) AS ok, CASE WHEN coalesce(term.k = 'ok', false) THEN first_ok_body END AS html,
