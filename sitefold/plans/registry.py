@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from sitefold.plans import crawl_oracle, crawl_queries, job_oracle, job_queries, site_oracle, site_queries
+from sitefold.plans import crawl_oracle, crawl_queries, io_oracle, io_queries, job_oracle, job_queries, site_oracle, site_queries
 
 QUERIES = {}
 ORACLE_SQL = {}
 
-for _q in (site_queries.QUERIES, crawl_queries.QUERIES, job_queries.QUERIES):
+for _q in (site_queries.QUERIES, crawl_queries.QUERIES, job_queries.QUERIES, io_queries.QUERIES):
     QUERIES.update(_q)
-for _o in (site_oracle.ORACLE, job_oracle.ORACLE, crawl_oracle.ORACLE):
+for _o in (site_oracle.ORACLE, job_oracle.ORACLE, crawl_oracle.ORACLE, io_oracle.ORACLE):
     ORACLE_SQL.update(_o)

@@ -33,6 +33,11 @@ def jobs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     O -> running, P -> pending, key % 10 = 0 -> error, = 1 -> cancelled; children of batch
     o_custkey when key % 3 = 0; lineitems are page results (R -> skipped)."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
+    return jobs_from_orders(spark, sf_dir, orders)
+
+
+def jobs_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """The jobs rule applied to an orders frame (batch or streaming; lineitem is read static)."""
     lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"]).groupBy("l_orderkey").agg(
         F.count_if(F.col("l_returnflag") != "R").alias("ok_lines"), F.count_if(F.col("l_returnflag") == "R").alias("r_lines"))
     df = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").fillna({"ok_lines": 0, "r_lines": 0})
@@ -72,7 +77,11 @@ def requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """requests(request_id, url, requested_at, run_seconds, failed, max_pages, max_depth) from
     ``events``: url from user_id (four spellings of one host), job run time = value seconds,
     event_type 'error' -> the job fails; limits spread over valid and invalid values."""
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    return requests_from_events(read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"]))
+
+
+def requests_from_events(ev: DataFrame) -> DataFrame:
+    """The requests rule applied to an events frame (batch or streaming)."""
     uid, eid = F.col("user_id"), F.col("event_id")
     host = F.concat(F.when(eid % 3 == 0, F.lit("U")).otherwise(F.lit("u")), (uid % 300).cast("string"), F.lit(".example.org"))
     url = (F.when(eid % 97 == 0, F.concat(F.lit("not-a-url-"), eid.cast("string")))
