@@ -126,11 +126,11 @@ def ttl_dedup(requests: DataFrame, key: str, ts: str, run_seconds: str, failed:
         kept = materialize(kept.unionByName(kept.join(j, "rid").select(F.col("nxt").alias("rid"))).distinct())
     marked = r.join(kept.withColumn("mark", F.lit(True)), r.s == kept.rid, "left").select(
         "key", "t", "s", F.col("s").alias("rid"), F.coalesce(F.col("mark"), F.lit(False)).alias("mark"))
-    prev = asof_predecessor(marked, chunk_seconds)
-    out = requests.join(prev, requests[rid].cast("long") == prev.rid).join(
-        kept.withColumn("kept", F.lit(True)).withColumnRenamed("rid", "_k"), F.col("rid") == F.col("_k"), "left")
-    return out.select(*requests.columns, F.coalesce(F.col("kept"), F.lit(False)).alias("kept"),
-                      F.col("prev").alias("job_request_id"))
+    prev = asof_predecessor(marked, chunk_seconds).select(F.col("rid").alias("_rid"), F.col("prev").alias("_prev"))
+    flags = kept.select(F.col("rid").alias("_kid"), F.lit(True).alias("_kept"))
+    out = requests.join(prev, requests[rid].cast("long") == prev["_rid"]).join(flags, F.col("_rid") == F.col("_kid"), "left")
+    return out.select(*[requests[c] for c in requests.columns], F.coalesce(F.col("_kept"), F.lit(False)).alias("kept"),
+                      F.col("_prev").alias("job_request_id"))
 
 
 def request_dedup(requests: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
