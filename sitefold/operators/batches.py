@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sitefold.functions import urls as U
 from sitefold.functions.text import py_strip
 from sitefold.operators.jobs import ACTIVE, seconds_between
-from sitefold.operators.requests import TTL_SECONDS
+from sitefold.operators.requests import CHUNK_SECONDS, TTL_SECONDS, asof_predecessor
 
 SEED_SPLIT_RE = "[\\n,]+"
 
@@ -54,20 +54,27 @@ def batch_expand(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_S
       a child for this normalized url;
     * 'spawn' -- a new child job.
 
-    Columns: batch_id, pos, url, norm_url, action, job_id (reused job or the child).
+    The latest cached job per batch url is an as-of lookup (latest job of the same normalized url
+    submitted at or before the batch): a window inside (url, time chunk) with a carry through the
+    per-chunk summary, so a url shared by many jobs and batches never pairs every item with every
+    job.  Columns: batch_id, pos, url, norm_url, action, reused_job_id.
     """
     items = batches.select("batch_id", "submitted_at", F.posexplode("batch_urls").alias("pos", "url"))
     items = _norm(items, "url", "norm_url")
     cache = _norm(jobs.filter(F.col("parent_batch_id").isNull()).select("job_id", "url", "status", "submitted_at", "completed_at"),
-                  "url", "c_norm").select(F.col("job_id").alias("c_job"), "c_norm", F.col("status").alias("c_status"),
-                                          F.col("submitted_at").alias("c_submitted_at"), F.col("completed_at").alias("c_completed_at"))
-    # latest cached job per (batch, url): join on the key, then max_by -- a partial aggregation
-    cand = items.join(cache, (items.norm_url == cache.c_norm) & (cache.c_submitted_at <= items.submitted_at), "left")
-    latest = cand.groupBy("batch_id", "pos").agg(
-        F.max_by(F.struct("c_job", "c_status", "c_completed_at"), F.struct("c_submitted_at", "c_job")).alias("c"))
-    latest = latest.select("batch_id", "pos", F.col("c.c_job").alias("c_job"), F.col("c.c_status").alias("c_status"),
-                           F.col("c.c_completed_at").alias("c_completed_at"))
-    items = items.join(latest, ["batch_id", "pos"], "left")
+                  "url", "c_norm")
+    # item ids below zero, job ids as they are; an item sorts after every job of the same instant
+    item_id = -(F.col("batch_id") * F.lit(1 << 20) + F.col("pos")) - 1
+    micros = lambda c: F.unix_micros(F.to_timestamp(c))
+    rows = cache.select(F.col("c_norm").alias("key"), micros(F.col("submitted_at")).alias("t"), F.col("job_id").alias("s"),
+                        F.col("job_id").alias("rid"), F.lit(True).alias("mark")).unionByName(
+        items.select(F.col("norm_url").alias("key"), micros(F.col("submitted_at")).alias("t"),
+                     F.lit((1 << 63) - 1).alias("s"), item_id.alias("rid"), F.lit(False).alias("mark")))
+    latest = asof_predecessor(rows, CHUNK_SECONDS).filter(F.col("rid") < 0)
+    looked = latest.join(cache.select(F.col("job_id").alias("prev"), F.col("status").alias("c_status"),
+                                      F.col("completed_at").alias("c_completed_at")), "prev", "left")
+    items = items.withColumn("rid", item_id).join(looked.select("rid", F.col("prev").alias("c_job"), "c_status", "c_completed_at"),
+                                                  "rid", "left")
     reusable = cache_view(items, F.col("submitted_at"), ttl_seconds)
     first_in_batch = items.groupBy("batch_id", "norm_url").agg(F.min("pos").alias("first_pos"))
     items = items.join(first_in_batch, ["batch_id", "norm_url"])

@@ -66,6 +66,7 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     mode = seeds.groupBy("site").agg(F.max("sitemap_seeded").alias("sitemap_seeded"))
     jobs = _checkpoint(jobs.join(mode, "site", "left").fillna({"sitemap_seeded": False}))
     limit = max_levels if max_levels is not None else (jobs.agg(F.max("max_depth")).first()[0] or 0) + 1
+    capped = not jobs.filter(F.col("max_pages").isNotNull()).isEmpty()
     # everything the loop reads is prepared and materialized once
     outcomes = _checkpoint(outcomes.select("norm_url", F.col("ok").alias("_ok"), F.col("error").alias("_err")))
     if rules is not None:
@@ -82,8 +83,12 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     out: list[DataFrame] = []
     levels: list[DataFrame] = []
     for _ in range(limit):
-        first = Window.partitionBy("site", "norm_url").orderBy("qord")
-        f = frontier.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") == 1).drop("_k")
+        # first occurrence per normalized url: a partial aggregation, so a url linked from many
+        # pages is combined map-side
+        attrs = [c for c in cols if c not in ("site", "norm_url", "qord")]
+        first = frontier.groupBy("site", "norm_url").agg(
+            F.min("qord").alias("qord"), F.min_by(F.struct(*attrs), F.col("qord")).alias("_a"))
+        f = first.select("site", "norm_url", "qord", *[F.col("_a")[c].alias(c) for c in attrs])
         f = f.join(visited, ["site", "norm_url"], "left_anti")
         c0 = crawled.groupBy("site").agg(F.sum("n").alias("c0"))
         f = f.join(jobs, "site").join(c0, "site", "left").fillna({"c0": 0})
@@ -96,9 +101,13 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
             "reason": F.when(~guard, F.lit(None)).when(~F.col("allowed"), F.lit(ROBOTS_REASON))
             .when(fetched, F.lit(None)).otherwise(F.coalesce(F.col("_err"), F.lit(MISSING_REASON))),
         })
-        before = Window.partitionBy("site").orderBy("qord").rowsBetween(Window.unboundedPreceding, -1)
-        ok_before = F.coalesce(F.sum(F.when(F.col("outcome") == "ok", 1).otherwise(0)).over(before), F.lit(0))
-        f = f.withColumn("_before", F.col("c0") + ok_before)
+        if capped:
+            # successes before this item in queue order (a running sum: streams, no buffering)
+            before = Window.partitionBy("site").orderBy("qord").rowsBetween(Window.unboundedPreceding, -1)
+            ok_before = F.coalesce(F.sum(F.when(F.col("outcome") == "ok", 1).otherwise(0)).over(before), F.lit(0))
+            f = f.withColumn("_before", F.col("c0") + ok_before)
+        else:
+            f = f.withColumn("_before", F.col("c0"))
         processed = f.filter(F.col("max_pages").isNull() | (F.col("_before") < F.col("max_pages")))
         level = _checkpoint(processed.select(
             "site", "url", "norm_url", "depth", "qord", "outcome", "reason", "_before", "norm_root", "sitemap_seeded", "max_depth"))
