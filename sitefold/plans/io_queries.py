@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitefold.functions.plan import materialize
 from sitefold.operators.documents import site_documents
 from sitefold.operators.pages import page_meta
 from sitefold.sources import sinks as K
@@ -20,6 +21,17 @@ def q_site_files(spark, sf_dir):
     return back.select("hostname", "llms_txt", F.length("llms_txt").cast("long").alias("chars"))
 
 
+def q_site_archive(spark, sf_dir):
+    """K2: every site's document submitted twice in one batch (https root, then the http
+    spelling of the same host); the archive keeps the later one per hostname."""
+    docs = materialize(site_documents(page_meta(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))))
+    first = docs.select(F.lit(0).cast("long").alias("batch_id"), F.lit(0).alias("pos"), F.col("root_url").alias("url"), "llms_txt")
+    second = docs.select(F.lit(0).cast("long").alias("batch_id"), F.lit(1).alias("pos"),
+                         F.concat(F.lit("http://"), F.col("site"), F.lit("/")).alias("url"),
+                         F.concat(F.col("llms_txt"), F.lit("<!-- again -->\n")).alias("llms_txt"))
+    return K.archive_entries(first.unionByName(second))
+
+
 def q_stream_dedup(spark, sf_dir):
     return X.stream_request_dedup(spark, sf_dir).select("request_id", "norm_url", "kept", "job_request_id")
 
@@ -34,6 +46,7 @@ def q_stream_results(spark, sf_dir):
 
 QUERIES = {
     "site_files": q_site_files,
+    "site_archive": q_site_archive,
     "stream_dedup": q_stream_dedup,
     "stream_metrics": q_stream_metrics,
     "stream_results": q_stream_results,

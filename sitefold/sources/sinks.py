@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
+from sitefold.functions.plan import fenced_filter
 from sitefold.session import checkpoint_dir
 
 
@@ -47,8 +48,8 @@ def read_site_files(spark: SparkSession, path: str) -> DataFrame:
 def archive_entries(results: DataFrame) -> DataFrame:
     """K2: non-empty documents of a batch keyed ``<hostname>-llms.txt``; later rows win, and the
     number of documents each entry replaced is reported."""
-    df = with_hostname(results.filter(F.col("llms_txt").isNotNull() & (F.col("llms_txt") != "")), "url")
+    df = with_hostname(fenced_filter(results, F.col("llms_txt").isNotNull() & (F.col("llms_txt") != "")), "url")
     w = Window.partitionBy("batch_id", "hostname")
     return df.withColumns({"_r": F.row_number().over(w.orderBy(F.col("pos").desc())), "_n": F.count(F.lit(1)).over(w)}) \
         .filter(F.col("_r") == 1).select("batch_id", F.concat(F.col("hostname"), F.lit("-llms.txt")).alias("entry"),
-                                         "llms_txt", (F.col("_n") - 1).alias("replaced"))
+                                         "llms_txt", (F.col("_n") - 1).cast("long").alias("replaced"))

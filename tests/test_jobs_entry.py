@@ -82,6 +82,13 @@ def test_site_files_roundtrip(spark):
     assert back == {"a.com": "# A\n\nline\n", "b.com": "# B\n"}
 
 
+def test_archive_keeps_last_per_hostname(spark):
+    rows = spark.createDataFrame([(1, 0, "https://A.com/", "first"), (1, 1, "http://a.com:80/x", "second"), (1, 2, "https://b.com", ""),
+                                  (2, 0, "https://a.com", "other batch")], "batch_id long, pos int, url string, llms_txt string")
+    got = sorted((r["batch_id"], r["entry"], r["llms_txt"], r["replaced"]) for r in K.archive_entries(rows).collect())
+    assert got == [(1, "a.com-llms.txt", "second", 1), (2, "a.com-llms.txt", "other batch", 0)]
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
 
