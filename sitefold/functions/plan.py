@@ -40,3 +40,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def chunked_row_number(df: DataFrame, keys: list[str], order: str, out: str, chunk_width: int = 1 << 20) -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` (1-based) computed without sorting
+    a whole key in one task: numbers inside (keys, order chunk) plus the count of rows in the key's
+    earlier chunks (a prefix sum over the small per-chunk summary).  ``order`` must be an integer
+    column and unique within a key."""
+    from pyspark.sql import Window
+
+    df = df.withColumn("_chunk", F.floor(F.col(order) / chunk_width))
+    local = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order)))
+    counts = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    out_df = local.join(counts.select(*keys, "_chunk", "_off"), [*keys, "_chunk"])
+    return out_df.withColumn(out, (F.col("_off") + F.col("_rn")).cast("long")).drop("_chunk", "_rn", "_off")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
+from sitefold.functions.plan import chunked_row_number
 from sitefold.operators.robots import robots_decisions
 from sitefold.session import checkpoint_dir
 
@@ -124,8 +125,9 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
             .join(links_x, ["site", "src_norm"])
         # enqueue only same-domain links not visited yet (the same test runs again at dequeue)
         links = links.filter(F.col("_netsite") == F.col("site")).join(visited, ["site", "norm_url"], "left_anti")
-        nxt = links.withColumns({"depth": F.col("depth") + 1,
-                                 "qord": F.row_number().over(Window.partitionBy("site").orderBy("pq", "lp")).cast("long")})
+        # queue order of the next level: (parent order, link position), ranked in parallel chunks
+        nxt = links.withColumns({"depth": F.col("depth") + 1, "_o": F.col("pq") * F.lit(1 << 22) + F.col("lp")})
+        nxt = chunked_row_number(nxt, ["site"], "_o", "qord", chunk_width=1 << 32).drop("_o")
         frontier = _checkpoint(nxt.select(*cols))
         levels.append(level.groupBy("site", "depth").agg(
             F.count(F.lit(1)).alias("processed"), F.count_if(F.col("outcome") == "ok").alias("crawled"))
@@ -179,8 +181,8 @@ def fetch_plan(urls: DataFrame, per_host: int = 2, delay: float = 0.1) -> DataFr
     """
     df = U.add_url_parts(urls, "url", "p").withColumn("host", F.col("p_netloc"))
     df = U.drop_url_parts(df, "p")
-    rn = F.row_number().over(Window.partitionBy("host").orderBy("ord")) - 1
-    df = df.withColumn("_rn", rn)
+    # queue position per host: ranked in parallel chunks (a busy host is not sorted in one task)
+    df = chunked_row_number(df, ["host"], "ord", "_rn").withColumn("_rn", F.col("_rn") - 1)
     return df.select("host", "url", "ord", (F.col("_rn") % per_host).cast("int").alias("slot"),
                      F.floor(F.col("_rn") / per_host).cast("long").alias("wave"),
                      (F.floor(F.col("_rn") / per_host) * delay).cast("double").alias("offset_seconds"))

@@ -59,10 +59,13 @@ def sitemap_urls(directives: DataFrame, docs: DataFrame, limits: DataFrame | Non
         urls = urls.unionByName(more)
     if limits is not None:
         urls = urls.join(limits.select("site", F.col("max_pages").alias("_lim")), "site")
+        top = limits.agg(F.max("max_pages")).first()[0] or 0
     else:
         urls = urls.withColumn("_lim", F.lit(default_limit))
+        top = default_limit
+    # a literal bound first (planned as a partial top-k before the shuffle), then each site's own
     w = Window.partitionBy("site").orderBy("path")
-    urls = urls.withColumn("seq", F.row_number().over(w) - 1).filter(F.col("seq") < F.col("_lim"))
+    urls = urls.withColumn("seq", F.row_number().over(w) - 1).filter(F.col("seq") < int(top)).filter(F.col("seq") < F.col("_lim"))
     return urls.select("site", F.col("seq").cast("int").alias("seq"), "url")
 
 

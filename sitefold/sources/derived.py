@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
-from sitefold.functions.plan import materialize
+from sitefold.functions.plan import chunked_row_number, materialize
 from sitefold.sources.tables import read_table
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -33,7 +33,7 @@ def ranked_pages(spark: SparkSession, sf_dir: str, with_html: bool = False) -> D
     df = U.drop_url_parts(df, "u")
     first = Window.partitionBy("site", "norm_url").orderBy("page_id")
     df = df.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") == 1).drop("_k")
-    df = df.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("page_id")).cast("long"))
+    df = chunked_row_number(df, ["site"], "page_id", "n")
     return df if with_html else materialize(df)
 
 

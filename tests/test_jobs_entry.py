@@ -95,3 +95,19 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["site", "root_url", "page_count", "llms_txt"]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_chunked_row_number_matches_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from sitefold.functions.plan import chunked_row_number
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", o) for o in rng.sample(range(100000), 3000)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    got = {(r["k"], r["o"]): r["rn"] for r in chunked_row_number(df, ["k"], "o", "rn", chunk_width=997).collect()}
+    want = {(r["k"], r["o"]): r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o"))).collect()}
+    assert got == want
