@@ -46,7 +46,7 @@ def chunked_row_number(df: DataFrame, keys: list[str], order: str, out: str, chu
     """``row_number() over (partition by keys order by order)`` (1-based) computed without sorting
     a whole key in one task: numbers inside (keys, order chunk) plus the count of rows in the key's
     earlier chunks (a prefix sum over the small per-chunk summary).  ``order`` must be an integer
-    column and unique within a key."""
+    column and unique within a key; ``out`` must not start with '_'."""
     from pyspark.sql import Window
 
     df = df.withColumn("_chunk", F.floor(F.col(order) / chunk_width))

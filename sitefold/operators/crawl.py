@@ -182,7 +182,8 @@ def fetch_plan(urls: DataFrame, per_host: int = 2, delay: float = 0.1) -> DataFr
     df = U.add_url_parts(urls, "url", "p").withColumn("host", F.col("p_netloc"))
     df = U.drop_url_parts(df, "p")
     # queue position per host: ranked in parallel chunks (a busy host is not sorted in one task)
-    df = chunked_row_number(df, ["host"], "ord", "_rn").withColumn("_rn", F.col("_rn") - 1)
-    return df.select("host", "url", "ord", (F.col("_rn") % per_host).cast("int").alias("slot"),
-                     F.floor(F.col("_rn") / per_host).cast("long").alias("wave"),
-                     (F.floor(F.col("_rn") / per_host) * delay).cast("double").alias("offset_seconds"))
+    df = chunked_row_number(df, ["host"], "ord", "queue_pos").withColumn("queue_pos", F.col("queue_pos") - 1)
+    q = F.col("queue_pos")
+    return df.select("host", "url", "ord", (q % per_host).cast("int").alias("slot"),
+                     F.floor(q / per_host).cast("long").alias("wave"),
+                     (F.floor(q / per_host) * delay).cast("double").alias("offset_seconds"))
