@@ -3,7 +3,7 @@ roll-up (J8, J9, J15)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
@@ -24,6 +24,24 @@ def parse_seed_lines(lines: DataFrame) -> DataFrame:
         .select("source_no", "line_no", F.col("pos").cast("int").alias("pos"), "url")
 
 
+def read_seed_sources(spark: SparkSession, file_path: str | None, form_text: str | None) -> DataFrame:
+    """An uploaded seed file (decoded as UTF-8, bad bytes replaced, read whole) first, then the
+    form text, as (source_no, line_no, line) rows for ``parse_seed_lines``.  Both are single
+    texts of a request, so each is one row; splitting happens in Spark."""
+    parts = []
+    if file_path:
+        parts.append(spark.read.text(file_path, wholetext=True).select(F.lit(0).alias("source_no"), F.lit(0).cast("long").alias("line_no"),
+                                                                        F.col("value").alias("line")))
+    if form_text is not None and form_text.strip():
+        parts.append(spark.createDataFrame([(1, 0, form_text)], "source_no int, line_no long, line string"))
+    if not parts:
+        return spark.createDataFrame([], "source_no int, line_no long, line string")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def ordered_distinct(urls: DataFrame) -> DataFrame:
     """S3: first occurrence of each raw url string in (source, line, position) order.  A partial
     aggregation per url (``min`` of the order key), so a url repeated everywhere is combined
@@ -91,8 +109,6 @@ def batch_children(expanded: DataFrame, jobs: DataFrame) -> DataFrame:
     kids = jobs.filter(F.col("parent_batch_id").isNotNull()).select(
         F.col("parent_batch_id").alias("batch_id"), "job_id", "status", "pages_crawled", "pages_skipped", "error",
         "started_at", "completed_at")
-    from pyspark.sql import Window
-
     kids = kids.withColumn("pos", (F.row_number().over(Window.partitionBy("batch_id").orderBy("job_id")) - 1).cast("int"))
     spawned = expanded.filter(F.col("action") == "spawn")
     return spawned.join(kids, ["batch_id", "pos"])

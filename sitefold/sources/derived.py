@@ -24,6 +24,23 @@ SITEMAP_CHUNK = 1000
 # ----------------------------------------------------------------------------------------------
 
 
+_BUILT: dict = {}
+
+
+def _once(fn):
+    """Derived tables stand in for stored tables: build (and checkpoint) each one once per session
+    and input folder, then reuse it."""
+
+    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+        key = (id(spark), spark.sparkContext.applicationId, fn.__name__, sf_dir, args, tuple(sorted(kwargs.items())))
+        if key not in _BUILT:
+            _BUILT[key] = fn(spark, sf_dir, *args, **kwargs)
+        return _BUILT[key]
+
+    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
+    return wrapper
+
+
 def ranked_pages(spark: SparkSession, sf_dir: str, with_html: bool = False) -> DataFrame:
     """Pages with site and normalized url, one row per (site, norm_url) (lowest page_id), ranked
     ``n`` = 1, 2, ... by page_id within the site."""
@@ -34,9 +51,17 @@ def ranked_pages(spark: SparkSession, sf_dir: str, with_html: bool = False) -> D
     first = Window.partitionBy("site", "norm_url").orderBy("page_id")
     df = df.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") == 1).drop("_k")
     df = chunked_row_number(df, ["site"], "page_id", "n")
-    return df if with_html else materialize(df)
+    return df if with_html else _ranked_urls(df)
+
+
+def _ranked_urls(df: DataFrame) -> DataFrame:
+    return materialize(df)
+
+
+ranked_pages = _once(ranked_pages)
 
 
+@_once
 def robots_table(spark: SparkSession, sf_dir: str, agent_token: str = AGENT_TOKEN) -> DataFrame:
     """robots(site, status, text): one of four texts per host, chosen by length(host) % 4."""
     sites = ranked_pages(spark, sf_dir).select("site").distinct()
@@ -60,6 +85,7 @@ def _xml_escape(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+@_once
 def sitemap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sitemap_docs(sitemap_url, status, xml): for hosts whose robots names a sitemap, an index of
     child sitemaps; child ``c`` = 2 * floor((n-1)/1000) + n % 2 lists its pages in rank order, so
@@ -110,6 +136,7 @@ def fetch_attempts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_once
 def edges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edges(site, src_norm, pos, dst_url, dst_norm): page n of a host links to n*2, n*2+1 and n-1
     (when they exist), every fifth page also off-site, every sixth page also to a .pdf."""

@@ -73,6 +73,15 @@ def test_seed_list(spark):
     assert got == [("http://b.com", 0, 1), ("https://a.com", 0, 0), ("https://d.com", 1, 1)]
 
 
+def test_seed_sources_file_then_form(spark, tmp_path):
+    f = tmp_path / "seeds.txt"
+    f.write_bytes(b"https://a.com\nhttps://b.com,\xff\nnot-a-url\n")
+    lines = B.read_seed_sources(spark, str(f), "https://b.com\nhttps://c.com")
+    got = sorted((r["url"], r["source_no"]) for r in B.ordered_distinct(B.parse_seed_lines(lines)).collect())
+    assert got == [("https://a.com", 0), ("https://b.com", 0), ("https://c.com", 1)]
+    assert B.read_seed_sources(spark, None, "  ").count() == 0
+
+
 def test_site_files_roundtrip(spark):
     docs = spark.createDataFrame([("a.com", "https://User@A.com:8443/", "# A\n\nline\n"), ("b.com", "https://b.com/", "# B\n")],
                                  "site string, root_url string, llms_txt string")
