@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
 from sitefold.functions.text import py_strip
-from sitefold.operators.jobs import ACTIVE, seconds_between
+from sitefold.operators.jobs import ACTIVE, epoch_micros, seconds_between
 from sitefold.operators.requests import CHUNK_SECONDS, TTL_SECONDS, asof_predecessor
 
 SEED_SPLIT_RE = "[\\n,]+"
@@ -83,7 +83,7 @@ def batch_expand(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_S
                   "url", "c_norm")
     # item ids below zero, job ids as they are; an item sorts after every job of the same instant
     item_id = -(F.col("batch_id") * F.lit(1 << 20) + F.col("pos")) - 1
-    micros = lambda c: F.unix_micros(F.to_timestamp(c))
+    micros = epoch_micros
     rows = cache.select(F.col("c_norm").alias("key"), micros(F.col("submitted_at")).alias("t"), F.col("job_id").alias("s"),
                         F.col("job_id").alias("rid"), F.lit(True).alias("mark")).unionByName(
         items.select(F.col("norm_url").alias("key"), micros(F.col("submitted_at")).alias("t"),

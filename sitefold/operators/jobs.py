@@ -13,8 +13,14 @@ ACTIVE = ("pending", "running")
 
 
 def seconds_between(a: Column, b: Column) -> Column:
-    """(a - b) in seconds with microsecond fractions, null when either is null."""
-    return (F.unix_micros(F.to_timestamp(a)) - F.unix_micros(F.to_timestamp(b))) / F.lit(1_000_000.0)
+    """(a - b) in seconds with microsecond fractions, null when either is null.  Computed on the
+    wall-clock values, independent of the session time zone (no DST shifts)."""
+    return F.timestamp_diff("MICROSECOND", b, a) / F.lit(1_000_000.0)
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 00:00:00 of a wall-clock timestamp, time-zone independent."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def _ts(as_of: str) -> Column:

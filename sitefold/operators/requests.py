@@ -56,7 +56,7 @@ def validate_requests(requests: DataFrame, cap_batch: bool = False) -> DataFrame
 
 
 def _micros(ts: Column) -> Column:
-    return F.unix_micros(F.to_timestamp(ts))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def asof_successor(data: DataFrame, probes: DataFrame, chunk: int) -> DataFrame:

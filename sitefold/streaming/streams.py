@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sitefold.functions import urls as U
+from sitefold.operators.jobs import epoch_micros
 from sitefold.operators.requests import TTL_SECONDS, validate_requests
 from sitefold.sources.sinks import scratch_path
 from sitefold.sources.tables import table_path
@@ -72,7 +73,7 @@ def stream_request_dedup(spark: SparkSession, sf_dir: str, ttl_seconds: float =
     valid = U.drop_url_parts(U.add_normalized(valid, "k", "norm_url"), "k")
     valid = valid.select(
         "request_id", "norm_url", F.col("requested_at").cast("timestamp").alias("event_time"),
-        F.unix_micros(F.col("requested_at").cast("timestamp")).alias("t"),
+        epoch_micros(F.col("requested_at")).alias("t"),
         F.round(F.col("run_seconds") * 1_000_000).cast("long").alias("run_us"), "failed",
     ).withWatermark("event_time", "0 seconds")
     out = valid.groupBy("norm_url").applyInPandasWithState(
