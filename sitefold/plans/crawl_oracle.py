@@ -272,3 +272,115 @@ ORACLE = {
     "crawl_reach": crawl_reach,
     "fetch_plan": fetch_plan,
 }
+
+
+# ------------------------------------------------------------------ capped crawl (one state row per site and level)
+
+_ITEM = "{{'url': {p}.url, 'norm': {p}.norm, 'same': {p}.same, 'crawlable': {p}.crawlable, 'allowed': {p}.allowed, " \
+        "'fetched': {p}.fetched, 'error': {p}.error, 'qord': {q}}}"
+
+
+def _capped_levels(max_pages: int = 50, max_depth: int = 3) -> str:
+    """Recursive CTE: each row is one processed level of one site, carrying the visited list, the
+    crawled count and the next frontier (lists), exactly the level step of the Spark loop."""
+    seeds = site_seeds(max_pages)
+    cand = f"SELECT DISTINCT site, url FROM (SELECT site, url FROM ({seeds}) UNION ALL SELECT site, dst_url FROM ({edges()}))"
+    cand = S.url_parts(cand, "url", "c")
+    cand = (f"SELECT site, url, {S.normalized('c')} AS norm_url, lower(c_netloc) = site AS same_site, {S.crawlable('c')} AS crawlable "
+            f"FROM ({cand})")
+    ann = decisions(cand)
+    item = ("{{'url': a.url, 'norm': a.norm_url, 'same': a.same_site, 'crawlable': a.crawlable, 'allowed': a.allowed, "
+            "'fetched': a.fetched, 'error': a.error, 'qord': CAST({q} AS BIGINT)}}")
+    dedup = "list_filter(fr, lambda x, i: list_position(list_transform(fr, lambda y: y.norm), x.norm) = i AND NOT list_contains(vis, x.norm))"
+    outcome = ("list_transform(f1, lambda x: {'item': x, 'outcome': CASE WHEN NOT (x.same AND x.crawlable) THEN NULL "
+               "WHEN NOT x.allowed THEN 'skipped' WHEN x.fetched THEN 'ok' ELSE 'skipped' END, "
+               f"'reason': CASE WHEN NOT (x.same AND x.crawlable) THEN NULL WHEN NOT x.allowed THEN {S.lit(C.ROBOTS_REASON)} "
+               f"WHEN x.fetched THEN NULL ELSE coalesce(x.error, {S.lit(C.MISSING_REASON)}) END}})")
+    before = "list_transform(f2, lambda x, i: {'item': x.item, 'outcome': x.outcome, 'reason': x.reason, " \
+             "'before': crawled + len(list_filter(f2[1:i - 1], lambda z: z.outcome = 'ok'))})"
+    step_cols = (f"SELECT *, {dedup} AS f1 FROM prev", f"SELECT *, {outcome} AS f2 FROM s1", f"SELECT *, {before} AS f3 FROM s2",
+                 "SELECT *, list_filter(f3, lambda x: x.before < max_pages) AS done_ FROM s3")
+    nxt_raw = ("flatten(list_transform(list_filter(done_, lambda x: x.outcome = 'ok' AND lvl < max_depth AND NOT seeded), "
+               "lambda x: coalesce(links[x.item.norm], [])))")
+    vis2 = "list_concat(vis, list_transform(done_, lambda x: x.item.norm))"
+    nxt = (f"list_transform(list_filter({nxt_raw}, lambda y: y.same AND NOT list_contains({vis2}, y.norm)), "
+           f"lambda y, i: {_ITEM.format(p='y', q='CAST(i AS BIGINT)')})")
+    finish = (f"SELECT site, lvl, done_ AS processed, {vis2} AS vis, crawled + len(list_filter(done_, lambda x: x.outcome = 'ok')) AS crawled, "
+              f"{nxt} AS fr, max_pages, max_depth, seeded, links FROM s4")
+
+    def chain(src: str) -> str:
+        s1 = step_cols[0].replace("FROM prev", f"FROM ({src})")
+        s2 = step_cols[1].replace("FROM s1", f"FROM ({s1})")
+        s3 = step_cols[2].replace("FROM s2", f"FROM ({s2})")
+        s4 = step_cols[3].replace("FROM s3", f"FROM ({s3})")
+        return finish.replace("FROM s4", f"FROM ({s4})")
+
+    base = ("SELECT f0.site, 0 AS lvl, f0.fr, []::VARCHAR[] AS vis, CAST(0 AS BIGINT) AS crawled, j.max_pages, "
+            f"{max_depth} AS max_depth, m.seeded, coalesce(em.links, MAP {{}}) AS links FROM f0 JOIN j USING (site) "
+            "JOIN mode m USING (site) LEFT JOIN em USING (site)")
+    rec = ("SELECT site, lvl + 1 AS lvl, fr, vis, crawled, max_pages, max_depth, seeded, links FROM st "
+           "WHERE len(fr) > 0")
+    return f"""
+    WITH RECURSIVE sd AS ({seeds}), e AS ({edges()}), o AS ({outcomes()}), j AS ({_jobs(str(max_pages))}),
+    a AS (SELECT ann.*, coalesce(o.ok, false) AS fetched, o.error FROM ({ann}) ann LEFT JOIN o USING (norm_url)),
+    mode AS (SELECT site, bool_or(sitemap_seeded) AS seeded FROM sd GROUP BY site),
+    em AS (SELECT site, map_from_entries(list({{'key': src_norm, 'value': dsts}})) AS links FROM (
+             SELECT e.site, e.src_norm, list({item.format(q='0')} ORDER BY e.pos) AS dsts
+             FROM e JOIN a ON a.site = e.site AND a.url = e.dst_url GROUP BY e.site, e.src_norm) GROUP BY site),
+    f0 AS (SELECT sd.site, list({item.format(q='sd.pos')} ORDER BY sd.pos) AS fr FROM sd JOIN a ON a.site = sd.site AND a.url = sd.url
+           GROUP BY sd.site),
+    st(site, lvl, processed, vis, crawled, fr, max_pages, max_depth, seeded, links) AS (
+      {chain(base)}
+      UNION ALL
+      {chain(rec)}
+    )
+    SELECT st.site, st.lvl, st.processed, len(st.fr) AS enqueued_next, j.norm_root FROM st JOIN j USING (site)
+    """
+
+
+def _capped_rows() -> str:
+    return f"""
+    SELECT site, p.item.url AS url, p.item.norm AS norm_url, lvl AS depth, CAST(lvl AS BIGINT) * {C.ORD_SCALE} + p.item.qord AS page_ord,
+           p.outcome AS outcome, p.reason AS reason,
+           (p.item.norm = norm_root AND p.outcome = 'skipped' AND p.before = 0 AND p.reason != {S.lit(C.ROBOTS_REASON)}) AS root_failed
+    FROM (SELECT site, lvl, norm_root, unnest(processed) AS p FROM ({_capped_levels()}))
+    WHERE p.outcome IS NOT NULL
+    """
+
+
+def crawl_skips() -> str:
+    return f"SELECT site, url, reason, page_ord FROM ({_capped_rows()}) WHERE outcome = 'skipped'"
+
+
+def crawl_progress() -> str:
+    seeds = site_seeds(50)
+    return f"""
+    WITH r AS ({_capped_rows()}), lv AS ({_capped_levels()}), sd AS ({seeds}), j AS ({_jobs('50')}),
+    mode AS (SELECT site, bool_or(sitemap_seeded) AS seeded, count(*) AS n_seeds FROM sd GROUP BY site),
+    c AS (SELECT site, count(*) FILTER (WHERE outcome = 'ok') AS crawled, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
+                 arg_min('Could not reach ' || url || ': ' || reason, page_ord) FILTER (WHERE root_failed) AS error FROM r GROUP BY site),
+    last_ AS (SELECT site, arg_max(enqueued_next, lvl) AS queue_last FROM lv WHERE len(processed) > 0 GROUP BY site)
+    SELECT j.site, j.root_url, coalesce(m.seeded, false) AS sitemap_seeded, CAST(coalesce(c.crawled, 0) AS BIGINT) AS pages_crawled,
+           CAST(coalesce(c.skipped, 0) AS BIGINT) AS pages_skipped,
+           CAST(CASE WHEN coalesce(m.seeded, false) THEN coalesce(m.n_seeds, 0) ELSE coalesce(c.crawled, 0) + coalesce(l.queue_last, 0) END AS BIGINT) AS total_known,
+           CASE WHEN c.error IS NOT NULL THEN 'error' ELSE 'done' END AS status, c.error, 100.0 AS progress_pct
+    FROM j LEFT JOIN mode m USING (site) LEFT JOIN c USING (site) LEFT JOIN last_ l USING (site)
+    """
+
+
+ORACLE["crawl_skips"] = crawl_skips
+ORACLE["crawl_progress"] = crawl_progress
+
+
+def crawl_documents() -> str:
+    from sitefold.plans import site_oracle as SO
+
+    # crawl order restarts per site; a global rank keeps each site's order and is unique as a key
+    pages = (f"(SELECT row_number() OVER (ORDER BY r.site, r.page_ord) AS page_ord, r.url, o.html FROM ({_capped_rows()}) r "
+             f"JOIN ({outcomes()}) o ON o.norm_url = r.norm_url WHERE r.outcome = 'ok') crawled_pages")
+    meta = S.page_meta(order_col="page_ord", source=pages)
+    sites = f"SELECT site, root_url FROM ({_jobs('50')})"
+    return SO._documents(meta, given_sites=sites, cap=False)
+
+
+ORACLE["crawl_documents"] = crawl_documents

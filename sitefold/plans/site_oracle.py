@@ -25,8 +25,8 @@ def _capped(meta: str) -> str:
             f"FROM ({meta})) WHERE rn_ <= {MAX_PAGES_LIMIT}")
 
 
-def _sites(meta: str) -> str:
-    s = f"SELECT DISTINCT site, 'https://' || site || '/' AS root_url FROM ({meta})"
+def _sites(meta: str, given: str | None = None) -> str:
+    s = given or f"SELECT DISTINCT site, 'https://' || site || '/' AS root_url FROM ({meta})"
     s = S.url_parts(s, "root_url", "r")
     return f"SELECT site, root_url, {S.normalized('r')} AS norm_root, r_netloc AS root_netloc FROM ({s})"
 
@@ -100,14 +100,14 @@ def site_titles() -> str:
     """
 
 
-def _sections(capped: str) -> str:
+def _sections(capped: str, given_sites: str | None = None) -> str:
     dt = S.display_title("title", "h1", "url", "suffix")
     shown = "CASE WHEN display_title != '' THEN display_title ELSE url END"
     line = ("'- [' || shown || '](' || url || ')' || "
             "CASE WHEN description IS NOT NULL AND description != '' THEN ': ' || description ELSE '' END")
     return f"""
     WITH c AS ({capped}),
-    s AS ({_sites('SELECT * FROM c')}),
+    s AS ({_sites('SELECT * FROM c', given_sites)}),
     x AS ({S.site_suffixes('SELECT * FROM c')}),
     j AS (SELECT c.*, s.norm_root, x.suffix FROM c JOIN s USING (site) JOIN x USING (site)),
     l AS (SELECT *, {dt} AS display_title FROM j WHERE norm_url != norm_root),
@@ -123,20 +123,20 @@ def site_sections() -> str:
     return _sections(_capped(_varied(_meta())))
 
 
-def _documents(meta: str) -> str:
-    capped = _capped(meta)
+def _documents(meta: str, given_sites: str | None = None, cap: bool = True) -> str:
+    capped = _capped(meta) if cap else meta
     key = f"undescribed, section != '{DEFAULT_SECTION}', section, display_title, page_ord"
     header = (f"'# ' || title_line || {NL} || {NL} || CASE WHEN rdesc IS NOT NULL AND rdesc != '' "
               f"THEN '> ' || rdesc || {NL} || {NL} ELSE '' END")
     return f"""
     WITH c AS ({capped}),
-    s AS ({_sites('SELECT * FROM c')}),
+    s AS ({_sites('SELECT * FROM c', given_sites)}),
     x AS ({S.site_suffixes('SELECT * FROM c')}),
     r AS (SELECT c.site, arg_min({{'title': title, 'h1': h1, 'description': description}},
                  (CASE WHEN norm_url != norm_root THEN 1 ELSE 0 END) * 1000000000000000 + page_ord) AS r,
                  count(*) AS page_count
           FROM c JOIN s USING (site) GROUP BY c.site),
-    items AS ({_sections('SELECT * FROM c')}),
+    items AS ({_sections('SELECT * FROM c', given_sites)}),
     ordered AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {key}) AS rn,
                        lag(undescribed) OVER (PARTITION BY site ORDER BY {key}) AS p_u,
                        lag(section) OVER (PARTITION BY site ORDER BY {key}) AS p_sec FROM items),
