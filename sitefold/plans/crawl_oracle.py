@@ -384,3 +384,13 @@ def crawl_documents() -> str:
 
 
 ORACLE["crawl_documents"] = crawl_documents
+
+
+def crawl_job_detail() -> str:
+    return (f"SELECT p.site, p.status, p.pages_crawled, p.pages_skipped, p.error, "
+            f"CASE WHEN p.status = 'done' THEN p.pages_crawled END AS page_count, "
+            f"CASE WHEN p.status = 'done' THEN d.llms_txt END AS llms_txt "
+            f"FROM ({crawl_progress()}) p LEFT JOIN ({crawl_documents()}) d USING (site)")
+
+
+ORACLE["crawl_job_detail"] = crawl_job_detail

@@ -92,9 +92,7 @@ def q_crawl_progress(spark, sf_dir):
     return C.crawl_summary(jobs, seeds, result, levels)
 
 
-def q_crawl_documents(spark, sf_dir):
-    """The full flow: crawl (50 pages, depth 3) -> metadata of crawled pages -> one document per site."""
-    jobs, _, result, _ = run_crawl(spark, sf_dir)
+def _crawl_docs(spark, sf_dir, jobs, result):
     html = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir)).filter(F.col("ok")).select("norm_url", "html")
     ok = result.filter(F.col("outcome") == "ok").select("site", "url", "norm_url", "depth", "page_ord")
     pages = ok.join(html, "norm_url")
@@ -102,6 +100,24 @@ def q_crawl_documents(spark, sf_dir):
     return site_documents(meta, jobs.select("site", "root_url"), max_pages=None)
 
 
+def q_crawl_documents(spark, sf_dir):
+    """The full flow: crawl (50 pages, depth 3) -> metadata of crawled pages -> one document per site."""
+    jobs, _, result, _ = run_crawl(spark, sf_dir)
+    return _crawl_docs(spark, sf_dir, jobs, result)
+
+
+def q_crawl_job_detail(spark, sf_dir):
+    """J4 + J12 over the crawl: per job the status and counters; the document and page count only
+    for jobs that finished 'done'."""
+    jobs, seeds, result, levels = run_crawl(spark, sf_dir)
+    summary = C.crawl_summary(jobs, seeds, result, levels)
+    docs = _crawl_docs(spark, sf_dir, jobs, result).select("site", "llms_txt")
+    done = F.col("status") == "done"
+    return summary.join(docs, "site", "left").select(
+        "site", "status", "pages_crawled", "pages_skipped", "error",
+        F.when(done, F.col("pages_crawled")).alias("page_count"), F.when(done, F.col("llms_txt")).alias("llms_txt"))
+
+
 def q_fetch_plan(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url"]).withColumnRenamed("page_id", "ord")
     return C.fetch_plan(pages)
@@ -119,5 +135,6 @@ QUERIES = {
     "crawl_skips": q_crawl_skips,
     "crawl_progress": q_crawl_progress,
     "crawl_documents": q_crawl_documents,
+    "crawl_job_detail": q_crawl_job_detail,
     "fetch_plan": q_fetch_plan,
 }
