@@ -24,6 +24,11 @@ def site_archive() -> str:
             f"FROM ({s})) WHERE r = 1")
 
 
+def stream_progress() -> str:
+    return ("SELECT l_orderkey AS job_id, count(*) FILTER (WHERE l_returnflag != 'R') AS pages_crawled, "
+            "count(*) FILTER (WHERE l_returnflag = 'R') AS pages_skipped FROM lineitem GROUP BY l_orderkey")
+
+
 def stream_results() -> str:
     return (f"SELECT parent_batch_id AS batch_id, job_id, url, status, CASE WHEN status = 'done' THEN pages_crawled END AS page_count, "
             f"error FROM ({J.jobs()}) WHERE parent_batch_id IS NOT NULL AND status IN ('done', 'error', 'cancelled')")
@@ -34,5 +39,6 @@ ORACLE = {
     "site_archive": site_archive,
     "stream_dedup": J.request_dedup,
     "stream_metrics": J.job_metrics,
+    "stream_progress": stream_progress,
     "stream_results": stream_results,
 }

@@ -40,6 +40,10 @@ def q_stream_metrics(spark, sf_dir):
     return X.stream_job_metrics(spark, sf_dir)
 
 
+def q_stream_progress(spark, sf_dir):
+    return X.stream_job_progress(spark, sf_dir)
+
+
 def q_stream_results(spark, sf_dir):
     return X.stream_terminal_results(spark, sf_dir)
 
@@ -49,5 +53,6 @@ QUERIES = {
     "site_archive": q_site_archive,
     "stream_dedup": q_stream_dedup,
     "stream_metrics": q_stream_metrics,
+    "stream_progress": q_stream_progress,
     "stream_results": q_stream_results,
 }

@@ -4,7 +4,8 @@
   state per normalized url = (expiry, job request id) of the latest kept request; an event-time
   timeout drops the state once the watermark passes the expiry (any later request starts a new
   job anyway, so eviction never changes a result).
-* X2 ``stream_job_metrics``: the metrics row as a streaming global aggregation (complete mode).
+* X2 ``stream_job_metrics``: the metrics row as a streaming global aggregation (complete mode);
+  ``stream_job_progress``: live page counters per job (streaming aggregation keyed by job).
 * X3 ``stream_terminal_results``: append-only stream of finished batch children.
 
 Sinks are parquet folders under the shared checkpoint folder (``foreachBatch`` where a mode needs
@@ -105,6 +106,26 @@ def stream_job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2 per job: live crawled / skipped page counters as page results arrive (lineitem rows are
+    the page results of a job, 'R' = skipped); a streaming aggregation keyed by job, state held
+    per job, written in complete mode through ``foreachBatch``."""
+    lines = _stream(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"])
+    progress = lines.groupBy(F.col("l_orderkey").alias("job_id")).agg(
+        F.count_if(F.col("l_returnflag") != "R").alias("pages_crawled"),
+        F.count_if(F.col("l_returnflag") == "R").alias("pages_skipped"),
+    )
+    path = scratch_path(spark, "stream_progress")
+
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = (progress.writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", path + "-ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(path)
+
+
 def stream_terminal_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result row is appended when a batch child reaches a final state."""
     from sitefold.sources import jobtables as T
