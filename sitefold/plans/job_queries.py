@@ -3,8 +3,6 @@ lineitem, events and pages)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sitefold.operators import batches as B
 from sitefold.operators import jobs as J
 from sitefold.operators import requests as R

@@ -1,7 +1,5 @@
 """Titles and site documents (T1-T6, G0-G9): the reference's golden scenario plus FIXTURES cases."""
 
-from pyspark.sql import functions as F
-
 from sitefold.operators.documents import site_documents, site_sections
 from sitefold.operators.titles import site_suffixes
 

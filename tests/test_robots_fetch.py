@@ -2,8 +2,6 @@
 
 import urllib.robotparser
 
-from pyspark.sql import functions as F
-
 from sitefold.operators.fetchlog import fetch_outcomes
 from sitefold.operators.robots import robots_decisions, robots_rules, robots_sitemaps
 from sitefold.operators.sitemaps import sitemap_urls, site_seeds

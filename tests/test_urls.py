@@ -2,8 +2,6 @@
 
 from urllib.parse import urljoin, urlparse, urlunparse
 
-from pyspark.sql import functions as F
-
 from sitefold.functions import urls as U
 
 CASES = [
