@@ -48,8 +48,12 @@ def ranked_pages(spark: SparkSession, sf_dir: str, with_html: bool = False) -> D
     df = U.add_url_parts(read_table(spark, sf_dir, "pages", cols), "url", "u")
     df = U.add_normalized(df.withColumn("site", U.site_of("u")), "u", "norm_url")
     df = U.drop_url_parts(df, "u")
-    first = Window.partitionBy("site", "norm_url").orderBy("page_id")
-    df = df.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") == 1).drop("_k")
+    # lowest page_id per (site, normalized url): a partial aggregation, so a url repeated across
+    # many rows is combined map-side
+    rest = [c for c in cols if c != "page_id"]
+    df = df.groupBy("site", "norm_url").agg(F.min("page_id").alias("page_id"),
+                                            F.min_by(F.struct(*rest), F.col("page_id")).alias("_r"))
+    df = df.select("page_id", *[F.col("_r")[c].alias(c) for c in rest], "site", "norm_url")
     df = chunked_row_number(df, ["site"], "page_id", "n")
     return df if with_html else _ranked_urls(df)
 
