@@ -65,8 +65,9 @@ def sitemap_urls(directives: DataFrame, docs: DataFrame, limits: DataFrame | Non
         top = default_limit
     # a literal bound first (planned as a partial top-k before the shuffle), then each site's own
     w = Window.partitionBy("site").orderBy("path")
-    urls = urls.withColumn("seq", F.row_number().over(w) - 1).filter(F.col("seq") < int(top)).filter(F.col("seq") < F.col("_lim"))
-    return urls.select("site", F.col("seq").cast("int").alias("seq"), "url")
+    urls = urls.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= int(top))
+    urls = urls.filter(F.col("_rn") <= F.col("_lim"))
+    return urls.select("site", (F.col("_rn") - 1).cast("int").alias("seq"), "url")
 
 
 def site_seeds(jobs: DataFrame, directives: DataFrame, docs: DataFrame) -> DataFrame:
