@@ -56,3 +56,21 @@ def chunked_row_number(df: DataFrame, keys: list[str], order: str, out: str, chu
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     out_df = local.join(counts.select(*keys, "_chunk", "_off"), [*keys, "_chunk"])
     return out_df.withColumn(out, (F.col("_off") + F.col("_rn")).cast("long")).drop("_chunk", "_rn", "_off")
+
+
+def chunked_running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
+                        chunk_width: int = 1 << 20, inclusive: bool = True) -> DataFrame:
+    """Running ``sum(value)`` per key in ``order`` (exclusive of the current row when
+    ``inclusive`` is False), computed per (key, order chunk) plus the totals of the key's earlier
+    chunks, so a huge key is summed in parallel.  ``order`` is an integer column, unique per key."""
+    from pyspark.sql import Window
+
+    df = df.withColumn("_chunk", F.floor(F.col(order) / chunk_width))
+    frame_end = Window.currentRow if inclusive else -1
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, frame_end)
+    local = df.withColumn("_loc", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    totals = df.groupBy(*keys, "_chunk").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_tot"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(wc), F.lit(0)))
+    joined = local.join(totals.select(*keys, "_chunk", "_off"), [*keys, "_chunk"])
+    return joined.withColumn(out, (F.col("_off") + F.col("_loc")).cast("long")).drop("_chunk", "_loc", "_off")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
-from sitefold.functions.plan import chunked_row_number
+from sitefold.functions.plan import chunked_row_number, chunked_running_sum
 from sitefold.operators.robots import robots_decisions
 from sitefold.session import checkpoint_dir
 
@@ -103,10 +103,10 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
             .when(fetched, F.lit(None)).otherwise(F.coalesce(F.col("_err"), F.lit(MISSING_REASON))),
         })
         if capped:
-            # successes before this item in queue order (a running sum: streams, no buffering)
-            before = Window.partitionBy("site").orderBy("qord").rowsBetween(Window.unboundedPreceding, -1)
-            ok_before = F.coalesce(F.sum(F.when(F.col("outcome") == "ok", 1).otherwise(0)).over(before), F.lit(0))
-            f = f.withColumn("_before", F.col("c0") + ok_before)
+            # successes before this item in queue order: a running sum per site, in parallel chunks
+            f = f.withColumn("_okflag", F.when(F.col("outcome") == "ok", 1).otherwise(0))
+            f = chunked_running_sum(f, ["site"], "qord", "_okflag", "ok_before", chunk_width=1 << 16, inclusive=False)
+            f = f.withColumn("_before", F.col("c0") + F.col("ok_before")).drop("_okflag", "ok_before")
         else:
             f = f.withColumn("_before", F.col("c0"))
         processed = f.filter(F.col("max_pages").isNull() | (F.col("_before") < F.col("max_pages")))

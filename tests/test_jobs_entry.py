@@ -120,3 +120,20 @@ def test_chunked_row_number_matches_window(spark):
     got = {(r["k"], r["o"]): r["rn"] for r in chunked_row_number(df, ["k"], "o", "rn", chunk_width=997).collect()}
     want = {(r["k"], r["o"]): r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o"))).collect()}
     assert got == want
+
+
+def test_chunked_running_sum_matches_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from sitefold.functions.plan import chunked_running_sum
+
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.6 else "k", o, rng.randrange(3)) for o in rng.sample(range(50000), 2000)]
+    df = spark.createDataFrame(rows, "k string, o long, v int")
+    got = {(r["k"], r["o"]): r["cs"] for r in chunked_running_sum(df, ["k"], "o", "v", "cs", chunk_width=331, inclusive=False).collect()}
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    want = {(r["k"], r["o"]): r["cs"] for r in df.withColumn("cs", F.coalesce(F.sum("v").over(w), F.lit(0))).collect()}
+    assert got == want
