@@ -122,8 +122,10 @@ def ttl_dedup(requests: DataFrame, key: str, ts: str, run_seconds: str, failed:
         jumps.append(doubled)
     heads = r.groupBy("key").agg(F.min_by("s", F.struct("t", "s")).alias("rid"))
     kept = materialize(heads.select("rid"))
+    # after the jumps of length >= 2^(k+1) the set holds the chain positions that are multiples of
+    # 2^(k+1); J_k adds those at 2^k past them -- disjoint, so no distinct is needed
     for j in reversed(jumps):
-        kept = materialize(kept.unionByName(kept.join(j, "rid").select(F.col("nxt").alias("rid"))).distinct())
+        kept = materialize(kept.unionByName(kept.join(j, "rid").select(F.col("nxt").alias("rid"))))
     marked = r.join(kept.withColumn("mark", F.lit(True)), r.s == kept.rid, "left").select(
         "key", "t", "s", F.col("s").alias("rid"), F.coalesce(F.col("mark"), F.lit(False)).alias("mark"))
     prev = asof_predecessor(marked, chunk_seconds).select(F.col("rid").alias("_rid"), F.col("prev").alias("_prev"))
