@@ -66,8 +66,9 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     jobs = U.drop_url_parts(U.add_normalized(jobs, "r", "norm_root"), "r")
     mode = seeds.groupBy("site").agg(F.max("sitemap_seeded").alias("sitemap_seeded"))
     jobs = _checkpoint(jobs.join(mode, "site", "left").fillna({"sitemap_seeded": False}))
-    limit = max_levels if max_levels is not None else (jobs.agg(F.max("max_depth")).first()[0] or 0) + 1
-    capped = not jobs.filter(F.col("max_pages").isNotNull()).isEmpty()
+    deepest, n_capped = jobs.agg(F.max("max_depth"), F.count("max_pages")).first()
+    limit = max_levels if max_levels is not None else (deepest or 0) + 1
+    capped = (n_capped or 0) > 0
     # everything the loop reads is prepared and materialized once
     outcomes = _checkpoint(outcomes.select("norm_url", F.col("ok").alias("_ok"), F.col("error").alias("_err")))
     if rules is not None:
@@ -128,12 +129,14 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
         # queue order of the next level: (parent order, link position), ranked in parallel chunks
         nxt = links.withColumns({"depth": F.col("depth") + 1, "_o": F.col("pq") * F.lit(1 << 22) + F.col("lp")})
         nxt = chunked_row_number(nxt, ["site"], "_o", "qord", chunk_width=1 << 32).drop("_o")
-        frontier = _checkpoint(nxt.select(*cols))
+        # the next frontier stays a plan over checkpointed inputs (this level, the link table and
+        # the visited levels), so lineage is flat without writing it; the next level's job builds it
+        frontier = nxt.select(*cols)
         levels.append(level.groupBy("site", "depth").agg(
             F.count(F.lit(1)).alias("processed"), F.count_if(F.col("outcome") == "ok").alias("crawled"))
             .join(frontier.groupBy("site").agg(F.count(F.lit(1)).alias("enqueued_next")), "site", "left")
             .fillna({"enqueued_next": 0}))
-        if frontier.isEmpty():
+        if expand.isEmpty():
             break
     result = out[0]
     for more in out[1:]:
