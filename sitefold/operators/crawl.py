@@ -66,9 +66,8 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     jobs = U.drop_url_parts(U.add_normalized(jobs, "r", "norm_root"), "r")
     mode = seeds.groupBy("site").agg(F.max("sitemap_seeded").alias("sitemap_seeded"))
     jobs = _checkpoint(jobs.join(mode, "site", "left").fillna({"sitemap_seeded": False}))
-    deepest, n_capped = jobs.agg(F.max("max_depth"), F.count("max_pages")).first()
+    deepest = jobs.agg(F.max("max_depth")).first()[0]
     limit = max_levels if max_levels is not None else (deepest or 0) + 1
-    capped = (n_capped or 0) > 0
     # everything the loop reads is prepared and materialized once
     outcomes = _checkpoint(outcomes.select("norm_url", F.col("ok").alias("_ok"), F.col("error").alias("_err")))
     if rules is not None:
@@ -103,13 +102,11 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
             "reason": F.when(~guard, F.lit(None)).when(~F.col("allowed"), F.lit(ROBOTS_REASON))
             .when(fetched, F.lit(None)).otherwise(F.coalesce(F.col("_err"), F.lit(MISSING_REASON))),
         })
-        if capped:
-            # successes before this item in queue order: a running sum per site, in parallel chunks
-            f = f.withColumn("_okflag", F.when(F.col("outcome") == "ok", 1).otherwise(0))
-            f = chunked_running_sum(f, ["site"], "qord", "_okflag", "ok_before", chunk_width=1 << 16, inclusive=False)
-            f = f.withColumn("_before", F.col("c0") + F.col("ok_before")).drop("_okflag", "ok_before")
-        else:
-            f = f.withColumn("_before", F.col("c0"))
+        # successes before this item in queue order (the cap test, and the root-failure rule: "no page
+        # crawled yet"): a running sum per site computed in parallel chunks
+        f = f.withColumn("_okflag", F.when(F.col("outcome") == "ok", 1).otherwise(0))
+        f = chunked_running_sum(f, ["site"], "qord", "_okflag", "ok_before", chunk_width=1 << 16, inclusive=False)
+        f = f.withColumn("_before", F.col("c0") + F.col("ok_before")).drop("_okflag", "ok_before")
         processed = f.filter(F.col("max_pages").isNull() | (F.col("_before") < F.col("max_pages")))
         level = _checkpoint(processed.select(
             "site", "url", "norm_url", "depth", "qord", "outcome", "reason", "_before", "norm_root", "sitemap_seeded", "max_depth"))
