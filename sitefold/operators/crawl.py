@@ -144,7 +144,7 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     return result, per_level
 
 
-def crawl_summary(jobs: DataFrame, seeds: DataFrame, result: DataFrame, levels: DataFrame) -> DataFrame:
+def crawl_summary(jobs: DataFrame, seeds: DataFrame, result: DataFrame, levels: DataFrame, compat: bool = False) -> DataFrame:
     """C5, C10-C13 per job: pages crawled / skipped, sitemap mode, known urls, progress, error.
 
     sitemap mode: total_known = seed count, progress = min(crawled / known * 100, 99) while running
@@ -167,7 +167,7 @@ def crawl_summary(jobs: DataFrame, seeds: DataFrame, result: DataFrame, levels:
         "site", "root_url", "sitemap_seeded",
         F.col("pages_crawled").cast("long").alias("pages_crawled"), F.col("pages_skipped").cast("long").alias("pages_skipped"),
         known.cast("long").alias("total_known"),
-        F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("done")).alias("status"),
+        (F.lit("done") if compat else F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("done"))).alias("status"),
         "error",
         F.lit(100.0).alias("progress_pct"),
     )
