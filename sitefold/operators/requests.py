@@ -135,9 +135,15 @@ def ttl_dedup(requests: DataFrame, key: str, ts: str, run_seconds: str, failed:
                       F.col("_prev").alias("job_request_id"))
 
 
-def request_dedup(requests: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
-    """J1 + J2 over a requests table: valid requests keyed by normalized url."""
+def request_dedup(requests: DataFrame, ttl_seconds: float = TTL_SECONDS, key_cols: list[str] | None = None) -> DataFrame:
+    """J1 + J2 over a requests table: valid requests keyed by normalized url.  The reference's key
+    ignores the page / depth limits; ``key_cols`` (e.g. ["max_pages", "max_depth"]) adds them."""
     valid = validate_requests(requests).filter(F.col("reject_reason").isNull())
     valid = U.add_url_parts(valid, "accepted_url", "k")
     valid = U.drop_url_parts(U.add_normalized(valid, "k", "norm_url"), "k")
-    return ttl_dedup(valid, "norm_url", "requested_at", "run_seconds", "failed", "request_id", ttl_seconds)
+    key = "norm_url"
+    if key_cols:
+        valid = valid.withColumn("_key", F.to_json(F.struct("norm_url", *key_cols)))
+        key = "_key"
+    out = ttl_dedup(valid, key, "requested_at", "run_seconds", "failed", "request_id", ttl_seconds)
+    return out.drop("_key") if key_cols else out
