@@ -363,7 +363,7 @@ def crawl_progress() -> str:
     SELECT j.site, j.root_url, coalesce(m.seeded, false) AS sitemap_seeded, CAST(coalesce(c.crawled, 0) AS BIGINT) AS pages_crawled,
            CAST(coalesce(c.skipped, 0) AS BIGINT) AS pages_skipped,
            CAST(CASE WHEN coalesce(m.seeded, false) THEN coalesce(m.n_seeds, 0) ELSE coalesce(c.crawled, 0) + coalesce(l.queue_last, 0) END AS BIGINT) AS total_known,
-           CASE WHEN c.error IS NOT NULL THEN 'error' ELSE 'done' END AS status, c.error, 100.0 AS progress_pct
+           CASE WHEN c.error IS NOT NULL THEN 'error' ELSE 'done' END AS status, c.error, CAST(100.0 AS DOUBLE) AS progress_pct
     FROM j LEFT JOIN mode m USING (site) LEFT JOIN c USING (site) LEFT JOIN last_ l USING (site)
     """
 

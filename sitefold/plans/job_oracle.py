@@ -224,7 +224,7 @@ def batch_results() -> str:
     return f"""
     WITH c AS (SELECT batch_id, count(*) FILTER (WHERE finished) AS completed_count, count(*) FILTER (WHERE status = 'done') AS done_count,
                       count(*) FILTER (WHERE NOT finished) AS in_progress_count, count(*) AS result_rows FROM ({rows}) GROUP BY batch_id)
-    SELECT b.batch_id, len(b.batch_urls) AS url_count, coalesce(completed_count, 0) AS completed_count,
+    SELECT b.batch_id, CAST(len(b.batch_urls) AS INTEGER) AS url_count, coalesce(completed_count, 0) AS completed_count,
            coalesce(done_count, 0) AS done_count, coalesce(in_progress_count, 0) AS in_progress_count,
            coalesce(result_rows, 0) AS result_rows
     FROM ({batches(jobs())}) b LEFT JOIN c USING (batch_id)
