@@ -72,8 +72,10 @@ def stream_request_dedup(spark: SparkSession, sf_dir: str, ttl_seconds: float =
     valid = validate_requests(reqs).filter(F.col("reject_reason").isNull())
     valid = U.add_url_parts(valid, "accepted_url", "k")
     valid = U.drop_url_parts(U.add_normalized(valid, "k", "norm_url"), "k")
+    # event time and state timeouts on one clock: wall-clock microseconds read as UTC, whatever the
+    # session time zone
     valid = valid.select(
-        "request_id", "norm_url", F.col("requested_at").cast("timestamp").alias("event_time"),
+        "request_id", "norm_url", F.timestamp_micros(epoch_micros(F.col("requested_at"))).alias("event_time"),
         epoch_micros(F.col("requested_at")).alias("t"),
         F.round(F.col("run_seconds") * 1_000_000).cast("long").alias("run_us"), "failed",
     ).withWatermark("event_time", "0 seconds")
