@@ -29,11 +29,12 @@ DEDUP_SCHEMA = "request_id long, norm_url string, kept boolean, job_request_id l
 DEDUP_STATE = "exp long, job long"
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    schema = spark.read.parquet(table_path(sf_dir, name)).select(*columns).schema
+def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str], source: str | None = None) -> DataFrame:
+    """File stream of a table; ``source`` (a glob) overrides the table file."""
+    schema = spark.read.parquet(source or table_path(sf_dir, name)).select(*columns).schema
     # a glob path: the file source then watches the matching files instead of treating the
     # single file as its base folder
-    glob = table_path(sf_dir, name)[:-1] + "[t]"
+    glob = source or table_path(sf_dir, name)[:-1] + "[t]"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(glob).select(*columns)
 
 
@@ -63,11 +64,12 @@ def _dedup_group(ttl_seconds: float):
     return fold
 
 
-def stream_request_dedup(spark: SparkSession, sf_dir: str, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
-    """Streaming TTL dedup over the requests derived from ``events``; returns the sink table."""
+def stream_request_dedup(spark: SparkSession, sf_dir: str, ttl_seconds: float = TTL_SECONDS, source: str | None = None) -> DataFrame:
+    """Streaming TTL dedup over the requests derived from ``events`` (or the event files
+    matching ``source``, one file per micro-batch); returns the sink table."""
     from sitefold.sources import jobtables as T
 
-    ev = _stream(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    ev = _stream(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"], source)
     reqs = T.requests_from_events(ev)
     valid = validate_requests(reqs).filter(F.col("reject_reason").isNull())
     valid = U.add_url_parts(valid, "accepted_url", "k")
