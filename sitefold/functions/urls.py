@@ -35,8 +35,8 @@ SPLIT_RE = "^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*
 
 
 def _prep(url: Column) -> Column:
-    # the stdlib drops leading C0/space characters and every tab / CR / LF
-    return F.regexp_replace(F.regexp_replace(url, "^[\\x{00}-\\x{20}]+", ""), "[\\t\\r\\n]", "")
+    # the stdlib drops leading C0/space characters and every tab / CR / LF (one regex pass)
+    return F.regexp_replace(url, "^[\\x{00}-\\x{20}]+|[\\t\\r\\n]", "")
 
 
 PARTS = ("scheme", "netloc", "path", "params", "query", "fragment")
