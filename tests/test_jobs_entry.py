@@ -137,3 +137,24 @@ def test_chunked_running_sum_matches_window(spark):
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     want = {(r["k"], r["o"]): r["cs"] for r in df.withColumn("cs", F.coalesce(F.sum("v").over(w), F.lit(0))).collect()}
     assert got == want
+
+
+def test_batch_results_and_rollup_cases(spark):
+    T1 = T0 + dt.timedelta(seconds=30)
+    jobs = spark.createDataFrame([
+        _job(10, "https://k1.com", "done", T0, T0, T0 + dt.timedelta(seconds=5), parent=1, crawled=3, skipped=1),
+        _job(11, "https://k2.com", "error", T0, T0, T0 + dt.timedelta(seconds=7), parent=1, crawled=0, skipped=2),
+        _job(20, "https://k3.com", "running", T0, T0, parent=2, crawled=4),
+        _job(30, "https://k4.com", "done", T0, T0, T0 + dt.timedelta(seconds=9), parent=3, crawled=1),
+    ], JOBS_SCHEMA)
+    batches = spark.createDataFrame([
+        (1, ["https://k1.com", "https://k2.com"], 50, 3, T1, False),
+        (2, ["https://k3.com"], 50, 3, T1, False),
+        (3, ["https://k4.com"], 50, 3, T1, True),        # cancel requested: children are not cancelled
+        (4, [], 50, 3, T1, False),                       # no urls
+    ], "batch_id long, batch_urls array<string>, max_pages int, max_depth int, submitted_at timestamp_ntz, cancel_requested boolean")
+    res = {r["batch_id"]: (r["url_count"], r["completed_count"], r["done_count"], r["in_progress_count"])
+           for r in B.batch_results(batches, jobs).collect()}
+    assert res == {1: (2, 2, 1, 0), 2: (1, 0, 0, 1), 3: (1, 1, 1, 0), 4: (0, 0, 0, 0)}   # errors count as completed
+    roll = {r["batch_id"]: (r["status"], r["pages_crawled"], r["pages_skipped"]) for r in B.batch_rollup(batches, jobs).collect()}
+    assert roll == {1: ("done", 3, 3), 2: ("running", 4, 0), 3: ("cancelled", 1, 0), 4: ("done", 0, 0)}
