@@ -92,8 +92,9 @@ def _xml_escape(c):
 @_once
 def sitemap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sitemap_docs(sitemap_url, status, xml): for hosts whose robots names a sitemap, an index of
-    child sitemaps; child ``c`` = 2 * floor((n-1)/1000) + n % 2 lists its pages in rank order, so
-    no document exceeds 500 urls.  ``missing.xml`` has no row (not found)."""
+    sub-indexes of child sitemaps; child ``c`` = 2 * floor((n-1)/1000) + n % 2 lists its pages in
+    rank order, so no urlset exceeds 500 urls and no sub-index 1000 children.  ``missing.xml`` has
+    no row (not found)."""
     robots = robots_table(spark, sf_dir).filter(F.length("site") % 4 >= 2).select("site")
     pages = ranked_pages(spark, sf_dir).join(robots, "site", "left_semi")
     pages = pages.withColumn("c", (F.floor((F.col("n") - 1) / SITEMAP_CHUNK) * 2 + F.col("n") % 2).cast("long"))
@@ -107,15 +108,22 @@ def sitemap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("</urlset>"),
         ).alias("xml"),
     )
-    index = children.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("c", "sitemap_url"))).alias("s")).select(
-        F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap_index.xml")).alias("sitemap_url"),
-        F.concat(
+    def index_doc(entries: str):
+        return F.concat(
             F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
-            F.array_join(F.transform("s", lambda x: F.concat(F.lit("<sitemap><loc>"), x["sitemap_url"], F.lit("</loc></sitemap>"))), ""),
+            F.array_join(F.transform(entries, lambda x: F.concat(F.lit("<sitemap><loc>"), x["u"], F.lit("</loc></sitemap>"))), ""),
             F.lit("</sitemapindex>"),
-        ).alias("xml"),
-    )
-    out = children.select("sitemap_url", "xml").unionByName(index)
+        )
+
+    # two index levels: sub-index g lists children g*1000 .. g*1000+999, the top index lists the
+    # sub-indexes; every document stays small and the depth-first order is child order
+    subs = children.withColumn("g", F.floor(F.col("c") / SITEMAP_CHUNK).cast("long")).groupBy("site", "g").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("c").alias("k"), F.col("sitemap_url").alias("u")))).alias("s"))
+    subs = subs.withColumn("sub_url", F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap-index-"), F.col("g").cast("string"), F.lit(".xml")))
+    sub_docs = subs.select(F.col("sub_url").alias("sitemap_url"), index_doc("s").alias("xml"))
+    top = subs.groupBy("site").agg(F.sort_array(F.collect_list(F.struct(F.col("g").alias("k"), F.col("sub_url").alias("u")))).alias("s"))
+    top_docs = top.select(F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap_index.xml")).alias("sitemap_url"), index_doc("s").alias("xml"))
+    out = children.select("sitemap_url", "xml").unionByName(sub_docs).unionByName(top_docs)
     return materialize(out.select("sitemap_url", F.lit(200).cast("int").alias("status"), "xml"))
 
 
