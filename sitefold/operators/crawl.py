@@ -70,8 +70,6 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     limit = max_levels if max_levels is not None else (deepest or 0) + 1
     # everything the loop reads is prepared and materialized once
     outcomes = _checkpoint(outcomes.select("norm_url", F.col("ok").alias("_ok"), F.col("error").alias("_err")))
-    if rules is not None:
-        rules = _checkpoint(rules)
     link_cols = ["site", "src_norm", "lp", "url", "norm_url", "_netsite", "_crawlable", "allowed"]
     links_x = _checkpoint(_annotate(edges.select("site", "src_norm", F.col("pos").alias("lp"), F.col("dst_url").alias("url")),
                                     rules, agent).select(*link_cols))
