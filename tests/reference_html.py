@@ -116,3 +116,27 @@ def extract(doc: str):
         "h1": text_of(h1) if h1 is not None else None,
         "description": description,
     }
+
+
+def links(doc: str, base: str) -> list[str]:
+    """Every <a href> in document order, filtered, resolved with the stdlib and stripped of the
+    fragment, crawlable only (the E6 rule) -- brute force for the Spark link extraction."""
+    from urllib.parse import urljoin, urlparse, urlunparse
+
+    from sitefold.functions.urls import SKIP_EXTENSIONS
+
+    b = _Builder()
+    b.feed(doc)
+    b.close()
+    out = []
+    for e in b.elements:
+        if e.name != "a" or "href" not in e.attrs:
+            continue
+        href = e.attrs["href"].strip()
+        if not href or href.startswith(("#", "mailto:", "javascript:")):
+            continue
+        clean = urlunparse(urlparse(urljoin(base, href))._replace(fragment=""))
+        p = urlparse(clean)
+        if p.scheme in ("http", "https") and not any(p.path.lower().endswith(x) for x in SKIP_EXTENSIONS):
+            out.append(clean)
+    return out

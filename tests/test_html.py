@@ -82,3 +82,15 @@ def test_links(spark):
     links = [r["url"] for r in page_links(df).orderBy("pos").collect()]
     assert links == ["https://example.com/about", "https://example.com/contact", "https://other.com/page",
                      "https://example.com/x?a=1&b=2"]
+
+
+def test_real_page_links_match_stdlib(spark):
+    from tests.reference_html import links
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {}
+    for r in page_links(pages).collect():
+        got.setdefault(r["src_ord"], []).append((r["pos"], r["url"]))
+    for p in pages.collect():
+        want = links(p["html"], p["url"])
+        assert [u for _, u in sorted(got.get(p["page_id"], []))] == want, p["url"]
