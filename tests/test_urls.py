@@ -94,3 +94,50 @@ def test_hostname(spark):
     got = _run(spark, ["https://User@WWW.Ex.com:8443/x", "http://[::1]:80/", "https://a.com"],
                lambda d: U.add_url_parts(d, "url", "u").withColumn("out", U.hostname_of("u")))
     assert got == ["www.ex.com", "::1", "a.com"]
+
+
+def _random_urls(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    schemes = ["http", "https", "HTTP", "ftp", "", "mailto", "Https"]
+    hosts = ["a.com", "A.Com", "b.org:8080", "user@c.net", "[::1]:80", "", "x"]
+    segs = ["", "a", "B", ".", "..", "x.pdf", "y.HTML", "é", "a b", "p;q", "%2F", "docs", "api-ref"]
+    out = []
+    for _ in range(n):
+        scheme, host = rng.choice(schemes), rng.choice(hosts)
+        path = "/".join(rng.choice(segs) for _ in range(rng.randrange(0, 4)))
+        if rng.random() < 0.7:
+            path = "/" + path
+        if rng.random() < 0.3:
+            path += "/" * rng.randrange(1, 3)
+        query = rng.choice(["", "?", "?q=1", "?a=1&b=2", "?x#"])
+        frag = rng.choice(["", "#", "#top", "#a/b"])
+        pre = f"{scheme}:" if scheme else ""
+        auth = f"//{host}" if host or rng.random() < 0.2 else ""
+        out.append(pre + auth + path + query + frag)
+    return out
+
+
+def test_random_urls_match_stdlib(spark):
+    urls = _random_urls(2000, 11)
+    df = U.add_url_parts(spark.createDataFrame(list(enumerate(urls)), "i int, url string"), "url", "u")
+    df = U.add_normalized(df, "u", "norm")
+    rows = df.orderBy("i").select("u_scheme", "u_netloc", "u_path", "u_params", "u_query", "u_fragment", "norm",
+                                  U.path_prefix_of("u"), U.crawlable("u")).collect()
+    for url, r in zip(urls, rows):
+        p = urlparse(url)
+        assert tuple(r[:6]) == (p.scheme, p.netloc, p.path, p.params, p.query, p.fragment), url
+        assert r[6] == _py_normalize(url), url
+        assert r[7] == _py_prefix(url), url
+        assert r[8] == _py_crawlable(url), url
+
+
+def test_random_resolve_matches_stdlib(spark):
+    bases = [u for u in _random_urls(600, 12) if u.lower().startswith("http")]
+    hrefs = _random_urls(len(bases), 13) + ["", "../x", "./", "?z", "//h.com/p", "tel:1", "https:rel"]
+    pairs = [(b, hrefs[i % len(hrefs)]) for i, b in enumerate(bases)]
+    df = spark.createDataFrame([(i, b, h) for i, (b, h) in enumerate(pairs)], "i int, base string, href string")
+    got = [r[0] for r in U.add_resolved(df, "base", "href", "out").orderBy("i").select("out").collect()]
+    for (b, h), g in zip(pairs, got):
+        assert g == urljoin(b, h), (b, h)
