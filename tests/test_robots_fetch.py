@@ -117,3 +117,23 @@ def test_fetch_outcomes(spark):
     assert got["to"] == (False, "timeout after 3 attempt(s)", 3, 3.0, None)   # 1 + 2, none after the last
     assert got["204"] == (False, "HTTP 204", 3, 3.0, None)
     assert got["exc"] == (False, "boom", 1, 0.0, None)
+
+
+def test_random_robots_match_stdlib(spark):
+    import random
+
+    rng = random.Random(21)
+    lines = ["User-agent: *", "User-agent: sitefold", "User-agent: other", "User-agent: FOLD", "user-agent:", "",
+             "Disallow: /a", "Disallow: /a/", "Disallow:", "Allow: /a/b", "Allow: /", "Disallow: /%61x", "Disallow: /b?x",
+             "Crawl-delay: 3", "Request-rate: 1/5", "# comment", "Disallow: /c # tail", "Sitemap: https://h/s.xml", "junk line",
+             "DISALLOW: /d", "Disallow: *"]
+    paths = ["/", "/a", "/a/", "/a/b", "/ax", "/b?x=1", "/b", "/c", "/d/e", "/%2A", "/q"]
+    texts = {f"s{i}": "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 12))) for i in range(60)}
+    robots = spark.createDataFrame([(s, 200, t) for s, t in texts.items()], "site string, status int, text string")
+    urls = spark.createDataFrame([(s, "https://h" + p) for s in texts for p in paths], "site string, url string")
+    got = {(r["site"], r["url"]): r["allowed"] for r in robots_decisions(urls, robots_rules(robots), AGENT).collect()}
+    for s, text in texts.items():
+        rp = urllib.robotparser.RobotFileParser()
+        rp.parse(text.splitlines())
+        for p in paths:
+            assert got[(s, "https://h" + p)] == rp.can_fetch(AGENT, "https://h" + p), (text, p)
