@@ -51,6 +51,8 @@ class _Builder(HTMLParser):
         self.stack[-1].children.append(el)
 
     def handle_endtag(self, tag):
+        # every end tag ends the current text node, even one that closes nothing
+        self.stack[-1].children.append(None)
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].name == tag:
                 del self.stack[i:]

@@ -94,3 +94,22 @@ def test_real_page_links_match_stdlib(spark):
     for p in pages.collect():
         want = links(p["html"], p["url"])
         assert [u for _, u in sorted(got.get(p["page_id"], []))] == want, p["url"]
+
+
+def _random_doc(rng):
+    parts = ["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "<h1>", "</h1>", "<title>", "</title>", "<br>", "<img src=x>",
+             "<br/>", "</span>", "<!-- c </p> -->", "<script>var t='</p>';</script>", "<style>p{}</style>", " text ",
+             "Fish &amp; Chips", "&copy;", "&#65;", "&am", " a < b ", "\n", "<article>", "</article>", "<meta name=description content='  m  '>",
+             "<p class='x'>", "<H1>", "</H1>", "&nbsp;", "é", "<br></br>"]
+    return "".join(rng.choice(parts) for _ in range(rng.randrange(3, 40)))
+
+
+def test_random_documents_match_tree_builder(spark):
+    import random
+
+    rng = random.Random(5)
+    docs = [_random_doc(rng) for _ in range(300)]
+    got = _meta(spark, docs)
+    for doc, row in zip(docs, got):
+        want = extract(doc)
+        assert (row["title"], row["h1"], row["description"]) == (want["title"], want["h1"], want["description"]), doc
