@@ -111,3 +111,83 @@ def test_suffix_equal_to_whole_title_falls_back(spark):
     rows = [(ROOT, " | S", None, "Head"), ("https://example.com/a", "A | S", "d", None), ("https://example.com/b", "B | S", "d", None)]
     doc = _doc(spark, rows)
     assert doc.startswith("# Head\n")
+
+
+def _py_document(root, pages):
+    """Plain-Python rendering of SURVEY 2.7-2.8 (test oracle). pages: (url, title, desc, h1) in crawl order."""
+    from urllib.parse import urlparse
+
+    if not pages:
+        return f"# {urlparse(root).netloc}\n\n> No pages were successfully crawled.\n"
+    nr = _norm(root)
+    rootp = next((p for p in pages if _norm(p[0]) == nr), pages[0])
+    titles = [p[1] for p in pages if p[1]]
+    suffix = ""
+    if len(titles) >= 2:
+        counts = {}
+        for t in titles:
+            for sep in [" | ", " - ", " – ", " — ", " · ", " • "]:
+                i = t.find(sep)
+                if i > 0:
+                    counts[t[i:]] = counts.get(t[i:], 0) + 1
+        if counts:
+            best = max(counts, key=lambda k: counts[k])
+            if counts[best] > len(titles) * 0.5:
+                suffix = best
+
+    def clean(t):
+        return t[: -len(suffix)].strip() if suffix and t.endswith(suffix) else t
+
+    def disp(p):
+        return clean(p[1]) if p[1] else (p[3] if p[3] else p[0])
+
+    site_title = (clean(rootp[1]) if rootp[1] and clean(rootp[1]) else None) or rootp[3] or urlparse(root).netloc
+    lines = [f"# {site_title}", ""]
+    if rootp[2]:
+        lines += [f"> {rootp[2]}", ""]
+    rest = [p for p in pages if _norm(p[0]) != nr]
+    secs = {}
+    for p in [p for p in rest if p[2] is not None]:
+        pre = _prefix(p[0])
+        name = " ".join(w.capitalize() for w in pre.replace("-", " ").replace("_", " ").split()) if pre else "Pages"
+        secs.setdefault(name, []).append(p)
+
+    def item(p):
+        t = disp(p) or p[0]
+        return f"- [{t}]({p[0]}): {p[2]}" if p[2] else f"- [{t}]({p[0]})"
+
+    for name in sorted(secs, key=lambda n: (0 if n == "Pages" else 1, n)):
+        lines += [f"## {name}", ""] + [item(p) for p in sorted(secs[name], key=disp)] + [""]
+    opt = [p for p in rest if p[2] is None]
+    if opt:
+        lines += ["## Optional", ""] + [item(p) for p in sorted(opt, key=disp)] + [""]
+    return "\n".join(lines).rstrip() + "\n"
+
+
+def test_random_sites_match_plain_rendering(spark):
+    import random
+
+    rng = random.Random(9)
+    heads = ["Intro", "API", "Guide", "intro", "Zeta", "alpha", "Éclair", ""]
+    tails = [" | Site", " - Docs", " | Other", "", ""]
+    paths = ["/", "/docs/a", "/docs/b", "/Docs/c", "/api-ref/x", "/api_ref/y", "/blog/1", "/?q=1", "/optional/o", "/z"]
+    sites, data, expected = [], [], {}
+    for k in range(40):
+        site = f"s{k}.com"
+        root = f"https://{site}/"
+        n = rng.randrange(0, 8)
+        pages = []
+        for j in range(n):
+            url = f"https://{site}{rng.choice(paths)}{j if rng.random() < 0.7 else ''}"
+            title = rng.choice([None, rng.choice(heads) + rng.choice(tails)])
+            desc = rng.choice([None, f"d{j}", "  "[:0] or None, f"text {j}"])
+            h1 = rng.choice([None, "", f"H{j}"])
+            pages.append((url, title, desc, h1))
+        sites.append((site, root))
+        for j, (url, title, desc, h1) in enumerate(pages):
+            data.append((site, j, url, _norm(url), _prefix(url), title, desc, h1, 1, desc is not None))
+        expected[site] = _py_document(root, pages)
+    meta = spark.createDataFrame(data, META_SCHEMA)
+    got = {r["site"]: r["llms_txt"] for r in site_documents(meta, spark.createDataFrame(sites, "site string, root_url string")).collect()}
+    for site, want in expected.items():
+        assert got[site] == want, (site, got[site], want)
