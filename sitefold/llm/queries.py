@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from sitefold.llm import exact_dedup, secret_scan
+from sitefold.llm import decontaminate, exact_dedup, packing, secret_scan
 
 QUERIES = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_packing": packing.op4_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
     "op3_secret_scan": secret_scan.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
