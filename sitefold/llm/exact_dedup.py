@@ -52,9 +52,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fits = levels.groupBy("depth", "bucket").agg(
         (F.sum("n") <= capacity).alias("fits"), F.collect_list("cell").alias("cells"))
     fits = fits.where(F.col("fits") | (F.col("depth") == MAX_DEPTH))
-    return (fits.select("depth", "bucket", F.explode("cells").alias("cell"))
-            .groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("at"))
-            .select("cell", F.col("at.depth").alias("depth"), F.col("at.bucket").alias("bucket")))
+    least = fits.select("depth", F.explode("cells").alias("cell")).groupBy("cell").agg(F.min("depth").alias("depth"))
+    return least.withColumn("bucket", F.expr(f"shiftright(cell, {MAX_DEPTH} - depth)"))
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
