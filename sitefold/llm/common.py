@@ -43,6 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SEPARATORS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
+                    for b in range(256))
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    """A-Z lower-cased, then maximal runs of 0-9, a-z and non-ASCII characters of a UTF-8 text."""
+    return raw.translate(_SEPARATORS).split()
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -27,16 +27,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import map_rows, stored, text_of
+from sitefold.llm.common import map_rows, stored, text_of, words_of
 
 WIDTH = 10
 BLOCK_WINDOWS = 500_000
-_SEPARATORS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
-                    for b in range(256))
-
-
-def words_of(raw: bytes) -> list[bytes]:
-    return raw.translate(_SEPARATORS).split()
 
 
 def _binary(df: DataFrame, *keep: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sitefold.llm import decontaminate, exact_dedup, packing, secret_scan
+from sitefold.llm import decontaminate, exact_dedup, language_id, packing, quality, secret_scan, toxicity
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_packing": packing.op4_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_language_id": language_id.op6_language_id,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
