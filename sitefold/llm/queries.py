@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitefold.llm import decontaminate, exact_dedup, language_id, packing, quality, secret_scan, toxicity
+from sitefold.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_secret_scan": secret_scan.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
