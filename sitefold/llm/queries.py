@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitefold.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, toxicity
+from sitefold.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, quality, secret_scan, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
