@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sitefold.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, quality, secret_scan, toxicity
+from sitefold.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, quality, secret_scan, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_quality": quality.op2_quality,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_packing": packing.op4_packing,
