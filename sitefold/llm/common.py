@@ -61,16 +61,10 @@ def fold(name: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & left[n].eqNullSafe(right[n])
-    return out
-
-
-def hash_sample(df: DataFrame, order: list[str], rows: int) -> DataFrame:
-    """At most ``rows`` rows, the ones of smallest hash: the bounded sample that a model is fitted on."""
-    return df.orderBy(F.xxhash64(*order), *order).limit(rows)
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): whole rows as one column, so no added column clashes with theirs;
+    ``select("row.*")`` brings them back."""
+    return docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), "doc_id", "text")
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterable[tuple] | None]], schema: str,

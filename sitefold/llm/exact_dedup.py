@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import new_dir, stored, text_of
+from sitefold.llm.common import new_dir, stored, text_of, wrapped
 
 MAX_DEPTH = 16
 CAPACITY = 65_536
@@ -85,12 +85,11 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def survivors(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``docs`` that stay, one per group, with all their columns."""
-    names = docs.columns
     kept = exact_dedup(docs, capacity).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s")).distinct()
-    tagged = docs.withColumn("_sha", F.sha2(normalised(text_of()), 256))
-    stay = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_sha"] == kept["_s"]), "inner")
+    rows = wrapped(docs).select("row", "doc_id", F.sha2(normalised(text_of()), 256).alias("_sha"))
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")))
     # rows repeated under one id: one of them stays
-    return stay.dropDuplicates(["_id", "_s"]).select(*[F.col(f"`{n}`") for n in names])
+    return stay.dropDuplicates(["_id", "_s"]).select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import map_rows, stored, text_of
+from sitefold.llm.common import map_rows, stored, text_of, wrapped
 from sitefold.llm.components import connected_components
 
 ROWS = 3
@@ -324,7 +324,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """The rows of ``docs`` that stay when one document of each component does: the one whose id
     names the component.  Rows without an id or without words stay."""
     kept = components_of_links(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_d"), "left_semi").unionByName(docs.where("doc_id is null"))
+    rows = wrapped(docs).select("row", "doc_id")
+    stay = rows.join(kept, F.col("doc_id") == F.col("_d"), "left_semi").select("row.*")
+    return stay.unionByName(rows.where("doc_id is null").select("row.*"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import fold, map_rows
+from sitefold.llm.common import fold, map_rows, wrapped
 from sitefold.llm.sampling import MAX_ROWS, labelled_sample
 
 BITS = 15
@@ -165,6 +165,7 @@ def predict(rows: DataFrame, model: tuple[list[str], np.ndarray, float]) -> Data
                     out.append(("und", 0.0))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
+    rows = rows.drop("lang_pred", "score")
     return rows.withColumn("_g", guess("text")).select("*", "_g.lang_pred", "_g.score").drop("_g")
 
 
@@ -172,8 +173,7 @@ def recognised(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text is in a recognised language: not ``und``, and scored at
     least ``min_score``.  All columns stay as they are."""
     model = fit(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col("text").alias("text"))
-    return predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
+    return predict(wrapped(docs), model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import new_dir, null_safe, text_of
+from sitefold.llm.common import new_dir, text_of
 
 LEDGER_SCHEMA = "blob binary, rule string, version int"
 FINDING_SCHEMA = "blob binary, rule string, version int, `start` long, `end` long"
