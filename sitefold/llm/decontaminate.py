@@ -5,12 +5,12 @@
    by itself, so what a task holds of the test set is bounded.
 2. The corpus frequency of every test term is counted over all documents.  A window with a term
    that occurs nowhere is done; of each other window the two rarest terms are its keys.
-3. The index stores the postings of all keys: term, document, position and the words around it.
-   It is written to the shared folder.
-4. The lists of a window's two keys, each shifted by the key's offset in the window, are
-   intersected on (document, start), rarest first; the words around the posting then settle the
-   phrase word for word, so no hash decides a match.
-   ``proximity_matches`` relaxes the intersection: both keys within ``slop`` words.
+3. The index stores the postings of the rarest terms, document by document: term, position and the
+   ``width`` - 1 words on either side.  It is written to the shared folder.
+4. A window meets the list of its rarest term, shifted by the term's offset in the window.  The
+   words around each posting intersect it with the lists of all other terms at once, word for word,
+   so no hash decides a match and the long lists of frequent terms are never built.
+   ``proximity_matches`` intersects the lists of a window's two rarest terms within ``slop`` words.
 
 Words: A-Z lower-cased, then maximal runs of 0-9, a-z and non-ASCII characters.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import map_rows, stored, text_of, words_of
+from sitefold.llm.common import map_rows, stored, text_of, words_of, wrapped
 
 WIDTH = 10
 BLOCK_WINDOWS = 500_000
@@ -76,16 +76,15 @@ def index(docs: DataFrame, terms: set[bytes], width: int = WIDTH) -> DataFrame:
         def work(cols: dict) -> Iterator[tuple]:
             for doc_id, key, raw in zip(cols["doc_id"], cols["key"], cols["text"], strict=True):
                 w = words_of(raw)
-                found = [(w[i].decode(), i, [x.decode() for x in w[max(0, i - width + 1):i]], [x.decode() for x in w[i + 1:i + width]])
-                         for i in range(len(w)) if w[i] in terms] if not terms.isdisjoint(w) else []
-                yield doc_id, key, len(w), [{"term": t, "pos": p, "before": b, "after": a} for t, p, b, a in found]
+                at = [i for i, x in enumerate(w) if x in terms]
+                yield doc_id, key, len(w), [{"term": w[i].decode(), "pos": i, "before": b" ".join(w[max(0, i - width + 1):i]).decode(),
+                                             "after": b" ".join(w[i + 1:i + width]).decode()} for i in at]
 
         return work
 
     keyed = docs.select("doc_id", F.xxhash64(text_of()).alias("key"), text_of().cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_rows(keyed, make, f"doc_id {id_type}, key long, n_words long, "
-                    "postings array<struct<term:string,pos:long,before:array<string>,after:array<string>>>")
+    rows = map_rows(keyed, make, f"doc_id {id_type}, key long, n_words long, postings array<struct<term:string,pos:long,before:string,after:string>>")
     return stored(rows, "decontamination-index")
 
 
@@ -104,33 +103,29 @@ def _keys(block: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _lists(postings: DataFrame, keys: DataFrame, side: str) -> DataFrame:
-    own = keys.select("item_id", "terms", F.col(side)["term"].alias("term"), F.col(side)["at"].alias("at"))
+    own = keys.select("item_id", F.array_join("terms", " ").alias("phrase"), F.size("terms").alias("length"),
+                      F.col(side)["term"].alias("term"), F.col(side)["at"].alias("at"))
     return postings.join(own, "term").withColumn("start", F.col("pos") - F.col("at"))
 
 
 def _phrases(postings: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, key, item_id, start, length) of exact occurrences."""
-    first = _lists(postings, keys, "first").where("start >= 0")
-    here = F.slice(F.concat("before", F.array("term"), "after"), F.size("before") - F.col("at") + 1, F.size("terms"))
-    first = first.where((F.size("before") >= F.col("at")) & (here == F.col("terms")))
-    first = first.select("doc_id", "key", "item_id", "terms", "start")
-    second = _lists(postings, keys, "second").select(
-        F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("item_id").alias("_i"), F.col("terms").alias("_t"), F.col("start").alias("_s"))
-    both = first.join(second, first["doc_id"].eqNullSafe(second["_d"]) & (F.col("key") == F.col("_k")) & (F.col("item_id") == F.col("_i"))
-                      & (F.col("start") == F.col("_s")) & (F.col("terms") == F.col("_t")), "left_semi")
-    return both.select("doc_id", "key", "item_id", "start", F.size("terms").cast("long").alias("length")).distinct()
-
-
-def _passes(docs: DataFrame, items: DataFrame, width: int, block_windows: int) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
-    """(documents, postings, keys) of each block of windows."""
+    here = F.expr("""concat_ws(' ', nullif(substring_index(before, ' ', -at), ''), term,
+                               nullif(substring_index(after, ' ', length - at - 1), ''))""")
+    found = _lists(postings, keys, "first").where(here == F.col("phrase"))
+    return found.select("doc_id", "key", "item_id", "start", F.col("length").cast("long").alias("length")).distinct()
+
+
+def _passes(docs: DataFrame, items: DataFrame, width: int, block_windows: int,
+            sides: tuple[str, ...] = ("first",)) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(documents, postings of the keys of ``sides``, keys) of each block of windows."""
     wins = stored(windows(items, width), "decontamination-windows")
     for block in _blocks(wins, block_windows):
         terms = {r["t"].encode() for r in block.select(F.explode("terms").alias("t")).distinct().toLocalIterator()}
         keys = stored(_keys(block, term_counts(docs, terms)), "decontamination-keys")
-        wanted = {r[side]["term"].encode() for r in keys.select("first", "second").toLocalIterator() for side in ("first", "second")}
+        wanted = {r[side]["term"].encode() for r in keys.select(*sides).distinct().toLocalIterator() for side in sides}
         rows = index(docs, wanted, width)
-        postings = rows.select("doc_id", "key", F.inline("postings")).distinct()
-        yield rows.select("doc_id", "key", "n_words"), postings, keys
+        yield rows.select("doc_id", "key", "n_words"), rows.select("doc_id", "key", F.inline("postings")), keys
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -167,13 +162,14 @@ def proximity_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, slo
     its own cell and both neighbours."""
     found = None
     cell = slop + 1
-    for _, postings, keys in _passes(docs, items, width, block_windows):
-        a = _lists(postings, keys, "first").withColumn("cell", F.floor(F.col("start") / cell))
-        b = _lists(postings, keys, "second").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("item_id").alias("_i"),
-                                                    F.col("terms").alias("_t"), F.col("start").alias("_s"))
+    for _, postings, keys in _passes(docs, items, width, block_windows, ("first", "second")):
+        narrow = postings.select("doc_id", "key", "term", "pos")
+        a = _lists(narrow, keys, "first").withColumn("cell", F.floor(F.col("start") / cell))
+        b = _lists(narrow, keys, "second").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("item_id").alias("_i"),
+                                                  F.col("phrase").alias("_p"), F.col("start").alias("_s"))
         b = b.withColumn("_c", F.explode(F.expr(f"transform(array(-1, 0, 1), x -> floor(_s / {cell}) + x)")))
         near = a.join(b, a["doc_id"].eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("item_id") == F.col("_i"))
-                      & (F.col("terms") == F.col("_t")) & (F.col("cell") == F.col("_c")))
+                      & (F.col("phrase") == F.col("_p")) & (F.col("cell") == F.col("_c")))
         near = near.withColumn("gap", F.col("_s") - F.col("start")).where(F.abs("gap") <= slop).select("doc_id", "item_id", "start", "gap")
         found = near if found is None else found.unionByName(near)
     return found.distinct()
@@ -182,7 +178,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, slo
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` without any exact window of a test item."""
     bad = contamination(docs, items, width).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(text_of()) == bad["_k"]), "left_anti")
+    rows = wrapped(docs).withColumn("_key", F.xxhash64(text_of()))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
