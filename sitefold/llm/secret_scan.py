@@ -75,7 +75,8 @@ def _matches(rule: Rule) -> Column:
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of (blob, text, rules array<string>): offsets in code points, end exclusive."""
     hits = blobs.select("blob", F.concat(*[_matches(r) for r in rules]).alias("hits")).where(F.size("hits") > 0)
-    hits = hits.select("blob", F.inline("hits"))
+    # a blob whose path is listed twice was read twice
+    hits = hits.select("blob", F.inline("hits")).repartition("blob", "rule").dropDuplicates(["blob", "rule", "pos"])
     before = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     least = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.least))])
     return (hits.withColumn("end", F.sum((F.col("gap") + F.col("len")).cast("long")).over(before))
@@ -83,13 +84,14 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             .select("blob", "rule", "version", (F.col("end") - F.col("len")).alias("start"), "end"))
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The batches under ``path``; none yet is an empty table."""
+def _read(spark: SparkSession, path: str, schema: str, but: str | None = None) -> DataFrame:
+    """The batches under ``path`` except batch ``but``; none yet is an empty table."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(conf).exists(hadoop):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    rows = spark.read.schema(f"{schema}, batch string").parquet(path)
+    return (rows if but is None else rows.where(F.col("batch") != but)).drop("batch")
 
 
 def scan_incremental(versions: DataFrame, ledger_dir: str, batch: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -97,7 +99,7 @@ def scan_incremental(versions: DataFrame, ledger_dir: str, batch: str, rules: tu
     batch ``batch`` (a rerun of one batch overwrites it) and return all findings."""
     spark = versions.sparkSession
     paths = versions.select("doc_id", text_of().alias("text")).withColumn("blob", blob_of(F.col("text")))
-    ledger = _read(spark, f"{ledger_dir}/ledger", LEDGER_SCHEMA)
+    ledger = _read(spark, f"{ledger_dir}/ledger", LEDGER_SCHEMA, but=batch)
     wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     pairs = (paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
              .select("blob", "doc_id", F.inline(wanted)))
@@ -105,10 +107,10 @@ def scan_incremental(versions: DataFrame, ledger_dir: str, batch: str, rules: tu
               .groupBy("blob", "doc_id").agg(F.collect_set("rule").alias("rules")))
     todo = unseen.withColumnRenamed("blob", "_blob").withColumnRenamed("doc_id", "_id")
     texts = paths.join(todo.hint("shuffle_hash"), paths["doc_id"].eqNullSafe(todo["_id"]) & (paths["blob"] == todo["_blob"]))
-    findings = scan_blobs(texts.select("blob", "text", "rules"), rules).distinct()
-    findings.write.mode("overwrite").parquet(f"{ledger_dir}/findings/{batch}")
+    findings = scan_blobs(texts.select("blob", "text", "rules"), rules)
+    findings.write.mode("overwrite").parquet(f"{ledger_dir}/findings/batch={batch}")
     done = pairs.join(ledger, ["blob", "rule", "version"], "left_anti").select("blob", "rule", "version")
-    done.write.mode("overwrite").parquet(f"{ledger_dir}/ledger/{batch}")
+    done.write.mode("overwrite").parquet(f"{ledger_dir}/ledger/batch={batch}")
     return _read(spark, f"{ledger_dir}/findings", FINDING_SCHEMA).distinct()
 
 
