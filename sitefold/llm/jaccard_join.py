@@ -11,10 +11,11 @@
    link is exact.  Classes already known to be connected are not compared, and what leaves a task
    is a forest of links, not all pairs.
 4. Passes, each over the groups that still hold more than one component:
-   a. groups of the first ``FIRST_BANDS`` bands, in random chunks of about ``CHUNK`` members;
-   b. groups of all bands; those beyond ``CHUNK`` members by ``REPS`` members of each component;
-   c. the groups beyond ``CHUNK`` that are still open, completely: members in blocks of one size
-      range, each pair of blocks whose ranges allow a link in its own task.
+   a. groups of the first ``FIRST_BANDS`` bands, large ones in random chunks;
+   b. groups of all bands; of large ones two members of each component, in random chunks;
+   c. large groups that are still open, completely: members in blocks of one size range, each pair
+      of blocks whose ranges allow a link as a group of its own.
+   Large is beyond ``CHUNK`` members or ``CHUNK_TOKENS`` tokens, so a task's group is bounded.
    After (b) and (c) every candidate pair has been compared or found connected.  A group of copies
    that holds a third of all rows is merged by (a) and (b) in chunks of bounded size.
 
@@ -32,7 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitefold.llm.common import map_rows, stored, text_of, wrapped
@@ -41,9 +42,10 @@ from sitefold.llm.components import connected_components
 ROWS = 3
 MISS = 1e-12
 FIRST_BANDS = 2
-CHUNK = 256
-REPS = 2
-LEAF = FANOUT = 8
+#: A group beyond this many members or tokens is split.
+CHUNK, CHUNK_TOKENS = 4096, 4 << 20
+LEAF, FANOUT = 64, 8
+BITS_PER_TOKEN, MOST_BITS = 16, 1 << 17
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -113,24 +115,27 @@ class Node:
 
 
 class SignatureTree:
-    """Links of one group of sets; ``percent``: 100 * intersection >= percent * union."""
+    """Links of one group of sets, sorted by size; ``percent``: 100 * intersection >= percent * union.
+
+    A shared token sets a bit in both bitmaps, so an overlap is at most the number of common bits
+    plus the tokens that hide behind another token's bit in the smaller count of the two."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.sets, self.percent = sets, percent
+        self.n = np.array(list(map(len, sets)), np.int64)
         width = 64
-        while width < 2 * max(map(len, sets)):
+        while width < min(BITS_PER_TOKEN * int(self.n[-1]), MOST_BITS):
             width *= 2
-        nodes = []
+        self.bits = np.zeros((len(sets), width // 64), np.uint64)
         for i, s in enumerate(sets):
             on = np.zeros(width, bool)
             on[(s & np.uint64(width - 1)).astype(np.int64)] = True
-            bits = np.packbits(on).view(np.uint64)
-            nodes.append(Node(i, i + 1, len(s), len(s), len(s) - int(np.bitwise_count(bits).sum()), bits, []))
-        self.members = nodes
-        size = LEAF
-        while len(nodes) > 1 or nodes[0] is self.members[0]:
-            nodes = [self._over(nodes[i:i + size]) for i in range(0, len(nodes), size)]
-            size = FANOUT
+            self.bits[i] = np.packbits(on).view(np.uint64)
+        self.hidden = self.n - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+        nodes = [Node(lo, min(lo + LEAF, len(sets)), int(self.n[lo]), int(self.n[lo:lo + LEAF].max()), int(self.hidden[lo:lo + LEAF].max()),
+                      np.bitwise_or.reduce(self.bits[lo:lo + LEAF]), []) for lo in range(0, len(sets), LEAF)]
+        while len(nodes) > 1:
+            nodes = [self._over(nodes[i:i + FANOUT]) for i in range(0, len(nodes), FANOUT)]
         self.root = nodes[0]
 
     @staticmethod
@@ -139,14 +144,20 @@ class SignatureTree:
                     np.bitwise_or.reduce([n.bits for n in part]), part)
 
     def _apart(self, x: Node, y: Node) -> bool:
-        """No member of x can reach the threshold with one of y.  A shared token sets a bit in both
-        bitmaps; tokens that share a bit with another of their set are ``hidden``."""
+        """No member of x can reach the threshold with one of y."""
         low, high = (x, y) if x.smallest <= y.smallest else (y, x)
         if low.largest < high.smallest and 100 * low.largest < self.percent * high.smallest:
             return True
-        most = min(x.largest, y.largest, int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.hidden, y.hidden))
+        most = min(x.largest, y.largest, int(np.bitwise_count(x.bits & y.bits).sum(dtype=np.int64)) + min(x.hidden, y.hidden))
         return (100 + self.percent) * most < self.percent * (x.smallest + y.smallest)
 
+    def _partners(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Members of lo..hi that may reach the threshold with member i."""
+        n = self.n[lo:hi]
+        most = np.bitwise_count(self.bits[i] & self.bits[lo:hi]).sum(axis=1, dtype=np.int64) + np.minimum(self.hidden[i], self.hidden[lo:hi])
+        most = np.minimum(most, np.minimum(n, self.n[i]))
+        return np.flatnonzero((100 + self.percent) * most >= self.percent * (n + self.n[i])) + lo
+
     def links(self, component: list, side: list[int] | None = None) -> Iterator[tuple[int, int]]:
         """A forest of links between members of different ``component``; with ``side``, links of
         members of side 0 with members of side 1."""
@@ -171,17 +182,19 @@ class SignatureTree:
                 else:
                     stack += [(x, k) for k in y.children]
                 continue
-            i, j = x.lo, y.lo
-            if i == j or side and side[i] == side[j]:
-                continue
-            a, b = find(component[i]), find(component[j])
-            if a == b:
+            if len({find(c) for c in component[x.lo:x.hi]} | {find(c) for c in component[y.lo:y.hi]}) == 1:
                 continue
-            n = len(self.sets[i]) + len(self.sets[j])
-            shared = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-            if 100 * shared >= self.percent * (n - shared):
-                parent[a] = b
-                yield i, j
+            for i in range(x.lo, x.hi):
+                for j in self._partners(i, i + 1 if x is y else y.lo, y.hi).tolist():
+                    if side and side[i] == side[j]:
+                        continue
+                    a, b = find(component[i]), find(component[j])
+                    if a == b:
+                        continue
+                    shared = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+                    if 100 * shared >= self.percent * (self.n[i] + self.n[j] - shared):
+                        parent[a] = b
+                        yield i, j
 
 
 def _group_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -226,13 +239,20 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(named, "vertex", "left").withColumn("component", F.coalesce("_c", "vertex")).drop("_c")
 
 
+def _weight() -> Column:
+    """A member's share of a chunk: its tokens, at least what CHUNK members may have on average."""
+    return F.greatest(F.col("n"), F.lit(CHUNK_TOKENS // CHUNK)).cast("long")
+
+
 def _open_groups(members: DataFrame) -> DataFrame:
-    """(key, size) of the groups with more than one component; of groups with the same members,
-    one."""
-    sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+    """(key, size, chunks) of the groups with more than one component; of groups with the same
+    members, one."""
+    sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(_weight()).alias("w"),
+                                      F.min("component").alias("lo"), F.max("component").alias("hi"),
                                       F.sum(F.xxhash64("vertex").cast("decimal(38,0)")).alias("s1"),
                                       F.sum(F.xxhash64("vertex", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
-    return sums.where("lo < hi").groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size")
+    one = sums.where("lo < hi").groupBy("size", "s1", "s2").agg(F.min("key").alias("key"), F.min("w").alias("w"))
+    return one.select("key", F.ceil(F.col("w") / CHUNK_TOKENS).alias("chunks"))
 
 
 def components_of_links(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -277,38 +297,37 @@ def components_of_links(docs: DataFrame, words: int = 3, percent: int = 90) -> D
 
     # (a) the first bands, in random chunks
     mine = members.where(F.col("band") < FIRST_BANDS).withColumn("component", F.col("vertex"))
-    rows = mine.join(_open_groups(mine), "key").withColumn("part", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("size") / CHUNK)))
+    rows = mine.join(_open_groups(mine), "key").withColumn("part", F.pmod(F.xxhash64("vertex"), F.col("chunks")))
     known = solve(rows.withColumn("gid", F.xxhash64("key", "part")).withColumn("side", F.lit(0)), known)
 
     # (b) all bands; of large groups some members of each component, in chunks
     mine = stored(_labelled(members, known), "jaccard-open")
     groups = stored(_open_groups(mine), "jaccard-groups")
-    small = mine.join(groups.where(F.col("size") <= CHUNK), "key").withColumn("part", F.lit(0).cast("long"))
-    some = (mine.join(groups.where(F.col("size") > CHUNK), "key").groupBy("key", "size", "component")
-            .agg(F.array_distinct(F.array(F.min("vertex"), F.max("vertex"))).alias("v"), F.count(F.lit(1)).alias("_m")))
-    some = some.select("key", "component", F.explode("v").alias("vertex"),
-                       F.pmod(F.xxhash64("component"), F.ceil(F.col("size") / CHUNK)).alias("part"))
-    rows = small.select("key", "component", "vertex", "part").unionByName(some)
+    grouped = mine.join(groups, "key")
+    some = (grouped.where("chunks > 1").groupBy("key", "chunks", "component").agg(F.array_distinct(F.array(F.min("vertex"), F.max("vertex"))).alias("v"))
+            .select("key", "component", F.explode("v").alias("vertex"), F.pmod(F.xxhash64("component"), F.col("chunks")).alias("part")))
+    rows = grouped.where("chunks = 1").select("key", "component", "vertex", F.lit(0).cast("long").alias("part")).unionByName(some)
     known = solve(rows.withColumn("gid", F.xxhash64("key", "part")).withColumn("side", F.lit(0)), known)
 
-    # (c) what is still open beyond CHUNK, completely, by pairs of size blocks
-    big = groups.where(F.col("size") > CHUNK)
-    if not big.isEmpty():
-        mine = _labelled(members.join(big.select("key"), "key", "left_semi"), known)
-        mine = mine.join(_open_groups(mine).where(F.col("size") > CHUNK), "key")
-        # blocks of one size range: the ranks of a group's sizes, then random parts of a frequent size
-        sized = mine.groupBy("key", "n").agg(F.count(F.lit(1)).alias("_m"))
-        blocks = sized.select("key", "n", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_m") / CHUNK) - 1)).alias("p"))
-        pairs = (blocks.alias("x").join(blocks.alias("y"), F.col("x.key") == F.col("y.key"))
-                 .where((F.struct("x.n", "x.p") <= F.struct("y.n", "y.p")) & (100 * F.col("x.n") >= percent * F.col("y.n")))
-                 .select(F.col("x.key").alias("key"), F.col("x.n").alias("n0"), F.col("x.p").alias("p0"), F.col("y.n").alias("n1"), F.col("y.p").alias("p1"))
-                 .withColumn("gid", F.xxhash64("key", "n0", "p0", "n1", "p1")))
-        same = (F.col("n0") == F.col("n1")) & (F.col("p0") == F.col("p1"))
-        ends = pairs.select("key", "gid", F.explode(F.when(same, F.array(F.struct(F.lit(0).alias("side"), F.col("n0").alias("n"), F.col("p0").alias("p"))))
-                                                     .otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("n0").alias("n"), F.col("p0").alias("p")),
-                                                                        F.struct(F.lit(1).alias("side"), F.col("n1").alias("n"), F.col("p1").alias("p"))))).alias("e"))
-        own = mine.join(sized, ["key", "n"]).withColumn("p", F.pmod(F.xxhash64("vertex", F.lit(2)), F.ceil(F.col("_m") / CHUNK)))
-        rows = own.join(ends.select("key", "gid", "e.*"), ["key", "n", "p"])
+    # (c) what is still open beyond a chunk, completely, by pairs of size blocks
+    large = groups.where("chunks > 1")
+    if not large.isEmpty():
+        mine = _labelled(members.join(large.select("key"), "key", "left_semi"), known)
+        mine = mine.join(_open_groups(mine).where("chunks > 1").select("key"), "key").withColumn("w", _weight())
+        # sizes in order share a block until it is full; a size that fills blocks alone is dealt to parts
+        upto = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = mine.groupBy("key", "n").agg(F.sum("w").alias("w")).withColumn("b", F.floor(F.coalesce(F.sum("w").over(upto), F.lit(0)) / CHUNK_TOKENS))
+        sizes = sizes.withColumn("parts", F.ceil(F.col("w") / CHUNK_TOKENS))
+        block = F.struct("b", "p")
+        blocks = (sizes.select("key", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+                  .groupBy("key", block.alias("block")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+        x, y = (blocks.select(F.col("key").alias(f"{t}key"), F.col("block").alias(f"{t}block"), F.col("lo").alias(f"{t}lo"), F.col("hi").alias(f"{t}hi")) for t in "xy")
+        pairs = x.join(y, F.col("xkey") == F.col("ykey")).where((F.col("xblock") <= F.col("yblock")) & (100 * F.col("xhi") >= percent * F.col("ylo")))
+        pairs = pairs.withColumn("gid", F.xxhash64("xkey", "xblock", "yblock"))
+        ends = pairs.select(F.col("xkey").alias("key"), F.col("xblock").alias("block"), F.lit(0).alias("side"), "gid").unionByName(
+            pairs.where("xblock < yblock").select(F.col("ykey").alias("key"), F.col("yblock").alias("block"), F.lit(1).alias("side"), "gid"))
+        own = mine.join(sizes.select("key", "n", "b", "parts"), ["key", "n"]).withColumn("p", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("parts")))
+        rows = own.withColumn("block", block).join(ends, ["key", "block"])
         known = solve(rows.select("gid", "side", "vertex", "component"), known)
 
     # back to the documents: their class, its vertex, the vertex's component
