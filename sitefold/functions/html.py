@@ -27,28 +27,33 @@ VOID_ELEMENTS = [
 PARAGRAPH_CHARS = 200
 # ----------------------------------------------------------------------------------------------
 
+# The inside of a tag up to its '>': a quoted value may hold '>'; quotes count only after '='.
+# Possessive, so that the engine neither backtracks nor recurses per character.
+INSIDE = "(?:[^>=]++|=\\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 # comments, and script / style elements with their raw content; replaced by a marker token so
 # the text on both sides stays two nodes
-CLEAN_RE = "(?is)<!--.*?(?:-->|$)|<script\\b[^>]*>.*?(?:</script[^>]*>|$)|<style\\b[^>]*>.*?(?:</style[^>]*>|$)"
+CLEAN_RE = (f"(?is)<!--.*?(?:-->|$)|<script\\b{INSIDE}>.*?(?:</script[^>]*>|$)|<style\\b{INSIDE}>.*?(?:</style[^>]*>|$)")
 MARKER = "<!>"
 # a '<' that cannot open a tag is text; it is swapped for LT_HOLD before tokenizing so that text
 # runs are one flat character class (a repeated alternation recurses per character in Java)
 LONE_LT_RE = "<([^A-Za-z!/?]|$)"
 LT_HOLD = "\u0001"
-TOKEN_RE = "<[A-Za-z!/?][^>]*>|[^<]+"
+TOKEN_RE = f"<[A-Za-z!/?]{INSIDE}>|[^<]+"
 TAG_NAME_RE = "^</?([A-Za-z][^\\t\\n\\r\\f />]*)"
-META_RE = "(?i)<meta(?:\\s[^>]*)?>"
-ANCHOR_RE = "(?i)<a(?:\\s[^>]*)?>"
+# one attribute of a start tag: its name, and its value if it has one
+ATTRIBUTE_RE = "[^\\s/>=][^\\s/>=]*+(?:\\s*+=\\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\\s>]*+))?+"
 
 
 def attr_value(tag: Column, name: str) -> Column:
-    """Raw value of attribute ``name`` in a start tag (double, single or unquoted); null when absent."""
-    pat = f"(?i)[\\s\"'/]{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
-    raw = F.regexp_extract(tag, pat, 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    unquoted = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    present = tag.rlike(f"(?i)[\\s\"'/]{name}(\\s*=|[\\s/>])")
-    return F.when(raw != "", decode_attr(unquoted)).when(present, F.lit(""))
+    """Value of attribute ``name`` of a start tag, entities decoded: '' without a value, null when
+    absent, the last one when repeated.  The tag is split into its attributes in order, so a name
+    inside another attribute's value is never met."""
+    attributes = F.regexp_extract_all(F.regexp_replace(tag, "^<[A-Za-z][^\\s/>]*", ""), F.lit(ATTRIBUTE_RE), 0)
+    mine = F.try_element_at(F.filter(attributes, lambda a: F.lower(F.regexp_extract(a, "^([^\\s=]+)", 1)) == name), F.lit(-1))
+    raw = F.regexp_extract(mine, "(?s)=\\s*(.*)$", 1)
+    quoted = (F.length(raw) > 1) & ((raw.startswith('"') & raw.endswith('"')) | (raw.startswith("'") & raw.endswith("'")))
+    value = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.when(mine.isNotNull(), decode_attr(F.translate(value, LT_HOLD, "<")))
 
 
 def clean_html(html: Column) -> Column:
@@ -57,9 +62,13 @@ def clean_html(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(cleaned, LONE_LT_RE, LT_HOLD + "$1"), LONE_LT_RE, LT_HOLD + "$1")
 
 
-def tokens(clean: Column) -> Column:
-    """array<struct<k:string, n:string, x:string>>: k = S (start), E (end) or T (text)."""
-    raw = F.regexp_extract_all(clean, F.lit(TOKEN_RE), 0)
+def raw_tokens(clean: Column) -> Column:
+    """Tags and text runs of a cleaned page, in order."""
+    return F.regexp_extract_all(clean, F.lit(TOKEN_RE), 0)
+
+
+def tokens(raw: Column) -> Column:
+    """array<struct<k:string, n:string, x:string>>: k = S (start), E (end) or T (text, as written)."""
     named = F.transform(raw, lambda t: F.struct(t.alias("t"), F.lower(F.regexp_extract(t, TAG_NAME_RE, 1)).alias("n")))
 
     def classify(tn: Column) -> Column:
@@ -74,11 +83,9 @@ def tokens(clean: Column) -> Column:
             .when(t.startswith("<!") | t.startswith("<?") | t.startswith("</"), F.lit("I"))
             .otherwise(F.lit("T"))
         )
-        text = F.when(kind == "T", py_strip(decode_text(F.translate(t, LT_HOLD, "<")))).otherwise(F.lit(""))
-        return F.struct(kind.alias("k"), name.alias("n"), text.alias("x"))
+        return F.struct(kind.alias("k"), name.alias("n"), F.when(kind == "T", t).otherwise(F.lit("")).alias("x"))
 
-    toks = F.transform(named, classify)
-    return F.filter(toks, lambda t: t["k"].isin("S", "E") | ((t["k"] == "T") & (t["x"] != "")))
+    return F.filter(F.transform(named, classify), lambda t: t["k"].isin("S", "E", "T"))
 
 
 def _init_state() -> Column:
@@ -93,7 +100,10 @@ def _init_state() -> Column:
 
 def _step(a: Column, t: Column) -> Column:
     stk, n0 = a["stk"], F.size(a["stk"])
-    k, name, text = t["k"], t["n"], t["x"]
+    k, name = t["k"], t["n"]
+    # only the text of the three elements is decoded
+    text = py_strip(decode_text(F.translate(t["x"], LT_HOLD, "<")))
+    finished = (a["ts"] == 2) & (a["hs"] == 2) & (a["ps"] == 2)
 
     # start tag
     n_start = n0 + 1
@@ -131,7 +141,7 @@ def _step(a: Column, t: Column) -> Column:
         a["ps"].alias("ps"), a["pl"].alias("pl"),
         F.when((a["ps"] == 1) & (F.length(a["pt"]) < PARAGRAPH_CHARS), F.concat(a["pt"], text)).otherwise(a["pt"]).alias("pt"),
     )
-    return F.when(k == "S", on_start).when((k == "E") & (pos > 0), on_end).when(k == "T", on_text).otherwise(a)
+    return F.when(finished, a).when(k == "S", on_start).when((k == "E") & (pos > 0), on_end).when(k == "T", on_text).otherwise(a)
 
 
 def add_html_fields(df: DataFrame, html: str = "html", links: bool = False) -> DataFrame:
@@ -142,14 +152,14 @@ def add_html_fields(df: DataFrame, html: str = "html", links: bool = False) -> D
     text.  The cleaned page and the fold state are separate projections so each is computed
     once per row.
     """
-    df = df.withColumn("_clean", clean_html(F.col(html)))
-    clean = F.col("_clean")
+    df = df.withColumn("_raw", raw_tokens(clean_html(F.col(html))))
+    raw = F.col("_raw")
     cols = {
-        "_st": F.aggregate(tokens(clean), _init_state(), _step),
-        "meta_description": meta_description(clean),
+        "_st": F.aggregate(tokens(raw), _init_state(), _step),
+        "meta_description": meta_description(raw),
     }
     if links:
-        cols["hrefs"] = anchor_hrefs(clean)
+        cols["hrefs"] = token_hrefs(raw)
     df = df.withColumns(cols)
     st = F.col("_st")
     df = df.withColumns({
@@ -157,20 +167,24 @@ def add_html_fields(df: DataFrame, html: str = "html", links: bool = False) -> D
         "h1": F.when(st["hs"] > 0, st["ht"]),
         "para": F.when(st["ps"] > 0, F.substring(st["pt"], 1, PARAGRAPH_CHARS)),
     })
-    return df.drop("_clean", "_st")
+    return df.drop("_raw", "_st")
 
 
-def meta_description(clean: Column) -> Column:
+def meta_description(raw: Column) -> Column:
     """Content of the first <meta> whose name is 'description' (any case), stripped; null
-    when missing or empty.  A later meta is never tried."""
-    metas = F.regexp_extract_all(clean, F.lit(META_RE), 0)
+    when missing or empty.  A later meta is never tried.  ``raw``: the page's tokens."""
+    metas = F.filter(raw, lambda t: t.rlike("(?i)^<meta[\\s/>]"))
     named = F.filter(metas, lambda m: F.lower(F.coalesce(attr_value(m, "name"), F.lit(""))) == "description")
     content = F.transform(F.slice(named, 1, 1), lambda m: py_strip(F.coalesce(attr_value(m, "content"), F.lit(""))))
     return F.try_element_at(F.filter(content, lambda c: c != ""), F.lit(1))
 
 
+def token_hrefs(raw: Column) -> Column:
+    """Href values of every <a> with an href attribute, in document order (entities decoded)."""
+    anchors = F.filter(raw, lambda t: t.rlike("(?i)^<a[\\s/>]"))
+    return F.filter(F.transform(anchors, lambda a: attr_value(a, "href")), lambda h: h.isNotNull())
+
+
 def anchor_hrefs(clean: Column) -> Column:
-    """Raw href values of every <a> with an href attribute, in document order (entities decoded)."""
-    anchors = F.regexp_extract_all(clean, F.lit(ANCHOR_RE), 0)
-    hrefs = F.transform(anchors, lambda a: attr_value(a, "href"))
-    return F.filter(hrefs, lambda h: h.isNotNull())
+    """``token_hrefs`` of a cleaned page."""
+    return token_hrefs(raw_tokens(clean))

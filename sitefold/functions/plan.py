@@ -21,18 +21,6 @@ def fenced_filter(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn(_FENCE, F.spark_partition_id()).filter(condition & (F.col(_FENCE) >= 0)).drop(_FENCE)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when its scan yields fewer splits than that.
-
-    For CPU-heavy per-row work (HTML parsing) on an input of a few large files.  On a big input the
-    file splits already outnumber the cores and the plan is left alone (no extra shuffle).
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the cluster's checkpoint folder and read it back (reliable, survives
     executor loss; cuts lineage).  For small derived tables that several branches of a plan read."""

@@ -96,7 +96,7 @@ def code_point_char(n: Column) -> Column:
 
 
 def _numeric_ref(ref: Column) -> Column:
-    digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+)", 1)
+    digits = F.regexp_extract(ref, "^&#[xX]?0*([0-9a-fA-F]+)", 1)
     is_hex = ref.rlike("^&#[xX]")
     # long digit runs overflow: treat them as out of range
     n = F.when(F.length(digits) > 8, F.lit(0x110000).cast("long")).otherwise(

@@ -1,9 +1,10 @@
 """Site document generation (G0-G9): pages of a site -> one Markdown index.
 
-Plan shape: the page cap is a ``row_number() <= max_pages`` filter per site (Spark inserts a
-partial WindowGroupLimit before the shuffle, so a huge site sends at most ``max_pages`` rows per
-input partition); everything after that is keyed by ``site`` and holds at most ``max_pages``
-rows per site, so the final ``collect_list`` per site is bounded by the cap.
+No step holds a site as a list.  Suffix vote, root page and section starts are aggregations with
+map-side combine; the list lines of all sites are range partitioned by (site, section order, title,
+page order), numbered by a prefix sum over the partitions' counts, and assembled in parts of at most
+``PART_LINES`` lines.  ``document_parts`` returns the parts; ``site_documents`` joins a site's parts
+into one value, which is the size of the document itself.
 """
 
 from __future__ import annotations
@@ -12,18 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
-from sitefold.functions.plan import fenced_filter
+from sitefold.functions.plan import fenced_filter, materialize
 from sitefold.functions.text import py_rstrip
-from sitefold.operators.titles import SEPARATORS, display_title, site_suffixes, site_title
+from sitefold.operators.titles import display_title, site_suffixes, site_title
 
 # --- fixed values -----------------------------------------------------------------------------
 DEFAULT_SECTION = "Pages"
 UNDESCRIBED_SECTION = "Optional"
 EMPTY_SITE_LINE = "> No pages were successfully crawled."
-# The largest page cap a request may ask for (also the default cap of the snapshot documents).
-MAX_PAGES_LIMIT = 200
 # ----------------------------------------------------------------------------------------------
 
+#: List lines of one part of a document.
+PART_LINES = 1000
+
 
 def section_name(prefix: Column) -> Column:
     """Path prefix -> heading: '-'/'_' to spaces, words capitalized, single spaces; '' -> Pages."""
@@ -36,26 +38,20 @@ def default_sites(meta: DataFrame) -> DataFrame:
     return meta.select("site").distinct().withColumn("root_url", F.concat(F.lit("https://"), F.col("site"), F.lit("/")))
 
 
-def cap_pages(meta: DataFrame, max_pages: int | Column | None) -> DataFrame:
-    """C3 for a snapshot: keep the first ``max_pages`` pages of each site in page order."""
-    if max_pages is None:
-        return meta
-    w = Window.partitionBy("site").orderBy("page_ord")
-    return meta.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_pages).drop("_rn")
+def _with_root(sites: DataFrame) -> DataFrame:
+    """(site, root_url, norm_root, root_netloc)."""
+    df = U.add_normalized(U.add_url_parts(sites.select("site", "root_url"), "root_url", "r"), "r", "norm_root")
+    return df.select("site", "root_url", "norm_root", F.col("r_netloc").alias("root_netloc"))
 
 
-def site_sections(meta: DataFrame, sites: DataFrame | None = None, max_pages: int | None = MAX_PAGES_LIMIT) -> DataFrame:
+def site_sections(meta: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """One row per listed page with its section, display title and rendered line.
 
     Columns: site, page_ord, url, section, undescribed, display_title, line.
     """
-    capped = cap_pages(meta, max_pages)
-    if sites is None:
-        sites = default_sites(capped)
-    sites = U.add_normalized(U.add_url_parts(sites.select("site", "root_url"), "root_url", "r"), "r", "norm_root")
-    sites = sites.select("site", "root_url", "norm_root", F.col("r_netloc").alias("root_netloc"))
-    suffix = site_suffixes(capped).select("site", "suffix")
-    pages = capped.join(sites.select("site", "norm_root"), "site").join(suffix, "site")
+    roots = _with_root(sites if sites is not None else default_sites(meta))
+    suffix = site_suffixes(meta).select("site", "suffix")
+    pages = meta.join(roots.select("site", "norm_root"), "site").join(suffix, "site")
     listed = fenced_filter(pages, F.col("norm_url") != F.col("norm_root"))
     dt = display_title(F.col("title"), F.col("h1"), F.col("url"), F.col("suffix"))
     listed = listed.withColumn("display_title", dt)
@@ -72,109 +68,67 @@ def site_sections(meta: DataFrame, sites: DataFrame | None = None, max_pages: in
     )
 
 
-def _best_suffix(titles: Column) -> Column:
-    """T1-T2 over one site's titles (array in page order): struct(suffix, n).
-
-    Candidates are sorted by (suffix, title index, separator); one fold counts each run and keeps
-    the longest run, ties to the run whose first candidate came first.
-    """
-    seps = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(sep).alias("sep")) for i, sep in enumerate(SEPARATORS)])
-    cands = F.flatten(F.transform(titles, lambda t, i: F.transform(
-        F.filter(seps, lambda s: F.instr(t, s["sep"]) > 1),
-        lambda s: F.struct(F.substring(t, F.instr(t, s["sep"]), 1 << 30).alias("suf"),
-                           (i.cast("long") * 8 + s["no"]).alias("first")))))
-    big = F.lit(1 << 62).cast("long")
-    init = F.struct(F.lit("").alias("cs"), F.lit(0).cast("long").alias("cn"), big.alias("cf"),
-                    F.lit("").alias("bs"), F.lit(0).cast("long").alias("bn"), big.alias("bf"))
-
-    def close(a: Column) -> Column:
-        better = (a["cn"] > a["bn"]) | ((a["cn"] == a["bn"]) & (a["cf"] < a["bf"]))
-        return F.struct(F.when(better, a["cs"]).otherwise(a["bs"]).alias("s"),
-                        F.when(better, a["cn"]).otherwise(a["bn"]).alias("n"),
-                        F.when(better, a["cf"]).otherwise(a["bf"]).alias("f"))
-
-    def step(a: Column, x: Column) -> Column:
-        c = close(a)
-        same = a["cs"] == x["suf"]
-        return F.struct(
-            F.when(same, a["cs"]).otherwise(x["suf"]).alias("cs"),
-            F.when(same, a["cn"] + 1).otherwise(F.lit(1).cast("long")).alias("cn"),
-            F.when(same, a["cf"]).otherwise(x["first"]).alias("cf"),
-            F.when(same, a["bs"]).otherwise(c["s"]).alias("bs"),
-            F.when(same, a["bn"]).otherwise(c["n"]).alias("bn"),
-            F.when(same, a["bf"]).otherwise(c["f"]).alias("bf"),
-        )
-
-    return F.aggregate(F.array_sort(cands), init, step, lambda a: close(a))
-
-
-def site_documents(meta: DataFrame, sites: DataFrame | None = None, max_pages: int | None = MAX_PAGES_LIMIT) -> DataFrame:
-    """One ``llms.txt`` document per site.
-
-    ``meta`` is the page metadata (E0) of the crawled pages with ``page_ord`` as crawl order;
-    ``sites`` (site, root_url) lists the sites to emit, including sites with no page (G9); by
-    default every site of ``meta`` with root ``https://<site>/``.
-    Columns: site, root_url, page_count, llms_txt.
-
-    Plan: cap (partial top-k per partition, one shuffle by site), then one ``collect_list`` per
-    site of at most ``max_pages`` rows, then array expressions build the document.
+def root_pages(meta: DataFrame, roots: DataFrame) -> DataFrame:
+    """T5 per site: its root page, else its first page, as struct ``root``; and its page count."""
+    first = F.struct((F.col("norm_url") != F.col("norm_root")).alias("other"), "page_ord")
+    return meta.join(roots.select("site", "norm_root"), "site").groupBy("site").agg(
+        F.min_by(F.struct("title", "h1", "description"), first).alias("root"), F.count(F.lit(1)).alias("page_count"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``pos``, their number (from 0) in their site's order: range partitions, the
+    rank inside a partition, plus the site's rows in the partitions before it."""
+    keys = ["site", "undescribed", (F.col("section") != DEFAULT_SECTION), "section", "display_title", "page_ord"]
+    dealt = materialize(lines.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
+    rank = F.row_number().over(Window.partitionBy("site", "_p").orderBy(*keys[1:]))
+    before = Window.partitionBy("site").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("site", "_p").agg(F.count(F.lit(1)).alias("n")).withColumn("_off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranked = dealt.withColumn("_rank", rank).join(counts.select("site", "_p", "_off"), ["site", "_p"])
+    return ranked.withColumn("pos", F.col("_off") + F.col("_rank") - 1).drop("_p", "_rank", "_off")
+
+
+def document_parts(meta: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """G0 in bounded pieces: (site, root_url, page_count, part_no, text).  Part 0 is the header;
+    the texts of a site's parts, in order, are its document."""
+    meta = materialize(meta)  # metadata rows, no html: extracted once for all that follows
+    given = sites.select("site", "root_url") if sites is not None else default_sites(meta)
+    roots = _with_root(given)
+    lines = _numbered(site_sections(meta, given))
+    # the first line of each section carries the heading
+    starts = lines.groupBy("site", "undescribed", "section").agg(F.min("pos").alias("pos")).withColumn("_head", F.lit(True))
+    lines = lines.join(starts.select("site", "pos", "_head"), ["site", "pos"], "left")
+    heading = F.concat(F.when(F.col("pos") > 0, F.lit("\n")).otherwise(F.lit("")), F.lit("## "), F.col("section"), F.lit("\n\n"))
+    piece = F.concat(F.when(F.col("_head"), heading).otherwise(F.lit("")), F.col("line"), F.lit("\n"))
+    bodies = (lines.withColumn("piece", piece).groupBy("site", (F.floor(F.col("pos") / PART_LINES) + 1).alias("part_no"))
+              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("text")))
+
+    facts = roots.join(root_pages(meta, roots), "site", "left").join(site_suffixes(meta).select("site", "suffix"), "site", "left")
+    facts = facts.join(lines.groupBy("site").agg(F.max(F.floor(F.col("pos") / PART_LINES) + 1).alias("last")), "site", "left")
+    root, desc = F.col("root"), F.col("root.description")
+    title = site_title(root["title"], root["h1"], F.col("root_netloc"), F.coalesce("suffix", F.lit("")))
+    header = F.concat(F.lit("# "), title, F.lit("\n\n"),
+                      F.when(desc.isNotNull() & (desc != ""), F.concat(F.lit("> "), desc, F.lit("\n\n"))).otherwise(F.lit("")))
+    empty = F.concat(F.lit("# "), F.col("root_netloc"), F.lit("\n\n" + EMPTY_SITE_LINE))
+    facts = facts.select("site", "root_url", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"), F.coalesce("last", F.lit(0)).alias("last"),
+                         F.when(F.col("page_count") > 0, header).otherwise(empty).alias("header"))
+    heads = facts.select("site", "root_url", "page_count", "last", F.lit(0).cast("long").alias("part_no"), F.col("header").alias("text"))
+    rest = bodies.join(facts.select("site", "root_url", "page_count", "last"), "site").select(heads.columns)
+    # the document ends in one line end
+    closed = F.when(F.col("part_no") == F.col("last"), F.concat(py_rstrip(F.col("text")), F.lit("\n"))).otherwise(F.col("text"))
+    return heads.unionByName(rest).select("site", "root_url", "page_count", "part_no", closed.alias("text"))
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """One row per site from its parts: (site, root_url, page_count, llms_txt)."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("part_no", "text"))), lambda x: x["text"])
+    return parts.groupBy("site", "root_url").agg(F.max("page_count").alias("page_count"), F.array_join(ordered, "").alias("llms_txt"))
+
+
+def site_documents(meta: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """One ``llms.txt`` document per site, over all its pages.
+
+    ``meta`` is the page metadata (E0) with ``page_ord`` as crawl order; ``sites`` (site, root_url)
+    lists the sites to emit, including sites with no page (G9); by default every site of ``meta``
+    with root ``https://<site>/``.  Columns: site, root_url, page_count, llms_txt.
     """
-    capped = cap_pages(meta, max_pages)
-    page = F.struct(
-        F.col("page_ord").alias("o"), F.col("url").alias("url"), F.col("norm_url").alias("nu"),
-        F.col("path_prefix").alias("pp"), F.col("title").alias("t"), F.col("h1").alias("h"),
-        F.col("description").alias("d"), F.col("has_description").alias("hd"),
-    )
-    per_site = capped.groupBy("site").agg(F.sort_array(F.collect_list(page)).alias("pages"))
-    if sites is None:
-        docs = per_site.withColumn("root_url", F.concat(F.lit("https://"), F.col("site"), F.lit("/")))
-    else:
-        docs = sites.select("site", "root_url").join(per_site, "site", "left")
-    docs = U.add_url_parts(docs, "root_url", "r")
-    docs = U.add_normalized(docs, "r", "norm_root").withColumnRenamed("r_netloc", "root_netloc")
-    docs = U.drop_url_parts(docs, "r")
-
-    pages = F.col("pages")
-    titles = F.transform(F.filter(pages, lambda x: x["t"].isNotNull() & (x["t"] != "")), lambda x: x["t"])
-    docs = docs.withColumns({
-        "_best": _best_suffix(titles),
-        "_n_titles": F.size(titles),
-        "_root": F.coalesce(F.try_element_at(F.filter(pages, lambda x: x["nu"] == F.col("norm_root")), F.lit(1)),
-                            F.try_element_at(pages, F.lit(1))),
-    })
-    docs = docs.withColumn("suffix", F.when((F.col("_n_titles") >= 2) & (F.col("_best.n") * 2 > F.col("_n_titles")),
-                                            F.col("_best.s")).otherwise(F.lit("")))
-    suffix = F.col("suffix")
-
-    def item(x: Column) -> Column:
-        dt = display_title(x["t"], x["h"], x["url"], suffix)
-        shown = F.when(dt != "", dt).otherwise(x["url"])
-        desc = F.when(x["d"].isNotNull() & (x["d"] != ""), F.concat(F.lit(": "), x["d"])).otherwise(F.lit(""))
-        sec = F.when(x["hd"], section_name(x["pp"])).otherwise(F.lit(UNDESCRIBED_SECTION))
-        return F.struct((~x["hd"]).alias("u"), (sec != DEFAULT_SECTION).alias("np"), sec.alias("sec"), dt.alias("dt"),
-                        x["o"].alias("o"), F.concat(F.lit("- ["), shown, F.lit("]("), x["url"], F.lit(")"), desc).alias("line"))
-
-    docs = docs.withColumn("_items", F.array_sort(F.transform(F.filter(pages, lambda x: x["nu"] != F.col("norm_root")), item)))
-    items = F.col("_items")
-
-    def render(x: Column, i: Column) -> Column:
-        prev = F.element_at(items, F.greatest(i, F.lit(1)))
-        new_section = (i == 0) | (prev["u"] != x["u"]) | (prev["sec"] != x["sec"])
-        heading = F.concat(F.when(i > 0, F.lit("\n")).otherwise(F.lit("")), F.lit("## "), x["sec"], F.lit("\n\n"))
-        return F.concat(F.when(new_section, heading).otherwise(F.lit("")), x["line"], F.lit("\n"))
-
-    root = F.col("_root")
-    title_line = site_title(root["t"], root["h"], F.col("root_netloc"), suffix)
-    header = F.concat(
-        F.lit("# "), title_line, F.lit("\n\n"),
-        F.when(root["d"].isNotNull() & (root["d"] != ""), F.concat(F.lit("> "), root["d"], F.lit("\n\n"))).otherwise(F.lit("")),
-    )
-    body = F.array_join(F.transform(items, render), "")
-    text = F.concat(py_rstrip(F.concat(header, body)), F.lit("\n"))
-    empty = F.concat(F.lit("# "), F.col("root_netloc"), F.lit("\n\n" + EMPTY_SITE_LINE + "\n"))
-    has_pages = F.coalesce(F.size(pages), F.lit(-1)) > 0
-    return docs.select(
-        "site", "root_url",
-        F.when(has_pages, F.size(pages)).otherwise(F.lit(0)).cast("long").alias("page_count"),
-        F.when(has_pages, text).otherwise(empty).alias("llms_txt"),
-    )
+    return joined_parts(document_parts(meta, sites))

@@ -380,7 +380,7 @@ def crawl_documents() -> str:
              f"JOIN ({outcomes()}) o ON o.norm_url = r.norm_url WHERE r.outcome = 'ok') crawled_pages")
     meta = S.page_meta(order_col="page_ord", source=pages)
     sites = f"SELECT site, root_url FROM ({_jobs('50')})"
-    return SO._documents(meta, given_sites=sites, cap=False)
+    return SO._documents(meta, given_sites=sites)
 
 
 ORACLE["crawl_documents"] = crawl_documents

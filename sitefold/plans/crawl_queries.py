@@ -97,7 +97,7 @@ def _crawl_docs(spark, sf_dir, jobs, result):
     ok = result.filter(F.col("outcome") == "ok").select("site", "url", "norm_url", "depth", "page_ord")
     pages = ok.join(html, "norm_url")
     meta = page_meta(pages, order_col="page_ord", depth_col="depth")
-    return site_documents(meta, jobs.select("site", "root_url"), max_pages=None)
+    return site_documents(meta, jobs.select("site", "root_url"))
 
 
 def q_crawl_documents(spark, sf_dir):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sitefold.functions import urls as U
-from sitefold.operators.documents import DEFAULT_SECTION, EMPTY_SITE_LINE, MAX_PAGES_LIMIT, UNDESCRIBED_SECTION
+from sitefold.operators.documents import DEFAULT_SECTION, EMPTY_SITE_LINE, UNDESCRIBED_SECTION
 from sitefold.plans import sqlparts as S
 
 NL = "chr(10)"
@@ -20,11 +20,6 @@ def _varied(meta: str) -> str:
             f"CASE WHEN page_ord % 7 = 0 THEN false ELSE description IS NOT NULL END AS has_description FROM ({meta})")
 
 
-def _capped(meta: str) -> str:
-    return (f"SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_ord) AS rn_ "
-            f"FROM ({meta})) WHERE rn_ <= {MAX_PAGES_LIMIT}")
-
-
 def _sites(meta: str, given: str | None = None) -> str:
     s = given or f"SELECT DISTINCT site, 'https://' || site || '/' AS root_url FROM ({meta})"
     s = S.url_parts(s, "root_url", "r")
@@ -87,7 +82,7 @@ def _site_title(title: str, h1: str, netloc: str, suffix: str) -> str:
 
 
 def site_titles() -> str:
-    capped = _capped(_varied(_meta()))
+    capped = _varied(_meta())
     return f"""
     WITH c AS ({capped}),
     s AS ({_sites('SELECT * FROM c')}),
@@ -120,16 +115,15 @@ def _sections(capped: str, given_sites: str | None = None) -> str:
 
 
 def site_sections() -> str:
-    return _sections(_capped(_varied(_meta())))
+    return _sections(_varied(_meta()))
 
 
-def _documents(meta: str, given_sites: str | None = None, cap: bool = True) -> str:
-    capped = _capped(meta) if cap else meta
+def _documents(meta: str, given_sites: str | None = None) -> str:
     key = f"undescribed, section != '{DEFAULT_SECTION}', section, display_title, page_ord"
     header = (f"'# ' || title_line || {NL} || {NL} || CASE WHEN rdesc IS NOT NULL AND rdesc != '' "
               f"THEN '> ' || rdesc || {NL} || {NL} ELSE '' END")
     return f"""
-    WITH c AS ({capped}),
+    WITH c AS ({meta}),
     s AS ({_sites('SELECT * FROM c', given_sites)}),
     x AS ({S.site_suffixes('SELECT * FROM c')}),
     r AS (SELECT c.site, arg_min({{'title': title, 'h1': h1, 'description': description}},
@@ -162,6 +156,23 @@ def site_documents_varied() -> str:
     return _documents(_varied(_meta()))
 
 
+def site_document_parts() -> str:
+    """The whole documents cut after every PART_LINES list lines; the header is part 0."""
+    docs = f"SELECT site, page_count, llms_txt FROM ({site_documents_varied()})"
+    return f"""
+    WITH d AS ({docs}),
+    l AS (SELECT site, page_count, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line
+          FROM (SELECT site, page_count, string_split(rtrim(llms_txt, {NL}), {NL}) AS x FROM d)),
+    n AS (SELECT *, starts_with(line, '- [') AS item,
+                 count(*) FILTER (starts_with(line, '- [')) OVER (PARTITION BY site ORDER BY i) AS seen,
+                 min(i) FILTER (starts_with(line, '## ')) OVER (PARTITION BY site) AS body FROM l),
+    p AS (SELECT *, CASE WHEN body IS NULL OR i < body THEN 0
+                    ELSE CAST(floor((CASE WHEN item THEN seen - 1 ELSE seen END) / 1000) AS BIGINT) + 1 END AS part_no FROM n)
+    SELECT site, page_count, CAST(part_no AS BIGINT) AS part_no, string_agg(line, {NL} ORDER BY i) || {NL} AS text,
+           count(*) FILTER (item) AS listed FROM p GROUP BY site, page_count, part_no
+    """
+
+
 ORACLE = {
     "url_normalize": url_normalize,
     "url_parts": url_parts,
@@ -174,6 +185,7 @@ ORACLE = {
     "site_suffix_varied": site_suffix_varied,
     "site_titles": site_titles,
     "site_sections": site_sections,
+    "site_document_parts": site_document_parts,
     "site_documents": site_documents,
     "site_documents_varied": site_documents_varied,
 }

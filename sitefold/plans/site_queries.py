@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
-from sitefold.operators.documents import MAX_PAGES_LIMIT, cap_pages, default_sites, site_documents, site_sections
+from sitefold.operators.documents import default_sites, document_parts, root_pages, site_documents, site_sections
 from sitefold.operators.pages import page_links, page_meta
 from sitefold.operators.titles import site_suffixes, site_title
 from sitefold.sources.tables import read_table
@@ -95,16 +95,12 @@ def q_site_suffix_varied(spark, sf_dir):
 
 def q_site_titles(spark, sf_dir):
     """T5-T6 per site on the varied metadata: root page choice and site title."""
-    meta = cap_pages(varied_meta(page_meta(_pages(spark, sf_dir))), MAX_PAGES_LIMIT)
+    meta = varied_meta(page_meta(_pages(spark, sf_dir)))
     sites = U.add_url_parts(default_sites(meta), "root_url", "r")
     sites = U.add_normalized(sites, "r", "norm_root").select("site", "root_url", "norm_root", F.col("r_netloc").alias("root_netloc"))
-    suffix = site_suffixes(meta).select("site", "suffix")
-    root = meta.join(sites.select("site", "norm_root"), "site").groupBy("site").agg(
-        F.min_by(F.struct("title", "h1"), F.struct((F.col("norm_url") != F.col("norm_root")).alias("nr"), F.col("page_ord"))).alias("r")
-    )
-    out = sites.join(suffix, "site").join(root, "site")
+    out = sites.join(site_suffixes(meta).select("site", "suffix"), "site").join(root_pages(meta, sites), "site")
     return out.select("site", "root_url", "suffix",
-                      site_title(F.col("r.title"), F.col("r.h1"), F.col("root_netloc"), F.col("suffix")).alias("site_title"))
+                      site_title(F.col("root.title"), F.col("root.h1"), F.col("root_netloc"), F.col("suffix")).alias("site_title"))
 
 
 def q_site_sections(spark, sf_dir):
@@ -119,6 +115,13 @@ def q_site_documents_varied(spark, sf_dir):
     return site_documents(varied_meta(page_meta(_pages(spark, sf_dir))))
 
 
+def q_site_document_parts(spark, sf_dir):
+    """The documents as ordered parts, with the number of lines of each."""
+    parts = document_parts(varied_meta(page_meta(_pages(spark, sf_dir))))
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.startswith("- [")))
+    return parts.select("site", "page_count", "part_no", "text", lines.cast("long").alias("listed"))
+
+
 QUERIES = {
     "url_normalize": q_url_normalize,
     "url_parts": q_url_parts,
@@ -131,6 +134,7 @@ QUERIES = {
     "site_suffix_varied": q_site_suffix_varied,
     "site_titles": q_site_titles,
     "site_sections": q_site_sections,
+    "site_document_parts": q_site_document_parts,
     "site_documents": q_site_documents,
     "site_documents_varied": q_site_documents_varied,
 }

@@ -1,7 +1,7 @@
 """Test-only brute force: a plain tree builder on the stdlib HTML tokenizer with the rules the
 extraction fold claims to follow (open-element stack, end tag pops to the most recent open element
 of its name, void elements never open, entities decoded per text node, comments / script / style
-text not part of element text).  Used to check the Spark fold on fixtures and real pages."""
+text not part of element text).  Tests compare single facts of the tree with the Spark fold."""
 
 from __future__ import annotations
 
@@ -95,50 +95,13 @@ def text_of(el) -> str:
     return "".join(s.strip() for s in _strings(el) if s.strip())
 
 
-def extract(doc: str):
+def build(doc: str) -> list[_El]:
+    """Every element of ``doc`` in document order."""
     b = _Builder()
     b.feed(doc)
     b.close()
-    els = b.elements
-    title = next((e for e in els if e.name == "title"), None)
-    h1 = next((e for e in els if e.name == "h1"), None)
-    meta = next((e for e in els if e.name == "meta" and e.attrs.get("name") and e.attrs["name"].lower() == "description"), None)
-    description = None
-    if meta is not None and meta.attrs.get("content"):
-        description = meta.attrs["content"].strip() or None
-    para = None
-    if h1 is not None:
-        p = next((e for e in els if e.name == "p" and e.order > h1.order), None)
-        if p is not None:
-            para = text_of(p)[:200]
-    if not description and h1 is not None and para:
-        description = para
-    return {
-        "title": text_of(title) if title is not None else None,
-        "h1": text_of(h1) if h1 is not None else None,
-        "description": description,
-    }
-
-
-def links(doc: str, base: str) -> list[str]:
-    """Every <a href> in document order, filtered, resolved with the stdlib and stripped of the
-    fragment, crawlable only (the E6 rule) -- brute force for the Spark link extraction."""
-    from urllib.parse import urljoin, urlparse, urlunparse
-
-    from sitefold.functions.urls import SKIP_EXTENSIONS
+    return b.elements
 
-    b = _Builder()
-    b.feed(doc)
-    b.close()
-    out = []
-    for e in b.elements:
-        if e.name != "a" or "href" not in e.attrs:
-            continue
-        href = e.attrs["href"].strip()
-        if not href or href.startswith(("#", "mailto:", "javascript:")):
-            continue
-        clean = urlunparse(urlparse(urljoin(base, href))._replace(fragment=""))
-        p = urlparse(clean)
-        if p.scheme in ("http", "https") and not any(p.path.lower().endswith(x) for x in SKIP_EXTENSIONS):
-            out.append(clean)
-    return out
+
+def first(elements: list[_El], name: str, after: int = -1) -> _El | None:
+    return next((e for e in elements if e.name == name and e.order > after), None)

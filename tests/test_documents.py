@@ -1,193 +1,125 @@
-"""Titles and site documents (T1-T6, G0-G9): the reference's golden scenario plus FIXTURES cases."""
-
-from sitefold.operators.documents import site_documents, site_sections
-from sitefold.operators.titles import site_suffixes
-
-ROOT = "https://example.com/"
-META_SCHEMA = ("site string, page_ord long, url string, norm_url string, path_prefix string, title string, "
-               "description string, h1 string, depth int, has_description boolean")
-
-
-def _norm(u):
-    from urllib.parse import urlparse, urlunparse
-
-    p = urlparse(u)
-    return urlunparse((p.scheme.lower(), p.netloc.lower(), p.path.rstrip("/") or "/", p.params, p.query, ""))
-
-
-def _prefix(u):
-    from urllib.parse import urlparse
-
-    parts = urlparse(u).path.strip("/").split("/")
-    return parts[0] if parts and parts[0] else ""
+"""Titles and site documents (T1-T6, G0-G9) on sites built forwards: sections, titles and suffix are
+drawn first and the pages derived from them, so the expected document is known by construction."""
 
+import random
 
-def _pages(spark, rows, site="example.com"):
-    data = [(site, i, u, _norm(u), _prefix(u), t, d, h, 1, d is not None) for i, (u, t, d, h) in enumerate(rows)]
-    return spark.createDataFrame(data, META_SCHEMA)
-
-
-def _doc(spark, rows, root=ROOT, site="example.com"):
-    meta = _pages(spark, rows, site) if rows else spark.createDataFrame([], META_SCHEMA)
-    sites = spark.createDataFrame([(site, root)], "site string, root_url string")
-    return site_documents(meta, sites).collect()[0]["llms_txt"]
-
-
-PAGES = [
-    (ROOT, "Example | My Site", "Home of example.com", "Welcome"),
-    ("https://example.com/docs/api", "API Reference | My Site", "Full API docs.", None),
-    ("https://example.com/docs/start", "Getting Started | My Site", "Install and run.", None),
-    ("https://example.com/changelog", "Changelog | My Site", None, None),
-    ("https://example.com/blog/v2", "Introducing V2 | My Site", "A major release.", None),
-]
-
-
-def test_golden_site(spark):
-    doc = _doc(spark, PAGES)
-    assert doc == (
-        "# Example\n\n> Home of example.com\n\n"
-        "## Blog\n\n- [Introducing V2](https://example.com/blog/v2): A major release.\n\n"
-        "## Docs\n\n- [API Reference](https://example.com/docs/api): Full API docs.\n"
-        "- [Getting Started](https://example.com/docs/start): Install and run.\n\n"
-        "## Optional\n\n- [Changelog](https://example.com/changelog)\n"
-    )
-
-
-def test_empty_site(spark):
-    assert _doc(spark, []) == "# example.com\n\n> No pages were successfully crawled.\n"
+import pytest
 
+from sitefold.operators import documents as D
+from sitefold.operators.titles import site_suffixes
 
-def test_undescribed_only(spark):
-    doc = _doc(spark, [(ROOT, "Home", None, None), ("https://example.com/about", "About", None, None)])
-    assert doc == "# Home\n\n## Optional\n\n- [About](https://example.com/about)\n"
+META = ("site string, page_ord long, url string, norm_url string, path_prefix string, title string, "
+        "description string, h1 string, depth int, has_description boolean")
 
 
-def test_no_root_page_borrows_first(spark):
-    doc = _doc(spark, [("https://example.com/a", "A", "da", None), ("https://example.com/b", "B", "db", None)])
-    assert doc == "# A\n\n> da\n\n## A\n\n- [A](https://example.com/a): da\n\n## B\n\n- [B](https://example.com/b): db\n"
+def _meta(spark, pages):
+    """``pages``: (site, url, norm_url, path_prefix, title, description, h1) in crawl order."""
+    rows = [(s, i, u, n, p, t, d, h, 1, d is not None) for i, (s, u, n, p, t, d, h) in enumerate(pages)]
+    return spark.createDataFrame(rows, META)
 
 
-def test_section_order_and_names(spark):
-    rows = [(ROOT, "Root", None, None), ("https://example.com/optional/a", "O", "d", None),
-            ("https://example.com/api-ref/x", "X", "d", None), ("https://example.com/api_ref/y", "Y", "d", None),
-            ("https://example.com/Docs", "D2", "d", None), ("https://example.com/docs", "D1", "d", None),
-            ("https://example.com/?q=1", "Q", "d", None), ("https://example.com/Z/1", "Z", "d", None),
-            ("https://example.com/a/1", "a", "d", None), ("https://example.com/é/1", "e", "d", None),
-            ("https://example.com/n", "N", None, None)]
-    doc = _doc(spark, rows)
-    heads = [l for l in doc.split("\n") if l.startswith("## ")]
-    assert heads == ["## Pages", "## A", "## Api Ref", "## Docs", "## Optional", "## Z", "## É", "## Optional"]
-    assert "- [D1](https://example.com/docs): d\n- [D2](https://example.com/Docs): d" in doc
-
-
-def test_two_raw_urls_equal_to_root_are_both_excluded(spark):
-    doc = _doc(spark, [("https://example.com", "R1", "d1", None), ("https://EXAMPLE.com/", "R2", "d2", None),
-                       ("https://example.com/x", "X", "dx", None)])
-    assert doc == "# R1\n\n> d1\n\n## X\n\n- [X](https://example.com/x): dx\n"
-
-
-def test_suffix_rules(spark):
-    def suffix(titles):
-        rows = [("https://example.com/%d" % i, t, None, None) for i, t in enumerate(titles)]
-        return site_suffixes(_pages(spark, rows)).collect()[0]["suffix"]
-
-    assert suffix(["Getting Started | My Site", "API Reference | My Site", "Blog | My Site", "Changelog | My Site"]) == " | My Site"
-    assert suffix(["Page A", "Page B - Other", "Random"]) == ""
-    assert suffix(["Only | One"]) == ""
-    assert suffix(["A | X", "B | Y", "C | X", "D | Y"]) == ""          # exactly half is not enough
-    assert suffix(["A | X", "B | Y", "C | Y", "D | X", "E | X"]) == " | X"
-    assert suffix(["A - B | C", "D - B | C", "E - F"]) == " | C"  # tie: first seen (separator order) wins
-    assert suffix(["A | B - C", "D | B - C", "E"]) == " | B - C"
-
-
-def test_sections_rows(spark):
-    rows = site_sections(_pages(spark, PAGES), spark.createDataFrame([("example.com", ROOT)], "site string, root_url string")).collect()
-    got = sorted((r["section"], r["display_title"], r["undescribed"]) for r in rows)
-    assert got == [("Blog", "Introducing V2", False), ("Docs", "API Reference", False), ("Docs", "Getting Started", False),
-                   ("Optional", "Changelog", True)]
-
-
-def test_suffix_equal_to_whole_title_falls_back(spark):
-    rows = [(ROOT, " | S", None, "Head"), ("https://example.com/a", "A | S", "d", None), ("https://example.com/b", "B | S", "d", None)]
-    doc = _doc(spark, rows)
-    assert doc.startswith("# Head\n")
-
-
-def _py_document(root, pages):
-    """Plain-Python rendering of SURVEY 2.7-2.8 (test oracle). pages: (url, title, desc, h1) in crawl order."""
-    from urllib.parse import urlparse
-
-    if not pages:
-        return f"# {urlparse(root).netloc}\n\n> No pages were successfully crawled.\n"
-    nr = _norm(root)
-    rootp = next((p for p in pages if _norm(p[0]) == nr), pages[0])
-    titles = [p[1] for p in pages if p[1]]
-    suffix = ""
-    if len(titles) >= 2:
-        counts = {}
-        for t in titles:
-            for sep in [" | ", " - ", " – ", " — ", " · ", " • "]:
-                i = t.find(sep)
-                if i > 0:
-                    counts[t[i:]] = counts.get(t[i:], 0) + 1
-        if counts:
-            best = max(counts, key=lambda k: counts[k])
-            if counts[best] > len(titles) * 0.5:
-                suffix = best
-
-    def clean(t):
-        return t[: -len(suffix)].strip() if suffix and t.endswith(suffix) else t
-
-    def disp(p):
-        return clean(p[1]) if p[1] else (p[3] if p[3] else p[0])
-
-    site_title = (clean(rootp[1]) if rootp[1] and clean(rootp[1]) else None) or rootp[3] or urlparse(root).netloc
-    lines = [f"# {site_title}", ""]
-    if rootp[2]:
-        lines += [f"> {rootp[2]}", ""]
-    rest = [p for p in pages if _norm(p[0]) != nr]
-    secs = {}
-    for p in [p for p in rest if p[2] is not None]:
-        pre = _prefix(p[0])
-        name = " ".join(w.capitalize() for w in pre.replace("-", " ").replace("_", " ").split()) if pre else "Pages"
-        secs.setdefault(name, []).append(p)
-
-    def item(p):
-        t = disp(p) or p[0]
-        return f"- [{t}]({p[0]}): {p[2]}" if p[2] else f"- [{t}]({p[0]})"
-
-    for name in sorted(secs, key=lambda n: (0 if n == "Pages" else 1, n)):
-        lines += [f"## {name}", ""] + [item(p) for p in sorted(secs[name], key=disp)] + [""]
-    opt = [p for p in rest if p[2] is None]
-    if opt:
-        lines += ["## Optional", ""] + [item(p) for p in sorted(opt, key=disp)] + [""]
-    return "\n".join(lines).rstrip() + "\n"
-
-
-def test_random_sites_match_plain_rendering(spark):
-    import random
-
-    rng = random.Random(9)
-    heads = ["Intro", "API", "Guide", "intro", "Zeta", "alpha", "Éclair", ""]
-    tails = [" | Site", " - Docs", " | Other", "", ""]
-    paths = ["/", "/docs/a", "/docs/b", "/Docs/c", "/api-ref/x", "/api_ref/y", "/blog/1", "/?q=1", "/optional/o", "/z"]
-    sites, data, expected = [], [], {}
-    for k in range(40):
-        site = f"s{k}.com"
-        root = f"https://{site}/"
-        n = rng.randrange(0, 8)
-        pages = []
-        for j in range(n):
-            url = f"https://{site}{rng.choice(paths)}{j if rng.random() < 0.7 else ''}"
-            title = rng.choice([None, rng.choice(heads) + rng.choice(tails)])
-            desc = rng.choice([None, f"d{j}", "  "[:0] or None, f"text {j}"])
-            h1 = rng.choice([None, "", f"H{j}"])
-            pages.append((url, title, desc, h1))
-        sites.append((site, root))
-        for j, (url, title, desc, h1) in enumerate(pages):
-            data.append((site, j, url, _norm(url), _prefix(url), title, desc, h1, 1, desc is not None))
-        expected[site] = _py_document(root, pages)
-    meta = spark.createDataFrame(data, META_SCHEMA)
-    got = {r["site"]: r["llms_txt"] for r in site_documents(meta, spark.createDataFrame(sites, "site string, root_url string")).collect()}
-    for site, want in expected.items():
-        assert got[site] == want, (site, got[site], want)
+def _texts(spark, pages, sites):
+    docs = D.site_documents(_meta(spark, pages), spark.createDataFrame(sites, "site string, root_url string")).collect()
+    return {r["site"]: r["llms_txt"] for r in docs}
+
+
+def _page(path, prefix, title, desc=None, h1=None, site="tea.test"):
+    return site, f"https://{site}{path}", f"https://{site}{path}", prefix, title, desc, h1
+
+
+def _tea(spark, pages):
+    return _texts(spark, pages, [("tea.test", "https://tea.test/")])["tea.test"]
+
+
+def test_whole_document(spark):
+    doc = _tea(spark, [
+        _page("/", "", "Leaves ~ · Tea House", "All about leaves."),
+        _page("/green/sencha", "green", "Sencha · Tea House", "Steamed."),
+        _page("/green/gyokuro", "green", "Gyokuro · Tea House", "Shaded."),
+        _page("/black/assam", "black", "Assam · Tea House"),
+    ])
+    assert doc == ("# Leaves ~\n\n> All about leaves.\n\n## Green\n\n- [Gyokuro](https://tea.test/green/gyokuro): Shaded.\n"
+                   "- [Sencha](https://tea.test/green/sencha): Steamed.\n\n## Optional\n\n- [Assam](https://tea.test/black/assam)\n")
+
+
+def test_site_without_pages(spark):
+    assert _texts(spark, [], [("none.test", "https://none.test/")]) == {"none.test": "# none.test\n\n> No pages were successfully crawled.\n"}
+
+
+def test_first_page_stands_in_for_a_missing_root(spark):
+    doc = _tea(spark, [_page("/m/1", "m", "Matcha", "powder"), _page("/n/1", "n", "Nilgiri", "hill")])
+    assert doc == "# Matcha\n\n> powder\n\n## M\n\n- [Matcha](https://tea.test/m/1): powder\n\n## N\n\n- [Nilgiri](https://tea.test/n/1): hill\n"
+
+
+def test_section_headings_and_their_order(spark):
+    sections = {"": "Pages", "loose-leaf": "Loose Leaf", "loose_leaf": "Loose Leaf", "TINS": "Tins", "öl": "Öl", "optional": "Optional", "z--z": "Z Z"}
+    pages = [_page("/", "", "Top")]
+    pages += [_page(f"/{p}/{i}?q" if p else f"/?{i}", p, f"t{i}", "d") for i, p in enumerate(sections)]
+    pages.append(_page("/u", "u", "undescribed"))
+    heads = [line[3:] for line in _tea(spark, pages).split("\n") if line.startswith("## ")]
+    assert heads == ["Pages", "Loose Leaf", "Optional", "Tins", "Z Z", "Öl", "Optional"]
+
+
+def test_every_spelling_of_the_root_is_left_out(spark):
+    root = "https://tea.test/"
+    pages = [("tea.test", u, root, "", t, d, None) for u, t, d in (("https://tea.test", "One", "first"), ("https://TEA.test/", "Two", "second"))]
+    pages.append(_page("/x", "x", "X", "dx"))
+    assert _tea(spark, pages) == "# One\n\n> first\n\n## X\n\n- [X](https://tea.test/x): dx\n"
+
+
+@pytest.mark.parametrize(("titles", "suffix"), [
+    (["Oolong – Tips", "White – Tips", "Yellow – Tips"], " – Tips"), (["Oolong", "White – Tips", "Yellow"], ""), (["Alone — Tips"], ""),
+    (["a — S", "b — S", "c", "d"], ""), (["a • S", "b • S", "c • S", "d • T", "e"], " • S"),
+    (["a - M | N", "b - M | N", "c"], " | N"), (["a | M - N", "b | M - N", "c"], " | M - N"), ([" | S", " | S"], ""),
+])
+def test_shared_suffix(spark, titles, suffix):
+    rows = site_suffixes(_meta(spark, [_page(f"/{i}", str(i), t) for i, t in enumerate(titles)])).collect()
+    assert [r["suffix"] for r in rows] == [suffix]
+
+
+def test_title_that_is_only_the_suffix(spark):
+    doc = _tea(spark, [_page("/", "", "x | S", None, "Heading"), _page("/a", "a", "  | S", "d", "h"), _page("/b", "b", "B | S", "d")])
+    assert "# x\n" in doc and "- [https://tea.test/a](https://tea.test/a): d" in doc
+
+
+def _forward_site(rng, site):
+    """(pages in random order, expected document) of a random site."""
+    suffix = rng.choice(["", " | " + site, " - Notes"])
+    sections = rng.sample([("", "Pages"), ("how-to", "How To"), ("api", "Api"), ("big_cats", "Big Cats"), ("zoo", "Zoo")], rng.randint(1, 5))
+    title, desc = f"Start {site}", rng.choice([None, "About it"])
+    pages = [(site, f"https://{site}/", f"https://{site}/", "", title + suffix, desc, None)]
+    out = f"# {title}\n\n" + (f"> {desc}\n\n" if desc else "")
+    body, undescribed = [], []
+    for prefix, name in sorted(sections, key=lambda x: (x[1] != "Pages", x[1])):
+        lines = []
+        for i in sorted(rng.sample(range(100, 1000), rng.randint(1, 6))):
+            url = f"https://{site}/{prefix}/{i}" if prefix else f"https://{site}/?p={i}"
+            if rng.random() < 0.2:
+                undescribed.append((f"T{i}", f"- [T{i}]({url})"))
+                pages.append((site, url, url, prefix, f"T{i}{suffix}", None, None))
+            else:
+                lines.append(f"- [T{i}]({url}): words {i}")
+                pages.append((site, url, url, prefix, f"T{i}{suffix}", f"words {i}", "unused"))
+        if lines:
+            body.append(f"## {name}\n\n" + "\n".join(lines) + "\n")
+    order = pages[1:]
+    rng.shuffle(order)
+    if undescribed:
+        place = {f"- [{p[4].removesuffix(suffix)}]({p[1]})": i for i, p in enumerate(order)}
+        body.append("## Optional\n\n" + "\n".join(x[1] for x in sorted(undescribed, key=lambda x: (x[0], place[x[1]]))) + "\n")
+    return [pages[0], *order], (out + "\n".join(body)).rstrip() + "\n"
+
+
+def test_random_sites(spark, monkeypatch):
+    monkeypatch.setattr(D, "PART_LINES", 3)
+    rng = random.Random(31)
+    built = {f"s{k}.test": _forward_site(rng, f"s{k}.test") for k in range(30)}
+    pages = [p for own, _ in built.values() for p in own]
+    got = _texts(spark, pages, [(s, f"https://{s}/") for s in built])
+    for site, (_, want) in built.items():
+        assert got[site] == want
+    meta = _meta(spark, pages)
+    parts = D.document_parts(meta, spark.createDataFrame([(s, f"https://{s}/") for s in built], "site string, root_url string")).collect()
+    assert all(sum(line.startswith("- [") for line in r["text"].split("\n")) <= 3 for r in parts)
+    sections = D.site_sections(meta).collect()
+    assert len({(r["site"], r["page_ord"]) for r in sections}) == len(sections) == len(pages) - len(built)

@@ -11,17 +11,19 @@ def _page(i, title):
     return f"<html><head><title>{title} | Big</title></head><body><h1>{title}</h1><p>text {i}</p></body></html>"
 
 
-def test_cap_keeps_first_pages_of_a_hot_site(spark):
-    rows = [(i, f"https://big.com/s{i % 7}/p{i}", _page(i, f"P{i:04d}")) for i in range(1000)]
+def test_a_large_site_lists_every_page_but_the_root(spark):
+    rows = [(0, "https://big.com/", _page(0, "Root"))]
+    rows += [(i, f"https://big.com/s{i % 7}/p{i}", _page(i, f"P{i:04d}")) for i in range(1, 1000)]
     rows += [(5000 + i, f"https://small{i}.com/x", _page(i, f"S{i}")) for i in range(20)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
     docs = {r["site"]: r for r in site_documents(page_meta(pages)).collect()}
     big = docs["big.com"]
-    assert big["page_count"] == 200
-    listed = {line.split("](")[1].split(")")[0] for line in big["llms_txt"].split("\n") if line.startswith("- [")}
-    assert listed == {f"https://big.com/s{i % 7}/p{i}" for i in range(200)}
-    assert "| Big" not in big["llms_txt"]          # the shared suffix is stripped
+    assert big["page_count"] == 1000
+    listed = [line.split("](")[1].split(")")[0] for line in big["llms_txt"].split("\n") if line.startswith("- [")]
+    assert sorted(listed) == sorted(f"https://big.com/s{i % 7}/p{i}" for i in range(1, 1000))
+    assert big["llms_txt"].startswith("# Root\n") and "| Big" not in big["llms_txt"]
     assert all(docs[f"small{i}.com"]["page_count"] == 1 for i in range(20))
+    assert sum(r["page_count"] for r in docs.values()) == len(rows)
 
 
 def test_every_listed_page_is_in_exactly_one_section(spark):
