@@ -21,6 +21,12 @@ def fenced_filter(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn(_FENCE, F.spark_partition_id()).filter(condition & (F.col(_FENCE) >= 0)).drop(_FENCE)
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """``df`` behind a projection that Catalyst doesn't merge with the next one, so that two long
+    chains of expressions don't become one method too large to compile."""
+    return df.withColumn(_FENCE, F.spark_partition_id()).filter(F.col(_FENCE) >= 0).drop(_FENCE)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the cluster's checkpoint folder and read it back (reliable, survives
     executor loss; cuts lineage).  For small derived tables that several branches of a plan read."""

@@ -3,10 +3,11 @@ roll-up (J8, J9, J15)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
+from sitefold.functions.plan import fence, materialize
 from sitefold.functions.text import py_strip
 from sitefold.operators.jobs import ACTIVE, epoch_micros, seconds_between
 from sitefold.operators.requests import CHUNK_SECONDS, TTL_SECONDS, asof_predecessor
@@ -56,73 +57,78 @@ def _norm(df: DataFrame, url: str, out: str) -> DataFrame:
     return U.drop_url_parts(U.add_normalized(df, "z", out), "z")
 
 
-def cache_view(jobs: DataFrame, at: Column, ttl_seconds: float = TTL_SECONDS) -> Column:
-    """J2 reuse rule for a job row seen at time ``at``: pending/running, or done less than
-    ``ttl`` seconds before ``at``."""
-    age = seconds_between(at, F.col("c_completed_at"))
-    return F.col("c_status").isin(*ACTIVE) | ((F.col("c_status") == "done") & F.col("c_completed_at").isNotNull() & (age < ttl_seconds))
+def cached_action(at: Column, status: Column, completed_at: Column, ttl_seconds: float = TTL_SECONDS) -> Column:
+    """J2 reuse rule for a job as it stood at ``at``: 'drop' while it is unfinished then (its final
+    status came later or never), 'reuse' when it was done less than ``ttl`` seconds before; else null."""
+    unfinished = completed_at.isNull() | (completed_at > at)
+    fresh = (status == "done") & (seconds_between(at, completed_at) < ttl_seconds)
+    return F.when(unfinished, F.lit("drop")).when(fresh, F.lit("reuse"))
 
 
 def batch_expand(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
     """One row per batch url with the action taken at the batch start:
 
-    * 'reuse' -- the latest job for the normalized url (submitted before the batch) is done within
-      the ttl: its result is used at once;
-    * 'drop' -- that job is pending / running, or an earlier url of the same batch already spawned
-      a child for this normalized url;
+    * 'reuse' -- the latest job for the normalized url was done then, within the ttl;
+    * 'drop' -- that job was pending / running then, or an earlier url of the same batch already
+      spawned a child for this normalized url;
     * 'spawn' -- a new child job.
 
-    The latest cached job per batch url is an as-of lookup (latest job of the same normalized url
-    submitted at or before the batch): a window inside (url, time chunk) with a carry through the
-    per-chunk summary, so a url shared by many jobs and batches never pairs every item with every
-    job.  Columns: batch_id, pos, url, norm_url, action, reused_job_id.
+    Every job counts, children of other batches included; a batch's own children are submitted
+    after it looked, so at one instant the order is: jobs, batch urls, children.  The lookup is an
+    as-of join: a window inside (url, time chunk) with a carry through the per-chunk summary, so a
+    url shared by many jobs and batches never pairs every item with every job.
+    Columns: batch_id, pos, url, norm_url, action, reused_job_id.
     """
     items = batches.select("batch_id", "submitted_at", F.posexplode("batch_urls").alias("pos", "url"))
-    items = _norm(items, "url", "norm_url")
-    cache = _norm(jobs.filter(F.col("parent_batch_id").isNull()).select("job_id", "url", "status", "submitted_at", "completed_at"),
-                  "url", "c_norm")
-    # item ids below zero, job ids as they are; an item sorts after every job of the same instant
-    item_id = -(F.col("batch_id") * F.lit(1 << 20) + F.col("pos")) - 1
-    micros = epoch_micros
-    rows = cache.select(F.col("c_norm").alias("key"), micros(F.col("submitted_at")).alias("t"), F.col("job_id").alias("s"),
-                        F.col("job_id").alias("rid"), F.lit(True).alias("mark")).unionByName(
-        items.select(F.col("norm_url").alias("key"), micros(F.col("submitted_at")).alias("t"),
-                     F.lit((1 << 63) - 1).alias("s"), item_id.alias("rid"), F.lit(False).alias("mark")))
-    latest = asof_predecessor(rows, CHUNK_SECONDS).filter(F.col("rid") < 0)
+    items = fence(_norm(fence(items), "url", "norm_url"))
+    cache = fence(_norm(jobs.select("job_id", "url", "status", "submitted_at", "completed_at", "parent_batch_id"), "url", "c_norm"))
+    none = F.lit(None).cast("long")
+    turn = F.when(F.col("parent_batch_id").isNull(), F.lit(0)).otherwise(F.lit(2))
+    rows = cache.select(F.col("c_norm").alias("key"), epoch_micros(F.col("submitted_at")).alias("t"),
+                        F.struct(turn.alias("turn"), F.col("job_id").alias("id")).alias("s"), F.col("job_id").alias("rid"),
+                        none.alias("batch_id"), F.lit(None).cast("int").alias("pos"), F.lit(True).alias("mark")).unionByName(
+        items.select(F.col("norm_url").alias("key"), epoch_micros(F.col("submitted_at")).alias("t"),
+                     F.struct(F.lit(1).alias("turn"), none.alias("id")).alias("s"), none.alias("rid"),
+                     F.col("batch_id").cast("long").alias("batch_id"), "pos", F.lit(False).alias("mark")))
+    latest = asof_predecessor(rows, CHUNK_SECONDS, ("batch_id", "pos", "mark")).filter(~F.col("mark")).drop("mark")
     looked = latest.join(cache.select(F.col("job_id").alias("prev"), F.col("status").alias("c_status"),
-                                      F.col("completed_at").alias("c_completed_at")), "prev", "left")
-    items = items.withColumn("rid", item_id).join(looked.select("rid", F.col("prev").alias("c_job"), "c_status", "c_completed_at"),
-                                                  "rid", "left")
-    reusable = cache_view(items, F.col("submitted_at"), ttl_seconds)
+                                      F.col("completed_at").alias("c_completed_at")), "prev")
+    items = items.join(looked, ["batch_id", "pos"], "left")
     first_in_batch = items.groupBy("batch_id", "norm_url").agg(F.min("pos").alias("first_pos"))
     items = items.join(first_in_batch, ["batch_id", "norm_url"])
-    action = (F.when(F.coalesce(reusable, F.lit(False)) & (F.col("c_status") == "done"), F.lit("reuse"))
-              .when(F.coalesce(reusable, F.lit(False)), F.lit("drop"))
-              .when(F.col("pos") != F.col("first_pos"), F.lit("drop"))
-              .otherwise(F.lit("spawn")))
+    cached = F.when(F.col("prev").isNotNull(), cached_action(F.col("submitted_at"), F.col("c_status"), F.col("c_completed_at"), ttl_seconds))
+    action = F.coalesce(cached, F.when(F.col("pos") != F.col("first_pos"), F.lit("drop")).otherwise(F.lit("spawn")))
     return items.select("batch_id", F.col("pos").cast("int").alias("pos"), "url", "norm_url", action.alias("action"),
-                        F.when(action == "reuse", F.col("c_job")).alias("reused_job_id"))
+                        F.when(action == "reuse", F.col("prev")).alias("reused_job_id"))
 
 
 def batch_children(expanded: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Spawned children with their outcome: the batch's own child jobs matched by position."""
-    kids = jobs.filter(F.col("parent_batch_id").isNotNull()).select(
-        F.col("parent_batch_id").alias("batch_id"), "job_id", "status", "pages_crawled", "pages_skipped", "error",
-        "started_at", "completed_at")
-    kids = kids.withColumn("pos", (F.row_number().over(Window.partitionBy("batch_id").orderBy("job_id")) - 1).cast("int"))
-    spawned = expanded.filter(F.col("action") == "spawn")
-    return spawned.join(kids, ["batch_id", "pos"])
+    """Spawned urls with their child job: the batch's child for the normalized url (the first, if
+    the table holds several)."""
+    own = ("job_id", "status", "pages_crawled", "pages_skipped", "error", "started_at", "completed_at")
+    kids = _norm(jobs.filter(F.col("parent_batch_id").isNotNull()), "url", "norm_url")
+    kids = kids.groupBy(F.col("parent_batch_id").alias("batch_id"), "norm_url").agg(F.min(F.struct(*own)).alias("k"))
+    return expanded.filter(F.col("action") == "spawn").join(kids, ["batch_id", "norm_url"]).select("batch_id", "pos", "url", "k.*")
+
+
+def batch_result_rows(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
+    """The result rows of every batch: reused results, finished children, children in progress.
+    Columns: batch_id, pos, url, job_id, status, page_count, error, finished."""
+    exp = materialize(batch_expand(batches, jobs, ttl_seconds))
+    kids = batch_children(exp, jobs)
+    finished = ~F.col("status").isin(*ACTIVE)
+    pages = F.when(finished & (F.col("status") != "done"), F.lit(None)).otherwise(F.col("pages_crawled"))
+    kid_rows = kids.select("batch_id", "pos", "url", "job_id", "status", pages.alias("page_count"), "error", finished.alias("finished"))
+    done = jobs.select(F.col("job_id").alias("reused_job_id"), F.col("pages_crawled").alias("page_count"))
+    reused = exp.filter(F.col("action") == "reuse").join(done, "reused_job_id").select(
+        "batch_id", "pos", "url", F.col("reused_job_id").alias("job_id"), F.lit("done").alias("status"), "page_count",
+        F.lit(None).cast("string").alias("error"), F.lit(True).alias("finished"))
+    return reused.unionByName(kid_rows)
 
 
 def batch_results(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
-    """J8, J15 per batch: url_count, completed_count (finished rows: reused results + finished
-    children; errors count as completed), done_count, in_progress_count, results rows."""
-    exp = batch_expand(batches, jobs, ttl_seconds)
-    kids = batch_children(exp, jobs)
-    reused = exp.filter(F.col("action") == "reuse").select("batch_id", F.lit(True).alias("finished"), F.lit("done").alias("status"))
-    kid_rows = kids.select("batch_id", (~F.col("status").isin(*ACTIVE)).alias("finished"), "status")
-    rows = reused.unionByName(kid_rows)
-    counts = rows.groupBy("batch_id").agg(
+    """J8, J15 per batch: url_count and counts of its result rows (errors count as completed)."""
+    counts = batch_result_rows(batches, jobs, ttl_seconds).groupBy("batch_id").agg(
         F.count_if(F.col("finished")).alias("completed_count"),
         F.count_if(F.col("status") == "done").alias("done_count"),
         F.count_if(~F.col("finished")).alias("in_progress_count"),
@@ -133,11 +139,10 @@ def batch_results(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_
 
 
 def batch_rollup(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
-    """J9 per batch: pages of the newly spawned children summed; status running while a child is
-    active, else done, or cancelled when a cancel was requested (children are not cancelled);
-    duration from the batch start to the last child completion."""
-    exp = batch_expand(batches, jobs, ttl_seconds)
-    kids = batch_children(exp, jobs)
+    """J9 per batch: pages of the spawned children summed; status running while a child is active,
+    else done, or cancelled when a cancel was requested (children are not cancelled); duration from
+    the batch start to the last child completion."""
+    kids = batch_children(batch_expand(batches, jobs, ttl_seconds), jobs)
     agg = kids.groupBy("batch_id").agg(
         F.sum("pages_crawled").cast("long").alias("pages_crawled"), F.sum("pages_skipped").cast("long").alias("pages_skipped"),
         F.count_if(F.col("status").isin(*ACTIVE)).alias("active_children"),
@@ -150,4 +155,5 @@ def batch_rollup(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_S
     return df.select(
         "batch_id", status.alias("status"), "pages_crawled", "pages_skipped", F.col("children").cast("long").alias("children"),
         F.when(done, F.coalesce(seconds_between(F.col("last_completed"), F.col("submitted_at")), F.lit(0.0))).alias("duration_seconds"),
+        F.when(done, F.coalesce("last_completed", "submitted_at")).alias("completed_at"),
     )

@@ -55,21 +55,26 @@ def format_duration(seconds: Column) -> Column:
     next minute rather than printing '60s')."""
     whole = F.round(seconds).cast("long")
     return (F.when(seconds.isNull(), F.lit(None))
-            .when(seconds < 60, F.concat(F.format_number(F.round(seconds, 1), 1), F.lit("s")))
+            .when(F.round(seconds, 1) < 60, F.concat(F.format_number(F.round(seconds, 1), 1), F.lit("s")))
             .otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), (whole % 60).cast("string"), F.lit("s"))))
 
 
-def job_listing(jobs: DataFrame, batches: DataFrame, as_of: str, status: str | None = None) -> DataFrame:
-    """Top-level jobs (no parent batch; batch parents included) newest first, with
-    elapsed, is_batch, batch_url_count and the total count; optional status filter."""
+def progress_pct() -> Column:
+    """100 when the crawl came to its end (done or cancelled), unknown otherwise."""
+    return F.when(F.col("status").isin("done", "cancelled"), F.lit(100.0))
+
+
+def job_listing(jobs: DataFrame, batches: DataFrame, rollup: DataFrame, as_of: str, status: str | None = None) -> DataFrame:
+    """Top-level jobs (no parent batch; batch parents included, with their status and
+    pages from the roll-up J9) newest first, with progress, elapsed, is_batch, batch_url_count and
+    the total count; optional status filter."""
     top = jobs.filter(F.col("parent_batch_id").isNull()).select(
         "job_id", "url", "status", "pages_crawled", "pages_skipped", "submitted_at", "started_at", "completed_at",
-        F.lit(0).alias("batch_url_count"))
-    parents = batches.select(
-        (-F.col("batch_id")).alias("job_id"), F.col("batch_urls")[0].alias("url"),
-        F.lit("done").alias("status"), F.lit(0).cast("long").alias("pages_crawled"), F.lit(0).cast("long").alias("pages_skipped"),
-        "submitted_at", F.col("submitted_at").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("completed_at"),
-        F.size("batch_urls").alias("batch_url_count"))
+        F.lit(0).alias("batch_url_count"), progress_pct().alias("progress_pct"))
+    parents = batches.join(rollup, "batch_id").select(
+        (-F.col("batch_id")).alias("job_id"), F.col("batch_urls")[0].alias("url"), "status", "pages_crawled", "pages_skipped",
+        "submitted_at", F.col("submitted_at").alias("started_at"), "completed_at", F.size("batch_urls").alias("batch_url_count"),
+        F.lit(None).cast("double").alias("progress_pct"))
     rows = top.unionByName(parents)
     if status:
         rows = rows.filter(F.col("status") == status)
@@ -77,7 +82,7 @@ def job_listing(jobs: DataFrame, batches: DataFrame, as_of: str, status: str | N
     total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1)))
     rows = rows.withColumn("_one", F.lit(1)).join(total, "_one")
     out = rows.select(
-        "job_id", "url", "status", "pages_crawled", "pages_skipped",
+        "job_id", "url", "status", "pages_crawled", "pages_skipped", "progress_pct",
         duration().alias("duration_seconds"), elapsed(as_of).alias("elapsed_seconds"),
         format_duration(duration()).alias("duration_text"),
         (F.col("batch_url_count") > 0).alias("is_batch"), F.col("batch_url_count").cast("int").alias("batch_url_count"),
@@ -88,14 +93,20 @@ def job_listing(jobs: DataFrame, batches: DataFrame, as_of: str, status: str | N
 
 
 def job_detail(jobs: DataFrame, as_of: str) -> DataFrame:
-    """Per job: counters, times; page_count only when done."""
+    """Per job: counters, progress, times; page_count only when done."""
     return jobs.select(
-        "job_id", "status", "url", "pages_crawled", "pages_skipped", "max_pages", "max_depth",
+        "job_id", "status", "url", "pages_crawled", "pages_skipped", "max_pages", "max_depth", progress_pct().alias("progress_pct"),
         elapsed(as_of).alias("elapsed_seconds"), duration().alias("duration_seconds"),
         F.when(F.col("status") == "done", F.col("pages_crawled")).alias("page_count"), "error",
     )
 
 
+def job_lookup(jobs: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
+    """J4 by id: one row per wanted ``job_id``, ``found`` false for ids no job has."""
+    detail = job_detail(jobs, as_of).withColumn("found", F.lit(True))
+    return ids.select("job_id").join(detail, "job_id", "left").fillna({"found": False})
+
+
 def job_metrics(jobs: DataFrame) -> DataFrame:
     """One row over all non-batch jobs (children included)."""
     s = F.col("status")

@@ -81,9 +81,9 @@ def asof_successor(data: DataFrame, probes: DataFrame, chunk: int) -> DataFrame:
     return out.select("pid", F.coalesce(F.col("nd"), F.col("later")).alias("did"))
 
 
-def asof_predecessor(rows: DataFrame, chunk: int) -> DataFrame:
+def asof_predecessor(rows: DataFrame, chunk: int, keep: tuple[str, ...] = ("rid",)) -> DataFrame:
     """For each row (key, t, s, rid, mark): the rid of the latest marked row at or before it
-    (in (t, s) order).  Columns: rid, prev."""
+    (in (t, s) order).  Columns: ``keep``, prev."""
     df = rows.withColumn("chunk", F.floor(F.col("t") / (chunk * 1_000_000)))
     w = Window.partitionBy("key", "chunk").orderBy("t", "s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("p", F.last(F.when(F.col("mark"), F.col("rid")), ignorenulls=True).over(w))
@@ -92,7 +92,7 @@ def asof_predecessor(rows: DataFrame, chunk: int) -> DataFrame:
     ws = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.withColumn("earlier", F.last("last_mark", ignorenulls=True).over(ws))
     out = df.join(lasts.select("key", "chunk", "earlier"), ["key", "chunk"], "left")
-    return out.select("rid", F.coalesce(F.col("p"), F.col("earlier")).alias("prev"))
+    return out.select(*keep, F.coalesce(F.col("p"), F.col("earlier")).alias("prev"))
 
 
 def ttl_dedup(requests: DataFrame, key: str, ts: str, run_seconds: str, failed: str, rid: str,

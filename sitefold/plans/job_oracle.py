@@ -7,38 +7,42 @@ from sitefold.plans import sqlparts as S
 from sitefold.sources import jobtables as T
 
 
-def _url(key: str, cust: str) -> str:
-    return (f"('https://' || CASE WHEN {key} % 4 = 1 THEN 'WWW.' ELSE 'www.' END || 'c' || CAST({cust} % 500 AS VARCHAR) "
+def _url(key: str) -> str:
+    return (f"('https://' || CASE WHEN {key} % 4 = 1 THEN 'WWW.' ELSE 'www.' END || 'c' || CAST(({key} // 4) % 500 AS VARCHAR) "
             f"|| '.example.com' || CASE WHEN {key} % 2 = 0 THEN '/' ELSE '' END)")
 
 
+_STARTS = ("SELECT o_custkey AS batch_id, min(o_orderdate) + to_seconds(o_custkey % 3 * 60) AS batch_start FROM orders "
+           "WHERE o_orderkey % 3 = 0 GROUP BY o_custkey")
+
+
 def jobs() -> str:
     return f"""
-    SELECT o_orderkey AS job_id, {_url('o_orderkey', 'o_custkey')} AS url, status,
+    SELECT o_orderkey AS job_id, {_url('o_orderkey')} AS url, status,
            CAST(CASE WHEN status = 'pending' THEN 0 ELSE ok_lines END AS BIGINT) AS pages_crawled,
            CAST(CASE WHEN status = 'pending' THEN 0 ELSE r_lines END AS BIGINT) AS pages_skipped,
-           CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS parent_batch_id,
-           {T.DEFAULT_MAX_PAGES} AS max_pages, {T.DEFAULT_MAX_DEPTH} AS max_depth, o_orderdate AS submitted_at, started_at,
+           CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS parent_batch_id, 50 AS max_pages, 3 AS max_depth, submitted_at, started_at,
            CASE WHEN status IN ('done', 'error', 'cancelled')
                 THEN started_at + to_microseconds(CAST((ok_lines * 2 + o_orderkey % 7) * 1000000 + 250000 AS BIGINT)) END AS completed_at,
-           CASE WHEN status = 'error' THEN 'Could not reach ' || {_url('o_orderkey', 'o_custkey')} || ': HTTP 503' END AS error
+           CASE WHEN status = 'error' THEN 'Could not reach ' || {_url('o_orderkey')} || ': HTTP 503' END AS error
     FROM (
-      SELECT *, CASE WHEN status != 'pending' THEN o_orderdate + to_microseconds(CAST((o_orderkey % 50) * 1000000 AS BIGINT)) END AS started_at
+      SELECT *, CASE WHEN status != 'pending' THEN submitted_at + to_microseconds(CAST((o_orderkey % 50) * 1000000 AS BIGINT)) END AS started_at
       FROM (
-        SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, coalesce(li.ok_lines, 0) AS ok_lines, coalesce(li.r_lines, 0) AS r_lines,
+        SELECT o.o_orderkey, o.o_custkey, coalesce(li.ok_lines, 0) AS ok_lines, coalesce(li.r_lines, 0) AS r_lines,
+               CASE WHEN o.o_orderkey % 6 = 0 THEN greatest(o.o_orderdate, b.batch_start) ELSE o.o_orderdate END AS submitted_at,
                CASE WHEN o.o_orderkey % 10 = 0 THEN 'error' WHEN o.o_orderkey % 10 = 1 THEN 'cancelled'
                     WHEN o.o_orderstatus = 'F' THEN 'done' WHEN o.o_orderstatus = 'O' THEN 'running' ELSE 'pending' END AS status
         FROM orders o LEFT JOIN (
           SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag != 'R') AS ok_lines,
                  count(*) FILTER (WHERE l_returnflag = 'R') AS r_lines FROM lineitem GROUP BY l_orderkey) li
-        ON o.o_orderkey = li.l_orderkey))
+        ON o.o_orderkey = li.l_orderkey LEFT JOIN ({_STARTS}) b ON b.batch_id = o.o_custkey))
     """
 
 
-def batches(jobs_sql: str) -> str:
-    return (f"SELECT parent_batch_id AS batch_id, list(url ORDER BY job_id) AS batch_urls, {T.DEFAULT_MAX_PAGES} AS max_pages, "
-            f"{T.DEFAULT_MAX_DEPTH} AS max_depth, min(submitted_at) AS submitted_at, parent_batch_id % 5 = 0 AS cancel_requested "
-            f"FROM ({jobs_sql}) WHERE parent_batch_id IS NOT NULL GROUP BY parent_batch_id")
+def batches() -> str:
+    return (f"SELECT batch_id, batch_urls, batch_start AS submitted_at, batch_id % 5 = 0 AS cancel_requested FROM "
+            f"(SELECT o_custkey AS batch_id, list({_url('o_orderkey')} ORDER BY o_orderkey) AS batch_urls FROM orders "
+            f"WHERE o_orderkey % 3 = 0 GROUP BY o_custkey) JOIN ({_STARTS}) USING (batch_id)")
 
 
 def requests() -> str:
@@ -114,7 +118,7 @@ def _secs(a: str, b: str) -> str:
 
 
 def job_states() -> str:
-    t = "TIMESTAMP '1995-06-17 00:00:00'"
+    t = "TIMESTAMP '2001-09-01 00:00:00'"
     state = (f"CASE WHEN completed_at IS NOT NULL AND completed_at <= {t} THEN status "
              f"WHEN started_at IS NOT NULL AND started_at <= {t} THEN 'running' ELSE 'pending' END")
     return (f"SELECT job_id, state, state IN ('pending', 'running') AS cancellable FROM "
@@ -131,23 +135,26 @@ def _elapsed() -> str:
 
 def _fmt(d: str) -> str:
     whole = f"CAST(round({d}) AS BIGINT)"
-    return (f"CASE WHEN {d} IS NULL THEN NULL WHEN {d} < 60 THEN printf('%.1f', round({d}, 1)) || 's' "
+    return (f"CASE WHEN {d} IS NULL THEN NULL WHEN round({d}, 1) < 60 THEN printf('%.1f', round({d}, 1)) || 's' "
             f"ELSE CAST(floor({whole} / 60) AS BIGINT) || 'm ' || CAST({whole} % 60 AS BIGINT) || 's' END")
 
 
+def _progress() -> str:
+    return "CASE WHEN status IN ('done', 'cancelled') THEN 100.0::DOUBLE END"
+
+
 def _listing(status: str | None) -> str:
-    j = jobs()
-    top = (f"SELECT job_id, url, status, pages_crawled, pages_skipped, submitted_at, started_at, completed_at, 0 AS batch_url_count "
-           f"FROM ({j}) WHERE parent_batch_id IS NULL")
-    parents = (f"SELECT -batch_id AS job_id, batch_urls[1] AS url, 'done' AS status, CAST(0 AS BIGINT) AS pages_crawled, "
-               f"CAST(0 AS BIGINT) AS pages_skipped, submitted_at, submitted_at AS started_at, CAST(NULL AS TIMESTAMP) AS completed_at, "
-               f"len(batch_urls) AS batch_url_count FROM ({batches(j)})")
+    top = (f"SELECT job_id, url, status, pages_crawled, pages_skipped, submitted_at, started_at, completed_at, 0 AS batch_url_count, "
+           f"{_progress()} AS progress_pct FROM ({jobs()}) WHERE parent_batch_id IS NULL")
+    parents = (f"SELECT -batch_id AS job_id, batch_urls[1] AS url, status, pages_crawled, pages_skipped, submitted_at, submitted_at AS started_at, "
+               f"completed_at, len(batch_urls) AS batch_url_count, NULL::DOUBLE AS progress_pct "
+               f"FROM ({batches()}) JOIN ({batch_rollup()}) USING (batch_id)")
     rows = f"SELECT * FROM ({top} UNION ALL {parents})"
     if status:
         rows = f"SELECT * FROM ({rows}) WHERE status = {S.lit(status)}"
     return f"""
     WITH rows AS ({rows}), d AS (SELECT *, {_duration()} AS duration_seconds FROM rows)
-    SELECT job_id, url, status, pages_crawled, pages_skipped, duration_seconds, {_elapsed()} AS elapsed_seconds,
+    SELECT job_id, url, status, pages_crawled, pages_skipped, progress_pct, duration_seconds, {_elapsed()} AS elapsed_seconds,
            {_fmt('duration_seconds')} AS duration_text, batch_url_count > 0 AS is_batch,
            CAST(batch_url_count AS INTEGER) AS batch_url_count, (SELECT count(*) FROM rows) AS total, submitted_at
     FROM d
@@ -163,10 +170,15 @@ def job_listing_done() -> str:
 
 
 def job_detail() -> str:
-    return (f"SELECT job_id, status, url, pages_crawled, pages_skipped, max_pages, max_depth, {_elapsed()} AS elapsed_seconds, "
+    return (f"SELECT job_id, status, url, pages_crawled, pages_skipped, max_pages, max_depth, {_progress()} AS progress_pct, {_elapsed()} AS elapsed_seconds, "
             f"{_duration()} AS duration_seconds, CASE WHEN status = 'done' THEN pages_crawled END AS page_count, error FROM ({jobs()})")
 
 
+def job_lookup() -> str:
+    return (f"SELECT job_id, status IS NOT NULL AS found, status, CASE WHEN status = 'done' THEN pages_crawled END AS page_count, error FROM "
+            f"(SELECT DISTINCT unnest([l_orderkey, l_orderkey + 1]) AS job_id FROM lineitem) LEFT JOIN ({jobs()}) USING (job_id)")
+
+
 def job_metrics() -> str:
     return (f"SELECT count(*) FILTER (WHERE status IN ('pending', 'running')) AS active_jobs, count(*) AS total_jobs, "
             f"count(*) FILTER (WHERE status = 'done') AS completed_jobs, count(*) FILTER (WHERE status = 'error') AS failed_jobs, "
@@ -186,24 +198,23 @@ def _norm_col(src: str, url: str, out: str) -> str:
 
 
 def _expand() -> str:
-    j = jobs()
-    items = (f"SELECT batch_id, submitted_at, CAST(i - 1 AS INTEGER) AS pos, batch_urls[i] AS url "
-             f"FROM (SELECT *, unnest(generate_series(1, len(batch_urls))) AS i FROM ({batches(j)}))")
+    """Each batch url looks at all jobs before it: submitted earlier, or at its instant and not a child."""
+    items = (f"SELECT batch_id, submitted_at AS started, CAST(i - 1 AS INTEGER) AS pos, batch_urls[i] AS url "
+             f"FROM (SELECT *, unnest(generate_series(1, len(batch_urls))) AS i FROM ({batches()}))")
     items = _norm_col(items, "url", "norm_url")
-    cache = _norm_col(f"SELECT job_id AS c_job, url AS c_url, status AS c_status, submitted_at AS c_submitted_at, "
-                      f"completed_at AS c_completed_at FROM ({j}) WHERE parent_batch_id IS NULL", "c_url", "c_norm")
-    reusable = (f"(c_status IN ('pending', 'running') OR (c_status = 'done' AND c_completed_at IS NOT NULL "
-                f"AND {_secs('submitted_at', 'c_completed_at')} < {TTL_SECONDS}))")
+    seen = _norm_col(f"SELECT job_id, url AS c_url, status, submitted_at, completed_at, parent_batch_id IS NOT NULL AS child FROM ({jobs()})", "c_url", "c_norm")
     return f"""
-    WITH items AS ({items}), cache AS ({cache}),
-    cand AS (SELECT i.*, c.c_job, c.c_status, c.c_completed_at,
-                    row_number() OVER (PARTITION BY i.batch_id, i.pos ORDER BY c.c_submitted_at DESC NULLS LAST, c.c_job DESC NULLS LAST) AS rn
-             FROM items i LEFT JOIN cache c ON i.norm_url = c.c_norm AND c.c_submitted_at <= i.submitted_at),
-    latest AS (SELECT *, min(pos) OVER (PARTITION BY batch_id, norm_url) AS first_pos FROM cand WHERE rn = 1),
-    act AS (SELECT *, CASE WHEN coalesce({reusable}, false) AND c_status = 'done' THEN 'reuse'
-                           WHEN coalesce({reusable}, false) THEN 'drop' WHEN pos != first_pos THEN 'drop' ELSE 'spawn' END AS action
-            FROM latest)
-    SELECT batch_id, pos, url, norm_url, action, CASE WHEN action = 'reuse' THEN c_job END AS reused_job_id FROM act
+    WITH items AS ({items}), seen AS ({seen}),
+    l AS (SELECT i.batch_id, i.pos, arg_max({{'id': job_id, 'status': status, 'completed_at': completed_at}},
+                 {{'t': submitted_at, 'child': child, 'id': job_id}}) AS j
+          FROM items i JOIN seen s ON i.norm_url = s.c_norm AND (s.submitted_at < i.started OR s.submitted_at = i.started AND NOT s.child)
+          GROUP BY i.batch_id, i.pos),
+    a AS (SELECT items.*, l.j, min(items.pos) OVER (PARTITION BY items.batch_id, norm_url) AS first_pos
+          FROM items LEFT JOIN l ON l.batch_id = items.batch_id AND l.pos = items.pos),
+    act AS (SELECT *, CASE WHEN j IS NOT NULL AND (j.completed_at IS NULL OR j.completed_at > started) THEN 'drop'
+                           WHEN j.status = 'done' AND started < j.completed_at + INTERVAL 1 HOUR THEN 'reuse'
+                           WHEN pos > first_pos THEN 'drop' ELSE 'spawn' END AS action FROM a)
+    SELECT batch_id, pos, url, norm_url, action, CASE WHEN action = 'reuse' THEN j.id END AS reused_job_id FROM act
     """
 
 
@@ -212,22 +223,30 @@ def batch_expand() -> str:
 
 
 def _children() -> str:
-    kids = (f"SELECT parent_batch_id AS batch_id, job_id, status, pages_crawled, pages_skipped, completed_at, "
-            f"CAST(row_number() OVER (PARTITION BY parent_batch_id ORDER BY job_id) - 1 AS INTEGER) AS pos "
-            f"FROM ({jobs()}) WHERE parent_batch_id IS NOT NULL")
-    return f"SELECT k.* FROM ({_expand()}) e JOIN ({kids}) k ON e.batch_id = k.batch_id AND e.pos = k.pos WHERE e.action = 'spawn'"
+    kids = _norm_col(f"SELECT * FROM ({jobs()}) WHERE parent_batch_id IS NOT NULL", "url", "norm_url")
+    return (f"SELECT e.batch_id, e.pos, e.url, k.job_id, k.status, k.pages_crawled, k.pages_skipped, k.error, k.completed_at "
+            f"FROM ({_expand()}) e JOIN ({kids}) k ON k.parent_batch_id = e.batch_id AND k.norm_url = e.norm_url "
+            f"WHERE e.action = 'spawn' QUALIFY row_number() OVER (PARTITION BY e.batch_id, e.pos ORDER BY k.job_id) = 1")
+
+
+def batch_result_rows() -> str:
+    return f"""
+    SELECT e.batch_id, e.pos, e.url, r.job_id, 'done' AS status, r.pages_crawled AS page_count, NULL::VARCHAR AS error, true AS finished
+    FROM ({_expand()}) e JOIN ({jobs()}) r ON r.job_id = e.reused_job_id
+    UNION ALL
+    SELECT batch_id, pos, url, job_id, status, CASE WHEN status IN ('error', 'cancelled') THEN NULL ELSE pages_crawled END, error,
+           status NOT IN ('pending', 'running') FROM ({_children()})
+    """
 
 
 def batch_results() -> str:
-    rows = (f"SELECT batch_id, true AS finished, 'done' AS status FROM ({_expand()}) WHERE action = 'reuse' "
-            f"UNION ALL SELECT batch_id, status NOT IN ('pending', 'running') AS finished, status FROM ({_children()})")
     return f"""
     WITH c AS (SELECT batch_id, count(*) FILTER (WHERE finished) AS completed_count, count(*) FILTER (WHERE status = 'done') AS done_count,
-                      count(*) FILTER (WHERE NOT finished) AS in_progress_count, count(*) AS result_rows FROM ({rows}) GROUP BY batch_id)
+                      count(*) FILTER (WHERE NOT finished) AS in_progress_count, count(*) AS result_rows FROM ({batch_result_rows()}) GROUP BY batch_id)
     SELECT b.batch_id, CAST(len(b.batch_urls) AS INTEGER) AS url_count, coalesce(completed_count, 0) AS completed_count,
            coalesce(done_count, 0) AS done_count, coalesce(in_progress_count, 0) AS in_progress_count,
            coalesce(result_rows, 0) AS result_rows
-    FROM ({batches(jobs())}) b LEFT JOIN c USING (batch_id)
+    FROM ({batches()}) b LEFT JOIN c USING (batch_id)
     """
 
 
@@ -237,10 +256,11 @@ def batch_rollup() -> str:
                       count(*) FILTER (WHERE status IN ('pending', 'running')) AS active_children, max(completed_at) AS last_completed,
                       count(*) AS children FROM ({_children()}) GROUP BY batch_id),
     b AS (SELECT b.*, coalesce(a.pages_crawled, 0) AS pc, coalesce(a.pages_skipped, 0) AS ps, coalesce(active_children, 0) AS ac,
-                 last_completed, coalesce(children, 0) AS ch FROM ({batches(jobs())}) b LEFT JOIN a USING (batch_id))
+                 last_completed, coalesce(children, 0) AS ch FROM ({batches()}) b LEFT JOIN a USING (batch_id))
     SELECT batch_id, CASE WHEN ac > 0 THEN 'running' WHEN cancel_requested THEN 'cancelled' ELSE 'done' END AS status,
            CAST(pc AS BIGINT) AS pages_crawled, CAST(ps AS BIGINT) AS pages_skipped, CAST(ch AS BIGINT) AS children,
-           CASE WHEN ac = 0 THEN coalesce({_secs('last_completed', 'submitted_at')}, 0.0) END AS duration_seconds
+           CASE WHEN ac = 0 THEN coalesce({_secs('last_completed', 'submitted_at')}, 0.0) END AS duration_seconds,
+           CASE WHEN ac = 0 THEN coalesce(last_completed, submitted_at) END AS completed_at
     FROM b
     """
 
@@ -253,9 +273,11 @@ ORACLE = {
     "job_listing": job_listing,
     "job_listing_done": job_listing_done,
     "job_detail": job_detail,
+    "job_lookup": job_lookup,
     "job_metrics": job_metrics,
     "recent_jobs": recent_jobs,
     "batch_expand": batch_expand,
     "batch_results": batch_results,
+    "batch_result_rows": batch_result_rows,
     "batch_rollup": batch_rollup,
 }

@@ -3,10 +3,13 @@ lineitem, events and pages)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sitefold.operators import batches as B
 from sitefold.operators import jobs as J
 from sitefold.operators import requests as R
 from sitefold.sources import jobtables as T
+from sitefold.sources.tables import read_table
 
 
 def q_seed_list(spark, sf_dir):
@@ -25,23 +28,31 @@ def q_request_dedup(spark, sf_dir):
 
 
 def q_job_states(spark, sf_dir):
-    return J.job_states(T.jobs_table(spark, sf_dir), "1995-06-17 00:00:00")
+    return J.job_states(T.jobs_table(spark, sf_dir), T.AS_OF)
 
 
 def q_job_listing(spark, sf_dir):
     jobs = T.jobs_table(spark, sf_dir)
-    return J.job_listing(jobs, T.batches_table(jobs), T.AS_OF)
+    batches = T.batches_table(spark, sf_dir)
+    return J.job_listing(jobs, batches, B.batch_rollup(batches, jobs), T.AS_OF)
 
 
 def q_job_listing_done(spark, sf_dir):
     jobs = T.jobs_table(spark, sf_dir)
-    return J.job_listing(jobs, T.batches_table(jobs), T.AS_OF, status="done")
+    batches = T.batches_table(spark, sf_dir)
+    return J.job_listing(jobs, batches, B.batch_rollup(batches, jobs), T.AS_OF, status="done")
 
 
 def q_job_detail(spark, sf_dir):
     return J.job_detail(T.jobs_table(spark, sf_dir), T.AS_OF)
 
 
+def q_job_lookup(spark, sf_dir):
+    """J4 by id for every key a line item or its successor names; successors may not exist."""
+    ids = read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).select(F.explode(F.array("l_orderkey", F.col("l_orderkey") + 1)).alias("job_id")).distinct()
+    return J.job_lookup(T.jobs_table(spark, sf_dir), ids, T.AS_OF).select("job_id", "found", "status", "page_count", "error")
+
+
 def q_job_metrics(spark, sf_dir):
     return J.job_metrics(T.jobs_table(spark, sf_dir))
 
@@ -52,17 +63,21 @@ def q_recent_jobs(spark, sf_dir):
 
 def q_batch_expand(spark, sf_dir):
     jobs = T.jobs_table(spark, sf_dir)
-    return B.batch_expand(T.batches_table(jobs), jobs)
+    return B.batch_expand(T.batches_table(spark, sf_dir), jobs)
 
 
 def q_batch_results(spark, sf_dir):
     jobs = T.jobs_table(spark, sf_dir)
-    return B.batch_results(T.batches_table(jobs), jobs)
+    return B.batch_results(T.batches_table(spark, sf_dir), jobs)
+
+
+def q_batch_result_rows(spark, sf_dir):
+    return B.batch_result_rows(T.batches_table(spark, sf_dir), T.jobs_table(spark, sf_dir))
 
 
 def q_batch_rollup(spark, sf_dir):
     jobs = T.jobs_table(spark, sf_dir)
-    return B.batch_rollup(T.batches_table(jobs), jobs)
+    return B.batch_rollup(T.batches_table(spark, sf_dir), jobs)
 
 
 QUERIES = {
@@ -73,9 +88,11 @@ QUERIES = {
     "job_listing": q_job_listing,
     "job_listing_done": q_job_listing_done,
     "job_detail": q_job_detail,
+    "job_lookup": q_job_lookup,
     "job_metrics": q_job_metrics,
     "recent_jobs": q_recent_jobs,
     "batch_expand": q_batch_expand,
     "batch_results": q_batch_results,
+    "batch_result_rows": q_batch_result_rows,
     "batch_rollup": q_batch_rollup,
 }

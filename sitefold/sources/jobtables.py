@@ -20,57 +20,66 @@ def _secs(n: Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("decimal(18,6)"))
 
 
-def job_url(key: Column, cust: Column) -> Column:
-    """Url of a job: host from the customer, spelled four ways (case, trailing slash)."""
+def job_url(key: Column) -> Column:
+    """Url of a job: one of 500 hosts from the order key, spelled four ways (case, trailing slash)."""
     host = F.concat(F.when(key % 4 == 1, F.lit("WWW.")).otherwise(F.lit("www.")), F.lit("c"),
-                    (cust % 500).cast("string"), F.lit(".example.com"))
+                    (F.floor(key / 4) % 500).cast("string"), F.lit(".example.com"))
     return F.concat(F.lit("https://"), host, F.when(key % 2 == 0, F.lit("/")).otherwise(F.lit("")))
 
 
+def batch_starts(orders: DataFrame) -> DataFrame:
+    """(batch_id, batch_start): a customer's orders with key % 3 = 0 form a batch, submitted 0, 60
+    or 120 s after the first of them."""
+    return orders.where(F.col("o_orderkey") % 3 == 0).groupBy(F.col("o_custkey").alias("batch_id")).agg(
+        F.min("o_orderdate").alias("first")).select("batch_id", (F.col("first") + _secs(F.col("batch_id") % 3 * 60)).alias("batch_start"))
+
+
 def jobs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jobs(job_id, url, status, pages_crawled, pages_skipped, parent_batch_id, max_pages,
-    max_depth, submitted_at, started_at, completed_at, error): one job per order; F -> done,
+    max_depth, submitted_at, started_at, completed_at, error, customer): one job per order; F -> done,
     O -> running, P -> pending, key % 10 = 0 -> error, = 1 -> cancelled; children of batch
-    o_custkey when key % 3 = 0; lineitems are page results (R -> skipped)."""
-    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
-    return jobs_from_orders(spark, sf_dir, orders)
+    o_custkey when key % 6 = 0 (half of the batch's urls), submitted when the batch starts or later;
+    lineitems are page results (R -> skipped)."""
+    return jobs_from_orders(spark, sf_dir, read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]))
 
 
 def jobs_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
-    """The jobs rule applied to an orders frame (batch or streaming; lineitem is read static)."""
+    """The jobs rule applied to an orders frame (batch or streaming; the other tables are read static)."""
     lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"]).groupBy("l_orderkey").agg(
         F.count_if(F.col("l_returnflag") != "R").alias("ok_lines"), F.count_if(F.col("l_returnflag") == "R").alias("r_lines"))
+    starts = batch_starts(read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]))
     df = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").fillna({"ok_lines": 0, "r_lines": 0})
+    df = df.join(starts, df.o_custkey == starts.batch_id, "left")
     key = F.col("o_orderkey")
     status = (F.when(key % 10 == 0, F.lit("error")).when(key % 10 == 1, F.lit("cancelled"))
               .when(F.col("o_orderstatus") == "F", F.lit("done")).when(F.col("o_orderstatus") == "O", F.lit("running"))
               .otherwise(F.lit("pending")))
-    df = df.withColumn("status", status)
-    started = F.when(F.col("status") != "pending", F.col("o_orderdate") + _secs(key % 50))
-    df = df.withColumn("started_at", started)
+    submitted = F.when(key % 6 == 0, F.greatest("o_orderdate", "batch_start")).otherwise(F.col("o_orderdate"))
+    df = df.withColumns({"status": status, "submitted_at": submitted})
+    df = df.withColumn("started_at", F.when(F.col("status") != "pending", F.col("submitted_at") + _secs(key % 50)))
     terminal = F.col("status").isin("done", "error", "cancelled")
     completed = F.when(terminal, F.col("started_at") + _secs(F.col("ok_lines") * 2 + key % 7 + F.lit(0.25)))
     return df.select(
-        key.alias("job_id"), job_url(key, F.col("o_custkey")).alias("url"), "status",
+        key.alias("job_id"), job_url(key).alias("url"), "status",
         F.when(F.col("status") == "pending", 0).otherwise(F.col("ok_lines")).cast("long").alias("pages_crawled"),
         F.when(F.col("status") == "pending", 0).otherwise(F.col("r_lines")).cast("long").alias("pages_skipped"),
-        F.when(key % 3 == 0, F.col("o_custkey")).alias("parent_batch_id"),
+        F.when(key % 6 == 0, F.col("o_custkey")).alias("parent_batch_id"),
         F.lit(DEFAULT_MAX_PAGES).alias("max_pages"), F.lit(DEFAULT_MAX_DEPTH).alias("max_depth"),
-        F.col("o_orderdate").alias("submitted_at"), "started_at", completed.alias("completed_at"),
-        F.when(F.col("status") == "error", F.concat(F.lit("Could not reach "), job_url(key, F.col("o_custkey")),
-                                                   F.lit(": HTTP 503"))).alias("error"),
+        "submitted_at", "started_at", completed.alias("completed_at"),
+        F.when(F.col("status") == "error", F.concat(F.lit("Could not reach "), job_url(key), F.lit(": HTTP 503"))).alias("error"),
+        F.col("o_custkey").alias("customer"),
     )
 
 
-def batches_table(jobs: DataFrame) -> DataFrame:
+def batches_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """batches(batch_id, batch_urls, max_pages, max_depth, submitted_at, cancel_requested): one
-    batch per customer with child jobs; urls in job order (bounded by the customer's orders)."""
-    kids = jobs.filter(F.col("parent_batch_id").isNotNull())
-    return kids.groupBy(F.col("parent_batch_id").alias("batch_id")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("job_id", "url"))), lambda x: x["url"]).alias("batch_urls"),
-        F.min("submitted_at").alias("submitted_at"),
-    ).select("batch_id", "batch_urls", F.lit(DEFAULT_MAX_PAGES).alias("max_pages"), F.lit(DEFAULT_MAX_DEPTH).alias("max_depth"),
-             "submitted_at", (F.col("batch_id") % 5 == 0).alias("cancel_requested"))
+    batch per customer; its urls in order of the keys (a request's own list)."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    items = orders.where(F.col("o_orderkey") % 3 == 0).groupBy(F.col("o_custkey").alias("batch_id")).agg(
+        F.transform(F.sort_array(F.collect_list("o_orderkey")), job_url).alias("batch_urls"))
+    return items.join(batch_starts(orders), "batch_id").select(
+        "batch_id", "batch_urls", F.lit(DEFAULT_MAX_PAGES).alias("max_pages"), F.lit(DEFAULT_MAX_DEPTH).alias("max_depth"),
+        F.col("batch_start").alias("submitted_at"), (F.col("batch_id") % 5 == 0).alias("cancel_requested"))
 
 
 def requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:

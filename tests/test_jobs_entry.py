@@ -40,10 +40,10 @@ def test_metrics_listing_topk_and_durations(spark):
     assert top == [10, 9, 8, 7, 6, 5, 4, 3, 2, 13]            # equal submission times: higher id first
     batches = spark.createDataFrame([], "batch_id long, batch_urls array<string>, max_pages int, max_depth int, "
                                         "submitted_at timestamp_ntz, cancel_requested boolean")
-    listing = J.job_listing(jobs, batches, "2024-01-02 00:00:00").collect()
+    listing = J.job_listing(jobs, batches, B.batch_rollup(batches, jobs), "2024-01-02 00:00:00").collect()
     assert len(listing) == 13 and all(r["total"] == 13 for r in listing)
     texts = {r["job_id"]: r["duration_text"] for r in listing}
-    assert texts[0] == "60.0s" and texts[1] == "2m 0s" and texts[11] is None
+    assert texts[0] == "1m 0s" and texts[1] == "2m 0s" and texts[11] is None
     assert {r["job_id"]: r["elapsed_seconds"] for r in listing}[11] is None
     states = {r["job_id"]: (r["state"], r["cancellable"]) for r in J.job_states(jobs, "2024-01-01 00:00:30").collect()}
     assert states[11] == ("pending", True) and states[12] == ("error", False) and states[0] == ("running", True)
@@ -140,12 +140,12 @@ def test_chunked_running_sum_matches_window(spark):
 
 
 def test_batch_results_and_rollup_cases(spark):
-    T1 = T0 + dt.timedelta(seconds=30)
+    T1 = T0 + dt.timedelta(seconds=30)                   # the children are submitted when the batch starts
     jobs = spark.createDataFrame([
-        _job(10, "https://k1.com", "done", T0, T0, T0 + dt.timedelta(seconds=5), parent=1, crawled=3, skipped=1),
-        _job(11, "https://k2.com", "error", T0, T0, T0 + dt.timedelta(seconds=7), parent=1, crawled=0, skipped=2),
-        _job(20, "https://k3.com", "running", T0, T0, parent=2, crawled=4),
-        _job(30, "https://k4.com", "done", T0, T0, T0 + dt.timedelta(seconds=9), parent=3, crawled=1),
+        _job(10, "https://k1.com", "done", T1, T1, T1 + dt.timedelta(seconds=5), parent=1, crawled=3, skipped=1),
+        _job(11, "https://k2.com", "error", T1, T1, T1 + dt.timedelta(seconds=7), parent=1, crawled=0, skipped=2),
+        _job(20, "https://k3.com", "running", T1, T1, parent=2, crawled=4),
+        _job(30, "https://k4.com", "done", T1, T1, T1 + dt.timedelta(seconds=9), parent=3, crawled=1),
     ], JOBS_SCHEMA)
     batches = spark.createDataFrame([
         (1, ["https://k1.com", "https://k2.com"], 50, 3, T1, False),
@@ -158,3 +158,45 @@ def test_batch_results_and_rollup_cases(spark):
     assert res == {1: (2, 2, 1, 0), 2: (1, 0, 0, 1), 3: (1, 1, 1, 0), 4: (0, 0, 0, 0)}   # errors count as completed
     roll = {r["batch_id"]: (r["status"], r["pages_crawled"], r["pages_skipped"]) for r in B.batch_rollup(batches, jobs).collect()}
     assert roll == {1: ("done", 3, 3), 2: ("running", 4, 0), 3: ("cancelled", 1, 0), 4: ("done", 0, 0)}
+
+
+BATCHES = "batch_id long, batch_urls array<string>, max_pages int, max_depth int, submitted_at timestamp_ntz, cancel_requested boolean"
+
+
+def _at(seconds):
+    return T0 + dt.timedelta(seconds=seconds)
+
+
+def test_children_are_matched_by_url(spark):
+    """Reused and dropped urls before a spawned one don't shift its child."""
+    jobs = spark.createDataFrame([
+        _job(1, "https://a.com", "done", _at(0), _at(0), _at(10), crawled=2), _job(2, "https://later.com", "running", _at(50), _at(50)),
+        _job(3, "https://b.com", "done", _at(100), _at(100), _at(120), parent=9, crawled=7),
+    ], JOBS_SCHEMA)
+    batches = spark.createDataFrame([(9, ["https://a.com/", "https://later.com", "https://b.com"], 50, 3, _at(60), False)], BATCHES)
+    rows = [(r["pos"], r["job_id"], r["status"], r["page_count"], r["finished"]) for r in B.batch_result_rows(batches, jobs).orderBy("pos").collect()]
+    assert rows == [(0, 1, "done", 2, True), (2, 3, "done", 7, True)]
+    roll = B.batch_rollup(batches, jobs).collect()[0]
+    assert (roll["status"], roll["children"], roll["pages_crawled"], roll["duration_seconds"]) == ("done", 1, 7, 60.0)
+
+
+def test_cache_is_seen_as_of_the_batch_start(spark):
+    jobs = spark.createDataFrame([
+        _job(1, "https://a.com", "done", _at(0), _at(0), _at(4950)), _job(2, "https://b.com", "error", _at(0), _at(0), _at(900)),
+        _job(3, "https://c.com", "done", _at(0), _at(0), _at(100)), _job(4, "https://d.com", "done", _at(0), _at(0), _at(20), parent=8),
+    ], JOBS_SCHEMA)
+
+    def actions(seconds):
+        batches = spark.createDataFrame([(9, [f"https://{x}.com" for x in "abcd"], 50, 3, _at(seconds), False)], BATCHES)
+        return [r["action"] for r in B.batch_expand(batches, jobs).orderBy("pos").collect()]
+
+    assert actions(50) == ["drop", "drop", "drop", "reuse"]        # a, b, c still ran; another batch's child counts
+    assert actions(1000) == ["drop", "spawn", "reuse", "reuse"]    # b had failed
+    assert actions(100 + 3600) == ["drop", "spawn", "spawn", "spawn"]  # the age reaches the ttl
+
+
+def test_job_states_list_every_job_and_lookup_by_id(spark):
+    jobs = spark.createDataFrame([_job(1, "https://a.com", "done", _at(0), _at(1), _at(5)), _job(2, "https://b.com", "pending", _at(3))], JOBS_SCHEMA)
+    assert [(r["job_id"], r["state"]) for r in J.job_states(jobs, "2024-01-01 00:00:04").orderBy("job_id").collect()] == [(1, "running"), (2, "pending")]
+    found = J.job_lookup(jobs, spark.createDataFrame([(1,), (77,)], "job_id long"), "2024-01-02 00:00:00").orderBy("job_id").collect()
+    assert [(r["job_id"], r["found"], r["progress_pct"]) for r in found] == [(1, True, 100.0), (77, False, None)]
