@@ -1,4 +1,4 @@
-"""Crawl dataflow over stored pages.
+"""Crawl dataflow over stored pages.
 
 The reference drains a FIFO queue with one worker per job; here every site's queue is processed a
 level at a time, all sites in one DataFrame, with order defined as one FIFO worker would see it:
@@ -49,7 +49,7 @@ def _annotate(df: DataFrame, rules: DataFrame | None, agent: str) -> DataFrame:
 
 
 def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFrame, rules: DataFrame | None,
-          agent: str, max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+          agent: str) -> tuple[DataFrame, DataFrame]:
     """Run the crawl for every job at once.
 
     jobs:     (site, root_url, max_pages, max_depth); ``max_pages`` null means no cap
@@ -67,7 +67,7 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     mode = seeds.groupBy("site").agg(F.max("sitemap_seeded").alias("sitemap_seeded"))
     jobs = _checkpoint(jobs.join(mode, "site", "left").fillna({"sitemap_seeded": False}))
     deepest = jobs.agg(F.max("max_depth")).first()[0]
-    limit = max_levels if max_levels is not None else (deepest or 0) + 1
+    limit = (deepest or 0) + 1
     # everything the loop reads is prepared and materialized once
     outcomes = _checkpoint(outcomes.select("norm_url", F.col("ok").alias("_ok"), F.col("error").alias("_err")))
     link_cols = ["site", "src_norm", "lp", "url", "norm_url", "_netsite", "_crawlable", "allowed"]
@@ -169,19 +169,3 @@ def crawl_summary(jobs: DataFrame, seeds: DataFrame, result: DataFrame, levels:
         "error",
         F.lit(100.0).alias("progress_pct"),
     )
-
-
-def fetch_plan(urls: DataFrame, per_host: int = 2, delay: float = 0.1) -> DataFrame:
-    """C14: host quota as data: urls of one raw netloc ranked in order into waves of ``per_host``
-    requests, each wave starting ``delay`` seconds after the previous one.
-
-    urls: (url, ord) -> (host, url, ord, slot, wave, offset_seconds).
-    """
-    df = U.add_url_parts(urls, "url", "p").withColumn("host", F.col("p_netloc"))
-    df = U.drop_url_parts(df, "p")
-    # queue position per host: ranked in parallel chunks (a busy host is not sorted in one task)
-    df = chunked_row_number(df, ["host"], "ord", "queue_pos").withColumn("queue_pos", F.col("queue_pos") - 1)
-    q = F.col("queue_pos")
-    return df.select("host", "url", "ord", (q % per_host).cast("int").alias("slot"),
-                     F.floor(q / per_host).cast("long").alias("wave"),
-                     (F.floor(q / per_host) * delay).cast("double").alias("offset_seconds"))

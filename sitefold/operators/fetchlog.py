@@ -1,8 +1,8 @@
-"""Fetch log folding (C7-C9): stored fetch attempts -> one outcome per url.
+"""Fetch log folding (C7, C8): stored fetch attempts -> one outcome per url.
 
 Each attempt is classified by one ``when`` chain (ok / final / retry, with its message and wait);
-then one aggregation per url picks the first ok-or-final attempt, else the last retry error.
-The attempt list per url is bounded by ``max_retries + 1``.
+then one aggregation per url picks the first ok-or-final attempt, else the last retry error.  ``body`` names the reply's content (a page
+id, a blob key): no html passes through the aggregation.
 """
 
 from __future__ import annotations
@@ -12,23 +12,21 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------------------
 MAX_RETRIES = 2
-BACKOFF_BASE = 1.0
 RETRY_AFTER_DEFAULT = 5.0
 RATE_LIMITED = "HTTP 429 (rate limited)"
 # ----------------------------------------------------------------------------------------------
 
 
-def classify_attempts(attempts: DataFrame, max_retries: int = MAX_RETRIES, backoff_base: float = BACKOFF_BASE,
-                      retry_after_default: float = RETRY_AFTER_DEFAULT, key: str = "norm_url") -> DataFrame:
-    """Per attempt: kind (ok / final / retry), error message, seconds waited after it."""
+def classify_attempts(attempts: DataFrame, max_retries: int = MAX_RETRIES, key: str = "norm_url") -> DataFrame:
+    """Per attempt: kind (ok / final / retry) and error message.  A non-numeric Retry-After ends the
+    url with the conversion error."""
     last = max_retries
     a = attempts.filter(F.col("attempt") <= last)
     status, attempt = F.col("status"), F.col("attempt")
     ctype = F.coalesce(F.col("content_type"), F.lit(""))
-    ra_text = F.coalesce(F.col("retry_after"), F.lit(str(retry_after_default)))
+    ra_text = F.coalesce(F.col("retry_after"), F.lit(str(RETRY_AFTER_DEFAULT)))
     ra = F.expr("try_cast(trim(coalesce(retry_after, '')) as double)")
-    ra = F.when(F.col("retry_after").isNull(), F.lit(retry_after_default)).otherwise(ra)
-    backoff = F.when(attempt < last, F.lit(backoff_base) * F.pow(F.lit(2.0), attempt)).otherwise(F.lit(0.0))
+    ra = F.when(F.col("retry_after").isNull(), F.lit(RETRY_AFTER_DEFAULT)).otherwise(ra)
     kind = (
         F.when(F.col("error_kind").isin("timeout", "connect"), F.lit("retry"))
         .when(F.col("error_kind").isNotNull(), F.lit("final"))
@@ -46,27 +44,15 @@ def classify_attempts(attempts: DataFrame, max_retries: int = MAX_RETRIES, backo
               .otherwise(F.lit(RATE_LIMITED)))
         .otherwise(F.concat(F.lit("HTTP "), status.cast("string")))
     )
-    wait = (
-        F.when(F.col("error_kind").isin("timeout", "connect"), backoff)
-        .when(F.col("error_kind").isNotNull(), F.lit(0.0))
-        .when(status == 429, F.coalesce(ra, F.lit(0.0)))
-        .when(status == 200, F.lit(0.0))
-        .when((status >= 400) & (status < 500), F.lit(0.0))
-        .otherwise(backoff)
-    )
-    return a.select(key, attempt.alias("attempt"), kind.alias("kind"), error.alias("error"), wait.cast("double").alias("wait"),
-                    "body")
+    return a.select(key, attempt.alias("attempt"), kind.alias("kind"), error.alias("error"), "body")
 
 
-def fetch_outcomes(attempts: DataFrame, max_retries: int = MAX_RETRIES, backoff_base: float = BACKOFF_BASE,
-                   retry_after_default: float = RETRY_AFTER_DEFAULT, key: str = "norm_url") -> DataFrame:
-    """fetch_outcome(key, ok, html, error, attempts_used, waited_seconds).
+def fetch_outcomes(attempts: DataFrame, max_retries: int = MAX_RETRIES, key: str = "norm_url") -> DataFrame:
+    """fetch_outcome(key, ok, body, error, attempts_used).
 
-    First ok-or-final attempt wins; otherwise the last retry's error.  Waits: backoff base*2^k after
-    a timeout or 5xx-like reply except on the last attempt; Retry-After (default 5 s) after every
-    429, the last one included; a non-numeric Retry-After ends the url with the conversion error.
+    First ok-or-final attempt wins; otherwise the last retry's error.
     """
-    c = classify_attempts(attempts, max_retries, backoff_base, retry_after_default, key)
+    c = classify_attempts(attempts, max_retries, key)
     terminal = F.col("kind").isin("ok", "final")
     per = c.groupBy(key).agg(
         F.min(F.when(terminal, F.col("attempt"))).alias("t"),
@@ -74,16 +60,13 @@ def fetch_outcomes(attempts: DataFrame, max_retries: int = MAX_RETRIES, backoff_
         F.max_by("error", F.when(F.col("kind") == "retry", F.col("attempt"))).alias("last_retry"),
         F.max("attempt").alias("last"),
         F.min_by("body", F.when(F.col("kind") == "ok", F.col("attempt"))).alias("first_ok_body"),
-        F.sort_array(F.collect_list(F.struct("attempt", "wait"))).alias("waits"),
     )
     t = F.col("t")
     ok = F.coalesce(F.col("term.kind") == "ok", F.lit(False))
-    waited = F.aggregate(F.filter("waits", lambda w: t.isNull() | (w["attempt"] < t)), F.lit(0.0), lambda s, w: s + w["wait"])
     return per.select(
         key,
         ok.alias("ok"),
-        F.when(ok, F.col("first_ok_body")).alias("html"),
+        F.when(ok, F.col("first_ok_body")).alias("body"),
         F.when(t.isNotNull(), F.col("term.error")).otherwise(F.coalesce(F.col("last_retry"), F.lit("unknown error"))).alias("error"),
         F.when(t.isNotNull(), t + 1).otherwise(F.col("last") + 1).cast("int").alias("attempts_used"),
-        waited.cast("double").alias("waited_seconds"),
     )

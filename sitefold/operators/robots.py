@@ -106,9 +106,8 @@ def chosen_groups(rules: DataFrame, agent: str) -> DataFrame:
     name = agent.split("/")[0].lower()
     groups = rules.select("site", "group_no", "is_default", "agents").distinct()
     match = F.exists("agents", lambda t: F.instr(F.lit(name), F.lower(t)) > 0)
-    key = F.when(~F.col("is_default") & match, F.col("group_no")).when(F.col("is_default"), F.col("group_no") + (1 << 30))
-    picked = groups.groupBy("site").agg(F.min(key).alias("k")).filter(F.col("k").isNotNull())
-    return picked.select("site", F.when(F.col("k") >= (1 << 30), F.col("k") - (1 << 30)).otherwise(F.col("k")).alias("group_no"))
+    groups = groups.filter(F.col("is_default") | match)
+    return groups.groupBy("site").agg(F.min(F.struct("is_default", "group_no")).alias("k")).select("site", F.col("k.group_no").alias("group_no"))
 
 
 def url_path_key(df: DataFrame, url: str, out: str) -> DataFrame:
@@ -124,14 +123,11 @@ def robots_decisions(urls: DataFrame, rules: DataFrame, agent: str, url: str = "
     """``urls`` (site, url, ...) + ``allowed``: the first rule (file order) of the chosen group
     whose path is a prefix of the url's path key wins; no rule, no group or no robots -> allowed.
 
-    Decisions are computed once per distinct (site, path key) and joined back.
+    A robots file is one bounded text, so the chosen group's rules are one array per site: the urls
+    join it once, and the first match is found in the array.
     """
-    chosen = chosen_groups(rules, agent)
-    active = rules.join(chosen, ["site", "group_no"]).filter(F.col("rule_no").isNotNull())
-    active = active.select("site", F.col("rule_no").alias("_rn"), F.col("allow").alias("_allow"), F.col("path").alias("_rule"))
-    keyed = url_path_key(urls, url, "_pq")
-    needed = keyed.select("site", "_pq").distinct()
-    hits = needed.join(active, "site").filter(F.col("_pq").startswith(F.col("_rule")))
-    first = hits.groupBy("site", "_pq").agg(F.min_by("_allow", "_rn").alias("_first"))
-    out = keyed.join(first, ["site", "_pq"], "left").withColumn("allowed", F.coalesce(F.col("_first"), F.lit(True)))
-    return out.drop("_pq", "_first")
+    active = rules.join(chosen_groups(rules, agent), ["site", "group_no"]).filter(F.col("rule_no").isNotNull())
+    listed = active.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("rule_no", "allow", "path"))).alias("_rules"))
+    keyed = url_path_key(urls, url, "_pq").join(listed, "site", "left")
+    first = F.try_element_at(F.filter("_rules", lambda r: F.col("_pq").startswith(r["path"])), F.lit(1))
+    return keyed.withColumn("allowed", F.coalesce(first["allow"], F.lit(True))).drop("_pq", "_rules")

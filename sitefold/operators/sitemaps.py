@@ -1,8 +1,8 @@
 """Sitemaps (S6, R4-R7): parse stored sitemap documents, expand indexes depth first, assemble seeds.
 
 Expansion is a fixed number of joins (nesting levels 0..3) between discovered sitemap urls and the
-``sitemap_docs`` table; every discovered url carries its position path (array<int>) so sorting by
-it reproduces depth-first document order, and ``row_number() <= limit`` applies the limit.
+``sitemap_docs`` table; every document carries its position path (array<int>), whose order is the
+depth-first document order.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ XML_SCHEMA = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
 # ----------------------------------------------------------------------------------------------
 
 # first element name after the prolog, comments and declarations
-ROOT_TAG_RE = "^(?:\\s|<\\?[^>]*\\?>|<!--.*?-->|<![^>]*>)*<([A-Za-z_][^\\s/>]*)"
+ROOT_TAG_RE = "^(?:\\s++|<\\?[^>]*\\?>|<!--.*?-->|<![^>]*>)*<([A-Za-z_][^\\s/>]*)"
 
 
 def parse_sitemap_docs(docs: DataFrame) -> DataFrame:
@@ -40,34 +40,31 @@ def parse_sitemap_docs(docs: DataFrame) -> DataFrame:
     return parsed.filter(F.col("locs").isNotNull() & (F.col("root") != "")).drop("root")
 
 
-def sitemap_urls(directives: DataFrame, docs: DataFrame, limits: DataFrame | None = None, default_limit: int = 200) -> DataFrame:
+def sitemap_urls(directives: DataFrame, docs: DataFrame, limits: DataFrame) -> DataFrame:
     """Page urls per site from its robots sitemap directives, depth first, indexes nested up
-    to level 3, the first ``limit`` kept (per-site ``max_pages`` from ``limits`` when given).
+    to level 3, the first ``max_pages`` of the site's row in ``limits`` kept (null: all).
 
+    A url's number is the count of urls in the sitemap documents before its own plus its place
+    there, so only the documents of a site are put in order, never its urls.
     ``directives``: (site, pos, sitemap_url).  Result: (site, seq, url) with seq = 0, 1, ...
     """
     parsed = materialize(parse_sitemap_docs(docs))
     level = directives.select("site", F.array(F.col("pos").cast("int")).alias("path"), "sitemap_url")
     found = []
-    for depth in range(MAX_SITEMAP_DEPTH + 1):
-        hit = level.join(parsed, "sitemap_url").select("site", "path", "is_index", F.posexplode("locs").alias("i", "loc"))
-        hit = hit.withColumn("path", F.concat("path", F.array(F.col("i").cast("int"))))
-        found.append(hit.filter(~F.col("is_index")).select("site", "path", F.col("loc").alias("url")))
-        level = hit.filter(F.col("is_index")).select("site", "path", F.col("loc").alias("sitemap_url"))
-    urls = found[0]
+    for _ in range(MAX_SITEMAP_DEPTH + 1):
+        hit = level.join(parsed, "sitemap_url")
+        found.append(hit.filter(~F.col("is_index")).select("site", "path", "locs"))
+        level = hit.filter(F.col("is_index")).select("site", "path", F.posexplode("locs").alias("i", "sitemap_url"))
+        level = level.select("site", F.concat("path", F.array(F.col("i").cast("int"))).alias("path"), "sitemap_url")
+    lists = found[0]
     for more in found[1:]:
-        urls = urls.unionByName(more)
-    if limits is not None:
-        urls = urls.join(limits.select("site", F.col("max_pages").alias("_lim")), "site")
-        top = limits.agg(F.max("max_pages")).first()[0] or 0
-    else:
-        urls = urls.withColumn("_lim", F.lit(default_limit))
-        top = default_limit
-    # a literal bound first (planned as a partial top-k before the shuffle), then each site's own
-    w = Window.partitionBy("site").orderBy("path")
-    urls = urls.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= int(top))
-    urls = urls.filter(F.col("_rn") <= F.col("_lim"))
-    return urls.select("site", (F.col("_rn") - 1).cast("int").alias("seq"), "url")
+        lists = lists.unionByName(more)
+    before = Window.partitionBy("site").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lists.select("site", "path", F.size("locs").cast("long").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    lists = lists.join(starts.select("site", "path", "start"), ["site", "path"]).join(limits.select("site", F.col("max_pages").alias("_lim")), "site")
+    urls = lists.filter(F.col("_lim").isNull() | (F.col("start") < F.col("_lim"))).select("site", "_lim", "start", F.posexplode("locs").alias("i", "url"))
+    urls = urls.withColumn("seq", F.col("start") + F.col("i")).filter(F.col("_lim").isNull() | (F.col("seq") < F.col("_lim")))
+    return urls.select("site", F.col("seq").cast("int").alias("seq"), "url")
 
 
 def site_seeds(jobs: DataFrame, directives: DataFrame, docs: DataFrame) -> DataFrame:
@@ -85,12 +82,14 @@ def site_seeds(jobs: DataFrame, directives: DataFrame, docs: DataFrame) -> DataF
     sm = U.add_url_parts(sm, "url", "s")
     sm = U.drop_url_parts(U.add_normalized(sm, "s", "norm"), "s")
     sm = sm.join(jobs, "site")
-    root_found = sm.filter(F.col("norm") == F.col("norm_root")).select("site").distinct()
-    root_rows = jobs.join(seeded_sites, "site", "left_semi").join(root_found, "site", "left_anti") \
-        .select("site", F.lit(-1).alias("seq"), F.col("root_url").alias("url"), "root_url", "max_pages", "norm_root")
-    both = sm.select("site", "seq", "url", "root_url", "max_pages", "norm_root").unionByName(root_rows)
-    w = Window.partitionBy("site").orderBy("seq")
-    both = both.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < F.col("max_pages"))
+    sm = sm.select("site", "seq", "url", "norm")
+    in_list = sm.join(jobs.select("site", "norm_root"), "site").filter(F.col("norm") == F.col("norm_root")).select("site", F.lit(True).alias("listed")).distinct()
+    seeded = jobs.join(seeded_sites, "site", "left_semi").join(in_list, "site", "left").withColumn("shift", F.when(F.col("listed"), 0).otherwise(1))
+    # a root that no sitemap lists comes first, the urls behind it
+    root_rows = seeded.filter(F.col("shift") == 1).select("site", "root_url", "max_pages", F.lit(0).alias("pos"), F.col("root_url").alias("url"))
+    both = sm.join(seeded.select("site", "root_url", "max_pages", "shift"), "site") \
+        .select("site", "root_url", "max_pages", (F.col("seq") + F.col("shift")).alias("pos"), "url").unionByName(root_rows)
+    both = both.filter(F.col("max_pages").isNull() | (F.col("pos") < F.col("max_pages")))
     sitemap_seeds = both.select("site", "root_url", F.col("pos").cast("int").alias("pos"), "url",
                                 F.lit(0).alias("depth"), F.lit(True).alias("sitemap_seeded"))
     bfs = jobs.join(seeded_sites, "site", "left_anti").select(

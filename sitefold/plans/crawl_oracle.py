@@ -121,7 +121,7 @@ def _chunk() -> str:
     return f"(floor((n - 1) / {D.SITEMAP_CHUNK}) * 2 + n % 2)"
 
 
-def sitemap_urls(limit: str = "200") -> str:
+def sitemap_urls(limit: str = "9223372036854775807") -> str:
     """Urls of every site whose robots names the sitemap index, in the order the index and its
     children list them (the tables the XML was made from)."""
     return (f"SELECT site, CAST(seq AS INTEGER) AS seq, url FROM (SELECT site, url, "
@@ -172,7 +172,6 @@ def outcomes() -> str:
     ra = f"(CASE WHEN retry_after IS NULL THEN {FL.RETRY_AFTER_DEFAULT} ELSE TRY_CAST(trim(retry_after) AS DOUBLE) END)"
     ra_text = f"coalesce(retry_after, {S.lit(str(FL.RETRY_AFTER_DEFAULT))})"
     ctype = "coalesce(content_type, '')"
-    backoff = f"(CASE WHEN attempt < {last} THEN {FL.BACKOFF_BASE} * pow(2.0, attempt) ELSE 0.0 END)"
     kind = (f"CASE WHEN error_kind IN ('timeout', 'connect') THEN 'retry' WHEN error_kind IS NOT NULL THEN 'final' "
             f"WHEN status = 200 THEN CASE WHEN strpos({ctype}, 'text/html') > 0 THEN 'ok' ELSE 'final' END "
             f"WHEN status = 429 THEN CASE WHEN {ra} IS NULL THEN 'final' ELSE 'retry' END "
@@ -183,36 +182,25 @@ def outcomes() -> str:
              f"ELSE 'non-HTML content-type: ' || split_part({ctype}, ';', 1) END "
              f"WHEN status = 429 THEN CASE WHEN {ra} IS NULL THEN 'could not convert string to float: ''' || {ra_text} || '''' "
              f"ELSE {S.lit(FL.RATE_LIMITED)} END ELSE 'HTTP ' || CAST(status AS VARCHAR) END")
-    wait = (f"CASE WHEN error_kind IN ('timeout', 'connect') THEN {backoff} WHEN error_kind IS NOT NULL THEN 0.0 "
-            f"WHEN status = 429 THEN coalesce({ra}, 0.0) WHEN status = 200 THEN 0.0 WHEN status >= 400 AND status < 500 THEN 0.0 "
-            f"ELSE {backoff} END")
-    c = f"SELECT norm_url, attempt, {kind} AS kind, {error} AS error, CAST({wait} AS DOUBLE) AS wait, body FROM ({attempts()}) WHERE attempt <= {last}"
+    c = f"SELECT norm_url, attempt, {kind} AS kind, {error} AS error, body FROM ({attempts()}) WHERE attempt <= {last}"
     return f"""
     WITH c AS ({c}),
     t AS (SELECT norm_url, min(attempt) FILTER (WHERE kind IN ('ok', 'final')) AS t, max(attempt) AS last_,
                  arg_min({{'k': kind, 'e': error}}, attempt) FILTER (WHERE kind IN ('ok', 'final')) AS term,
                  arg_max({{'e': error}}, attempt) FILTER (WHERE kind = 'retry') AS last_retry_s,
-                 arg_min(body, attempt) FILTER (WHERE kind = 'ok') AS first_ok_body FROM c GROUP BY norm_url),
-    w AS (SELECT c.norm_url, sum(wait) AS waited FROM c JOIN t USING (norm_url) WHERE t.t IS NULL OR c.attempt < t.t GROUP BY c.norm_url)
+                 arg_min(body, attempt) FILTER (WHERE kind = 'ok') AS first_ok_body FROM c GROUP BY norm_url)
     SELECT t.norm_url, coalesce(term.k = 'ok', false) AS ok, CASE WHEN coalesce(term.k = 'ok', false) THEN first_ok_body END AS html,
            CASE WHEN t.t IS NOT NULL THEN term.e ELSE coalesce(last_retry_s.e, 'unknown error') END AS error,
-           CAST(CASE WHEN t.t IS NOT NULL THEN t.t + 1 ELSE last_ + 1 END AS INTEGER) AS attempts_used,
-           CAST(coalesce(w.waited, 0.0) AS DOUBLE) AS waited_seconds
-    FROM t LEFT JOIN w USING (norm_url)
+           CAST(CASE WHEN t.t IS NOT NULL THEN t.t + 1 ELSE last_ + 1 END AS INTEGER) AS attempts_used
+    FROM t
     """
 
 
 def fetch_outcomes() -> str:
-    return (f"SELECT norm_url, ok, error, attempts_used, waited_seconds, CAST(length(html) AS BIGINT) AS html_chars "
+    return (f"SELECT norm_url, ok, error, attempts_used, CAST(length(html) AS BIGINT) AS html_chars "
             f"FROM ({outcomes()})")
 
 
-def retry_waits() -> str:
-    site = "lower(regexp_extract(norm_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
-    return (f"SELECT {site} AS site, sum(waited_seconds) AS waited_seconds, CAST(sum(attempts_used) AS BIGINT) AS attempts, "
-            f"count(*) FILTER (WHERE NOT ok) AS failed FROM ({outcomes()}) GROUP BY 1")
-
-
 def edges() -> str:
     r = f"SELECT site, n, url, norm_url FROM ({ranked()})"
     inner = (f"SELECT s.site, s.norm_url AS src_norm, e.pos, d.url AS dst_url FROM ({r}) s, "
@@ -254,13 +242,6 @@ def crawl_reach(max_depth: int = 3) -> str:
     """
 
 
-def fetch_plan() -> str:
-    s = S.url_parts("SELECT page_id AS ord, url FROM pages", "url", "p")
-    return (f"SELECT host, url, ord, CAST(rn % 2 AS INTEGER) AS slot, CAST(floor(rn / 2) AS BIGINT) AS wave, "
-            f"CAST(floor(rn / 2) * 0.1 AS DOUBLE) AS offset_seconds FROM "
-            f"(SELECT p_netloc AS host, url, ord, row_number() OVER (PARTITION BY p_netloc ORDER BY ord) - 1 AS rn FROM ({s}))")
-
-
 ORACLE = {
     "robots_sitemaps": robots_sitemaps,
     "robots_rules": robots_rules,
@@ -268,9 +249,7 @@ ORACLE = {
     "sitemap_urls": sitemap_urls,
     "site_seeds": site_seeds,
     "fetch_outcomes": fetch_outcomes,
-    "retry_waits": retry_waits,
     "crawl_reach": crawl_reach,
-    "fetch_plan": fetch_plan,
 }
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefold.functions import urls as U
 from sitefold.operators import crawl as C
 from sitefold.operators.documents import site_documents
 from sitefold.operators.fetchlog import fetch_outcomes
-from sitefold.operators.pages import page_meta
+from sitefold.operators.pages import META_COLUMNS, page_meta
 from sitefold.operators.robots import robots_decisions, robots_rules, robots_sitemaps
 from sitefold.operators.sitemaps import site_seeds, sitemap_urls
 from sitefold.sources import derived as D
@@ -33,8 +34,9 @@ def q_robots_decisions(spark, sf_dir):
 
 
 def q_sitemap_urls(spark, sf_dir):
+    """R4-R6 without a limit: every url the sitemaps list."""
     directives = robots_sitemaps(D.robots_table(spark, sf_dir))
-    return sitemap_urls(directives, D.sitemap_table(spark, sf_dir))
+    return sitemap_urls(directives, D.sitemap_table(spark, sf_dir), D.crawl_jobs_table(spark, sf_dir, max_pages=None))
 
 
 def _seeds(spark, sf_dir, jobs):
@@ -47,27 +49,15 @@ def q_site_seeds(spark, sf_dir):
 
 
 def q_fetch_outcomes(spark, sf_dir):
+    """C7, C8 per url, with the length of the html it got (read off the scan, by page)."""
     out = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir))
-    return out.select("norm_url", "ok", "error", "attempts_used", "waited_seconds",
-                      F.length("html").cast("long").alias("html_chars"))
-
-
-def q_retry_waits(spark, sf_dir):
-    """C9 per host: seconds waited and attempts used over all its urls, failures counted."""
-    out = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir))
-    site = F.lower(F.regexp_extract(F.col("norm_url"), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    return out.groupBy(site.alias("site")).agg(
-        F.sum("waited_seconds").alias("waited_seconds"),
-        F.sum("attempts_used").cast("long").alias("attempts"),
-        F.count_if(~F.col("ok")).alias("failed"),
-    )
+    chars = read_table(spark, sf_dir, "pages", ["page_id", "html"]).select(F.col("page_id").alias("body"), F.length("html").cast("long").alias("html_chars"))
+    return out.join(chars, "body", "left").select("norm_url", "ok", "error", "attempts_used", "html_chars")
 
 
 def run_crawl(spark, sf_dir, max_pages: int | None = 50, max_depth: int = 3):
-    jobs = D.crawl_jobs_table(spark, sf_dir, max_pages=max_pages or 0, max_depth=max_depth)
-    if max_pages is None:
-        jobs = jobs.withColumn("max_pages", F.lit(None).cast("int"))
-    seeds = _seeds(spark, sf_dir, jobs.fillna({"max_pages": 1 << 30}))
+    jobs = D.crawl_jobs_table(spark, sf_dir, max_pages=max_pages, max_depth=max_depth)
+    seeds = _seeds(spark, sf_dir, jobs)
     outcomes = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir)).select("norm_url", "ok", "error")
     rules = robots_rules(D.robots_table(spark, sf_dir))
     result, levels = C.crawl(jobs, seeds, D.edges_table(spark, sf_dir), outcomes, rules, AGENT)
@@ -93,10 +83,14 @@ def q_crawl_progress(spark, sf_dir):
 
 
 def _crawl_docs(spark, sf_dir, jobs, result):
-    html = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir)).filter(F.col("ok")).select("norm_url", "html")
+    """Documents of the crawled pages.  Metadata is extracted on the scan of ``pages``; what is
+    joined to the crawl's rows are metadata rows, by page id."""
+    body = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir)).filter(F.col("ok")).select("norm_url", "body")
     ok = result.filter(F.col("outcome") == "ok").select("site", "url", "norm_url", "depth", "page_ord")
-    pages = ok.join(html, "norm_url")
-    meta = page_meta(pages, order_col="page_ord", depth_col="depth")
+    ok = U.add_url_parts(ok.join(body, "norm_url"), "url", "u").withColumn("path_prefix", U.path_prefix_of("u"))
+    found = page_meta(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    found = found.select(F.col("page_ord").alias("body"), "title", "description", "h1", "has_description")
+    meta = U.drop_url_parts(ok, "u").join(found, "body").select(*META_COLUMNS)
     return site_documents(meta, jobs.select("site", "root_url"))
 
 
@@ -118,11 +112,6 @@ def q_crawl_job_detail(spark, sf_dir):
         F.when(done, F.col("pages_crawled")).alias("page_count"), F.when(done, F.col("llms_txt")).alias("llms_txt"))
 
 
-def q_fetch_plan(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"]).withColumnRenamed("page_id", "ord")
-    return C.fetch_plan(pages)
-
-
 QUERIES = {
     "robots_sitemaps": q_robots_sitemaps,
     "robots_rules": q_robots_rules,
@@ -130,11 +119,9 @@ QUERIES = {
     "sitemap_urls": q_sitemap_urls,
     "site_seeds": q_site_seeds,
     "fetch_outcomes": q_fetch_outcomes,
-    "retry_waits": q_retry_waits,
     "crawl_reach": q_crawl_reach,
     "crawl_skips": q_crawl_skips,
     "crawl_progress": q_crawl_progress,
     "crawl_documents": q_crawl_documents,
     "crawl_job_detail": q_crawl_job_detail,
-    "fetch_plan": q_fetch_plan,
 }

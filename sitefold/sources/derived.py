@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
 from sitefold.functions.plan import chunked_row_number, materialize
-from sitefold.sources.tables import read_table
+from sitefold.sources.tables import read_table, table_path
 
 # --- fixed values -----------------------------------------------------------------------------
 # Our crawler's user agent (a parameter of every robots operator; this is only the default).
@@ -27,12 +27,19 @@ SITEMAP_CHUNK = 1000
 _BUILT: dict = {}
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Size and time of the files of a table: a changed input is another table."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(conf).listStatus(at)))
+
+
 def _once(fn):
-    """Derived tables stand in for stored tables: build (and checkpoint) each one once per session
-    and input folder, then reuse it."""
+    """Derived tables stand in for stored tables: each is written once per session and state of the
+    input files, then read."""
 
     def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-        key = (id(spark), spark.sparkContext.applicationId, fn.__name__, sf_dir, args, tuple(sorted(kwargs.items())))
+        key = (spark.sparkContext.applicationId, fn.__name__, _stamp(spark, table_path(sf_dir, "pages")), args, tuple(sorted(kwargs.items())))
         if key not in _BUILT:
             _BUILT[key] = fn(spark, sf_dir, *args, **kwargs)
         return _BUILT[key]
@@ -41,28 +48,16 @@ def _once(fn):
     return wrapper
 
 
-def ranked_pages(spark: SparkSession, sf_dir: str, with_html: bool = False) -> DataFrame:
+@_once
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with site and normalized url, one row per (site, norm_url) (lowest page_id), ranked
     ``n`` = 1, 2, ... by page_id within the site."""
-    cols = ["page_id", "url", "html"] if with_html else ["page_id", "url"]
-    df = U.add_url_parts(read_table(spark, sf_dir, "pages", cols), "url", "u")
+    df = U.add_url_parts(read_table(spark, sf_dir, "pages", ["page_id", "url"]), "url", "u")
     df = U.add_normalized(df.withColumn("site", U.site_of("u")), "u", "norm_url")
-    df = U.drop_url_parts(df, "u")
     # lowest page_id per (site, normalized url): a partial aggregation, so a url repeated across
     # many rows is combined map-side
-    rest = [c for c in cols if c != "page_id"]
-    df = df.groupBy("site", "norm_url").agg(F.min("page_id").alias("page_id"),
-                                            F.min_by(F.struct(*rest), F.col("page_id")).alias("_r"))
-    df = df.select("page_id", *[F.col("_r")[c].alias(c) for c in rest], "site", "norm_url")
-    df = chunked_row_number(df, ["site"], "page_id", "n")
-    return df if with_html else _ranked_urls(df)
-
-
-def _ranked_urls(df: DataFrame) -> DataFrame:
-    return materialize(df)
-
-
-ranked_pages = _once(ranked_pages)
+    df = U.drop_url_parts(df, "u").groupBy("site", "norm_url").agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url"))
+    return materialize(chunked_row_number(df.select("page_id", "url", "site", "norm_url"), ["site"], "page_id", "n"))
 
 
 @_once
@@ -129,9 +124,10 @@ def sitemap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_attempts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fetch_attempts(norm_url, attempt, status, content_type, retry_after, error_kind, error_text,
-    body): three stored attempts per page; code = (page_id * 7 + attempt) % 11 picks the reply."""
-    pages = ranked_pages(spark, sf_dir, with_html=True)
-    df = pages.select("norm_url", "page_id", "html", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("attempt"))
+    body): three stored attempts per page; code = (page_id * 7 + attempt) % 11 picks the reply.
+    ``body`` is the id of the page whose html was the reply."""
+    pages = ranked_pages(spark, sf_dir)
+    df = pages.select("norm_url", "page_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("attempt"))
     code = (F.col("page_id") * 7 + F.col("attempt")) % 11
     pid = F.col("page_id")
     status = (F.when(code <= 6, 200).when(code == 7, 404).when(code == 8, 429).when(code == 9, 503)
@@ -144,7 +140,7 @@ def fetch_attempts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         "norm_url", F.col("attempt").cast("int").alias("attempt"), status.cast("int").alias("status"),
         ctype.alias("content_type"), retry_after.alias("retry_after"), kind.alias("error_kind"), error_text.alias("error_text"),
-        F.when((status == 200) & (code <= 5), F.col("html")).alias("body"),
+        F.when((status == 200) & (code <= 5), pid).alias("body"),
     )
 
 
@@ -177,7 +173,7 @@ def edges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(inner.unionByName(extra).select("site", "src_norm", F.col("pos").cast("int").alias("pos"), "dst_url", "dst_norm"))
 
 
-def crawl_jobs_table(spark: SparkSession, sf_dir: str, max_pages: int = 50, max_depth: int = 3) -> DataFrame:
+def crawl_jobs_table(spark: SparkSession, sf_dir: str, max_pages: int | None = 50, max_depth: int = 3) -> DataFrame:
     """crawl_jobs(site, root_url, max_pages, max_depth): one crawl per host from its first page."""
     first = ranked_pages(spark, sf_dir).filter(F.col("n") == 1)
     return first.select("site", F.col("url").alias("root_url"), F.lit(max_pages).cast("int").alias("max_pages"),

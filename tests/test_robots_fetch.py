@@ -73,9 +73,12 @@ def test_sitemap_expansion_depth_first(spark):
     docs_df = spark.createDataFrame(docs, "sitemap_url string, status int, xml string")
     directives = spark.createDataFrame([("h", 0, "https://h/bad.xml"), ("h", 1, "https://h/i0.xml"), ("h", 2, "https://h/gone.xml"),
                                         ("h", 3, "https://h/pre.xml")], "site string, pos int, sitemap_url string")
-    got = [r["url"] for r in sitemap_urls(directives, docs_df).orderBy("seq").collect()]
+    def limit(n):
+        return spark.createDataFrame([("h", n)], "site string, max_pages int")
+
+    got = [r["url"] for r in sitemap_urls(directives, docs_df, limit(None)).orderBy("seq").collect()]
     assert got == ["https://h/deep", "https://h/a", "https://h/b", "https://h/c", "https://h/p"]
-    limited = [r["url"] for r in sitemap_urls(directives, docs_df, default_limit=3).orderBy("seq").collect()]
+    limited = [r["url"] for r in sitemap_urls(directives, docs_df, limit(3)).orderBy("seq").collect()]
     assert limited == ["https://h/deep", "https://h/a", "https://h/b"]
 
     jobs = spark.createDataFrame([("h", "https://h/b/", 3), ("h2", "https://h2/Start/", 5)], "site string, root_url string, max_pages int")
@@ -83,6 +86,10 @@ def test_sitemap_expansion_depth_first(spark):
     # the root normalizes like a seed ('/b/' ~ ' https://h/b ' trimmed) so it is not prepended
     assert [seeds[("h", i)][0] for i in range(3)] == ["https://h/deep", "https://h/a", "https://h/b"]
     assert seeds[("h2", 0)] == ("https://h2/Start", False)
+    # no limit, and a root that no sitemap lists goes first
+    jobs = spark.createDataFrame([("h", "https://h/Root", None)], "site string, root_url string, max_pages int")
+    rows = site_seeds(jobs, directives, docs_df).orderBy("pos").collect()
+    assert [(r["pos"], r["url"]) for r in rows] == list(enumerate(["https://h/Root", *got]))
 
 
 ATTEMPTS = [
@@ -104,19 +111,19 @@ ATTEMPTS = [
 def test_fetch_outcomes(spark):
     df = spark.createDataFrame(ATTEMPTS, "norm_url string, attempt int, status int, content_type string, retry_after string, "
                                          "error_kind string, error_text string, body string")
-    got = {r["norm_url"]: (r["ok"], r["error"], r["attempts_used"], r["waited_seconds"], r["html"])
+    got = {r["norm_url"]: (r["ok"], r["error"], r["attempts_used"], r["body"])
            for r in fetch_outcomes(df).collect()}
-    assert got["ok"] == (True, None, 1, 0.0, "<p>")
-    assert got["pdf"] == (False, "non-HTML content-type: application/pdf", 1, 0.0, None)
-    assert got["noct"] == (False, "non-HTML content-type: ", 1, 0.0, None)
-    assert got["404"] == (False, "HTTP 404", 1, 0.0, None)
-    assert got["429n"] == (False, "HTTP 429 (rate limited)", 3, 6.0, None)   # waits on the last attempt too
-    assert got["429d"] == (True, None, 2, 5.0, "x")                          # default Retry-After
-    assert got["429x"] == (False, "could not convert string to float: 'Wed, 21 Oct 2015 07:28:00 GMT'", 1, 0.0, None)
-    assert got["503ok"] == (True, None, 2, 1.0, "y")
-    assert got["to"] == (False, "timeout after 3 attempt(s)", 3, 3.0, None)   # 1 + 2, none after the last
-    assert got["204"] == (False, "HTTP 204", 3, 3.0, None)
-    assert got["exc"] == (False, "boom", 1, 0.0, None)
+    assert got["ok"] == (True, None, 1, "<p>")
+    assert got["pdf"] == (False, "non-HTML content-type: application/pdf", 1, None)
+    assert got["noct"] == (False, "non-HTML content-type: ", 1, None)
+    assert got["404"] == (False, "HTTP 404", 1, None)
+    assert got["429n"] == (False, "HTTP 429 (rate limited)", 3, None)
+    assert got["429d"] == (True, None, 2, "x")
+    assert got["429x"] == (False, "could not convert string to float: 'Wed, 21 Oct 2015 07:28:00 GMT'", 1, None)
+    assert got["503ok"] == (True, None, 2, "y")
+    assert got["to"] == (False, "timeout after 3 attempt(s)", 3, None)
+    assert got["204"] == (False, "HTTP 204", 3, None)
+    assert got["exc"] == (False, "boom", 1, None)
 
 
 def test_random_robots_match_stdlib(spark):
