@@ -7,7 +7,7 @@ sentence is clean: 1 - product(1 - p), the noisy-or.  The weights are trained th
 from document labels alone (proximal Adam with an L1 penalty); the same weights then locate the
 offending sentences.
 
-The fit reads a bounded sample of labelled rows (``sampling.MAX_ROWS``, ``MAX_BYTES``); scoring is
+The fit reads a bounded sample of labelled rows (``FIT_ROWS``, ``sampling.MAX_BYTES``); scoring is
 one pass over whole texts.  A task remembers the weights of at most ``CACHE`` words.
 
 Defined cases: null and empty texts have no sentence and score 0; without a toxic and a clean
@@ -17,7 +17,7 @@ labelled row every score is 0; repeated rows score alike.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.llm.common import fold, text_of, words_of
-from sitefold.llm.sampling import MAX_ROWS, labelled_sample
+from sitefold.llm.sampling import labelled_sample
 
 PREFIXES = (5, 6, 7)
+FIT_ROWS = 4_000
 MIN_DOCS = 3
 STEPS, RATE, L1 = 300, 0.1, 0.5
 START_BIAS, MOST_BIAS = -7.0, -4.0
-CACHE = 1_000_000
+CACHE = 100_000
 SENTENCE = re.compile(rb"[^.!?\n]+")
 
 
@@ -44,37 +45,48 @@ def sentences(raw: bytes) -> list[set[bytes]]:
     return [w for m in SENTENCE.finditer(raw) if (w := set(words_of(m[0])))]
 
 
-def _vocabulary(bags: list[list[set[bytes]]], y: np.ndarray) -> dict[bytes, tuple[int, float]]:
-    """Features that toxic documents hold twice as often as clean ones: index and first weight."""
-    seen, toxic = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        own = {f for w in set().union(*bag) for f in features(w)}
-        seen.update(own)
-        if label:
-            toxic.update(own)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    out = {}
-    for f in sorted(f for f, n in seen.items() if n >= MIN_DOCS and toxic[f] / n1 > 2 * (n - toxic[f]) / n0):
-        odds = np.log((toxic[f] + 0.05) / (n1 + 1)) - np.log((seen[f] - toxic[f] + 0.05) / (n0 + 1))
-        out[f] = len(out), max(0.0, odds) * min(1.0, toxic[f] / 8)
-    return out
+def _expand(at: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each index in ``at`` its list values[offsets[i]:offsets[i + 1]]: (position in ``at``, value)."""
+    n = offsets[at + 1] - offsets[at]
+    place = np.repeat(np.arange(len(at)), n)
+    return place, values[np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + offsets[at][place]]
 
 
 def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> tuple[dict[bytes, float], float]:
     """(feature weights, bias) of least noisy-or log loss plus the L1 penalty."""
-    bags = [sentences(t) for t in texts]
-    vocabulary = _vocabulary(bags, y)
-    feature, sentence, document = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            own = [vocabulary[f][0] for w in words for f in features(w) if f in vocabulary]
-            feature += own
-            sentence += [len(document)] * len(own)
+    ids: dict[bytes, int] = {}
+    token, owner, document = array("i"), array("i"), array("i")  # word and sentence of a token, document of a sentence
+    for d, text in enumerate(texts):
+        for words in sentences(text):
+            token.extend(ids.setdefault(w, len(ids)) for w in words)
+            owner.extend([len(document)] * len(words))
             document.append(d)
-    if not vocabulary or not document:
+    token, owner, document = (np.array(a, np.int64) for a in (token, owner, document))
+    if not len(document):
         return {}, START_BIAS
-    feature, sentence, document = np.array(feature), np.array(sentence), np.array(document)
-    w, b = np.array([first for _, first in vocabulary.values()]), START_BIAS
+    pair = np.unique(document[owner] * len(ids) + token)
+    often = np.bincount(pair % len(ids), minlength=len(ids)) >= MIN_DOCS
+    names: dict[bytes, int] = {}
+    offsets, values = [0], array("i")
+    for w, keep in zip(ids, often.tolist(), strict=True):  # rare words count through their prefixes only
+        values.extend(names.setdefault(f, len(names)) for f in features(w)[0 if keep else 1:])
+        offsets.append(len(values))
+    offsets, values = np.array(offsets), np.array(values, np.int64)
+    # features that toxic documents hold at least twice as often as clean ones, and their first weights
+    place, own = _expand(pair % len(ids), offsets, values)
+    held = np.unique((pair // len(ids))[place] * len(names) + own)
+    seen = np.bincount(held % len(names), minlength=len(names))
+    toxic = np.bincount((held % len(names))[y[held // len(names)] == 1], minlength=len(names))
+    n1, n0 = y.sum(), len(y) - y.sum()
+    chosen = np.flatnonzero((seen >= MIN_DOCS) & (toxic / n1 > 2 * (seen - toxic) / n0))
+    odds = np.log((toxic + 0.05) / (n1 + 1)) - np.log((seen - toxic + 0.05) / (n0 + 1))
+    w, b = (np.maximum(0, odds) * np.minimum(1, toxic / 8))[chosen], START_BIAS
+    rank = np.full(len(names), -1)
+    rank[chosen] = np.arange(len(chosen))
+    place, own = _expand(token, offsets, values)
+    live = rank[own] >= 0
+    feature, sentence = rank[own[live]], owner[place[live]]
+
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
         z = np.bincount(sentence, w[feature], minlength=len(document)) + b
@@ -88,10 +100,11 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> tuple[dict[b
         moved = w - move[:-1]
         w = np.where((np.sign(moved) != np.sign(w)) & (w != 0), 0.0, moved)  # a weight stops at zero
         b = min(b - move[-1], MOST_BIAS)
-    return {f: float(w[i]) for f, (i, _) in vocabulary.items() if abs(w[i]) > 1e-3}, float(b)
+    spelt = list(names)
+    return {spelt[f]: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[dict[bytes, float], float] | None:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> tuple[dict[bytes, float], float] | None:
     """The model from texts and (doc_id, label 0/1); None without both labels."""
     rows, counts = labelled_sample(docs, labels, max_rows)
     y = np.array([int(r["label"] == 1) for r in rows])
@@ -137,6 +150,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: tuple[dict[bytes, float], float] | None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` and the offending sentences: arrays ``starts``, ``ends``, ``scores``."""
+    docs = docs.drop("score", "starts", "ends", "scores")
     schema = "score double, starts array<long>, ends array<long>, scores array<double>"
     if model is None:
         empty = F.array()
