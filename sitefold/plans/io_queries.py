@@ -33,7 +33,7 @@ def q_site_archive(spark, sf_dir):
 
 
 def q_stream_dedup(spark, sf_dir):
-    return X.stream_request_dedup(spark, sf_dir).select("request_id", "norm_url", "kept", "job_request_id")
+    return X.stream_request_dedup(spark, sf_dir, lateness_seconds=86_400).select("request_id", "norm_url", "kept", "job_request_id")
 
 
 def q_stream_metrics(spark, sf_dir):

@@ -1,15 +1,18 @@
 """Structured Streaming forms of the continuous behaviours.
 
-* X1 ``stream_request_dedup``: TTL dedup of arriving requests with ``applyInPandasWithState``;
-  state per normalized url = (expiry, job request id) of the latest kept request; an event-time
-  timeout drops the state once the watermark passes the expiry (any later request starts a new
-  job anyway, so eviction never changes a result).
-* X2 ``stream_job_metrics``: the metrics row as a streaming global aggregation (complete mode);
-  ``stream_job_progress``: live page counters per job (streaming aggregation keyed by job).
+* X1 ``stream_request_dedup``: TTL dedup of arriving requests with ``applyInPandasWithState``; state
+  per normalized url = (expiry, job request id, newest request seen).  The watermark runs on the
+  time of arrival, so it drops nothing: a request that arrives behind a newer one of its url comes
+  out flagged ``late``.  State goes ``lateness_seconds`` + ttl after the last arrival for the url; a
+  url that comes back later starts a new job, as it would with the expired state.
+* X2 ``stream_job_metrics``, ``stream_job_progress``: streaming aggregations in update mode; every
+  micro-batch writes the rows that changed, readers take the latest of each key.
 * X3 ``stream_terminal_results``: append-only stream of finished batch children.
 
-Sinks are parquet folders under the shared checkpoint folder (``foreachBatch`` where a mode needs
-it); queries run with ``availableNow`` so a test or a scheduled job drains the input and stops.
+A micro-batch writes to a folder of its own (``epoch=<n>``) in overwrite mode, so a batch that runs
+again after a failure replaces its rows instead of repeating them.  Folders lie under the shared
+checkpoint folder; queries run with ``availableNow``, so a test or a scheduled job drains the input
+and stops.
 """
 
 from __future__ import annotations
@@ -25,8 +28,22 @@ from sitefold.operators.requests import TTL_SECONDS, validate_requests
 from sitefold.sources.sinks import scratch_path
 from sitefold.sources.tables import table_path
 
-DEDUP_SCHEMA = "request_id long, norm_url string, kept boolean, job_request_id long"
-DEDUP_STATE = "exp long, job long"
+DEDUP_SCHEMA = "request_id long, norm_url string, kept boolean, job_request_id long, late boolean"
+DEDUP_STATE = "exp long, job long, newest long"
+
+
+def run_epochs(rows: DataFrame, path: str, mode: str) -> DataFrame:
+    """Drain ``rows`` into ``path``, one folder per micro-batch; the table, with its ``epoch``."""
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/epoch=-1")  # no input yet is an empty table
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = (rows.writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", path + "-ckpt").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(rows.schema.add("epoch", "long")).parquet(path)
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str], source: str | None = None) -> DataFrame:
@@ -38,33 +55,38 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str], sou
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(glob).select(*columns)
 
 
-def _dedup_group(ttl_seconds: float):
+def _dedup_group(ttl_seconds: float, lateness_seconds: float):
     ttl_us = int(ttl_seconds * 1_000_000)
+    keep_ms = int((ttl_seconds + lateness_seconds) * 1000)
 
     def fold(key, pdfs, state):
         if state.hasTimedOut:
-            # the watermark passed the expiry: any later request starts a new job anyway
             state.remove()
             return
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "request_id"], kind="mergesort")
-        exp, job = (state.get if state.exists else (None, None))
-        kept, jobs = [], []
-        for t, rid, run_us, failed in zip(rows["t"], rows["request_id"], rows["run_us"], rows["failed"]):
-            if exp is None or t >= exp:
-                exp, job = int(t + run_us + (0 if failed else ttl_us)), int(rid)
-                kept.append(True)
-            else:
-                kept.append(False)
-            jobs.append(job)
-        state.update((exp, job))
-        state.setTimeoutTimestamp(max(exp // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"request_id": rows["request_id"].astype("int64"), "norm_url": key[0],
-                            "kept": kept, "job_request_id": pd.Series(jobs, dtype="int64")})
+        exp, job, newest = state.get if state.exists else (None, None, None)
+        arrived = 0
+        for rows in pdfs:  # one Arrow batch at a time
+            rows = rows.sort_values(["t", "request_id"], kind="mergesort")
+            kept, jobs, late = [], [], []
+            for t, rid, run_us, failed in zip(rows["t"], rows["request_id"], rows["run_us"], rows["failed"], strict=True):
+                late.append(newest is not None and t < newest)
+                newest = int(t) if newest is None else max(newest, int(t))
+                # a request older than the running job is served by it
+                kept.append(exp is None or t >= exp)
+                if kept[-1]:
+                    exp, job = int(t + run_us + (0 if failed else ttl_us)), int(rid)
+                jobs.append(job)
+            yield pd.DataFrame({"request_id": rows["request_id"].astype("int64"), "norm_url": key[0], "kept": kept,
+                                "job_request_id": pd.Series(jobs, dtype="int64", index=rows.index), "late": late})
+            arrived = max(arrived, int(rows["arrived"].max()))
+        state.update((exp, job, newest))
+        state.setTimeoutTimestamp(arrived + keep_ms)
 
     return fold
 
 
-def stream_request_dedup(spark: SparkSession, sf_dir: str, ttl_seconds: float = TTL_SECONDS, source: str | None = None) -> DataFrame:
+def stream_request_dedup(spark: SparkSession, sf_dir: str, lateness_seconds: float, ttl_seconds: float = TTL_SECONDS,
+                         source: str | None = None) -> DataFrame:
     """Streaming TTL dedup over the requests derived from ``events`` (or the event files
     matching ``source``, one file per micro-batch); returns the sink table."""
     from sitefold.sources import jobtables as T
@@ -74,80 +96,51 @@ def stream_request_dedup(spark: SparkSession, sf_dir: str, ttl_seconds: float =
     valid = validate_requests(reqs).filter(F.col("reject_reason").isNull())
     valid = U.add_url_parts(valid, "accepted_url", "k")
     valid = U.drop_url_parts(U.add_normalized(valid, "k", "norm_url"), "k")
-    # event time and state timeouts on one clock: wall-clock microseconds read as UTC, whatever the
-    # session time zone
-    valid = valid.select(
-        "request_id", "norm_url", F.timestamp_micros(epoch_micros(F.col("requested_at"))).alias("event_time"),
-        epoch_micros(F.col("requested_at")).alias("t"),
-        F.round(F.col("run_seconds") * 1_000_000).cast("long").alias("run_us"), "failed",
-    ).withWatermark("event_time", "0 seconds")
+    valid = valid.select("request_id", "norm_url", epoch_micros(F.col("requested_at")).alias("t"),
+                         F.round(F.col("run_seconds") * 1_000_000).cast("long").alias("run_us"), "failed",
+                         F.current_timestamp().alias("arrival"))
+    valid = valid.withColumn("arrived", F.unix_millis("arrival")).withWatermark("arrival", "0 seconds")
     out = valid.groupBy("norm_url").applyInPandasWithState(
-        _dedup_group(ttl_seconds), DEDUP_SCHEMA, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    path = scratch_path(spark, "stream_dedup")
-    q = (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-ckpt")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(path)
+        _dedup_group(ttl_seconds, lateness_seconds), DEDUP_SCHEMA, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return run_epochs(out, scratch_path(spark, "stream_dedup"), "append").drop("epoch")
 
 
 def stream_job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The J5 metrics row maintained by a streaming aggregation over arriving orders joined
-    with the (static) lineitem page counts; complete mode through ``foreachBatch``."""
+    with the (static) lineitem page counts; the last micro-batch has the row as it stands."""
     from sitefold.operators.jobs import job_metrics
     from sitefold.sources import jobtables as T
 
     orders = _stream(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
-    jobs = T.jobs_from_orders(spark, sf_dir, orders)
-    metrics = job_metrics(jobs)
-    path = scratch_path(spark, "stream_metrics")
+    metrics = run_epochs(job_metrics(T.jobs_from_orders(spark, sf_dir, orders)), scratch_path(spark, "stream_metrics"), "update")
+    return metrics.orderBy(F.col("epoch").desc()).limit(1).drop("epoch")
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    q = (metrics.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", path + "-ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(path)
+def latest_by_key(changes: DataFrame, key: str) -> DataFrame:
+    """The latest row of each key of a table of changes by epoch."""
+    rest = [c for c in changes.columns if c not in (key, "epoch")]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), "epoch").alias("_r"))
+    return last.select(key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_job_progress(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
     """X2 per job: live crawled / skipped page counters as page results arrive (lineitem rows are
-    the page results of a job, 'R' = skipped); a streaming aggregation keyed by job, state held
-    per job, written in complete mode through ``foreachBatch``."""
-    lines = _stream(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"])
+    the page results of a job, 'R' = skipped); a micro-batch writes the jobs it changed."""
+    lines = _stream(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"], source)
     progress = lines.groupBy(F.col("l_orderkey").alias("job_id")).agg(
         F.count_if(F.col("l_returnflag") != "R").alias("pages_crawled"),
         F.count_if(F.col("l_returnflag") == "R").alias("pages_skipped"),
     )
-    path = scratch_path(spark, "stream_progress")
-
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    return latest_by_key(run_epochs(progress, scratch_path(spark, "stream_progress"), "update"), "job_id")
 
-    q = (progress.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", path + "-ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(path)
 
-
-def stream_terminal_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_terminal_results(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
     """A result row is appended when a batch child reaches a final state."""
     from sitefold.sources import jobtables as T
 
-    orders = _stream(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
+    orders = _stream(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"], source)
     jobs = T.jobs_from_orders(spark, sf_dir, orders)
     done = jobs.filter(F.col("parent_batch_id").isNotNull() & F.col("status").isin("done", "error", "cancelled"))
     rows = done.select(F.col("parent_batch_id").alias("batch_id"), "job_id", "url", "status",
                        F.when(F.col("status") == "done", F.col("pages_crawled")).alias("page_count"), "error")
-    path = scratch_path(spark, "stream_results")
-
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("append").parquet(path)
-
-    q = (rows.writeStream.outputMode("append").foreachBatch(sink)
-         .option("checkpointLocation", path + "-ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # nothing finished: the sink folder was never written
-        return spark.createDataFrame([], "batch_id long, job_id long, url string, status string, page_count long, error string")
+    return run_epochs(rows, scratch_path(spark, "stream_results"), "append").drop("epoch")
