@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitefold.functions.plan import materialize
-from sitefold.operators.documents import site_documents
+from sitefold.operators.documents import document_parts, site_documents
 from sitefold.operators.pages import page_meta
 from sitefold.sources import sinks as K
 from sitefold.sources.tables import read_table
@@ -14,9 +14,9 @@ from sitefold.streaming import streams as X
 
 def q_site_files(spark, sf_dir):
     """K1, K3: write one document per hostname, read the files back whole."""
-    docs = site_documents(page_meta(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])))
+    parts = document_parts(page_meta(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])))
     path = K.scratch_path(spark, "site_files")
-    K.write_site_files(docs, path)
+    K.write_site_files(parts, path)
     back = K.read_site_files(spark, path)
     return back.select("hostname", "llms_txt", F.length("llms_txt").cast("long").alias("chars"))
 

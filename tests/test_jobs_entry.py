@@ -83,12 +83,13 @@ def test_seed_sources_file_then_form(spark, tmp_path):
 
 
 def test_site_files_roundtrip(spark):
-    docs = spark.createDataFrame([("a.com", "https://User@A.com:8443/", "# A\n\nline\n"), ("b.com", "https://b.com/", "# B\n")],
-                                 "site string, root_url string, llms_txt string")
+    parts = [("a.com", "https://User@A.com:8443/", i, t) for i, t in enumerate(["# A\n\n", "## S\n\n- one\n", "- two\n"])]
+    parts += [("007", "https://007/", 0, "# B\n"), ("b.com", "https://b.com/", 0, "first\n"), ("b.com:81", "https://b.com:81/", 0, "last\n")]
+    df = spark.createDataFrame(parts, "site string, root_url string, part_no long, text string").repartition(5)
     path = K.scratch_path(spark, "test_files")
-    K.write_site_files(docs, path)
+    K.write_site_files(df, path)
     back = {r["hostname"]: r["llms_txt"] for r in K.read_site_files(spark, path).collect()}
-    assert back == {"a.com": "# A\n\nline\n", "b.com": "# B\n"}
+    assert back == {"a.com": "# A\n\n## S\n\n- one\n- two\n", "007": "# B\n", "b.com": "last\n"}
 
 
 def test_archive_keeps_last_per_hostname(spark):
