@@ -20,9 +20,12 @@ offsets; neighbouring windows share theirs, and about one suffix in ``SPAN`` / 2
 4. Suffixes that share a gram are neighbours now.  For two of them the shared right prefix R and
    the shared left suffix L settle which windows are equal: offsets from SPAN - R to L.  Groups of
    many different contexts look their windows up by bytes, offset by offset.
-5. Removed ranges return to their documents by row id, where their union is cut out.
+5. Grams that occur more than ``HOT_GRAM`` times stay out of the merge: the ends of a passage that a
+   third of all documents share would make one group of as many contexts.  Their windows are dealt
+   one by one, as 128-bit digests that Spark counts and joins, so no task holds such a group.
+6. Removed ranges return to their documents by row id, where their union is cut out.
 
-Every comparison that decides a removal is of bytes; hashes only pick and deal anchors.
+In the merge every comparison that decides a removal is of bytes; hashes only pick and deal anchors.
 
 Defined cases: a null text is empty; texts under ``SPAN`` bytes lose nothing; repeated rows are
 copies and lose everything from ``SPAN`` bytes on, each of them; a text may match itself.
@@ -31,7 +34,7 @@ copies and lose everything from ``SPAN`` bytes on, each of them; a text may matc
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,7 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A run is written when its contexts reach this size or this number of places.
 RUN_BYTES, RUN_PLACES = 24 << 20, 400_000
+HOT_GRAM = 20_000
 #: Groups of at most so many contexts are compared pair by pair.
 PAIRS = 12
 
@@ -230,7 +234,7 @@ def equal_windows(group: list[tuple]) -> Iterator[tuple]:
 # ---- Spark ------------------------------------------------------------------------------------
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """Documents with a gram that occurs twice: rid, doc_id, key, raw, grams; on shared files."""
+    """Documents with a gram that occurs twice: rid, doc_id, key, raw, grams, hot (grams); on shared files."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
@@ -244,11 +248,12 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
     table = stored(map_rows(docs.select("doc_id", "key", "raw"), make, f"doc_id {id_type}, key long, grams array<long>"), "suffix-anchors")
     grams = table.select("doc_id", "key", F.explode("grams").alias("gram"))
-    twice = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    chosen = grams.join(twice, "gram", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("gram").alias("grams"))
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "grams").hint("shuffle_hash")
+    twice = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > HOT_GRAM).alias("_hot"))
+    chosen = grams.join(twice, "gram").groupBy("doc_id", "key").agg(
+        F.collect_set(F.when(~F.col("_hot"), F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("_hot"), F.col("gram"))).alias("hot"))
+    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "grams", "hot").hint("shuffle_hash")
     rows = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["key"] == F.col("_k")))
-    return stored(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "key", "raw", "grams"), "suffix-documents")
+    return stored(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "key", "raw", "grams", "hot"), "suffix-documents")
 
 
 def _runs(rows: DataFrame, parts: int) -> DataFrame:
@@ -320,7 +325,26 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
                 rows.append(tuple(fields))
         yield from solve(rows)
 
-    return runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "rid long, `start` long, `end` long")
+    return runs.repartition(max(1, parts // 4), "part").sortWithinPartitions("part").mapInArrow(run, "rid long, `start` long, `end` long")
+
+
+def _hot_windows(rows: DataFrame) -> DataFrame:
+    """(rid, start, end): windows of hot grams that occur twice."""
+
+    def make():
+        def work(cols: dict) -> Iterator[tuple]:
+            for rid, raw, hot in zip(cols["rid"], cols["raw"], cols["hot"], strict=True):
+                _, first, last, h = anchors(raw)
+                mine = np.isin(h, np.array(hot, np.int64))
+                for f, e in zip(first[mine].tolist(), last[mine].tolist(), strict=True):
+                    for p in range(f, e + 1):
+                        yield blake2b(raw[p:p + SPAN], digest_size=16).digest(), rid, p
+
+        return work
+
+    windows = stored(map_rows(rows.where(F.size("hot") > 0).select("rid", "raw", "hot"), make, "digest binary, rid long, `start` long", batch=16384), "suffix-windows")
+    twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    return windows.join(twice, "digest", "left_semi").select("rid", "start", (F.col("start") + SPAN).alias("end"))
 
 
 def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -337,9 +361,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), spans, n_removed and the SHA-256 of the bytes that stay, of the documents that lose bytes.
     ``docs``: (doc_id, key, raw)."""
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # several to a task evens them out
     rows = _candidates(docs)
-    ranges = stored(_merged(_runs(rows, parts), parts), "suffix-ranges")
+    ranges = stored(_merged(_runs(rows, parts), parts).unionByName(_hot_windows(rows)), "suffix-ranges")
     per_row = ranges.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -51,6 +51,15 @@ def test_many_small_runs_and_segments(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=str) == _brute(rows)
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_hot_grams(spark, monkeypatch, most):
+    """Grams beyond the bound go by windows: all of them, and a mixture."""
+    monkeypatch.setattr(S, "HOT_GRAM", most)
+    rows = _corpus(4)
+    out = S.suffix_dedup(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=str) == _brute(rows)
+
+
 def test_empty_table(spark):
     assert S.suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
