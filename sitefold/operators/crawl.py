@@ -169,3 +169,17 @@ def crawl_summary(jobs: DataFrame, seeds: DataFrame, result: DataFrame, levels:
         "error",
         F.lit(100.0).alias("progress_pct"),
     )
+
+
+def level_progress(seeds: DataFrame, levels: DataFrame) -> DataFrame:
+    """C12, C13 as a crawl goes: per job and level the pages so far, the queue, the known urls and
+    the progress -- crawled of known, at most 99 % until the crawl ends, when a sitemap gave the
+    urls; unknown (null) while links are followed."""
+    mode = seeds.groupBy("site").agg(F.max("sitemap_seeded").alias("sitemap_seeded"), F.count(F.lit(1)).alias("n_seeds"))
+    upto = Window.partitionBy("site").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each level
+    df = levels.join(mode, "site").withColumn("pages_crawled", F.sum("crawled").over(upto))
+    df = df.withColumn("total_known", F.when(F.col("sitemap_seeded"), F.col("n_seeds")).otherwise(F.col("pages_crawled") + F.col("enqueued_next")))
+    pct = F.when(F.col("sitemap_seeded"), F.least(F.col("pages_crawled") / F.col("total_known") * 100, F.lit(99.0)))
+    return df.select("site", "depth", F.col("processed").cast("long").alias("processed"), F.col("pages_crawled").cast("long").alias("pages_crawled"),
+                     F.col("enqueued_next").cast("long").alias("queue_size"), F.col("total_known").cast("long").alias("total_known"),
+                     pct.alias("progress_pct"))

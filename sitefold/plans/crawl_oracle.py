@@ -347,7 +347,20 @@ def crawl_progress() -> str:
     """
 
 
+def crawl_level_progress() -> str:
+    return f"""
+    WITH lv AS (SELECT site, lvl, len(processed) AS n, len(list_filter(processed, lambda x: x.outcome = 'ok')) AS ok, enqueued_next AS q
+                FROM ({_capped_levels()}) WHERE len(processed) > 0),
+    mode AS (SELECT site, bool_or(sitemap_seeded) AS seeded, count(*) AS n_seeds FROM ({site_seeds(50)}) GROUP BY site),
+    c AS (SELECT *, sum(ok) OVER (PARTITION BY site ORDER BY lvl) AS crawled FROM lv JOIN mode USING (site))
+    SELECT site, CAST(lvl AS INTEGER) AS depth, CAST(n AS BIGINT) AS processed, CAST(crawled AS BIGINT) AS pages_crawled, CAST(q AS BIGINT) AS queue_size,
+           CAST(CASE WHEN seeded THEN n_seeds ELSE crawled + q END AS BIGINT) AS total_known,
+           CASE WHEN seeded THEN least(crawled / n_seeds * 100, 99.0) END AS progress_pct FROM c
+    """
+
+
 ORACLE["crawl_skips"] = crawl_skips
+ORACLE["crawl_level_progress"] = crawl_level_progress
 ORACLE["crawl_progress"] = crawl_progress
 
 

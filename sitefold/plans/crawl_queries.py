@@ -82,6 +82,12 @@ def q_crawl_progress(spark, sf_dir):
     return C.crawl_summary(jobs, seeds, result, levels)
 
 
+def q_crawl_level_progress(spark, sf_dir):
+    """C12, C13 per job and level of the capped crawl."""
+    _, seeds, _, levels = run_crawl(spark, sf_dir)
+    return C.level_progress(seeds, levels)
+
+
 def _crawl_docs(spark, sf_dir, jobs, result):
     """Documents of the crawled pages.  Metadata is extracted on the scan of ``pages``; what is
     joined to the crawl's rows are metadata rows, by page id."""
@@ -122,6 +128,7 @@ QUERIES = {
     "crawl_reach": q_crawl_reach,
     "crawl_skips": q_crawl_skips,
     "crawl_progress": q_crawl_progress,
+    "crawl_level_progress": q_crawl_level_progress,
     "crawl_documents": q_crawl_documents,
     "crawl_job_detail": q_crawl_job_detail,
 }
