@@ -67,11 +67,18 @@ def wrapped(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), "doc_id", "text")
 
 
+def _values(column: pa.Array, step: int = 512) -> Iterator:
+    """The values of a column, as Python objects a few at a time."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterable[tuple] | None]], schema: str,
              batch: int = 2048) -> DataFrame:
     """``mapInArrow`` for per-document work: ``make()`` runs once per task and returns a function
-    from a record batch's columns (name -> list) to an iterable of result tuples.  Results leave in
-    batches of at most ``batch`` rows, so a task holds one input and one output batch."""
+    from a record batch's columns (name -> values, to be iterated once) to an iterable of result
+    tuples.  Results leave in batches of at most ``batch`` rows, so a task holds one input and one
+    output batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -88,7 +95,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterable[tuple]
 
         out: list[tuple] = []
         for b in batches:
-            for row in work({n: b.column(i).to_pylist() for i, n in enumerate(names)}):
+            for row in work({n: _values(b.column(i)) for i, n in enumerate(names)}):
                 out.append(row)
                 if len(out) >= batch:
                     yield flush(out)

@@ -3,7 +3,7 @@
 * Features: character n-grams (1 to 3) of the lower-cased text, hashed into ``2**BITS`` slots.  A
   slot's value is its relative frequency in the text times its inverse document frequency.
 * Document frequencies are counted over all training documents, in one Spark pass.
-* The weights are fitted on a bounded sample (``sampling.MAX_ROWS`` rows, ``MAX_BYTES`` bytes) by
+* The weights are fitted on a bounded sample (``FIT_ROWS`` rows, ``sampling.MAX_BYTES`` bytes) by
   follow-the-regularised-leader with an elastic net: the L1 part keeps them sparse.
 * A share of the sample is left out of the fit and sets the temperature of the softmax.
 * Prediction is one pass over whole texts; the model in a task has ``2**BITS`` rows.
@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.llm.common import fold, map_rows, wrapped
-from sitefold.llm.sampling import MAX_ROWS, labelled_sample
+from sitefold.llm.sampling import labelled_sample
 
+FIT_ROWS = 4_000
 BITS = 15
 ORDERS = 3
 SCALE = 30.0
@@ -122,7 +123,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray, float]:
+def fit(docs: DataFrame, max_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray, float]:
     """(labels, weights with IDF and scale folded in, temperature) from rows (doc_id, text, lang)."""
     rows, _ = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("label")), max_rows)
     rows = [r for r in rows if has_letter(r["text"])]
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarra
     examples = []
     for r in rows:
         s, c = np.unique(slots(r["text"]), return_counts=True)
-        e = (s, c / c.sum() * idf[s], labels.index(r["label"]))
+        e = (s.astype(np.int32), (c / c.sum() * idf[s]).astype(np.float32), labels.index(r["label"]))
         (held if zlib.crc32(b"t%s" % str(r["doc_id"]).encode()) % 5 == 0 else examples).append(e)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(examples)):
@@ -169,9 +170,10 @@ def predict(rows: DataFrame, model: tuple[list[str], np.ndarray, float]) -> Data
     return rows.withColumn("_g", guess("text")).select("*", "_g.lang_pred", "_g.score").drop("_g")
 
 
-def recognised(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
+def recognised(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose text is in a recognised language: not ``und``, and scored at
-    least ``min_score``.  All columns stay as they are."""
+    least ``min_score``.  All columns stay as they are.  The default rejects texts without a letter
+    only: a low score is mostly a short text, not a bad one."""
     model = fit(docs)
     return predict(wrapped(docs), model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
 
