@@ -106,7 +106,7 @@ def batch_children(expanded: DataFrame, jobs: DataFrame) -> DataFrame:
     """Spawned urls with their child job: the batch's child for the normalized url (the first, if
     the table holds several)."""
     own = ("job_id", "status", "pages_crawled", "pages_skipped", "error", "started_at", "completed_at")
-    kids = _norm(jobs.filter(F.col("parent_batch_id").isNotNull()), "url", "norm_url")
+    kids = fence(_norm(fence(jobs.filter(F.col("parent_batch_id").isNotNull())), "url", "norm_url"))
     kids = kids.groupBy(F.col("parent_batch_id").alias("batch_id"), "norm_url").agg(F.min(F.struct(*own)).alias("k"))
     return expanded.filter(F.col("action") == "spawn").join(kids, ["batch_id", "norm_url"]).select("batch_id", "pos", "url", "k.*")
 
