@@ -38,10 +38,12 @@ SAME = 0.8
 MOST_LINKS = 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>""", re.S)
-_NAME = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z]+")
+_CONTAINERS = frozenset("ul ol div table".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta".split())  # besides raw text elements
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td
 tfoot th thead tr ul""".split())
@@ -57,8 +59,12 @@ disqus menu nav navbar navigation newsletter notice notices pagination popup pro
 signup social sponsor sponsored subscribe toolbar widget""".split())
 
 
+#: Furniture by these tags, or by role, class or id, may turn out to be a wrapper of the page.
+_WRAPPERS = frozenset("form menu".split())
+
+
 class Node:
-    __slots__ = ("children", "furniture", "kids", "sign", "tag", "text")
+    __slots__ = ("children", "furniture", "kids", "length", "sign", "tag", "text")
 
     def __init__(self, tag: str, furniture: bool = False):
         self.tag, self.furniture, self.children = tag, furniture, []  # children: Node or str
@@ -68,9 +74,10 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _FURNITURE or tag == "header" and not in_article:
         return True
     if attributes and tag not in ("html", "body", "article", "main") or tag in ("article", "main") and "comment" in attributes.lower():
-        for name, a, b, c in _NAME.findall(attributes):
-            value = html.unescape(a or b or c).lower()
-            if value in _FURNITURE_ROLE if name.lower() == "role" else not _FURNITURE_WORDS.isdisjoint(_WORDS.findall(value)):
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), html.unescape(a or b or c).lower()
+            if name in ("class", "id", "role") and (
+                    value in _FURNITURE_ROLE if name == "role" else not _FURNITURE_WORDS.isdisjoint(_WORDS.findall(value))):
                 return True
     return False
 
@@ -82,7 +89,10 @@ def parse(page: str) -> Node:
     articles = 0
     while (m := _TAG.search(page, at)) is not None:
         if m.start() > at:
-            stack[-1].children.append(page[at:m.start()])
+            between = page[at:m.start()]
+            if stack[-1].tag == "head" and not between.isspace():
+                stack.pop()
+            stack[-1].children.append(between)
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
@@ -99,6 +109,8 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if stack[-1].tag == "head" and tag not in _IN_HEAD:
+            stack.pop()  # an open head ends at the first element that can't be in it
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
         ends, until = ({"p"}, {"table", "td", "th", "button"}) if tag in _CLOSES_P else _ENDS.get(tag, ((), ()))
@@ -119,16 +131,61 @@ def parse(page: str) -> Node:
             stack.append(node)
             articles += tag == "article"
     if at < len(page):
+        if stack[-1].tag == "head" and not page[at:].isspace():
+            stack.pop()
         stack[-1].children.append(page[at:])
+    _unmark(root)
     return root
 
 
-def _find(node: Node, tag: str) -> list[Node]:
-    """Topmost elements ``tag`` outside furniture."""
+def _unmark(root: Node) -> None:
+    """Clear the furniture mark of elements that wrap the page: a form or an element named by role,
+    class or id that holds most of the page's text; and, if every article (else main) lies in
+    furniture, what is around the longest one."""
+    def certain(n: Node) -> bool:
+        return n.furniture and n.tag not in _WRAPPERS and (n.tag in _FURNITURE or n.tag == "header")
+
+    order, stack, marked = [], [root], False
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        marked = marked or n.furniture
+        stack += [c for c in n.children if isinstance(c, Node)]
+    if not marked:
+        return
+    for n in reversed(order):
+        n.length = sum(len(c.strip()) if isinstance(c, str) else 0 if certain(c) else c.length for c in n.children)
+    stack = [root]
+    while stack:  # outside articles only: a long list of comments in one stays furniture
+        n = stack.pop()
+        if 2 * n.length > root.length and not certain(n):
+            n.furniture = False
+            if n.tag not in ("article", "main"):
+                stack += [c for c in n.children if isinstance(c, Node)]
+    for tag in ("article", "main"):
+        if _find(root, tag):
+            return
+    for tag in ("article", "main"):
+        best, stack = None, [(root, ())]
+        while stack:
+            n, above = stack.pop()
+            if n.tag == tag and n.length and (best is None or n.length > best[0].length):
+                around = (*above, n)
+                if 2 * n.length > root.length or not any(map(certain, around)):
+                    best = n, around
+            stack += [(c, (*above, n)) for c in reversed(n.children) if isinstance(c, Node)]
+        if best:
+            for n in best[1]:
+                n.furniture = False
+            return
+
+
+def _find(node: Node, tag: str, skip: set[int] = frozenset()) -> list[Node]:
+    """Topmost elements ``tag`` outside furniture and nodes in ``skip``."""
     out, stack = [], [node]
     while stack:
         n = stack.pop()
-        if n.furniture:
+        if n.furniture or id(n) in skip:
             continue
         if n.tag == tag:
             out.append(n)
@@ -220,9 +277,31 @@ def align(a: Node, b: Node, known: dict | None = None) -> Iterator[tuple[Node, N
                 m -= 1
 
 
-def _mostly_links(node: Node) -> bool:
-    linked = sum(len(" ".join(blocks(a))) for a in _find(node, "a"))
-    return linked > MOST_LINKS * max(1, len(" ".join(blocks(node))))
+def _link_groups(root: Node) -> set[int]:
+    """Containers that are mostly links.  One around others is judged by what it holds besides
+    them, and only if they all are; a paragraph that is not mostly links keeps what is around it."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if not n.furniture:
+            order.append(n)
+            stack += [c for c in n.children if isinstance(c, Node)]
+    groups: set[int] = set()
+    inner: dict[int, set[int]] = {}  # topmost containers and text paragraphs under a node
+    for n in reversed(order):
+        under = set().union(*[inner.get(id(c), ()) for c in n.children if isinstance(c, Node)])
+        if n.tag in _CONTAINERS or n.tag == "p":
+            size = len("".join(blocks(n, under)))
+            linked = sum(len("".join(blocks(a, under))) for a in _find(n, "a", under))
+            mostly = linked > MOST_LINKS * size or not size and bool(under)
+            if n.tag == "p":
+                under = under if mostly or not size else {id(n)}
+            else:
+                if mostly and under <= groups:
+                    groups.add(id(n))
+                under = {id(n)}
+        inner[id(n)] = under
+    return groups
 
 
 def extract(pages: list[str]) -> list[str]:
@@ -249,8 +328,7 @@ def extract(pages: list[str]) -> list[str]:
             continue
         # no explicit article: slots of the body, less constant text and groups of links
         template = {id(b) for a, b in pairs if id(a) in constant and b.text and not b.kids}
-        links = {id(n) for tag in ("ul", "ol", "div", "table") for n in _find(t, tag) if _mostly_links(n)}
-        out.append("\n\n".join(blocks(t, template | links)))
+        out.append("\n\n".join(blocks(t, template | _link_groups(t))))
     return out
 
 

@@ -33,6 +33,28 @@ def test_small_pages(html, text):
     assert H.extract([html]) == [text]
 
 
+@pytest.mark.parametrize("page", [
+    '<body><div class="layout has-sidebar"><article>{t}</article></div></body>', '<body><div id="page-with-menu"><p>{t}</p></div></body>',
+    '<body><div class="social-policy"><main>{t}</main></div></body>', '<form id="f"><div>{t}</div></form>',
+    '<div data-class="ad" title="class=ad" data-id="menu">{t}</div>', "<html><head><title>x</title><meta charset=a><body><p>{t}</p>",
+    "<head><link rel=a><p>{t}", "<head><title>x</title>{t}", '<article class="post comments-open">{t}</article>',
+    '<div><ul><li><a href="/a">{t}</a></li><li><a href="/b">{t}</a></li></ul><p>{t}</p></div>',
+])
+def test_wrappers_are_not_furniture(page):
+    assert H.extract([page.format(t=prose(1, 30))]) == [prose(1, 30)]
+
+
+def test_groups_of_links():
+    page = ('<div>{0}<div><ul><li><a>One</a><ul><li><a>Two</a></ul></ul></div><div><p><a>Three</a></p></div>'
+            '<div><a>Four, a long line of linked text</a><p>kept</p></div></div>')
+    assert H.extract([page.format("top")]) == ["top\n\nFour, a long line of linked text\n\nkept"]
+
+
+def test_furniture_beside_an_article_stays_out():
+    page = f'<div class="related"><article>{prose(2, 9)}</article></div><article>{prose(1, 30)}<div class="comments">{prose(3, 90)}</div></article>'
+    assert H.extract([page]) == [prose(1, 30)]
+
+
 def test_slots_without_article():
     """No article element: what changes from page to page is content, what stays is template."""
     pages = [f'<body><div><b>Fixed slogan</b></div><div><p>{prose(i, 30)}</p><p>{prose(i + 50, 20)}</p></div><div>All rights reserved</div></body>' for i in range(6)]
