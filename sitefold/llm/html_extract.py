@@ -1,18 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from one template.  Pages are dealt by host (a host with more than
-1/``SHARES`` of all pages is salted into parts of about that size), sorted, and read in chunks of at
-most ``CHUNK`` pages.  In a chunk:
-
-1. every page becomes a DOM tree; an explicit article (``article``, else ``main``) is folded into
-   one node, so the trees that are compared are the page's frame;
-2. every frame is aligned with the chunk's first by simple tree matching (the largest matching of
-   two ordered trees that keeps parents and order), which gives each aligned node the texts it has
-   on the pages;
-3. nodes with the same text on most aligned pages are template; the others are slots.
-
-The main text is what the article holds; on pages without one it is the slots of the body that are
-not mostly links.  Elements that are page furniture by name, role or class (menus, page headers,
+Pages of one host come from one template.  Three passes over the table as it lies, whole html never
+shuffled as long as the wrappers can be broadcast (else it is, once for each join by host):
+
+1. every host with two distinct pages gets a reference frame, the DOM tree of one page that has any
+   element; an explicit article (``article``, else ``main``) is folded into one node;
+2. every page is aligned with its host's reference by simple tree matching (the largest matching of
+   two ordered trees that keeps parents and order; among largest ones, nodes of equal content are
+   preferred), which gives each reference node the block texts it has on the host's pages.  Pages of
+   equal text count once, so copies are no evidence;
+3. a text that a node has on most of the distinct pages aligned there is template; a page loses the
+   blocks that have just that text at that node.
+
+The main text is what the article holds; on pages without one it is the body less template and
+groups of links.  Elements that are page furniture by name, role or class (menus, page headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) never count.
 
 Defined cases: null or empty html gives an empty text; a page without url belongs to the host ``''``;
@@ -24,23 +25,32 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARES = 1000
-CHUNK = 64
-#: A node is template if this share of at least two aligned pages has the same text there.
+from sitefold.llm.common import map_rows, stored
+
+#: Rows of a result batch.
+CHUNK = 512
+#: A text is template if this share of at least two distinct pages aligned at a node has it there.
 SAME = 0.8
+LEAST = 2
+#: Cells of an alignment table; larger ones are split.
+CELLS = 1 << 20
+_BIG = 1 << 20
 MOST_LINKS = 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z]+")
 _CONTAINERS = frozenset("ul ol div table".split())
+_ELEMENT = re.compile("<[a-zA-Z]")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 _IN_HEAD = frozenset("base basefont bgsound link meta".split())  # besides raw text elements
@@ -64,7 +74,7 @@ _WRAPPERS = frozenset("form menu".split())
 
 
 class Node:
-    __slots__ = ("children", "furniture", "kids", "length", "sign", "tag", "text")
+    __slots__ = ("children", "full", "furniture", "kids", "length", "sign", "size", "tag")
 
     def __init__(self, tag: str, furniture: bool = False):
         self.tag, self.furniture, self.children = tag, furniture, []  # children: Node or str
@@ -194,13 +204,14 @@ def _find(node: Node, tag: str, skip: set[int] = frozenset()) -> list[Node]:
     return out
 
 
-def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
-    """Texts of the blocks under ``node`` in page order, without furniture and nodes in ``skip``."""
-    out, now = [], []
+def units(node: Node, skip: set[int] = frozenset()) -> list[tuple[Node, str]]:
+    """Blocks under ``node`` in page order, without furniture and nodes in ``skip``: the innermost
+    block element around and the text."""
+    out, now, owners = [], [], [node]
 
     def end() -> None:
         if now and (text := " ".join(html.unescape("".join(now)).split())):
-            out.append(text)
+            out.append((owners[-1], text))
         now.clear()
 
     stack: list = [node]
@@ -208,6 +219,7 @@ def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
         n = stack.pop()
         if n is None:
             end()
+            owners.pop()
         elif isinstance(n, str):
             now.append(n)
         elif n.tag == "br":
@@ -215,66 +227,157 @@ def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
         elif not n.furniture and id(n) not in skip:
             if n.tag in _BLOCK:
                 end()
+                owners.append(n)
                 stack.append(None)
             stack += reversed(n.children)
     end()
     return out
 
 
+def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
+    return [text for _, text in units(node, skip)]
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _sign(n: Node) -> None:
+    n.size = 1 + sum(k.size for k in n.kids)
+    n.sign = hash((n.tag, *(k.sign for k in n.kids)))
+
+
 def _frame(node: Node, folded: set[int]) -> None:
-    """Set what alignment needs: element children, own text and a signature of the shape."""
+    """Set what alignment needs: element children, signatures of shape and content, and size.
+    Furniture and nodes in ``folded`` have no element children."""
     order, stack = [], [node]
     while stack:
         n = stack.pop()
         order.append(n)
-        n.kids = [] if id(n) in folded else [c for c in n.children if isinstance(c, Node)]
+        n.kids = [] if n.furniture or id(n) in folded else [c for c in n.children if isinstance(c, Node)]
         stack += n.kids
     for n in reversed(order):
-        n.text = " ".join(blocks(n)) if id(n) in folded else " ".join("".join(c for c in n.children if isinstance(c, str)).split())
-        n.sign = hash((n.tag, *(k.sign for k in n.kids)))
+        _sign(n)
+        own = " ".join("".join(c for c in n.children if isinstance(c, str)).split())
+        n.full = digest(f"{n.tag} {' '.join(str(k.full) for k in n.kids)} {own}")
+
+
+def frame_to_text(node: Node) -> str:
+    """A frame as lines of depth, content signature and tag, in page order."""
+    out, stack = [], [(0, node)]
+    while stack:
+        depth, n = stack.pop()
+        out.append(f"{depth} {n.full} {n.tag}")
+        stack += [(depth + 1, k) for k in reversed(n.kids)]
+    return "\n".join(out)
+
+
+def frame_from_text(text: str) -> list[Node]:
+    """The nodes of a frame in page order; the first is the root."""
+    order, path = [], []
+    for line in text.split("\n"):
+        depth, full, tag = line.split(" ", 2)
+        n = Node(tag)
+        n.kids, n.full = [], int(full)
+        del path[int(depth):]
+        if path:
+            path[-1].kids.append(n)
+        path.append(n)
+        order.append(n)
+    for n in reversed(order):
+        _sign(n)
+    return order
 
 
 def _matching(a: Node, b: Node, known: dict) -> int:
     """Size of the largest matching of two trees whose roots match, by simple tree matching."""
     if a.tag != b.tag:
         return 0
-    key = id(a), id(b)
-    if (got := known.get(key)) is not None:
-        return got
-    row = [0] * (len(b.kids) + 1)
-    for x in a.kids:
-        last, row = row, [0]
-        for j, y in enumerate(b.kids):
-            row.append(max(row[j], last[j + 1], last[j] + _matching(x, y, known)))
-    known[key] = row[-1] + 1
-    return row[-1] + 1
+    if a.sign == b.sign:
+        return a.size
+    key = a.sign, b.sign
+    if (got := known.get(key)) is None:
+        got = known[key] = 1 + int(_last_row(a.kids, b.kids, known)[-1]) // _BIG
+    return got
+
+
+def _weights(xs: list[Node], ys: list[Node], known: dict) -> Iterator[np.ndarray]:
+    """Per node of ``xs`` what matching it with each of ``ys`` is worth: nodes first, then equal content."""
+    kinds: dict[int, int] = {}
+    kind = np.array([kinds.setdefault(y.sign, len(kinds)) for y in ys])
+    first = {y.sign: y for y in reversed(ys)}
+    full = np.array([y.full for y in ys])
+    rows: dict[int, np.ndarray] = {}
+    for x in xs:
+        if (row := rows.get(x.sign)) is None:
+            row = rows[x.sign] = np.array([_matching(x, first[s], known) for s in kinds], np.int64)[kind] * _BIG
+        yield row + ((full == x.full) & (row > 0))
+
+
+def _rows(xs: list[Node], ys: list[Node], known: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the alignment table of two lists, with the weights they are made from."""
+    row = np.zeros(len(ys) + 1, np.int64)
+    for w in _weights(xs, ys, known):
+        last, row = row, np.zeros(len(ys) + 1, np.int64)
+        np.maximum.accumulate(np.maximum(last[1:], last[:-1] + w), out=row[1:])
+        yield row, w
+
+
+def _last_row(xs: list[Node], ys: list[Node], known: dict) -> np.ndarray:
+    row = np.zeros(len(ys) + 1, np.int64)
+    if xs and ys:
+        for row, _ in _rows(xs, ys, known):  # noqa: B007
+            pass
+    return row
+
+
+def _pairs(xs: list[Node], ys: list[Node], known: dict) -> list[tuple[Node, Node]]:
+    """The best pairing of two lists of children in order."""
+    out = []
+    lo, n, m = 0, len(xs), len(ys)
+    # nodes of equal content at the ends are always paired in some best pairing
+    while lo < min(n, m) and xs[lo].full == ys[lo].full and xs[lo].sign == ys[lo].sign:
+        lo += 1
+    while min(n, m) > lo and xs[n - 1].full == ys[m - 1].full and xs[n - 1].sign == ys[m - 1].sign:
+        n, m = n - 1, m - 1
+    out += zip([*xs[:lo], *xs[n:]], [*ys[:lo], *ys[m:]], strict=True)
+    xs, ys = xs[lo:n], ys[lo:m]
+    if not xs or not ys:
+        return out
+    if len(xs) > 1 and len(xs) * len(ys) > CELLS:
+        half = len(xs) // 2
+        ahead = _last_row(xs[:half], ys, known)
+        behind = _last_row(xs[half:][::-1], ys[::-1], known)[::-1]
+        at = int((ahead + behind).argmax())
+        return out + _pairs(xs[:half], ys[:at], known) + _pairs(xs[half:], ys[at:], known)
+    best, weight = [np.zeros(len(ys) + 1, np.int64)], []
+    for row, w in _rows(xs, ys, known):
+        best.append(row)
+        weight.append(w)
+    n, m = len(xs), len(ys)
+    while n and m:
+        w = weight[n - 1][m - 1]
+        if w and best[n][m] == best[n - 1][m - 1] + w:
+            n, m = n - 1, m - 1
+            out.append((xs[n], ys[m]))
+        elif best[n][m] == best[n - 1][m]:
+            n -= 1
+        else:
+            m -= 1
+    return out
 
 
 def align(a: Node, b: Node, known: dict | None = None) -> Iterator[tuple[Node, Node]]:
     """Aligned pairs of two frames."""
     if known is None:
         known = {}
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))  # pages nest as deep as they like
     stack = [(a, b)] if a.tag == b.tag else []
     while stack:
         a, b = stack.pop()
         yield a, b
-        if a.sign == b.sign:  # the same shape: nodes align one by one
-            stack += zip(a.kids, b.kids, strict=True)
-            continue
-        n, m = len(a.kids), len(b.kids)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(m):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + _matching(a.kids[i], b.kids[j], known))
-        while n and m:
-            w = _matching(a.kids[n - 1], b.kids[m - 1], known)
-            if w and best[n][m] == best[n - 1][m - 1] + w:
-                n, m = n - 1, m - 1
-                stack.append((a.kids[n], b.kids[m]))
-            elif best[n][m] == best[n - 1][m]:
-                n -= 1
-            else:
-                m -= 1
+        # the same shape: nodes align one by one
+        stack += zip(a.kids, b.kids, strict=True) if a.sign == b.sign else _pairs(a.kids, b.kids, known)
 
 
 def _link_groups(root: Node) -> set[int]:
@@ -304,73 +407,133 @@ def _link_groups(root: Node) -> set[int]:
     return groups
 
 
+class Page:
+    """A parsed page: its blocks, and whether they are its main text if they are no template."""
+
+    def __init__(self, page: str):
+        self.tree = parse(page)
+        found = _find(self.tree, "article") or _find(self.tree, "main")
+        _frame(self.tree, {id(n) for n in found})
+        self.article = [u for n in found for u in units(n)]
+        self.found = bool(found)
+        self.rest = units(self.tree, {id(n) for n in found} | (set() if found else _link_groups(self.tree)))
+
+    def seen(self, reference: list[Node], known: dict) -> dict[int, int]:
+        """Numbers of the reference nodes that nodes of the page are aligned with, by id."""
+        number = {id(n): i for i, n in enumerate(reference)}
+        return {id(b): number[id(a)] for a, b in align(reference[0], self.tree, known)}
+
+    def observe(self, reference: list[Node], known: dict) -> tuple[int, list[int], list[int], list[int]]:
+        """Digest of the page's text, the reference nodes it has, and node and digest of its blocks."""
+        at = self.seen(reference, known)
+        have = sorted({at[id(o)] for o, _ in self.rest if id(o) in at} | {i for i in at.values() if reference[i].tag in _BLOCK})
+        own = sorted({(at[id(o)], digest(t)) for o, t in self.rest if id(o) in at})
+        text = digest("\n\n".join(t for _, t in (self.article if self.found else self.rest)))
+        return text, have, [i for i, _ in own], [d for _, d in own]
+
+    def text(self, reference: list[Node], template: set[tuple[int, int]], known: dict) -> str:
+        if self.found:
+            return "\n\n".join(t for _, t in self.article)
+        at = self.seen(reference, known) if template else {}
+        return "\n\n".join(t for o, t in self.rest if id(o) not in at or (at[id(o)], digest(t)) not in template)
+
+
 def extract(pages: list[str]) -> list[str]:
     """Main texts of same-host pages."""
-    trees = [parse(p) for p in pages]
-    mains = []
-    for t in trees:
-        found = _find(t, "article") or _find(t, "main")
-        mains.append(found)
-        _frame(t, {id(n) for n in found})
-    # template: per node of the first frame, the texts that pages have there
-    texts: dict[int, Counter] = {}
-    aligned = []
-    for t in trees:
-        pairs = list(align(trees[0], t))
-        aligned.append(pairs)
-        for a, b in pairs:
-            texts.setdefault(id(a), Counter())[b.text] += 1
-    constant = {k for k, c in texts.items() if c.total() > 1 and c.most_common(1)[0][1] >= SAME * c.total()}
-    out = []
-    for t, found, pairs in zip(trees, mains, aligned, strict=True):
-        if found:
-            out.append("\n\n".join(b for n in found for b in blocks(n)))
-            continue
-        # no explicit article: slots of the body, less constant text and groups of links
-        template = {id(b) for a, b in pairs if id(a) in constant and b.text and not b.kids}
-        out.append("\n\n".join(blocks(t, template | _link_groups(t))))
-    return out
+    parsed = [Page(p) for p in pages]
+    reference, template, known = [], set(), {}
+    chosen = next((i for i, p in enumerate(pages) if _ELEMENT.search(p)), None)
+    if chosen is not None:
+        reference = frame_from_text(frame_to_text(parsed[chosen].tree))
+        distinct = {}
+        for p in parsed:
+            text, *rest = p.observe(reference, known)
+            distinct[text] = min(distinct.get(text, rest), rest)
+        have = Counter(i for nodes, _, _ in distinct.values() for i in nodes)
+        count = Counter(u for _, nodes, texts in distinct.values() for u in zip(nodes, texts, strict=True))
+        template = {u for u, n in count.items() if n >= LEAST and n >= SAME * have[u[0]]}
+    return [p.text(reference, template, known) for p in parsed]
 
 
 def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
+def _frames(text: str | None, cache: dict) -> tuple[list[Node], dict]:
+    """A reference frame and what is known of alignments with it; a task keeps the last few."""
+    if text not in cache:
+        if len(cache) >= 64:
+            del cache[next(iter(cache))]
+        cache[text] = frame_from_text(text) if text else [], {}
+    reference, known = cache[text]
+    if len(known) > 100_000:
+        known.clear()
+    return reference, known
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, frame, nodes, texts of every host with two distinct pages: the reference frame and the
+    template texts of its nodes.  ``pages`` is (host, html, ...)."""
+    # the reference is the page of smallest hash, one with an element if there is any
+    hashed = pages.select("host", F.struct(~F.col("html").rlike("<[a-zA-Z]"), F.xxhash64("html")).alias("h"))
+    hosts = hashed.groupBy("host").agg(F.min("h").alias("h"), F.max("h").alias("_last")).where("h != _last and not h.col1")
+    hosts = stored(hosts.select("host", F.col("h.col2").alias("h")), "html-hosts")
+
+    def make_frames():
+        def work(cols: dict) -> Iterator[tuple]:
+            for host, page in zip(cols["host"], cols["html"], strict=True):
+                yield host, frame_to_text(Page(page).tree)
+
+        return work
+
+    chosen = pages.withColumn("_h", F.xxhash64("html")).join(hosts.withColumnRenamed("h", "_h"), ["host", "_h"])
+    frames = map_rows(chosen.select("host", "html"), make_frames, "host string, frame string", CHUNK)
+    frames = stored(frames.groupBy("host").agg(F.min("frame").alias("frame")), "html-frames")  # copies of the page
+
+    def make_rows():
+        cache: dict = {}
+
+        def work(cols: dict) -> Iterator[tuple]:
+            for host, page, frame in zip(cols["host"], cols["html"], cols["frame"], strict=True):
+                yield host, *Page(page).observe(*_frames(frame, cache))
+
+        return work
+
+    rows = map_rows(pages.join(frames, "host").select("host", "html", "frame"), make_rows,
+                    "host string, text long, have array<int>, nodes array<int>, texts array<long>", CHUNK)
+    distinct = rows.groupBy("host", "text").agg(F.min(F.struct("have", "nodes", "texts")).alias("r"))
+    seen = distinct.select("host", F.explode(F.concat(
+        F.transform("r.have", lambda i: F.struct(i.alias("node"), F.lit(None).cast("long").alias("text"))),
+        F.arrays_zip(F.col("r.nodes").alias("node"), F.col("r.texts").alias("text")))).alias("u"))
+    counts = seen.groupBy("host", "u.node", "u.text").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts.where((F.col("n") >= LEAST) | F.col("text").isNull()), "html-counts")
+    total = counts.where(F.col("text").isNull()).select("host", "node", F.col("n").alias("total"))
+    same = counts.where(F.col("text").isNotNull()).join(total, ["host", "node"]).where(F.col("n") >= SAME * F.col("total"))
+    template = same.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("t"))
+    # as many entries as a frame has blocks, over SAME at most
+    template = template.select("host", F.col("t.node").alias("nodes"), F.col("t.text").alias("texts"))
+    return stored(frames.join(template, "host"), "html-wrappers")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # fewer than SHARES hosts can hold more than a 1/SHARES of all pages
-    hot = {r["host"]: -(-r["n"] * SHARES // total) for r in counts.where(F.col("n") > max(CHUNK, total / SHARES)).collect()}
-    parts = F.lit(1)
-    if hot:
-        parts = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("host")], F.lit(1))
-    dealt = pages.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), parts))
-    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
     types = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: list[tuple] = []
-        schema = None
-
-        def solve() -> pa.RecordBatch:
-            texts = extract([c[2] for c in chunk])
-            cols = [[c[0] for c in chunk], [c[1] for c in chunk], texts, list(map(len, texts))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema, strict=True)], names=["page_id", "url", "text", "n_chars"])
-
-        for batch in batches:
-            schema = [batch.schema.field("page_id").type, batch.schema.field("url").type, pa.string(), pa.int64()]
-            rows = zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "part")], strict=True)
-            for row in rows:
-                if chunk and (len(chunk) >= CHUNK or row[3:] != chunk[0][3:]):
-                    yield solve()
-                    chunk.clear()
-                chunk.append(row)
-        if chunk:
-            yield solve()
-
-    return dealt.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    def make():
+        cache: dict = {}
+        names = "page_id", "url", "html", "frame", "nodes", "texts"
+
+        def work(cols: dict) -> Iterator[tuple]:
+            for page_id, url, page, frame, nodes, texts in zip(*map(cols.get, names), strict=True):
+                reference, known = _frames(frame, cache)
+                text = Page(page).text(reference, set(zip(nodes or (), texts or (), strict=True)), known)
+                yield page_id, url, text, len(text)
+
+        return work
+
+    both = pages.join(wrappers(pages), "host", "left").select("page_id", "url", "html", "frame", "nodes", "texts")
+    return map_rows(both, make, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long", CHUNK)
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

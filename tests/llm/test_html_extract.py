@@ -67,6 +67,44 @@ def test_copies_of_an_article_stay():
     assert H.extract([page] * 5) == ["Same\n\ntext"] * 5
 
 
+def _plain(i, extra=""):
+    return f"<body><div>Fixed slogan</div><div><p>{prose(i, 30)}</p></div><div>All rights reserved</div>{extra}</body>"
+
+
+def test_copies_without_article():
+    assert H.extract([_plain(1)] * 4) == [f"Fixed slogan\n\n{prose(1, 30)}\n\nAll rights reserved"] * 4
+    pages = ["", *[_plain(1)] * 40, *[_plain(i) for i in range(2, 5)]]
+    assert H.extract(pages) == ["", *[prose(1, 30)] * 40, *[prose(i, 30) for i in range(2, 5)]]
+
+
+def test_a_real_text_where_others_have_template_stays():
+    pages = [_plain(i) for i in range(9)] + [_plain(9).replace("Fixed slogan", "Something else")]
+    assert H.extract(pages)[9] == f"Something else\n\n{prose(9, 30)}"
+
+
+def test_long_lists_align(monkeypatch):
+    monkeypatch.setattr(H, "CELLS", 40)
+
+    def rows(texts):
+        return H.Page("<body>" + "".join(f"<p>{t}</p>" for t in texts)).tree
+    a, b = [f"x{i}" for i in range(30)], [f"x{i}" for i in range(30) if i % 7]
+    pairs = [(x.children[0], y.children[0]) for x, y in H.align(rows(a), rows(b)) if x.tag == "p"]
+    assert len(pairs) == len(b) and all(x == y for x, y in pairs)
+    H.extract(["<div><b>" * 3000 + "x", "<div><b>" * 2999 + "<i>y"])
+
+
+def test_spark_wrapper_is_one_per_host(spark):
+    """Null, empty and repeated pages are no reference and no evidence, wherever they lie."""
+    rows = [(None, "https://h.com/n", None), (0, "https://h.com/0", "")]
+    rows += [(i, f"https://h.com/{i}", _plain(i if i > 60 else 1)) for i in range(1, 70)]
+    rows += [(i, f"https://c.com/{i}", _plain(1)) for i in range(100, 103)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
+    assert got[None] == got[0] == ""
+    assert all(got[i] == prose(i if i > 60 else 1, 30) for i in range(1, 70))
+    assert {got[i] for i in range(100, 103)} == {f"Fixed slogan\n\n{prose(1, 30)}\n\nAll rights reserved"}
+
+
 def _tree(rng, depth):
     n = H.Node(rng.choice("abc"))
     if depth:
