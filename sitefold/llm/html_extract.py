@@ -4,7 +4,7 @@ Pages of one host come from one template.  Three passes over the table as it lie
 shuffled as long as the wrappers can be broadcast (else it is, once for each join by host):
 
 1. every host with two distinct pages gets a reference frame, the DOM tree of one page that has any
-   element; an explicit article (``article``, else ``main``) is folded into one node;
+   element;
 2. every page is aligned with its host's reference by simple tree matching (the largest matching of
    two ordered trees that keeps parents and order; among largest ones, nodes of equal content are
    preferred), which gives each reference node the block texts it has on the host's pages.  Pages of
@@ -12,7 +12,12 @@ shuffled as long as the wrappers can be broadcast (else it is, once for each joi
 3. a text that a node has on most of the distinct pages aligned there is template; a page loses the
    blocks that have just that text at that node.
 
-The main text is what the article holds; on pages without one it is the body less template and
+An explicit article (``article``, else ``main``) says where the main text is, not what it is: template
+in it goes too.  Since copies with small changes look like template, in an article a text has to be
+on ``LEAST_INSIDE`` distinct pages, and if template were more than ``COPIES`` of the text of all of a
+host's articles, these are copies of each other, and nothing in them is template.
+
+The main text is the article less template; on pages without one it is the body less template and
 groups of links.  Elements that are page furniture by name, role or class (menus, page headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) never count.
 
@@ -41,6 +46,8 @@ CHUNK = 512
 #: A text is template if this share of at least two distinct pages aligned at a node has it there.
 SAME = 0.8
 LEAST = 2
+LEAST_INSIDE = 3
+COPIES = 0.5
 #: Cells of an alignment table; larger ones are split.
 CELLS = 1 << 20
 _BIG = 1 << 20
@@ -408,34 +415,35 @@ def _link_groups(root: Node) -> set[int]:
 
 
 class Page:
-    """A parsed page: its blocks, and whether they are its main text if they are no template."""
+    """A parsed page: its blocks, and which of them are its main text if they are no template."""
 
     def __init__(self, page: str):
         self.tree = parse(page)
         found = _find(self.tree, "article") or _find(self.tree, "main")
-        _frame(self.tree, {id(n) for n in found})
-        self.article = [u for n in found for u in units(n)]
-        self.found = bool(found)
-        self.rest = units(self.tree, {id(n) for n in found} | (set() if found else _link_groups(self.tree)))
+        _frame(self.tree, set())
+        inside = [u for n in found for u in units(n)]
+        self.inside = {id(o) for o, _ in inside}
+        self.main = inside if found else units(self.tree, _link_groups(self.tree))
+        self.all = inside + units(self.tree, {id(n) for n in found}) if found else self.main
 
     def seen(self, reference: list[Node], known: dict) -> dict[int, int]:
         """Numbers of the reference nodes that nodes of the page are aligned with, by id."""
         number = {id(n): i for i, n in enumerate(reference)}
         return {id(b): number[id(a)] for a, b in align(reference[0], self.tree, known)}
 
-    def observe(self, reference: list[Node], known: dict) -> tuple[int, list[int], list[int], list[int]]:
-        """Digest of the page's text, the reference nodes it has, and node and digest of its blocks."""
+    def observe(self, reference: list[Node], known: dict) -> tuple[int, int, list[int], list[int], list[int], list[int]]:
+        """Digest of the page's text, length of its article, the reference nodes it has, and node,
+        digest and length in an article of its blocks."""
         at = self.seen(reference, known)
-        have = sorted({at[id(o)] for o, _ in self.rest if id(o) in at} | {i for i in at.values() if reference[i].tag in _BLOCK})
-        own = sorted({(at[id(o)], digest(t)) for o, t in self.rest if id(o) in at})
-        text = digest("\n\n".join(t for _, t in (self.article if self.found else self.rest)))
-        return text, have, [i for i, _ in own], [d for _, d in own]
+        have = sorted({at[id(o)] for o, _ in self.all if id(o) in at} | {i for i in at.values() if reference[i].tag in _BLOCK})
+        own = {(at[id(o)], digest(t)): len(t) if id(o) in self.inside else 0 for o, t in self.all if id(o) in at}
+        text = digest("\n\n".join(t for _, t in self.main))
+        long = sum(len(t) for o, t in self.main if id(o) in self.inside)
+        return text, long, have, [i for i, _ in own], [d for _, d in own], list(own.values())
 
     def text(self, reference: list[Node], template: set[tuple[int, int]], known: dict) -> str:
-        if self.found:
-            return "\n\n".join(t for _, t in self.article)
         at = self.seen(reference, known) if template else {}
-        return "\n\n".join(t for o, t in self.rest if id(o) not in at or (at[id(o)], digest(t)) not in template)
+        return "\n\n".join(t for o, t in self.main if id(o) not in at or (at[id(o)], digest(t)) not in template)
 
 
 def extract(pages: list[str]) -> list[str]:
@@ -445,13 +453,19 @@ def extract(pages: list[str]) -> list[str]:
     chosen = next((i for i, p in enumerate(pages) if _ELEMENT.search(p)), None)
     if chosen is not None:
         reference = frame_from_text(frame_to_text(parsed[chosen].tree))
-        distinct = {}
+        distinct: dict[int, tuple] = {}
         for p in parsed:
             text, *rest = p.observe(reference, known)
             distinct[text] = min(distinct.get(text, rest), rest)
-        have = Counter(i for nodes, _, _ in distinct.values() for i in nodes)
-        count = Counter(u for _, nodes, texts in distinct.values() for u in zip(nodes, texts, strict=True))
-        template = {u for u, n in count.items() if n >= LEAST and n >= SAME * have[u[0]]}
+        have = Counter(i for _, nodes, *_ in distinct.values() for i in nodes)
+        count, size = Counter(), Counter()
+        for _, _, nodes, texts, sizes in distinct.values():
+            for i, d, n in zip(nodes, texts, sizes, strict=True):
+                count[i, d] += 1
+                size[i, d] += n
+        template = {u for u, n in count.items() if n >= (LEAST_INSIDE if size[u] else LEAST) and n >= SAME * have[u[0]]}
+        if sum(size[u] for u in template) > COPIES * sum(r[0] for r in distinct.values()):
+            template = {u for u in template if not size[u]}
     return [p.text(reference, template, known) for p in parsed]
 
 
@@ -500,16 +514,23 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return work
 
     rows = map_rows(pages.join(frames, "host").select("host", "html", "frame"), make_rows,
-                    "host string, text long, have array<int>, nodes array<int>, texts array<long>", CHUNK)
-    distinct = rows.groupBy("host", "text").agg(F.min(F.struct("have", "nodes", "texts")).alias("r"))
-    seen = distinct.select("host", F.explode(F.concat(
-        F.transform("r.have", lambda i: F.struct(i.alias("node"), F.lit(None).cast("long").alias("text"))),
-        F.arrays_zip(F.col("r.nodes").alias("node"), F.col("r.texts").alias("text")))).alias("u"))
-    counts = seen.groupBy("host", "u.node", "u.text").agg(F.count(F.lit(1)).alias("n"))
+                    "host string, text long, long long, have array<int>, nodes array<int>, texts array<long>, sizes array<int>", CHUNK)
+    distinct = rows.groupBy("host", "text").agg(F.min(F.struct("long", "have", "nodes", "texts", "sizes")).alias("r"))
+    # node -1 has the length of the host's articles
+    marker = F.struct(F.lit(-1).alias("node"), F.lit(None).cast("long").alias("text"), F.col("r.long").alias("size"))
+    have = F.transform("r.have", lambda i: F.struct(i.alias("node"), F.lit(None).cast("long").alias("text"), F.lit(0).cast("long").alias("size")))
+    own = F.transform(F.arrays_zip("r.nodes", "r.texts", "r.sizes"),
+                      lambda u: F.struct(u["nodes"].alias("node"), u["texts"].alias("text"), u["sizes"].cast("long").alias("size")))
+    seen = distinct.select("host", F.explode(F.concat(F.array(marker), have, own)).alias("u"))
+    counts = seen.groupBy("host", "u.node", "u.text").agg(F.count(F.lit(1)).alias("n"), F.sum("u.size").alias("size"))
     counts = stored(counts.where((F.col("n") >= LEAST) | F.col("text").isNull()), "html-counts")
-    total = counts.where(F.col("text").isNull()).select("host", "node", F.col("n").alias("total"))
-    same = counts.where(F.col("text").isNotNull()).join(total, ["host", "node"]).where(F.col("n") >= SAME * F.col("total"))
-    template = same.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("t"))
+    total = counts.where(F.col("text").isNull() & (F.col("node") >= 0)).select("host", "node", F.col("n").alias("total"))
+    least = F.when(F.col("size") > 0, LEAST_INSIDE).otherwise(LEAST)
+    same = counts.where(F.col("text").isNotNull() & (F.col("n") >= least)).join(total, ["host", "node"])
+    same = same.where(F.col("n") >= SAME * F.col("total"))
+    template = same.groupBy("host").agg(F.collect_list(F.struct("node", "text", "size")).alias("t"), F.sum("size").alias("size"))
+    template = template.join(counts.where("node = -1").select("host", F.col("size").alias("articles")), "host")
+    template = template.withColumn("t", F.when(F.col("size") > COPIES * F.col("articles"), F.filter("t", lambda u: u["size"] == 0)).otherwise(F.col("t")))
     # as many entries as a frame has blocks, over SAME at most
     template = template.select("host", F.col("t.node").alias("nodes"), F.col("t.text").alias("texts"))
     return stored(frames.join(template, "host"), "html-wrappers")

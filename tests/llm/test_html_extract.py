@@ -105,6 +105,29 @@ def test_spark_wrapper_is_one_per_host(spark):
     assert {got[i] for i in range(100, 103)} == {f"Fixed slogan\n\n{prose(1, 30)}\n\nAll rights reserved"}
 
 
+def _noticed(i, texts=1, notice="Read our terms before you <b>copy</b> this."):
+    article = "".join(f"<p>{prose(100 * i + k, 25)}</p>" for k in range(texts))
+    page = f"<body><div>Slogan</div><article><h1>T{i}</h1><div>{notice}</div>{article}<p>Written by <a>us</a></p></article></body>"
+    return page, "\n\n".join([f"T{i}", *(prose(100 * i + k, 25) for k in range(texts))])
+
+
+def test_template_inside_articles_goes(spark):
+    cases = [_noticed(i, 1 + i % 4) for i in range(12)]
+    assert H.extract([p for p, _ in cases]) == [t for _, t in cases]
+    rows = [(i, f"https://h.com/{i}", p) for i, (p, _) in enumerate(cases)] + [(99, "https://other.com/", cases[0][0])]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [t for _, t in cases]
+    assert got[99].startswith("T0\n\nRead our terms before you copy this.")
+
+
+def test_copies_of_an_article_with_small_changes_stay():
+    paragraphs = [prose(k, 25) for k in range(5)]
+    pages = [_article("Same", [*paragraphs, f"edit {i}"]) for i in range(6)]
+    assert H.extract(pages) == ["\n\n".join(["Same", *paragraphs, f"edit {i}"]) for i in range(6)]
+    two = [_article(f"T{i}", [prose(i, 30), "a quoted line"]) for i in range(2)]
+    assert all(t.endswith("a quoted line") for t in H.extract(two))
+
+
 def _tree(rng, depth):
     n = H.Node(rng.choice("abc"))
     if depth:
