@@ -95,21 +95,15 @@ def asof_predecessor(rows: DataFrame, chunk: int, keep: tuple[str, ...] = ("rid"
     return out.select(*keep, F.coalesce(F.col("p"), F.col("earlier")).alias("prev"))
 
 
-def ttl_dedup(requests: DataFrame, key: str, ts: str, run_seconds: str, failed: str, rid: str,
-              ttl_seconds: float = TTL_SECONDS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """Requests + ``kept`` (starts a new job) and ``job_request_id`` (the kept request whose
-    job serves it).  ``key`` is the dedup key (normalized url); limits are not part of it."""
-    r = requests.select(
-        F.col(key).alias("key"), _micros(F.col(ts)).alias("t"), F.col(rid).cast("long").alias("s"),
-        (_micros(F.col(ts)) + F.round(F.col(run_seconds) * 1_000_000).cast("long")
-         + F.when(F.col(failed), F.lit(0)).otherwise(F.lit(int(ttl_seconds * 1_000_000)))).alias("exp"),
-    )
-    r = materialize(r)
-    data = r.select("key", "t", "s", F.col("s").alias("did"))
+def kept_chain(r: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 to 4 over (key, t, s, rid, exp), materialized: requests in the order (t, s), their
+    identity and the expiry of the job each would start.  The kept ids (rid), and of every id the
+    kept one that serves it (rid, prev)."""
+    data = r.select("key", "t", "s", F.col("rid").alias("did"))
     # probe position: (exp, -1) when exp > t, else just after the request itself
     probes = r.select("key", F.when(F.col("exp") > F.col("t"), F.col("exp")).otherwise(F.col("t")).alias("t"),
                       F.when(F.col("exp") > F.col("t"), F.lit(-1).cast("long")).otherwise(F.col("s")).alias("s"),
-                      F.col("s").alias("pid"))
+                      F.col("rid").alias("pid"))
     nxt = asof_successor(data, probes, chunk_seconds).filter(F.col("did").isNotNull())
     jump = materialize(nxt.select(F.col("pid").alias("rid"), F.col("did").alias("nxt")))
     jumps = [jump]
@@ -120,15 +114,29 @@ def ttl_dedup(requests: DataFrame, key: str, ts: str, run_seconds: str, failed:
         if doubled.isEmpty():
             break
         jumps.append(doubled)
-    heads = r.groupBy("key").agg(F.min_by("s", F.struct("t", "s")).alias("rid"))
+    heads = r.groupBy("key").agg(F.min_by("rid", F.struct("t", "s")).alias("rid"))
     kept = materialize(heads.select("rid"))
     # after the jumps of length >= 2^(k+1) the set holds the chain positions that are multiples of
     # 2^(k+1); J_k adds those at 2^k past them -- disjoint, so no distinct is needed
     for j in reversed(jumps):
         kept = materialize(kept.unionByName(kept.join(j, "rid").select(F.col("nxt").alias("rid"))))
-    marked = r.join(kept.withColumn("mark", F.lit(True)), r.s == kept.rid, "left").select(
-        "key", "t", "s", F.col("s").alias("rid"), F.coalesce(F.col("mark"), F.lit(False)).alias("mark"))
-    prev = asof_predecessor(marked, chunk_seconds).select(F.col("rid").alias("_rid"), F.col("prev").alias("_prev"))
+    marked = r.join(kept.withColumn("mark", F.lit(True)), "rid", "left").select(
+        "key", "t", "s", "rid", F.coalesce(F.col("mark"), F.lit(False)).alias("mark"))
+    return kept, asof_predecessor(marked, chunk_seconds)
+
+
+def ttl_dedup(requests: DataFrame, key: str, ts: str, run_seconds: str, failed: str, rid: str,
+              ttl_seconds: float = TTL_SECONDS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """Requests + ``kept`` (starts a new job) and ``job_request_id`` (the kept request whose
+    job serves it).  ``key`` is the dedup key (normalized url); limits are not part of it."""
+    r = requests.select(
+        F.col(key).alias("key"), _micros(F.col(ts)).alias("t"), F.col(rid).cast("long").alias("s"),
+        (_micros(F.col(ts)) + F.round(F.col(run_seconds) * 1_000_000).cast("long")
+         + F.when(F.col(failed), F.lit(0)).otherwise(F.lit(int(ttl_seconds * 1_000_000)))).alias("exp"),
+    )
+    r = materialize(r.withColumn("rid", F.col("s")))
+    kept, prev = kept_chain(r, chunk_seconds)
+    prev = prev.select(F.col("rid").alias("_rid"), F.col("prev").alias("_prev"))
     flags = kept.select(F.col("rid").alias("_kid"), F.lit(True).alias("_kept"))
     out = requests.join(prev, requests[rid].cast("long") == prev["_rid"]).join(flags, F.col("_rid") == F.col("_kid"), "left")
     return out.select(*[requests[c] for c in requests.columns], F.coalesce(F.col("_kept"), F.lit(False)).alias("kept"),

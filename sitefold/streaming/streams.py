@@ -1,10 +1,13 @@
 """Structured Streaming forms of the continuous behaviours.
 
-* X1 ``stream_request_dedup``: TTL dedup of arriving requests with ``applyInPandasWithState``; state
-  per normalized url = (expiry, job request id, newest request seen).  The watermark runs on the
-  time of arrival, so it drops nothing: a request that arrives behind a newer one of its url comes
-  out flagged ``late``.  State goes ``lateness_seconds`` + ttl after the last arrival for the url; a
-  url that comes back later starts a new job, as it would with the expired state.
+* X1 ``stream_request_dedup``: TTL dedup of arriving requests.  Every micro-batch goes through the
+  library's chunked TTL dedup (``operators.requests.kept_chain``) behind one row per url that stands
+  for its running job, so no url's requests are held in one task and the result does not depend on
+  how rows are dealt.  State per normalized url = (expiry, job request id, newest request seen, last
+  arrival), a table in two slots by turns: micro-batch n reads what n - 1 wrote.  No request is
+  dropped: one that arrives behind a newer one of its url comes out flagged ``late``.  State goes
+  ``lateness_seconds`` + ttl after the last arrival for the url; a url that comes back later starts
+  a new job, as it would with the expired state.
 * X2 ``stream_job_metrics``, ``stream_job_progress``: streaming aggregations in update mode; every
   micro-batch writes the rows that changed, readers take the latest of each key.
 * X3 ``stream_terminal_results``: append-only stream of finished batch children.
@@ -17,33 +20,37 @@ and stops.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sitefold.functions import urls as U
+from sitefold.functions.plan import materialize
 from sitefold.operators.jobs import epoch_micros
-from sitefold.operators.requests import TTL_SECONDS, validate_requests
+from sitefold.operators.requests import TTL_SECONDS, kept_chain, validate_requests
 from sitefold.sources.sinks import scratch_path
 from sitefold.sources.tables import table_path
 
 DEDUP_SCHEMA = "request_id long, norm_url string, kept boolean, job_request_id long, late boolean"
-DEDUP_STATE = "exp long, job long, newest long"
+DEDUP_STATE = "norm_url string, exp long, job long, newest long, last_arrived long"
 
 
-def run_epochs(rows: DataFrame, path: str, mode: str) -> DataFrame:
-    """Drain ``rows`` into ``path``, one folder per micro-batch; the table, with its ``epoch``."""
+def run_epochs(rows: DataFrame, path: str, mode: str, step: Callable[[DataFrame, int], DataFrame] | None = None,
+               schema: str | None = None) -> DataFrame:
+    """Drain ``rows`` into ``path``, one folder per micro-batch; the table, with its ``epoch``.
+    ``step`` makes the rows to write, of ``schema``, from a micro-batch and its number."""
     spark = rows.sparkSession
-    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/epoch=-1")  # no input yet is an empty table
+    none = spark.createDataFrame([], schema or rows.schema)
+    none.write.mode("overwrite").parquet(f"{path}/epoch=-1")  # no input yet is an empty table
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        (step(batch, epoch) if step else batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     query = (rows.writeStream.outputMode(mode).foreachBatch(sink)
              .option("checkpointLocation", path + "-ckpt").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(rows.schema.add("epoch", "long")).parquet(path)
+    return spark.read.schema(none.schema.add("epoch", "long")).parquet(path)
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str], source: str | None = None) -> DataFrame:
@@ -55,34 +62,43 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str], sou
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(glob).select(*columns)
 
 
-def _dedup_group(ttl_seconds: float, lateness_seconds: float):
+def _dedup_step(ttl_seconds: float, lateness_seconds: float, path: str) -> Callable[[DataFrame, int], DataFrame]:
     ttl_us = int(ttl_seconds * 1_000_000)
     keep_ms = int((ttl_seconds + lateness_seconds) * 1000)
 
-    def fold(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        exp, job, newest = state.get if state.exists else (None, None, None)
-        arrived = 0
-        for rows in pdfs:  # one Arrow batch at a time
-            rows = rows.sort_values(["t", "request_id"], kind="mergesort")
-            kept, jobs, late = [], [], []
-            for t, rid, run_us, failed in zip(rows["t"], rows["request_id"], rows["run_us"], rows["failed"], strict=True):
-                late.append(newest is not None and t < newest)
-                newest = int(t) if newest is None else max(newest, int(t))
-                # a request older than the running job is served by it
-                kept.append(exp is None or t >= exp)
-                if kept[-1]:
-                    exp, job = int(t + run_us + (0 if failed else ttl_us)), int(rid)
-                jobs.append(job)
-            yield pd.DataFrame({"request_id": rows["request_id"].astype("int64"), "norm_url": key[0], "kept": kept,
-                                "job_request_id": pd.Series(jobs, dtype="int64", index=rows.index), "late": late})
-            arrived = max(arrived, int(rows["arrived"].max()))
-        state.update((exp, job, newest))
-        state.setTimeoutTimestamp(arrived + keep_ms)
-
-    return fold
+    def step(batch: DataFrame, epoch: int) -> DataFrame:
+        spark = batch.sparkSession
+        if epoch == 0:
+            spark.createDataFrame([], DEDUP_STATE).write.mode("overwrite").parquet(f"{path}/slot=1")
+        state = spark.read.schema(DEDUP_STATE).parquet(f"{path}/slot={(epoch - 1) % 2}")
+        batch = materialize(batch)
+        now = batch.agg(F.max("arrived")).first()[0]
+        if now is not None:
+            state = state.where(F.col("last_arrived") + keep_ms >= now)
+        exp = F.col("t") + F.col("run_us") + F.when(F.col("failed"), F.lit(0)).otherwise(F.lit(ttl_us))
+        # rows that repeat one another are decided once
+        rows = batch.withColumn("exp", exp).groupBy(F.col("norm_url").alias("key"), "t", F.col("request_id").alias("s"), "exp").agg(
+            F.count(F.lit(1)).alias("times"))
+        first = batch.groupBy("norm_url").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+        # the running job of a url serves whatever comes before its expiry: a kept row before all others
+        running = state.join(first, "norm_url").select(
+            F.col("norm_url").alias("key"), (F.col("first") - 1).alias("t"), F.col("job").alias("s"), "exp", F.lit(0).cast("long").alias("times"))
+        r = materialize(rows.unionByName(running).withColumn("rid", F.monotonically_increasing_id()))
+        kept, served = kept_chain(r)
+        jobs = r.select(F.col("rid").alias("prev"), F.col("s").alias("job"))
+        decided = materialize(r.join(served, "rid").join(jobs, "prev").join(kept.withColumn("kept", F.lit(True)), "rid", "left")
+                              .withColumn("kept", F.coalesce("kept", F.lit(False))))
+        last = decided.where("kept").groupBy(F.col("key").alias("norm_url")).agg(F.max_by(F.struct("exp", "job"), F.struct("t", "s")).alias("k"))
+        changed = last.join(first, "norm_url").join(state.select("norm_url", "newest"), "norm_url", "left").select(
+            "norm_url", "k.exp", "k.job", F.greatest("newest", "last").alias("newest"), F.lit(now).cast("long").alias("last_arrived"))
+        rest = state.join(first, "norm_url", "left_anti")
+        rest.select(*changed.columns).unionByName(changed).write.mode("overwrite").parquet(f"{path}/slot={epoch % 2}")
+        out = decided.where("times > 0").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).join(
+            state.select(F.col("norm_url").alias("key"), "newest"), "key", "left")
+        return out.select(F.col("s").alias("request_id"), F.col("key").alias("norm_url"), "kept", F.col("job").alias("job_request_id"),
+                          F.coalesce(F.col("t") < F.col("newest"), F.lit(False)).alias("late"))
+
+    return step
 
 
 def stream_request_dedup(spark: SparkSession, sf_dir: str, lateness_seconds: float, ttl_seconds: float = TTL_SECONDS,
@@ -98,11 +114,9 @@ def stream_request_dedup(spark: SparkSession, sf_dir: str, lateness_seconds: flo
     valid = U.drop_url_parts(U.add_normalized(valid, "k", "norm_url"), "k")
     valid = valid.select("request_id", "norm_url", epoch_micros(F.col("requested_at")).alias("t"),
                          F.round(F.col("run_seconds") * 1_000_000).cast("long").alias("run_us"), "failed",
-                         F.current_timestamp().alias("arrival"))
-    valid = valid.withColumn("arrived", F.unix_millis("arrival")).withWatermark("arrival", "0 seconds")
-    out = valid.groupBy("norm_url").applyInPandasWithState(
-        _dedup_group(ttl_seconds, lateness_seconds), DEDUP_SCHEMA, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return run_epochs(out, scratch_path(spark, "stream_dedup"), "append").drop("epoch")
+                         F.unix_millis(F.current_timestamp()).alias("arrived"))
+    path = scratch_path(spark, "stream_dedup")
+    return run_epochs(valid, path, "append", _dedup_step(ttl_seconds, lateness_seconds, path + "-state"), DEDUP_SCHEMA).drop("epoch")
 
 
 def stream_job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

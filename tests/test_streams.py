@@ -1,9 +1,12 @@
 """Streams over several files: late rows, counters by change, reruns of a micro-batch."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
+from sitefold.operators import requests as R
+from sitefold.sources import jobtables as T
 from sitefold.streaming import streams as X
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +34,36 @@ def test_late_requests_come_out_flagged(spark, tmp_path):
     assert {r["request_id"]: r["job_request_id"] for r in rows} == {14: 14, 15: 14, 17: 14, 18: 18}
 
 
+def test_dedup_does_not_depend_on_arrow_batches(spark, tmp_path):
+    """A url's requests in no order of time, more of them than fit an Arrow batch, over two files."""
+    rng = random.Random(5)
+    day = dt.datetime(2024, 1, 1)
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    rows = [(4 + 3 * i, day + dt.timedelta(minutes=20 * i), 7, "error" if i % 5 == 0 else "view", float(i % 7) * 300, "{}") for i in range(150)]
+    files = [rows[:90], rows[90:]]
+    for f in files:
+        rng.shuffle(f)
+    source = _files(spark, tmp_path, "events", [spark.createDataFrame(f, schema) for f in files])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = X.stream_request_dedup(spark, SF, lateness_seconds=86_400, source=source).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = R.request_dedup(T.requests_from_events(spark.createDataFrame(rows, schema))).collect()
+    assert len(want) > 50 and sum(r["kept"] for r in want) > 5
+    assert {(r["request_id"], r["kept"], r["job_request_id"]) for r in got} == {(r["request_id"], r["kept"], r["job_request_id"]) for r in want}
+    assert len(got) == len(want) and not any(r["late"] for r in got)
+
+
+def test_a_repeated_request_and_its_running_job(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1, 10)
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    files = [[(14, day, 7, "view", 1.0, "{}")] * 2, [(14, day, 7, "view", 1.0, "{}"), (15, day + dt.timedelta(hours=2), 7, "view", 1.0, "{}")]]
+    source = _files(spark, tmp_path, "events", [spark.createDataFrame(f, schema) for f in files])
+    got = X.stream_request_dedup(spark, SF, lateness_seconds=60, source=source).collect()
+    assert sorted((r["request_id"], r["job_request_id"]) for r in got) == [(14, 14), (14, 14), (14, 14), (15, 15)]
+
+
 def test_counters_over_several_files(spark, tmp_path):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_returnflag", "l_linenumber")
     source = _files(spark, tmp_path, "lines", [lines.where(F.col("l_linenumber") % 3 == i) for i in range(3)])
