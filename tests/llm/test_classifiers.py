@@ -134,3 +134,13 @@ def test_sample_bounds(spark):
     rows, _ = sampling.labelled_sample(docs, labels, max_rows=30, max_bytes=1000)
     assert sum(len(r["text"]) for r in rows) <= 1000
     assert sampling.labelled_sample(docs, labels.limit(0)) == ([], {})
+
+
+def test_a_text_over_the_bound_takes_no_other_with_it(spark):
+    docs = spark.createDataFrame([(i, ("x" if i % 2 else "y") * (5000 if i in (3, 8) else 20 + i)) for i in range(20)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as label")
+    rows, _ = sampling.labelled_sample(docs, labels, max_rows=20, max_bytes=1000)
+    assert {r["doc_id"] for r in rows} == set(range(20)) - {3, 8}
+    # a label that has only long texts keeps its shortest
+    rows, _ = sampling.labelled_sample(docs.where("doc_id % 2 = 0 or doc_id = 3"), labels, max_rows=20, max_bytes=6000)
+    assert {r["doc_id"] for r in rows} >= {3, 0, 2, 4}
