@@ -11,8 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].
@@ -61,6 +62,19 @@ def fold(name: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def numbered(df: DataFrame, order: list, out: str, name: str) -> DataFrame:
+    """``df`` on shared files, with ``out`` = 0, 1, ... in ``order`` and ``_part``, the task that
+    wrote the row.  One range exchange; a task numbers its own rows, and the counts of the tasks
+    (one row each, which is also the bound of the broadcast) are summed up before it."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = stored(laid, name).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_part_first"))
+    parts = parts.select("_part", "_part_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_part_before"))
+    rank = (F.col("_at") - F.col("_part_first") + F.col("_part_before")).cast("long")
+    return laid.join(F.broadcast(parts), "_part").withColumn(out, rank).drop("_at", "_part_first", "_part_before")
+
+
 def wrapped(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text): whole rows as one column, so no added column clashes with theirs;
     ``select("row.*")`` brings them back."""
@@ -104,3 +118,66 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterable[tuple]
             yield flush(out)
 
     return df.mapInArrow(run, spark_schema)
+
+
+#: Polynomial hashes of words: sum of (byte + 1) * BASE^i over the bytes of a word, modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(BASE, -1, 1 << 64)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64, kept for the next call."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(1 << 16, 2 * n), base, np.uint64)
+        have[0] = 1
+        _POWERS[base] = have = np.multiply.accumulate(have, dtype=np.uint64)
+    return have[:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def word_spans(raw: bytes, segment: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, 64-bit hashes) of the white-space separated words of a text, a segment of its
+    bytes at a time.  A word that passes the end of a segment comes with the segment it ends in."""
+    open_at, open_hash = -1, 0  # the word that the last segment cut
+    for lo in range(0, len(raw), segment):
+        part = np.frombuffer(raw, np.uint8, min(segment, len(raw) - lo), lo)
+        ink = ~_WHITE[part]
+        edge = np.flatnonzero(np.diff(ink, prepend=False, append=False))
+        starts, ends = edge[::2], edge[1::2]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(part)), out=total[1:])
+        h = (total[ends] - total[starts]) * powers(_INVERSE, len(part))[starts]
+        starts, ends = starts + lo, ends + lo
+        if open_at >= 0:
+            if len(starts) and starts[0] == lo:
+                h[0] = np.uint64((open_hash + pow(BASE, lo - open_at, 1 << 64) * int(h[0])) & 0xFFFFFFFFFFFFFFFF)
+                starts[0] = open_at
+            else:
+                starts, ends = np.insert(starts, 0, open_at), np.insert(ends, 0, lo)
+                h = np.insert(h, 0, np.uint64(open_hash))
+            open_at = -1
+        if len(ends) and ends[-1] == lo + len(part) and ends[-1] < len(raw):
+            open_at, open_hash = int(starts[-1]), int(h[-1])
+            starts, ends, h = starts[:-1], ends[:-1], h[:-1]
+        if len(starts):
+            yield starts, ends, mixed(h)
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of a text's UTF-8 bytes; needs the table ``crc``
+    of ``SQL_CRC`` in scope."""
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+            f"lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])))")
+
+
+SQL_CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from sitefold.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, quality, secret_scan, suffix_dedup, toxicity
+from sitefold.llm import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    jaccard_join,
+    language_id,
+    merkle,
+    packing,
+    periodic,
+    quality,
+    secret_scan,
+    sharding,
+    suffix_dedup,
+    toxicity,
+)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -22,4 +39,7 @@ ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_sharding": sharding.OP12_SQL,
+    "op13_periodic_runs": periodic.OP13_SQL,
 }
