@@ -36,53 +36,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import map_rows, stored, text_of, wrapped
+from sitefold.llm.common import BASE, map_rows, mixed, powers, stored, text_of, word_spans, wrapped
 from sitefold.llm.components import connected_components
 
 ROWS = 3
 MISS = 1e-12
 FIRST_BANDS = 2
 #: A group beyond this many members or tokens is split.
-CHUNK, CHUNK_TOKENS = 4096, 4 << 20
+CHUNK, CHUNK_TOKENS = 2048, 2 << 20
 LEAF, FANOUT = 64, 8
-BITS_PER_TOKEN, MOST_BITS = 16, 1 << 17
+BITS_PER_TOKEN, MOST_BITS = 16, 1 << 16
+STEP = 1 << 16
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a UTF-8 text."""
-    tokens = raw.translate(_LOWER).split()  # bytes split at \x20 and \x09-\x0D
-    if not tokens:
+    """Sorted distinct 64-bit hashes of the word shingles of a UTF-8 text, made of its words' hashes,
+    which are found a segment of the text at a time."""
+    own = [h for _, _, h in word_spans(raw.translate(_LOWER))]
+    if not own:
         return np.empty(0, np.uint64)
-    line = b" ".join(tokens)
-    ends = np.cumsum(np.array(list(map(len, tokens)), np.int64) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(tokens) > words:
-        starts, ends = starts[: len(starts) - words + 1], ends[words - 1:]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    # polynomial of the bytes: sum of byte * M^i, brought back to i = 0 by M^-start
-    power = _powers(_MULTIPLIER, len(line))
-    total = np.zeros(len(line) + 1, np.uint64)
-    np.cumsum((np.frombuffer(line, np.uint8).astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_INVERSE, len(line))[starts]
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    return np.unique(h ^ (h >> np.uint64(29)))
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(1 << 16, 2 * n), base, np.uint64)
-        have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have, dtype=np.uint64)
-    return have[:n]
+    own = np.concatenate(own)
+    n = max(1, len(own) - words + 1)
+    weight = powers(BASE, words)
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, STEP):
+        hi = min(lo + STEP, n)
+        h = np.zeros(hi - lo, np.uint64)
+        for k in range(min(words, len(own))):
+            h += own[lo + k:hi + k] * weight[k]
+        out[lo:hi] = mixed(h)
+    del own
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def band_count(percent: int) -> int:
@@ -219,13 +206,15 @@ def _group_links(rows: DataFrame, percent: int) -> DataFrame:
         now, group = None, []
         for batch in batches:
             kind = batch.schema.field("vertex").type
-            cols = [batch.column(c).to_pylist() for c in ("gid", "side", "vertex", "component", "tokens")]
-            for gid, *row in zip(*cols, strict=True):
-                if gid != now:
-                    if (out := solve(group)) is not None:
-                        yield out
-                    now, group = gid, []
-                group.append(tuple(row))
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                cols = [part.column(c).to_pylist() for c in ("gid", "side", "vertex", "component", "tokens")]
+                for gid, *row in zip(*cols, strict=True):
+                    if gid != now:
+                        if (out := solve(group)) is not None:
+                            yield out
+                        now, group = gid, []
+                    group.append(tuple(row))
         if (out := solve(group)) is not None:
             yield out
 
