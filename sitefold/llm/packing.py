@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,15 +34,29 @@ SPECIAL = {"<|endoftext|>": 50256}  # fixed value of the vocabulary
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def encoder(ranks_path: str):
-    """The byte-level BPE of the 50k vocabulary.  tiktoken reads the same vocabulary as ranks and
-    gives the ids of ``tokenizers`` (add_special_tokens=False) at five times its speed."""
+def encoder(ranks_path: str) -> Callable[[str], list[int]]:
+    """The ids of a text under the byte-level BPE of the 50k vocabulary, as ``tokenizers`` gives them
+    (add_special_tokens=False).  tiktoken reads the same vocabulary as ranks and is five times as
+    fast, but gives up on very long runs of white space; such a text goes to ``tokenizers``."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    slow = []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:  # its regular expression ran out of stack
+            if not slow:
+                import tokenizers
+
+                slow.append(tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+            return slow[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def default_ranks() -> str:
@@ -55,16 +69,14 @@ def pieces(docs: DataFrame, size: int = SIZE, ranks_path: str | None = None) ->
     """One row per piece of every document (doc_id and ``PIECES``)."""
 
     def make():
-        enc = encoder(ranks_path or default_ranks())
+        encode = encoder(ranks_path or default_ranks())
 
         def work(cols: dict) -> Iterator[tuple]:
             for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-                ids = enc.encode(text, allowed_special="all")
-                ids.append(END_ID)
-                raw = np.array(ids, dtype="<u4").tobytes()
+                ids = np.append(np.array(encode(text), dtype="<u4"), np.uint32(END_ID))
                 for start in range(0, len(ids), size):
-                    part = raw[4 * start:4 * (start + size)]
-                    yield doc_id, start, len(part) // 4, zlib.crc32(part), len(ids)
+                    part = ids[start:start + size]
+                    yield doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)
 
         return work
 

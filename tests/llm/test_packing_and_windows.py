@@ -36,6 +36,15 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_very_long_white_space(spark):
+    """Two million characters of white space, beyond what the fast encoder takes."""
+    rows = [(1, "\n" * 2_000_000), (2, "a" + " " * 2_000_000 + "b"), (3, "plain")]
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert sorted((r["doc_id"], r["sum(length)"]) for r in out) == want == sorted((r["doc_id"], r["max(doc_tokens)"]) for r in out)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pack_histogram(seed):
     rng = np.random.default_rng(seed)
