@@ -10,6 +10,8 @@ from sitefold.llm.common import text_of
 
 #: A fit reads at most so many rows and so many bytes of text.
 MAX_ROWS = 8_000
+#: More labels than that: the commonest are learned (ties: the smaller label).
+MAX_LABELS = 500
 MAX_BYTES = 64 << 20
 #: Texts over this share of the bytes come last, except the shortest of a label that has no other.
 TEXT_SHARE = 1 / 16
@@ -39,13 +41,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     label the ids of smallest hash are taken.  The bound on bytes is applied to their lengths: a text
     that doesn't fit is skipped, not those after it, and only texts that fit are read."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", "label").distinct()
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(min(MAX_LABELS, max_rows))
+    counts = {r["label"]: r["n"] for r in common.collect()}
     if not counts:
         return [], {}
     share = max(1, max_rows // len(counts))
     # a hash threshold leaves about twice a label's share; the window then cuts to the share exactly
     cut = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * share / n + 64 / n) * (1 << 30))))])
-    near = known.withColumn("_h", F.xxhash64("doc_id", F.lit(17))).where(F.pmod("_h", F.lit(1 << 30)) < cut[F.col("label")])
+    near = known.where(F.col("label").isin(list(counts))).withColumn("_h", F.xxhash64("doc_id", F.lit(17))).where(F.pmod("_h", F.lit(1 << 30)) < cut[F.col("label")])
     first = Window.partitionBy("label").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h", "doc_id")
     ids = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= share).select("doc_id", "label", "_r")
     # at most max_rows ids: the bound of this broadcast

@@ -51,6 +51,37 @@ def test_recognised_keeps_columns_and_clean_rows(spark):
     assert language_id.recognised(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_noise_goes_and_clean_rows_stay(spark):
+    """Letter noise and a script nobody learned go from ten words on; short, repetitive, mixed and
+    marked-up texts of the learned languages stay."""
+    rng = random.Random(11)
+    learned = [(i, _tongue(lang, i, 5 + i % 60), lang) for i, lang in enumerate(sorted(SOUNDS) * 200)]
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (10, 40, 400)]
+    noise.append("съешь ещё этих мягких французских булок да выпей чаю " * 3)
+    rows = [(1000 + i, t, None) for i, t in enumerate(noise)]
+    clean = [_tongue("aa", 1, 1), _tongue("bb", 2, 3), "tha " * 400, _tongue("cc", 3, 2000), "A.",
+             _tongue("aa", 4, 300) + " " + _tongue("bb", 5, 300), _tongue("bb", 6, 30) + ' token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62" +1 (706) 555-3138',
+             " ".join(w + "###" for w in _tongue("cc", 7, 60).split()), _tongue("aa", 8, 80).upper()]
+    rows += [(2000 + i, t, None) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame(learned + rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.recognised(docs).collect()}
+    assert kept == {*range(600), *range(2000, 2000 + len(clean))}
+
+
+@pytest.mark.parametrize("text", ["", "one", "a " * 70_000, "x" * 200_000, "wort\n" * 30_000, "été straße " * 9000])
+def test_counts_and_words_by_segments(text):
+    at = language_id.slots(text)
+    assert (language_id.counts(text) == np.bincount(at, minlength=1 << language_id.BITS)).all()
+    assert set(language_id.words_only(text).split()) == set(text.split()) or "x" * 200_000 == text
+
+
+def test_more_labels_than_can_be_learned(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MAX_LABELS", 3)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    rows, counts = sampling.labelled_sample(docs, docs.selectExpr("doc_id", "least(doc_id % 10, 4) as label"), max_rows=12)
+    assert counts == {4: 36, 0: 6, 1: 6} and len(rows) <= 12
+
+
 def _quality_rows():
     out = []
     for i in range(160):
