@@ -68,3 +68,18 @@ def chunked_running_sum(df: DataFrame, keys: list[str], order: str, value: str,
     totals = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(wc), F.lit(0)))
     joined = local.join(totals.select(*keys, "_chunk", "_off"), [*keys, "_chunk"])
     return joined.withColumn(out, (F.col("_off") + F.col("_loc")).cast("long")).drop("_chunk", "_loc", "_off")
+
+
+def range_numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out`` = 0, 1, ... in ``order`` over all rows: range partitions, materialized, each
+    numbered by its task; the counts of the tasks (one row each, which bounds the broadcast) are
+    summed up before it.  Columns starting with '_n' are used inside."""
+    from pyspark.sql import Window
+
+    laid = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_nat", F.monotonically_increasing_id()))
+    laid = laid.withColumn("_npart", F.shiftright("_nat", 33))
+    before = Window.orderBy("_npart").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy("_npart").agg(F.count(F.lit(1)).alias("_nrows"), F.min("_nat").alias("_nfirst"))
+    parts = parts.select("_npart", "_nfirst", F.coalesce(F.sum("_nrows").over(before), F.lit(0)).alias("_nbefore"))
+    rank = (F.col("_nat") - F.col("_nfirst") + F.col("_nbefore")).cast("long")
+    return laid.join(F.broadcast(parts), "_npart").withColumn(out, rank).drop("_nat", "_npart", "_nfirst", "_nbefore")

@@ -125,6 +125,66 @@ def job_states() -> str:
             f"(SELECT job_id, {state} AS state FROM ({jobs()}) WHERE submitted_at <= {t})")
 
 
+def job_events() -> str:
+    none = "CAST(NULL AS VARCHAR)"
+    late = "to_microseconds(CAST(((job_id * 7 + l_linenumber * 13) % 80) * 1000000 + CASE WHEN l_linenumber % 2 = 1 THEN 250000 ELSE 0 END AS BIGINT))"
+    return f"""
+    WITH j AS MATERIALIZED ({jobs()})
+    SELECT job_id, submitted_at AS at_, 0 AS seq, 'submit' AS kind, {none} AS error FROM j
+    UNION ALL SELECT job_id, submitted_at + INTERVAL 5 SECOND, 1, 'submit', {none} FROM j WHERE job_id % 21 = 0
+    UNION ALL SELECT job_id, started_at, 10, 'start', {none} FROM j WHERE started_at IS NOT NULL
+    UNION ALL SELECT job_id, started_at, 20, 'cancel', {none} FROM j WHERE status = 'cancelled'
+    UNION ALL SELECT job_id, completed_at, 30, 'end', {none} FROM j WHERE status IN ('done', 'cancelled')
+    UNION ALL SELECT job_id, completed_at, 31, 'fail', error FROM j WHERE status = 'error'
+    UNION ALL SELECT job_id, completed_at + INTERVAL 10 SECOND, 32, 'end', {none} FROM j WHERE status IN ('done', 'cancelled', 'error') AND job_id % 15 = 0
+    UNION ALL SELECT CASE WHEN l_linenumber = 6 THEN -job_id ELSE job_id END, submitted_at + {late}, CAST(l_linenumber + 40 AS INTEGER), 'cancel', {none}
+              FROM j JOIN lineitem ON l_orderkey = job_id WHERE l_returnflag = 'R'
+    """
+
+
+def _job_marks() -> str:
+    """Per job the places of its submission, its start and its end in its log (structs that compare as (at, seq))."""
+    place = "{'at': at_, 'seq': seq}"
+    return f"""
+    ev AS MATERIALIZED ({job_events()}),
+    s AS (SELECT job_id, min({place}) AS sub FROM ev WHERE kind = 'submit' GROUP BY job_id),
+    t AS (SELECT job_id, min({place}) AS st FROM ev JOIN s USING (job_id) WHERE kind = 'start' AND {place} > sub GROUP BY job_id),
+    e AS (SELECT job_id, min({place}) AS en, arg_min({{'kind': kind, 'error': error}}, {place}) AS how
+          FROM ev JOIN t USING (job_id) WHERE kind IN ('end', 'fail') AND {place} > st GROUP BY job_id),
+    c AS (SELECT ev.job_id, at_, seq, CASE WHEN sub IS NULL OR {place} < sub THEN 'not found' WHEN en IS NULL OR {place} < en THEN 'cancelling' ELSE 'late' END AS out_
+          FROM ev LEFT JOIN s USING (job_id) LEFT JOIN e USING (job_id) WHERE kind = 'cancel'),
+    n AS (SELECT job_id, min(at_) FILTER (WHERE out_ = 'cancelling') AS asked, count(*) FILTER (WHERE out_ = 'cancelling') AS yes,
+                 count(*) FILTER (WHERE out_ != 'cancelling') AS no_ FROM c GROUP BY job_id),
+    m AS (SELECT job_id, sub, st, en, how, asked, coalesce(yes, 0) AS yes, coalesce(no_, 0) AS no_, k.others,
+                 CASE WHEN sub IS NULL THEN 'not found' WHEN how.kind = 'fail' THEN 'error' WHEN en IS NOT NULL AND yes > 0 THEN 'cancelled'
+                      WHEN en IS NOT NULL THEN 'done' WHEN st IS NOT NULL THEN 'running' ELSE 'pending' END AS state
+          FROM (SELECT job_id, count(*) FILTER (WHERE kind != 'cancel') AS others FROM ev GROUP BY job_id) k
+          LEFT JOIN s USING (job_id) LEFT JOIN t USING (job_id) LEFT JOIN e USING (job_id) LEFT JOIN n USING (job_id))"""
+
+
+def job_event_states() -> str:
+    return f"""
+    WITH {_job_marks()}
+    SELECT job_id, state, state IN ('pending', 'running') AND yes > 0 AS cancelling, sub.at AS submitted_at, st.at AS started_at,
+           asked AS cancel_requested_at, en.at AS completed_at,
+           CASE WHEN state IN ('done', 'cancelled') THEN {_secs('en.at', 'st.at')} END AS duration_seconds,
+           CASE WHEN state IN ('done', 'cancelled') THEN 100.0::DOUBLE END AS progress_pct, how.error AS error,
+           yes AS cancels_accepted, no_ AS cancels_refused,
+           others - (sub IS NOT NULL)::BIGINT - (st IS NOT NULL)::BIGINT - (en IS NOT NULL)::BIGINT AS events_ignored
+    FROM m
+    """
+
+
+def job_cancels() -> str:
+    place = "{'at': at_, 'seq': seq}"
+    return f"""
+    WITH {_job_marks()},
+    x AS (SELECT c.job_id, at_, seq, out_, CASE WHEN out_ = 'late' THEN state WHEN out_ = 'not found' THEN 'not found'
+                 WHEN st IS NOT NULL AND st < {place} THEN 'running' ELSE 'pending' END AS met FROM c JOIN m USING (job_id))
+    SELECT job_id, at_ AS "at", seq, met AS state_met, CASE WHEN out_ = 'late' THEN 'already ' || met ELSE out_ END AS outcome FROM x
+    """
+
+
 def _duration() -> str:
     return f"CASE WHEN completed_at IS NOT NULL AND started_at IS NOT NULL THEN {_secs('completed_at', 'started_at')} END"
 
@@ -270,6 +330,8 @@ ORACLE = {
     "request_validation": request_validation,
     "request_dedup": request_dedup,
     "job_states": job_states,
+    "job_event_states": job_event_states,
+    "job_cancels": job_cancels,
     "job_listing": job_listing,
     "job_listing_done": job_listing_done,
     "job_detail": job_detail,

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitefold.operators import batches as B
+from sitefold.operators import joblog as L
 from sitefold.operators import jobs as J
 from sitefold.operators import requests as R
 from sitefold.sources import jobtables as T
@@ -31,6 +32,16 @@ def q_job_states(spark, sf_dir):
     return J.job_states(T.jobs_table(spark, sf_dir), T.AS_OF)
 
 
+def q_job_event_states(spark, sf_dir):
+    """States, times and durations folded from the event log."""
+    return L.job_event_states(T.job_events_table(spark, sf_dir))
+
+
+def q_job_cancels(spark, sf_dir):
+    """What every cancel request of the event log met."""
+    return L.cancel_outcomes(T.job_events_table(spark, sf_dir))
+
+
 def q_job_listing(spark, sf_dir):
     jobs = T.jobs_table(spark, sf_dir)
     batches = T.batches_table(spark, sf_dir)
@@ -85,6 +96,8 @@ QUERIES = {
     "request_validation": q_request_validation,
     "request_dedup": q_request_dedup,
     "job_states": q_job_states,
+    "job_event_states": q_job_event_states,
+    "job_cancels": q_job_cancels,
     "job_listing": q_job_listing,
     "job_listing_done": q_job_listing_done,
     "job_detail": q_job_detail,

@@ -71,6 +71,38 @@ def jobs_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> Dat
     )
 
 
+def job_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_events(job_id, at, seq, kind, error): the log behind ``jobs_table``.  A job's submission, start
+    and end or failure are events; key % 21 = 0 is submitted and key % 15 = 0 ended twice.  A job that
+    is to end as cancelled is cancelled as it starts; every line item with flag R asks for a cancel up
+    to 80 s after the submission -- of a job that doesn't exist when its line number is 6."""
+    jobs = jobs_table(spark, sf_dir)
+    key, none = F.col("job_id"), F.lit(None).cast("string")
+
+    def events(rows: DataFrame, at: Column, seq: int, kind: str, error: Column = none) -> DataFrame:
+        return rows.select("job_id", at.alias("at"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), error.alias("error"))
+
+    ended = jobs.where(F.col("status").isin("done", "cancelled"))
+    failed = jobs.where(F.col("status") == "error")
+    out = events(jobs, F.col("submitted_at"), 0, "submit")
+    for more in (
+        events(jobs.where(key % 21 == 0), F.col("submitted_at") + _secs(F.lit(5)), 1, "submit"),
+        events(jobs.where(F.col("started_at").isNotNull()), F.col("started_at"), 10, "start"),
+        events(jobs.where(F.col("status") == "cancelled"), F.col("started_at"), 20, "cancel"),
+        events(ended, F.col("completed_at"), 30, "end"),
+        events(failed, F.col("completed_at"), 31, "fail", F.col("error")),
+        events(ended.unionByName(failed).where(key % 15 == 0), F.col("completed_at") + _secs(F.lit(10)), 32, "end"),
+    ):
+        out = out.unionByName(more)
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag"]).where(F.col("l_returnflag") == "R")
+    number = F.col("l_linenumber")
+    after = (F.col("l_orderkey") * 7 + number * 13) % 80 + F.when(number % 2 == 1, F.lit(0.25)).otherwise(F.lit(0))
+    asked = lines.join(jobs.select("job_id", "submitted_at"), F.col("l_orderkey") == F.col("job_id")).select(
+        F.when(number == 6, -F.col("job_id")).otherwise(F.col("job_id")).alias("job_id"), (F.col("submitted_at") + _secs(after)).alias("at"),
+        (number + 40).cast("int").alias("seq"), F.lit("cancel").alias("kind"), none.alias("error"))
+    return out.unionByName(asked)
+
+
 def batches_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """batches(batch_id, batch_urls, max_pages, max_depth, submitted_at, cancel_requested): one
     batch per customer; its urls in order of the keys (a request's own list)."""
