@@ -17,6 +17,8 @@ per level.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,30 @@ def _annotate(df: DataFrame, rules: DataFrame | None, agent: str) -> DataFrame:
     return df.withColumn("allowed", F.lit(True))
 
 
+class CrawlRun(NamedTuple):
+    """What a crawl leaves behind.
+
+    result:  (site, url, norm_url, depth, page_ord, outcome, reason, root_failed)
+    levels:  counts per site and level
+    visited: (site, norm_url, page_ord, ok, expands): every url that was taken from the queue and not
+             dropped there as visited or beyond the cap
+    links:   (site, src_norm, lp, norm_url): same-domain links of the stored pages
+    """
+
+    result: DataFrame
+    levels: DataFrame
+    visited: DataFrame
+    links: DataFrame
+
+
 def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFrame, rules: DataFrame | None,
           agent: str) -> tuple[DataFrame, DataFrame]:
+    """``crawl_run``'s result and levels."""
+    return crawl_run(jobs, seeds, edges, outcomes, rules, agent)[:2]
+
+
+def crawl_run(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFrame, rules: DataFrame | None,
+              agent: str) -> CrawlRun:
     """Run the crawl for every job at once.
 
     jobs:     (site, root_url, max_pages, max_depth); ``max_pages`` null means no cap
@@ -58,8 +82,7 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     outcomes: (norm_url, ok, error) from ``fetch_outcomes``
     rules:    robots rules (``robots_rules``) or None
 
-    Returns (crawl, levels): crawl(site, url, norm_url, depth, page_ord, outcome, reason,
-    root_failed) with outcome 'ok' or 'skipped', and per-level counts.
+    The result's outcome is 'ok' or 'skipped'.
     """
     spark = jobs.sparkSession
     jobs = U.add_url_parts(jobs.select("site", "root_url", "max_pages", "max_depth"), "root_url", "r")
@@ -81,6 +104,7 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
     crawled = spark.createDataFrame([], "site string, n long")
     out: list[DataFrame] = []
     levels: list[DataFrame] = []
+    taken: list[DataFrame] = []
     for _ in range(limit):
         # first occurrence per normalized url: a partial aggregation, so a url linked from many
         # pages is combined map-side
@@ -108,6 +132,9 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
         processed = f.filter(F.col("max_pages").isNull() | (F.col("_before") < F.col("max_pages")))
         level = _checkpoint(processed.select(
             "site", "url", "norm_url", "depth", "qord", "outcome", "reason", "_before", "norm_root", "sitemap_seeded", "max_depth"))
+        grows = (F.col("outcome") == "ok") & ~F.col("sitemap_seeded") & (F.col("depth") < F.col("max_depth"))
+        taken.append(level.select("site", "norm_url", (F.col("depth").cast("long") * ORD_SCALE + F.col("qord")).alias("page_ord"),
+                                  F.coalesce(F.col("outcome") == "ok", F.lit(False)).alias("ok"), F.coalesce(grows, F.lit(False)).alias("expands")))
         out.append(level.filter(F.col("outcome").isNotNull()).select(
             "site", "url", "norm_url", "depth", (F.col("depth").cast("long") * ORD_SCALE + F.col("qord")).alias("page_ord"),
             "outcome", "reason",
@@ -133,20 +160,70 @@ def crawl(jobs: DataFrame, seeds: DataFrame, edges: DataFrame, outcomes: DataFra
             .fillna({"enqueued_next": 0}))
         if expand.isEmpty():
             break
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    per_level = levels[0]
-    for more in levels[1:]:
-        per_level = per_level.unionByName(more)
-    return result, per_level
+    inside = links_x.filter(F.col("_netsite") == F.col("site")).select("site", "src_norm", "lp", "norm_url")
+    return CrawlRun(_all(out), _all(levels), _all(taken), inside)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def queue_timeline(run: CrawlRun, seeds: DataFrame) -> DataFrame:
+    """C12, C13 as one worker sees its live queue: per crawled page, in the order of the queue, the
+    pages crawled so far, the urls it put into the queue, the queue's length after that and the known
+    urls (crawled + queue) if it put any.
+
+    A page puts a link into the queue unless the link was visited before the page was taken; a url
+    may so lie in the queue several times, and the later ones are taken out without effect.  An item's
+    number in the queue is the number of items put before it: the seeds, the links of earlier pages (a
+    chunked running sum over the pages) and the earlier links of its own page.  What has been taken
+    when a page is done is its own number and one.
+
+    Columns: site, page_ord, crawled, enqueued, queue_size, total_known.
+    """
+    pages = _checkpoint(run.visited)
+    parents = pages.filter("expands").select("site", F.col("norm_url").alias("src_norm"), F.col("page_ord").alias("parent"))
+    first = pages.select("site", "norm_url", F.col("page_ord").alias("seen_at"))
+    puts = run.links.join(parents, ["site", "src_norm"]).join(first, ["site", "norm_url"], "left")
+    puts = _checkpoint(puts.filter(F.col("seen_at").isNull() | (F.col("seen_at") > F.col("parent"))).select("site", "parent", "lp", "norm_url", "seen_at"))
+    n_seeds = seeds.groupBy("site").agg(F.count(F.lit(1)).alias("n_seeds"))
+    per_page = puts.groupBy("site", F.col("parent").alias("page_ord")).agg(F.count(F.lit(1)).alias("enqueued"))
+    ok = pages.filter("ok").select("site", "norm_url", "page_ord").join(per_page, ["site", "page_ord"], "left").fillna({"enqueued": 0})
+    ok = chunked_running_sum(ok.withColumn("one", F.lit(1)), ["site"], "page_ord", "one", "crawled")
+    ok = _checkpoint(chunked_running_sum(ok, ["site"], "page_ord", "enqueued", "put_upto").join(n_seeds, "site"))
+    # the number of each crawled url: its place among the seeds, or that of the first link that put it
+    rank = F.row_number().over(Window.partitionBy("site", "parent").orderBy("lp")) - 1  # links of one page
+    before = ok.select("site", F.col("page_ord").alias("parent"), (F.col("n_seeds") + F.col("put_upto") - F.col("enqueued")).alias("put_before"))
+    numbers = puts.withColumn("rank", rank).join(before, ["site", "parent"]).groupBy("site", "norm_url").agg(
+        F.min(F.col("put_before") + F.col("rank")).alias("number"))
+    out = ok.join(numbers, ["site", "norm_url"], "left").withColumn(
+        "number", F.when(F.col("page_ord") < ORD_SCALE, F.col("page_ord")).otherwise(F.col("number")))
+    queue = F.col("n_seeds") + F.col("put_upto") - F.col("number") - 1
+    return out.select("site", "page_ord", "crawled", F.col("enqueued").cast("long").alias("enqueued"), queue.cast("long").alias("queue_size"),
+                      F.when(F.col("enqueued") > 0, F.col("crawled") + queue).cast("long").alias("total_known"))
+
+
+def live_counters(run: CrawlRun, seeds: DataFrame) -> DataFrame:
+    """Per site the counters as they stand at the end: ``queue_size`` after the last crawled page, and
+    ``total_known`` at the last time a url was put into the queue (the seeds at first)."""
+    timeline = queue_timeline(run, seeds)
+    ends = timeline.groupBy("site").agg(F.max_by("queue_size", "page_ord").alias("queue_size"),
+                                        F.max_by("total_known", F.when(F.col("enqueued") > 0, F.col("page_ord"))).alias("last_known"))
+    known = seeds.groupBy("site").agg(F.count(F.lit(1)).alias("n_seeds"))
+    return known.join(ends, "site", "left").select("site", F.coalesce("queue_size", F.lit(0)).cast("long").alias("queue_size"),
+                                                   F.coalesce("last_known", "n_seeds").cast("long").alias("total_known"))
 
 
-def crawl_summary(jobs: DataFrame, seeds: DataFrame, result: DataFrame, levels: DataFrame, compat: bool = False) -> DataFrame:
+def crawl_summary(jobs: DataFrame, seeds: DataFrame, result: DataFrame, levels: DataFrame, compat: bool = False,
+                  counters: DataFrame | None = None) -> DataFrame:
     """C5, C10-C13 per job: pages crawled / skipped, sitemap mode, known urls, progress, error.
 
     sitemap mode: total_known = seed count, progress = min(crawled / known * 100, 99) while running
-    and 100 at the end; BFS: total_known = crawled + the last enqueued frontier size.  A root that
+    and 100 at the end; BFS: total_known as the live queue gives it (``counters``, see ``live_counters``;
+    without it crawled + the last enqueued frontier size, the level-wise counterpart).  A root that
     fails before any page succeeded sets ``Could not reach <url>: <error>``; the job status is then
     'error' (the reference reports it as done; ``compat`` keeps that).
     """
@@ -160,9 +237,12 @@ def crawl_summary(jobs: DataFrame, seeds: DataFrame, result: DataFrame, levels:
     last = levels.groupBy("site").agg(F.max_by("enqueued_next", "depth").alias("queue_last"))
     out = jobs.select("site", "root_url").join(mode, "site", "left").join(counts, "site", "left").join(last, "site", "left")
     out = out.fillna({"pages_crawled": 0, "pages_skipped": 0, "queue_last": 0, "n_seeds": 0, "sitemap_seeded": False})
-    known = F.when(F.col("sitemap_seeded"), F.col("n_seeds")).otherwise(F.col("pages_crawled") + F.col("queue_last"))
+    known, extra = F.when(F.col("sitemap_seeded"), F.col("n_seeds")).otherwise(F.col("pages_crawled") + F.col("queue_last")), []
+    if counters is not None:
+        live = counters.select("site", "queue_size", F.col("total_known").alias("_known"))
+        out, known, extra = out.join(live, "site", "left"), F.coalesce("_known", F.lit(0)), [F.coalesce("queue_size", F.lit(0)).alias("queue_size")]
     return out.select(
-        "site", "root_url", "sitemap_seeded",
+        "site", "root_url", "sitemap_seeded", *extra,
         F.col("pages_crawled").cast("long").alias("pages_crawled"), F.col("pages_skipped").cast("long").alias("pages_skipped"),
         known.cast("long").alias("total_known"),
         (F.lit("done") if compat else F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("done"))).alias("status"),

@@ -331,19 +331,60 @@ def crawl_skips() -> str:
     return f"SELECT site, url, reason, page_ord FROM ({_capped_rows()}) WHERE outcome = 'skipped'"
 
 
+def _worker(max_pages: int = 50, max_depth: int = 3) -> str:
+    """One worker at its queue, an item a step, all sites at once: (site, step, norm, crawled, put, queue_size, known)."""
+    seeds = site_seeds(max_pages)
+    cand = f"SELECT DISTINCT site, url FROM (SELECT site, url FROM ({seeds}) UNION ALL SELECT site, dst_url FROM ({edges()}))"
+    cand = S.url_parts(cand, "url", "c")
+    cand = (f"SELECT site, url, {S.normalized('c')} AS norm_url, lower(c_netloc) = site AS same_site, {S.crawlable('c')} AS crawlable "
+            f"FROM ({cand})")
+    good = "a.same_site AND a.crawlable AND a.allowed AND a.fetched"
+    return f"""
+    WITH RECURSIVE sd AS ({seeds}), e AS ({edges()}), o AS ({outcomes()}), j AS ({_jobs(str(max_pages))}),
+    a AS (SELECT ann.*, coalesce(o.ok, false) AS fetched FROM ({decisions(cand)}) ann LEFT JOIN o USING (norm_url)),
+    mode AS (SELECT site, bool_or(sitemap_seeded) AS seeded FROM sd GROUP BY site),
+    em AS (SELECT site, map_from_entries(list({{'key': src_norm, 'value': dsts}})) AS links FROM (
+             SELECT e.site, e.src_norm, list({{'norm': a.norm_url, 'same': a.same_site, 'good': {good}}} ORDER BY e.pos) AS dsts
+             FROM e JOIN a ON a.site = e.site AND a.url = e.dst_url GROUP BY e.site, e.src_norm) GROUP BY site),
+    q0 AS (SELECT sd.site, list({{'norm': a.norm_url, 'good': {good}, 'depth': 0}} ORDER BY sd.pos) AS queue
+           FROM sd JOIN a ON a.site = sd.site AND a.url = sd.url GROUP BY sd.site),
+    w(site, step, queue, visited, norm, page, crawled, put, links, seeded) AS (
+      SELECT q0.site, 0, queue, []::VARCHAR[], NULL::VARCHAR, false, 0::BIGINT, 0::BIGINT, coalesce(em.links, MAP {{}}), m.seeded
+      FROM q0 JOIN mode m USING (site) LEFT JOIN em USING (site)
+      UNION ALL
+      SELECT site, step + 1, list_concat(queue, new), seen, x.norm, page, now, len(new)::BIGINT, links, seeded FROM (
+        SELECT *, CASE WHEN page AND NOT seeded AND x.depth < {max_depth} THEN list_transform(
+                         list_filter(coalesce(links[x.norm], []), lambda y: y.same AND NOT list_contains(seen, y.norm)),
+                         lambda y: {{'norm': y.norm, 'good': y.good, 'depth': x.depth + 1}}) ELSE [] END AS new,
+               crawled + page::BIGINT AS now FROM (
+          SELECT * EXCLUDE (page), takes AND x.good AS page, CASE WHEN takes THEN list_append(visited, x.norm) ELSE visited END AS seen FROM (
+            SELECT *, NOT list_contains(visited, x.norm) AND crawled < {max_pages} AS takes FROM (
+              SELECT *, queue[step + 1] AS x FROM w WHERE step < len(queue))))))
+    SELECT site, step, norm, page, crawled, put, len(queue) - step AS queue_size, CASE WHEN put > 0 THEN crawled + len(queue) - step END AS known FROM w
+    """
+
+
+def crawl_timeline() -> str:
+    return f"""
+    WITH w AS ({_worker()}), r AS ({_capped_rows()})
+    SELECT w.site, r.page_ord, w.crawled, w.put AS enqueued, w.queue_size::BIGINT AS queue_size, w.known::BIGINT AS total_known
+    FROM w JOIN r ON r.site = w.site AND r.norm_url = w.norm WHERE w.page
+    """
+
+
 def crawl_progress() -> str:
     seeds = site_seeds(50)
     return f"""
-    WITH r AS ({_capped_rows()}), lv AS ({_capped_levels()}), sd AS ({seeds}), j AS ({_jobs('50')}),
+    WITH r AS ({_capped_rows()}), w AS ({_worker()}), sd AS ({seeds}), j AS ({_jobs('50')}),
     mode AS (SELECT site, bool_or(sitemap_seeded) AS seeded, count(*) AS n_seeds FROM sd GROUP BY site),
     c AS (SELECT site, count(*) FILTER (WHERE outcome = 'ok') AS crawled, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
                  arg_min('Could not reach ' || url || ': ' || reason, page_ord) FILTER (WHERE root_failed) AS error FROM r GROUP BY site),
-    last_ AS (SELECT site, arg_max(enqueued_next, lvl) AS queue_last FROM lv WHERE len(processed) > 0 GROUP BY site)
-    SELECT j.site, j.root_url, coalesce(m.seeded, false) AS sitemap_seeded, CAST(coalesce(c.crawled, 0) AS BIGINT) AS pages_crawled,
-           CAST(coalesce(c.skipped, 0) AS BIGINT) AS pages_skipped,
-           CAST(CASE WHEN coalesce(m.seeded, false) THEN coalesce(m.n_seeds, 0) ELSE coalesce(c.crawled, 0) + coalesce(l.queue_last, 0) END AS BIGINT) AS total_known,
+    live AS (SELECT site, arg_max(queue_size, step) FILTER (WHERE page) AS queue_size, arg_max(known, step) FILTER (WHERE put > 0) AS known FROM w GROUP BY site)
+    SELECT j.site, j.root_url, coalesce(m.seeded, false) AS sitemap_seeded, CAST(coalesce(l.queue_size, 0) AS BIGINT) AS queue_size,
+           CAST(coalesce(c.crawled, 0) AS BIGINT) AS pages_crawled, CAST(coalesce(c.skipped, 0) AS BIGINT) AS pages_skipped,
+           CAST(coalesce(l.known, m.n_seeds, 0) AS BIGINT) AS total_known,
            CASE WHEN c.error IS NOT NULL THEN 'error' ELSE 'done' END AS status, c.error, CAST(100.0 AS DOUBLE) AS progress_pct
-    FROM j LEFT JOIN mode m USING (site) LEFT JOIN c USING (site) LEFT JOIN last_ l USING (site)
+    FROM j LEFT JOIN mode m USING (site) LEFT JOIN c USING (site) LEFT JOIN live l USING (site)
     """
 
 
@@ -362,6 +403,7 @@ def crawl_level_progress() -> str:
 ORACLE["crawl_skips"] = crawl_skips
 ORACLE["crawl_level_progress"] = crawl_level_progress
 ORACLE["crawl_progress"] = crawl_progress
+ORACLE["crawl_timeline"] = crawl_timeline
 
 
 def crawl_documents() -> str:
@@ -379,7 +421,7 @@ ORACLE["crawl_documents"] = crawl_documents
 
 
 def crawl_job_detail() -> str:
-    return (f"SELECT p.site, p.status, p.pages_crawled, p.pages_skipped, p.error, "
+    return (f"SELECT p.site, p.status, p.pages_crawled, p.pages_skipped, p.queue_size, p.total_known, p.sitemap_seeded, p.progress_pct, p.error, "
             f"CASE WHEN p.status = 'done' THEN p.pages_crawled END AS page_count, "
             f"CASE WHEN p.status = 'done' THEN d.llms_txt END AS llms_txt "
             f"FROM ({crawl_progress()}) p LEFT JOIN ({crawl_documents()}) d USING (site)")

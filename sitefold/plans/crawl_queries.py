@@ -55,37 +55,52 @@ def q_fetch_outcomes(spark, sf_dir):
     return out.join(chars, "body", "left").select("norm_url", "ok", "error", "attempts_used", "html_chars")
 
 
-def run_crawl(spark, sf_dir, max_pages: int | None = 50, max_depth: int = 3):
+def _crawl_run(spark, sf_dir, max_pages: int | None = 50, max_depth: int = 3):
     jobs = D.crawl_jobs_table(spark, sf_dir, max_pages=max_pages, max_depth=max_depth)
     seeds = _seeds(spark, sf_dir, jobs)
     outcomes = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir)).select("norm_url", "ok", "error")
     rules = robots_rules(D.robots_table(spark, sf_dir))
-    result, levels = C.crawl(jobs, seeds, D.edges_table(spark, sf_dir), outcomes, rules, AGENT)
-    return jobs, seeds, result, levels
+    return jobs, seeds, C.crawl_run(jobs, seeds, D.edges_table(spark, sf_dir), outcomes, rules, AGENT)
+
+
+def run_crawl(spark, sf_dir, max_pages: int | None = 50, max_depth: int = 3):
+    """(jobs, seeds, result, levels) of the crawl."""
+    jobs, seeds, run = _crawl_run(spark, sf_dir, max_pages, max_depth)
+    return jobs, seeds, run.result, run.levels
 
 
 def q_crawl_reach(spark, sf_dir):
     """C1-C6 without a page cap: every url the crawl reaches, its BFS depth and outcome."""
-    _, _, result, _ = run_crawl(spark, sf_dir, max_pages=None)
-    return result.select("site", "norm_url", "depth", "outcome", "reason")
+    run = _crawl_run(spark, sf_dir, max_pages=None)[2]
+    return run.result.select("site", "norm_url", "depth", "outcome", "reason")
 
 
 def q_crawl_skips(spark, sf_dir):
     """Skip log of the capped crawl (50 pages, depth 3)."""
-    _, _, result, _ = run_crawl(spark, sf_dir)
+    result = _crawl_run(spark, sf_dir)[2].result
     return result.filter(F.col("outcome") == "skipped").select("site", "url", "reason", "page_ord")
 
 
 def q_crawl_progress(spark, sf_dir):
-    """C10-C13 per job of the capped crawl."""
-    jobs, seeds, result, levels = run_crawl(spark, sf_dir)
-    return C.crawl_summary(jobs, seeds, result, levels)
+    """C10-C13 per job of the capped crawl, with the live queue's counters."""
+    return _summary(*_crawl_run(spark, sf_dir))
+
+
+def _summary(jobs, seeds, run):
+    seeds = seeds.select("site", "sitemap_seeded")
+    return C.crawl_summary(jobs, seeds, run.result, run.levels, counters=C.live_counters(run, seeds))
+
+
+def q_crawl_timeline(spark, sf_dir):
+    """C12, C13 per crawled page of the capped crawl: the live queue after each page."""
+    _, seeds, run = _crawl_run(spark, sf_dir)
+    return C.queue_timeline(run, seeds)
 
 
 def q_crawl_level_progress(spark, sf_dir):
     """C12, C13 per job and level of the capped crawl."""
-    _, seeds, _, levels = run_crawl(spark, sf_dir)
-    return C.level_progress(seeds, levels)
+    _, seeds, run = _crawl_run(spark, sf_dir)
+    return C.level_progress(seeds, run.levels)
 
 
 def _crawl_docs(spark, sf_dir, jobs, result):
@@ -102,19 +117,19 @@ def _crawl_docs(spark, sf_dir, jobs, result):
 
 def q_crawl_documents(spark, sf_dir):
     """The full flow: crawl (50 pages, depth 3) -> metadata of crawled pages -> one document per site."""
-    jobs, _, result, _ = run_crawl(spark, sf_dir)
-    return _crawl_docs(spark, sf_dir, jobs, result)
+    jobs, _, run = _crawl_run(spark, sf_dir)
+    return _crawl_docs(spark, sf_dir, jobs, run.result)
 
 
 def q_crawl_job_detail(spark, sf_dir):
     """J4 + J12 over the crawl: per job the status and counters; the document and page count only
     for jobs that finished 'done'."""
-    jobs, seeds, result, levels = run_crawl(spark, sf_dir)
-    summary = C.crawl_summary(jobs, seeds, result, levels)
-    docs = _crawl_docs(spark, sf_dir, jobs, result).select("site", "llms_txt")
+    jobs, seeds, run = _crawl_run(spark, sf_dir)
+    summary = _summary(jobs, seeds, run)
+    docs = _crawl_docs(spark, sf_dir, jobs, run.result).select("site", "llms_txt")
     done = F.col("status") == "done"
     return summary.join(docs, "site", "left").select(
-        "site", "status", "pages_crawled", "pages_skipped", "error",
+        "site", "status", "pages_crawled", "pages_skipped", "queue_size", "total_known", "sitemap_seeded", "progress_pct", "error",
         F.when(done, F.col("pages_crawled")).alias("page_count"), F.when(done, F.col("llms_txt")).alias("llms_txt"))
 
 
@@ -129,6 +144,7 @@ QUERIES = {
     "crawl_skips": q_crawl_skips,
     "crawl_progress": q_crawl_progress,
     "crawl_level_progress": q_crawl_level_progress,
+    "crawl_timeline": q_crawl_timeline,
     "crawl_documents": q_crawl_documents,
     "crawl_job_detail": q_crawl_job_detail,
 }
