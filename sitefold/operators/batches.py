@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
-from sitefold.functions.plan import fence, materialize
+from sitefold.functions.plan import chunked_row_number, fence, materialize
 from sitefold.functions.text import py_strip
 from sitefold.operators.jobs import ACTIVE, epoch_micros, seconds_between
-from sitefold.operators.requests import CHUNK_SECONDS, TTL_SECONDS, asof_predecessor
+from sitefold.operators.requests import CHUNK_SECONDS, MAX_DEPTH_RANGE, MAX_PAGES_RANGE, TTL_SECONDS, asof_predecessor
 
 SEED_SPLIT_RE = "[\\n,]+"
 
@@ -25,21 +25,32 @@ def parse_seed_lines(lines: DataFrame) -> DataFrame:
         .select("source_no", "line_no", F.col("pos").cast("int").alias("pos"), "url")
 
 
+def repaired_text(content: Column) -> Column:
+    """UTF-8 bytes as text; every maximal part of a broken sequence becomes one U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of the uploaded seed files at or under ``path``, scanned as bytes; an empty
+    file has no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", repaired_text(F.col("content")).alias("text"))
+
+
+def text_lines(texts: DataFrame, source_no: int, *keep: str) -> DataFrame:
+    """(``keep``, source_no, line_no, line) of whole texts, for ``parse_seed_lines``."""
+    return texts.select(*keep, F.lit(source_no).alias("source_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
+        .withColumn("line_no", F.col("line_no").cast("long"))
+
+
 def read_seed_sources(spark: SparkSession, file_path: str | None, form_text: str | None) -> DataFrame:
-    """An uploaded seed file (decoded as UTF-8, bad bytes replaced, read whole) first, then the
-    form text, as (source_no, line_no, line) rows for ``parse_seed_lines``.  Both are single
-    texts of a request, so each is one row; splitting happens in Spark."""
-    parts = []
+    """An uploaded seed file first (see ``read_uploads``), then the form text unless it is blank,
+    as (source_no, line_no, line) rows for ``parse_seed_lines``."""
+    out = spark.createDataFrame([], "source_no int, line_no long, line string")
     if file_path:
-        parts.append(spark.read.text(file_path, wholetext=True).select(F.lit(0).alias("source_no"), F.lit(0).cast("long").alias("line_no"),
-                                                                        F.col("value").alias("line")))
+        out = out.unionByName(text_lines(read_uploads(spark, file_path), 0))
     if form_text is not None and form_text.strip():
-        parts.append(spark.createDataFrame([(1, 0, form_text)], "source_no int, line_no long, line string"))
-    if not parts:
-        return spark.createDataFrame([], "source_no int, line_no long, line string")
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+        out = out.unionByName(text_lines(spark.createDataFrame([(form_text,)], "text string"), 1))
     return out
 
 
@@ -52,6 +63,48 @@ def ordered_distinct(urls: DataFrame) -> DataFrame:
                         F.col("o.pos").alias("pos"))
 
 
+def submitted_urls(uploads: DataFrame, forms: DataFrame) -> DataFrame:
+    """S1-S3 for many submissions: (submission, pos, url), the distinct urls of each in the order of
+    its file, then its form.  ``uploads`` and ``forms`` are (submission, text); a submission may have
+    either, both or none.  A text is one request's; its items are counted map-side per url and
+    numbered in parallel chunks."""
+    def items(texts: DataFrame, source_no: int) -> DataFrame:
+        parts = texts.select("submission", F.posexplode(F.split("text", SEED_SPLIT_RE, -1)).alias("i", "raw"))
+        return parts.select("submission", py_strip(F.col("raw")).alias("url"), (F.col("i").cast("long") + source_no * (1 << 40)).alias("ord"))
+
+    both = items(uploads, 0).unionByName(items(forms, 1))
+    urls = both.filter(F.col("url").startswith("http://") | F.col("url").startswith("https://"))
+    first = urls.groupBy("submission", "url").agg(F.min("ord").alias("ord"))
+    out = chunked_row_number(first, ["submission"], "ord", "pos")
+    return out.select("submission", (F.col("pos") - 1).alias("pos"), "url")
+
+
+def batch_submissions(submissions: DataFrame, urls: DataFrame) -> DataFrame:
+    """J1's batch form and S3's error, one outcome for each whole submission (submission, max_pages,
+    max_depth): rejected when a limit is out of bounds (more than the most pages is no error: it is
+    capped) or when it holds no url.  ``urls`` is ``submitted_urls``'s result.
+
+    Columns: submission, outcome, reject_reason, url_count, url (the first), max_pages, max_depth.
+    """
+    lists = urls.groupBy("submission").agg(F.count(F.lit(1)).alias("url_count"), F.min_by("url", "pos").alias("url"))
+    df = submissions.select("submission", F.when(F.col("max_pages").isNotNull(), F.least("max_pages", F.lit(MAX_PAGES_RANGE[1]))).alias("max_pages"), "max_depth")
+    df = df.join(lists, "submission", "left").fillna({"url_count": 0})
+    reason = (F.when(F.coalesce(F.col("max_pages"), F.lit(0)) < MAX_PAGES_RANGE[0], F.lit("max_pages out of range"))
+              .when(~F.coalesce(F.col("max_depth").between(*MAX_DEPTH_RANGE), F.lit(False)), F.lit("max_depth out of range"))
+              .when(F.col("url_count") == 0, F.lit("no valid urls")))
+    return df.select("submission", F.when(reason.isNull(), F.lit("accepted")).otherwise(F.lit("rejected")).alias("outcome"),
+                     reason.alias("reject_reason"), "url_count", "url", "max_pages", "max_depth")
+
+
+def expand_submissions(submissions: DataFrame, urls: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
+    """J7 for the accepted submissions (as ``batch_expand``, ``batch_id`` being the submission);
+    ``submissions`` also has submitted_at."""
+    good = batch_submissions(submissions, urls).filter(F.col("outcome") == "accepted").select("submission")
+    starts = submissions.join(good, "submission", "left_semi").select("submission", "submitted_at")
+    items = urls.join(starts, "submission").select(F.col("submission").alias("batch_id"), "submitted_at", "pos", "url")
+    return expand_items(items, jobs, ttl_seconds)
+
+
 def _norm(df: DataFrame, url: str, out: str) -> DataFrame:
     df = U.add_url_parts(df, url, "z")
     return U.drop_url_parts(U.add_normalized(df, "z", out), "z")
@@ -66,7 +119,12 @@ def cached_action(at: Column, status: Column, completed_at: Column, ttl_seconds:
 
 
 def batch_expand(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
-    """One row per batch url with the action taken at the batch start:
+    """J7 over batches that hold their urls as arrays; see ``expand_items``."""
+    return expand_items(batches.select("batch_id", "submitted_at", F.posexplode("batch_urls").alias("pos", "url")), jobs, ttl_seconds)
+
+
+def expand_items(items: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
+    """One row per batch url (batch_id, submitted_at, pos, url) with the action taken at the batch start:
 
     * 'reuse' -- the latest job for the normalized url was done then, within the ttl;
     * 'drop' -- that job was pending / running then, or an earlier url of the same batch already
@@ -79,7 +137,7 @@ def batch_expand(batches: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_S
     url shared by many jobs and batches never pairs every item with every job.
     Columns: batch_id, pos, url, norm_url, action, reused_job_id.
     """
-    items = batches.select("batch_id", "submitted_at", F.posexplode("batch_urls").alias("pos", "url"))
+    items = items.select("batch_id", "submitted_at", F.col("pos").cast("int").alias("pos"), "url")
     items = fence(_norm(fence(items), "url", "norm_url"))
     cache = fence(_norm(jobs.select("job_id", "url", "status", "submitted_at", "completed_at", "parent_batch_id"), "url", "c_norm"))
     none = F.lit(None).cast("long")

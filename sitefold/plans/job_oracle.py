@@ -257,10 +257,49 @@ def _norm_col(src: str, url: str, out: str) -> str:
     return f"SELECT * EXCLUDE ({', '.join('z_' + x for x in ('scheme', 'netloc', 'path', 'params', 'query', 'fragment'))}), {S.normalized('z')} AS {out} FROM ({s})"
 
 
-def _expand() -> str:
+def _submitted() -> str:
+    """(submission, pos, url): distinct urls by file, then form, by key, then place in the line."""
+    sub = f"o_custkey // {T.CUSTOMERS_PER_SUBMISSION}"
+    url = _url("o_orderkey")
+    mark = "chr(65533)"  # what a broken sequence becomes, once for each maximal part
+    bad = f"CASE o_orderkey % 4 WHEN 2 THEN {mark} || {mark} WHEN 3 THEN {mark} || {mark} || {mark} ELSE {mark} END"
+    line = (f"CASE WHEN ({sub}) % 9 = 0 THEN 'HTTPS://' || CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 7 = 0 THEN 'no url ' || CAST(o_orderkey AS VARCHAR) "
+            f"WHEN o_orderkey % 11 = 0 THEN '  ' || {url} || ' ,, ' || {url} || '#x ' WHEN o_orderkey % 13 = 0 THEN {url} || '/' || {bad} ELSE {url} END")
+    return f"""
+    WITH l AS (SELECT {sub} AS submission, o_orderkey AS key, {line} AS line FROM orders WHERE o_orderkey % 5 = 2),
+    s AS (SELECT 0 AS source, * FROM l WHERE key % 2 = 0 UNION ALL SELECT 1, * FROM l WHERE key % 2 = 1 OR key % 3 = 0),
+    i AS (SELECT submission, source, key, i, {S.strip('parts[i]')} AS url
+          FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM (SELECT *, string_split_regex(line, ',+') AS parts FROM s))),
+    f AS (SELECT submission, url, min({{'source': source, 'key': key, 'i': i}}) AS o FROM i
+          WHERE starts_with(url, 'http://') OR starts_with(url, 'https://') GROUP BY submission, url)
+    SELECT submission, row_number() OVER (PARTITION BY submission ORDER BY o) - 1 AS pos, url FROM f
+    """
+
+
+def batch_submissions() -> str:
+    return f"""
+    WITH t AS (SELECT DISTINCT o_custkey // {T.CUSTOMERS_PER_SUBMISSION} AS submission FROM orders WHERE o_orderkey % 5 = 2),
+    p AS (SELECT submission, CAST(least(submission * 37 % 230 - 10, 200) AS INTEGER) AS max_pages, CAST(submission % 12 AS INTEGER) AS max_depth FROM t),
+    u AS (SELECT submission, count(*) AS url_count, arg_min(url, pos) AS url FROM ({_submitted()}) GROUP BY submission),
+    r AS (SELECT p.*, coalesce(url_count, 0) AS url_count, url, CASE WHEN max_pages < 1 THEN 'max_pages out of range'
+                 WHEN max_depth < 1 OR max_depth > 10 THEN 'max_depth out of range' WHEN url_count IS NULL THEN 'no valid urls' END AS reject_reason
+          FROM p LEFT JOIN u USING (submission))
+    SELECT submission, CASE WHEN reject_reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, reject_reason, url_count, url, max_pages, max_depth FROM r
+    """
+
+
+def submission_expand() -> str:
+    return _expand(f"""
+    SELECT submission AS batch_id, started, CAST(pos AS INTEGER) AS pos, url FROM ({_submitted()})
+    JOIN (SELECT submission FROM ({batch_submissions()}) WHERE outcome = 'accepted') USING (submission)
+    JOIN (SELECT o_custkey // {T.CUSTOMERS_PER_SUBMISSION} AS submission, max(o_orderdate) + INTERVAL 10 MINUTE AS started FROM orders
+          WHERE o_orderkey % 5 = 2 GROUP BY ALL) USING (submission)""")
+
+
+def _expand(items: str | None = None) -> str:
     """Each batch url looks at all jobs before it: submitted earlier, or at its instant and not a child."""
-    items = (f"SELECT batch_id, submitted_at AS started, CAST(i - 1 AS INTEGER) AS pos, batch_urls[i] AS url "
-             f"FROM (SELECT *, unnest(generate_series(1, len(batch_urls))) AS i FROM ({batches()}))")
+    items = items or (f"SELECT batch_id, submitted_at AS started, CAST(i - 1 AS INTEGER) AS pos, batch_urls[i] AS url "
+                      f"FROM (SELECT *, unnest(generate_series(1, len(batch_urls))) AS i FROM ({batches()}))")
     items = _norm_col(items, "url", "norm_url")
     seen = _norm_col(f"SELECT job_id, url AS c_url, status, submitted_at, completed_at, parent_batch_id IS NOT NULL AS child FROM ({jobs()})", "c_url", "c_norm")
     return f"""
@@ -327,6 +366,8 @@ def batch_rollup() -> str:
 
 ORACLE = {
     "seed_list": seed_list,
+    "batch_submissions": batch_submissions,
+    "submission_expand": submission_expand,
     "request_validation": request_validation,
     "request_dedup": request_dedup,
     "job_states": job_states,

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitefold.functions.plan import materialize
 from sitefold.operators import batches as B
 from sitefold.operators import joblog as L
 from sitefold.operators import jobs as J
@@ -18,6 +19,18 @@ def q_seed_list(spark, sf_dir):
     return B.ordered_distinct(B.parse_seed_lines(T.seed_lines(spark, sf_dir)))
 
 
+def q_batch_submissions(spark, sf_dir):
+    """S1-S3 + J1: an outcome for every batch submission, read from its file and its form."""
+    table, uploads, forms = T.submissions_table(spark, sf_dir)
+    return B.batch_submissions(table, B.submitted_urls(uploads, forms))
+
+
+def q_submission_expand(spark, sf_dir):
+    """J7 fed by the accepted submissions."""
+    table, uploads, forms = T.submissions_table(spark, sf_dir)
+    return B.expand_submissions(table, materialize(B.submitted_urls(uploads, forms)), T.jobs_table(spark, sf_dir))
+
+
 def q_request_validation(spark, sf_dir):
     out = R.validate_requests(T.requests_table(spark, sf_dir))
     return out.select("request_id", "url", "max_pages", "max_depth", "reject_reason", "accepted_url")
@@ -93,6 +106,8 @@ def q_batch_rollup(spark, sf_dir):
 
 QUERIES = {
     "seed_list": q_seed_list,
+    "batch_submissions": q_batch_submissions,
+    "submission_expand": q_submission_expand,
     "request_validation": q_request_validation,
     "request_dedup": q_request_dedup,
     "job_states": q_job_states,

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefold.sources.sinks import scratch_path
 from sitefold.sources.tables import read_table
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -13,6 +14,9 @@ DEFAULT_MAX_PAGES = 50
 DEFAULT_MAX_DEPTH = 3
 # the moment "now" for listings and cache ages (a parameter everywhere; this is the default)
 AS_OF = "2001-09-01 00:00:00"
+SEED_FILE_LINES = 1000  # pages of one derived seed file
+CUSTOMERS_PER_SUBMISSION = 25
+BAD_BYTES = ("FF", "C3", "C0AF", "EDA080")  # a stray byte, a cut, an overlong and a surrogate sequence
 # ----------------------------------------------------------------------------------------------
 
 
@@ -136,15 +140,56 @@ def requests_from_events(ev: DataFrame) -> DataFrame:
 
 
 def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seed_lines(source_no, line_no, line): an uploaded file (source 0) and a form text (source 1)
-    as text lines built from page urls: some lines hold two urls joined by ',', some are junk,
-    every url appears in both sources."""
+    """seed_lines(source_no, line_no, line): uploaded files (source 0) and form texts (source 1) built
+    from page urls: some lines hold two urls joined by ',', some are junk, every url appears in both
+    sources.  A file holds the lines of 1,000 page ids, an empty one for an id without a page; it is
+    written as bytes and read through ``read_uploads``, so line_no is the page id again."""
+    from sitefold.operators.batches import read_uploads, text_lines
+
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
     pid = F.col("page_id")
     line = (F.when(pid % 7 == 0, F.concat(F.lit("not a url "), pid.cast("string")))
             .when(pid % 5 == 0, F.concat(F.lit("  "), F.col("url"), F.lit(" ,, "), F.col("url"), F.lit("#dup")))
             .when(pid % 11 == 0, F.concat(F.lit("HTTPS://x"), pid.cast("string"), F.lit(".example.com")))
             .otherwise(F.col("url")))
-    file_src = pages.select(F.lit(0).alias("source_no"), pid.alias("line_no"), line.alias("line"))
+    n = SEED_FILE_LINES
+    lines = pages.select(F.floor(pid / n).alias("part"), (pid % n).cast("int").alias("at"), line.alias("line"))
+    files = lines.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("at", "line"))).alias("m"))
+    content = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(""))), "\n")
+    path = scratch_path(spark, "seed-files")
+    files.select("part", content.alias("value")).write.partitionBy("part").text(path)
+    read = read_uploads(spark, path).select("text", F.regexp_extract("path", r"part=(-?[0-9]+)/", 1).cast("long").alias("part"))
+    file_src = text_lines(read, 0, "part").filter(F.col("line_no") < n).select("source_no", (F.col("part") * n + F.col("line_no")).alias("line_no"), "line")
     form_src = pages.select(F.lit(1).alias("source_no"), (-pid).alias("line_no"), F.col("url").alias("line"))
     return file_src.unionByName(form_src)
+
+
+def submissions_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """submissions(submission, max_pages, max_depth, submitted_at), uploads(submission, text) and
+    forms(submission, text), from the orders with key % 5 = 2 of 25 customers each.  Even keys are in the
+    file, odd keys and every third in the form, by key; some lines are junk, hold two urls or end in
+    broken UTF-8, and every ninth submission has no url.  Files are written as bytes and read back."""
+    from sitefold.operators.batches import read_uploads
+
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]).where(F.col("o_orderkey") % 5 == 2)
+    key, sub = F.col("o_orderkey"), F.floor(F.col("o_custkey") / CUSTOMERS_PER_SUBMISSION).cast("long")
+    url, bad = job_url(key), F.array(*[F.unhex(F.lit(x)).cast("string") for x in BAD_BYTES])
+    line = (F.when(sub % 9 == 0, F.concat(F.lit("HTTPS://"), key.cast("string")))
+            .when(key % 7 == 0, F.concat(F.lit("no url "), key.cast("string")))
+            .when(key % 11 == 0, F.concat(F.lit("  "), url, F.lit(" ,, "), url, F.lit("#x ")))
+            .when(key % 13 == 0, F.concat(url, F.lit("/"), F.get(bad, (key % 4).cast("int"))))
+            .otherwise(url))
+    rows = orders.select(sub.alias("submission"), key.alias("key"), line.alias("line"), "o_orderdate")
+
+    def text(part: DataFrame) -> DataFrame:
+        own = F.transform(F.sort_array(F.collect_list(F.struct("key", "line"))), lambda x: x["line"])
+        return part.groupBy("submission").agg(F.array_join(own, "\n").alias("text"))
+
+    path = scratch_path(spark, "uploads")
+    text(rows.where("key % 2 = 0")).select("submission", F.col("text").alias("value")).write.partitionBy("submission").text(path)
+    uploads = read_uploads(spark, path).select(F.regexp_extract("path", r"submission=([0-9]+)/", 1).cast("long").alias("submission"), "text")
+    forms = text(rows.where("key % 2 = 1 or key % 3 = 0")).withColumn("text", F.make_valid_utf8("text"))
+    table = rows.groupBy("submission").agg((F.max("o_orderdate") + _secs(F.lit(600))).alias("submitted_at"))
+    limits = table.select("submission", (F.col("submission") * 37 % 230 - 10).cast("int").alias("max_pages"),
+                          (F.col("submission") % 12).cast("int").alias("max_depth"), "submitted_at")
+    return limits, uploads, forms
