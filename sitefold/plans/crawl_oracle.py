@@ -428,3 +428,30 @@ def crawl_job_detail() -> str:
 
 
 ORACLE["crawl_job_detail"] = crawl_job_detail
+
+
+def crawl_job_children() -> str:
+    return f"""
+    WITH r AS (SELECT *, CASE WHEN outcome = 'ok' THEN 'crawled' ELSE 'skipped' END AS kind FROM ({_capped_rows()})),
+    n AS (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY page_ord) - 1 AS n FROM r)
+    SELECT site, kind, n // 1000 AS page_no, CAST(n % 1000 AS INTEGER) AS slot, url, CAST(depth AS INTEGER) AS depth, reason FROM n
+    """
+
+
+def crawl_job_manifest() -> str:
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_rows, coalesce(max(page_no) FILTER (kind = '{k}') + 1, 0) AS {k}_pages"
+                       for k in ("skipped", "crawled"))
+    # a document's parts: its header, and one for every 1,000 list lines begun
+    lines = "len(list_filter(string_split(llms_txt, chr(10)), lambda x: starts_with(x, '- [')))"
+    return f"""
+    WITH c AS (SELECT site, {counts} FROM ({crawl_job_children()}) GROUP BY site),
+    d AS (SELECT site, CAST(1 + ceil({lines} / 1000) AS BIGINT) AS document_parts, CAST(length(llms_txt) AS BIGINT) AS document_chars FROM ({crawl_documents()}))
+    SELECT p.*, coalesce(skipped_rows, 0) AS skipped_rows, coalesce(skipped_pages, 0) AS skipped_pages, coalesce(crawled_rows, 0) AS crawled_rows,
+           coalesce(crawled_pages, 0) AS crawled_pages, CASE WHEN status = 'done' THEN document_parts END AS document_parts,
+           CASE WHEN status = 'done' THEN document_chars END AS document_chars
+    FROM ({crawl_progress()}) p LEFT JOIN c USING (site) LEFT JOIN d USING (site)
+    """
+
+
+ORACLE["crawl_job_children"] = crawl_job_children
+ORACLE["crawl_job_manifest"] = crawl_job_manifest

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
 from sitefold.operators import crawl as C
-from sitefold.operators.documents import site_documents
+from sitefold.operators import jobdetail as JD
+from sitefold.operators.documents import document_parts, joined_parts
 from sitefold.operators.fetchlog import fetch_outcomes
 from sitefold.operators.pages import META_COLUMNS, page_meta
 from sitefold.operators.robots import robots_decisions, robots_rules, robots_sitemaps
@@ -103,8 +104,8 @@ def q_crawl_level_progress(spark, sf_dir):
     return C.level_progress(seeds, run.levels)
 
 
-def _crawl_docs(spark, sf_dir, jobs, result):
-    """Documents of the crawled pages.  Metadata is extracted on the scan of ``pages``; what is
+def _crawl_parts(spark, sf_dir, jobs, result):
+    """Documents of the crawled pages, in parts.  Metadata is extracted on the scan of ``pages``; what is
     joined to the crawl's rows are metadata rows, by page id."""
     body = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir)).filter(F.col("ok")).select("norm_url", "body")
     ok = result.filter(F.col("outcome") == "ok").select("site", "url", "norm_url", "depth", "page_ord")
@@ -112,7 +113,11 @@ def _crawl_docs(spark, sf_dir, jobs, result):
     found = page_meta(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
     found = found.select(F.col("page_ord").alias("body"), "title", "description", "h1", "has_description")
     meta = U.drop_url_parts(ok, "u").join(found, "body").select(*META_COLUMNS)
-    return site_documents(meta, jobs.select("site", "root_url"))
+    return document_parts(meta, jobs.select("site", "root_url"))
+
+
+def _crawl_docs(spark, sf_dir, jobs, result):
+    return joined_parts(_crawl_parts(spark, sf_dir, jobs, result))
 
 
 def q_crawl_documents(spark, sf_dir):
@@ -133,6 +138,24 @@ def q_crawl_job_detail(spark, sf_dir):
         F.when(done, F.col("pages_crawled")).alias("page_count"), F.when(done, F.col("llms_txt")).alias("llms_txt"))
 
 
+def _children(run):
+    """Skipped urls and crawled pages of every job as numbered child rows."""
+    rows = run.result.select("site", F.when(F.col("outcome") == "ok", "crawled").otherwise("skipped").alias("kind"), "page_ord", "url", "depth", "reason")
+    return JD.child_pages(rows, "site", "kind", "page_ord").select("site", "kind", "page_no", "slot", "url", "depth", "reason")
+
+
+def q_crawl_job_children(spark, sf_dir):
+    """The child rows of every job: skipped urls with their reasons, crawled pages."""
+    return _children(_crawl_run(spark, sf_dir)[2])
+
+
+def q_crawl_job_manifest(spark, sf_dir):
+    """J4 + J12: one bounded row per job: status, counters, and how many child rows, pages and document parts it has."""
+    jobs, seeds, run = _crawl_run(spark, sf_dir)
+    return JD.manifest(_summary(jobs, seeds, run), _children(run), _crawl_parts(spark, sf_dir, jobs, run.result).select("site", "text"),
+                       "site", ("skipped", "crawled"))
+
+
 QUERIES = {
     "robots_sitemaps": q_robots_sitemaps,
     "robots_rules": q_robots_rules,
@@ -147,4 +170,6 @@ QUERIES = {
     "crawl_timeline": q_crawl_timeline,
     "crawl_documents": q_crawl_documents,
     "crawl_job_detail": q_crawl_job_detail,
+    "crawl_job_children": q_crawl_job_children,
+    "crawl_job_manifest": q_crawl_job_manifest,
 }

@@ -338,6 +338,30 @@ def batch_result_rows() -> str:
     """
 
 
+def _job_documents() -> str:
+    """(site, root_url, page_count, llms_txt) of the done jobs, the job id as site."""
+    from sitefold.plans import site_oracle as SO
+
+    number, host = "l_linenumber", "lower(regexp_replace(j.url, '^https://|/$', '', 'g'))"
+    section = f"CASE WHEN {number} % 3 = 0 THEN 'docs/' WHEN {number} % 3 = 1 THEN 'blog-posts/' ELSE '' END"
+    rows = f"""
+    SELECT CAST(job_id AS VARCHAR) AS site, CAST({number} AS BIGINT) AS page_ord, NULL::VARCHAR AS h1, CASE WHEN {number} = 1 THEN 0 ELSE 1 END AS depth,
+           CASE WHEN {number} = 1 THEN j.url ELSE 'https://' || {host} || '/' || {section} || 'p' || {number} END AS url,
+           'Part ' || l_partkey || CASE WHEN {number} % 4 != 0 THEN ' | ' || {host} ELSE '' END AS title,
+           CASE WHEN {number} % 5 != 0 THEN 'Line ' || {number} || ' of job ' || job_id END AS description
+    FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_returnflag != 'R' GROUP BY ALL)
+    JOIN ({jobs()}) j ON l_orderkey = job_id WHERE status = 'done'"""
+    meta = S.url_parts(rows, "url", "u")
+    meta = (f"SELECT site, page_ord, url, {S.normalized('u')} AS norm_url, {S.path_prefix('u')} AS path_prefix, title, description, h1, depth, "
+            f"description IS NOT NULL AS has_description FROM ({meta})")
+    return SO._documents(meta, f"SELECT CAST(job_id AS VARCHAR) AS site, url AS root_url FROM ({jobs()}) WHERE status = 'done'")
+
+
+def batch_result_documents() -> str:
+    return (f"SELECT r.*, CASE WHEN status = 'done' THEN llms_txt END AS llms_txt FROM ({batch_result_rows()}) r "
+            f"LEFT JOIN ({_job_documents()}) d ON d.site = CAST(r.job_id AS VARCHAR)")
+
+
 def batch_results() -> str:
     return f"""
     WITH c AS (SELECT batch_id, count(*) FILTER (WHERE finished) AS completed_count, count(*) FILTER (WHERE status = 'done') AS done_count,
@@ -382,5 +406,6 @@ ORACLE = {
     "batch_expand": batch_expand,
     "batch_results": batch_results,
     "batch_result_rows": batch_result_rows,
+    "batch_result_documents": batch_result_documents,
     "batch_rollup": batch_rollup,
 }

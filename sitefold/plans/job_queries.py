@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.plan import materialize
 from sitefold.operators import batches as B
+from sitefold.operators import jobdetail as D
 from sitefold.operators import joblog as L
 from sitefold.operators import jobs as J
 from sitefold.operators import requests as R
+from sitefold.operators.documents import document_parts
 from sitefold.sources import jobtables as T
 from sitefold.sources.tables import read_table
 
@@ -99,6 +101,20 @@ def q_batch_result_rows(spark, sf_dir):
     return B.batch_result_rows(T.batches_table(spark, sf_dir), T.jobs_table(spark, sf_dir))
 
 
+def job_document_parts(spark, sf_dir):
+    """(job_id, root_url, page_count, part_no, text): the documents of the done jobs, in parts."""
+    jobs = T.jobs_table(spark, sf_dir).where(F.col("status") == "done")
+    sites = jobs.select(F.col("job_id").cast("string").alias("site"), F.col("url").alias("root_url"))
+    parts = document_parts(T.job_pages_table(spark, sf_dir), sites)
+    return parts.withColumn("job_id", F.col("site").cast("long")).drop("site")
+
+
+def q_batch_result_documents(spark, sf_dir):
+    """J8 whole: the result rows of every batch with the documents of the done jobs."""
+    rows = B.batch_result_rows(T.batches_table(spark, sf_dir), T.jobs_table(spark, sf_dir))
+    return D.with_documents(rows, job_document_parts(spark, sf_dir))
+
+
 def q_batch_rollup(spark, sf_dir):
     jobs = T.jobs_table(spark, sf_dir)
     return B.batch_rollup(T.batches_table(spark, sf_dir), jobs)
@@ -122,5 +138,6 @@ QUERIES = {
     "batch_expand": q_batch_expand,
     "batch_results": q_batch_results,
     "batch_result_rows": q_batch_result_rows,
+    "batch_result_documents": q_batch_result_documents,
     "batch_rollup": q_batch_rollup,
 }

@@ -75,6 +75,30 @@ def jobs_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> Dat
     )
 
 
+def job_pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the pages that done jobs crawled, in ``page_meta``'s columns with the job id as site:
+    one for each line number with a line item that counts as a page (the least part key).  Line 1 is the root; titles of lines with number % 4 != 0
+    carry the host as suffix, number % 5 = 0 has no description."""
+    from sitefold.functions import urls as U
+    from sitefold.operators.pages import META_COLUMNS
+
+    jobs = jobs_table(spark, sf_dir).where(F.col("status") == "done").select("job_id", F.col("url").alias("root"))
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_partkey"]).where(F.col("l_returnflag") != "R")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    df = lines.join(jobs, F.col("l_orderkey") == F.col("job_id"))
+    number, host = F.col("l_linenumber"), F.lower(F.regexp_replace("root", "^https://|/$", ""))
+    section = F.when(number % 3 == 0, "docs/").when(number % 3 == 1, "blog-posts/").otherwise("")
+    title = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
+    df = df.select(
+        F.col("job_id").cast("string").alias("site"), number.cast("long").alias("page_ord"),
+        F.when(number == 1, F.col("root")).otherwise(F.concat(F.lit("https://"), host, F.lit("/"), section, F.lit("p"), number.cast("string"))).alias("url"),
+        F.when(number % 4 != 0, F.concat(title, F.lit(" | "), host)).otherwise(title).alias("title"),
+        F.when(number % 5 != 0, F.concat(F.lit("Line "), number.cast("string"), F.lit(" of job "), F.col("job_id").cast("string"))).alias("description"),
+        F.lit(None).cast("string").alias("h1"), F.when(number == 1, 0).otherwise(1).alias("depth"))
+    df = U.add_normalized(U.add_url_parts(df, "url", "u"), "u", "norm_url").withColumn("path_prefix", U.path_prefix_of("u"))
+    return U.drop_url_parts(df, "u").withColumn("has_description", F.col("description").isNotNull()).select(*META_COLUMNS)
+
+
 def job_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_events(job_id, at, seq, kind, error): the log behind ``jobs_table``.  A job's submission, start
     and end or failure are events; key % 21 = 0 is submitted and key % 15 = 0 ended twice.  A job that
