@@ -47,6 +47,11 @@ def jobs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs_from_orders(spark, sf_dir, read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]))
 
 
+def job_status(key: Column, order_status: Column) -> Column:
+    return (F.when(key % 10 == 0, F.lit("error")).when(key % 10 == 1, F.lit("cancelled"))
+            .when(order_status == "F", F.lit("done")).when(order_status == "O", F.lit("running")).otherwise(F.lit("pending")))
+
+
 def jobs_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     """The jobs rule applied to an orders frame (batch or streaming; the other tables are read static)."""
     lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"]).groupBy("l_orderkey").agg(
@@ -55,9 +60,7 @@ def jobs_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> Dat
     df = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").fillna({"ok_lines": 0, "r_lines": 0})
     df = df.join(starts, df.o_custkey == starts.batch_id, "left")
     key = F.col("o_orderkey")
-    status = (F.when(key % 10 == 0, F.lit("error")).when(key % 10 == 1, F.lit("cancelled"))
-              .when(F.col("o_orderstatus") == "F", F.lit("done")).when(F.col("o_orderstatus") == "O", F.lit("running"))
-              .otherwise(F.lit("pending")))
+    status = job_status(key, F.col("o_orderstatus"))
     submitted = F.when(key % 6 == 0, F.greatest("o_orderdate", "batch_start")).otherwise(F.col("o_orderdate"))
     df = df.withColumns({"status": status, "submitted_at": submitted})
     df = df.withColumn("started_at", F.when(F.col("status") != "pending", F.col("submitted_at") + _secs(key % 50)))

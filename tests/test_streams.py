@@ -87,3 +87,59 @@ def test_results_once_even_if_an_epoch_runs_again(spark, tmp_path):
 def test_no_input_is_an_empty_table(spark, tmp_path):
     source = _files(spark, tmp_path, "none", [spark.read.parquet(f"{SF}/orders.parquet").limit(0)])
     assert X.stream_terminal_results(spark, SF, source).count() == 0
+
+
+def _folders(path):
+    return {p.name for p in path.iterdir() if p.is_dir()}
+
+
+def test_state_log_against_a_dictionary(spark, tmp_path):
+    """Random changes over many epochs, some run twice, with compaction and rows that die."""
+    from sitefold.streaming.statelog import StateLog
+
+    rng = random.Random(6)
+    log, state = StateLog(str(tmp_path / "log"), "k string, v long", "k", every=3), {}
+    for epoch in range(11):
+        high = epoch * 10
+        for _ in range(rng.choice([1, 2])):  # a rerun sees what the first run saw
+            log.compact(spark, epoch, F.col("v") >= high - 40)
+            if epoch % 3 == 0:
+                state = {k: v for k, v in state.items() if v >= high - 40}
+            assert {r["k"]: r["v"] for r in log.before(spark, epoch).collect()} == state
+            keys = rng.sample(range(12), 3)
+            some = spark.createDataFrame([(f"k{i}",) for i in keys], "k string")
+            assert {r["k"]: r["v"] for r in log.before(spark, epoch, some).collect()} == {k: v for k, v in state.items() if k in {f"k{i}" for i in keys}}
+            log.write(spark.createDataFrame([(f"k{i}", high + i) for i in keys], "k string, v long"), epoch)
+        state = state | {f"k{i}": high + i for i in keys}
+    assert _folders(tmp_path / "log") == {"base=6", "base=9", "changes"}
+    assert _folders(tmp_path / "log/changes") == {f"epoch={n}" for n in range(6, 11)}
+
+
+def test_dedup_writes_the_urls_it_saw(spark, tmp_path, monkeypatch):
+    """A micro-batch of two urls writes two rows of state, however many urls are live."""
+    day = dt.datetime(2024, 1, 1, 10)
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    files = [[(i, day + dt.timedelta(seconds=i), i, "view", 1.0, "{}") for i in range(200)],
+             [(i, day + dt.timedelta(minutes=30, seconds=i), i, "view", 1.0, "{}") for i in (204, 205)]]
+    monkeypatch.setattr(X, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = X.stream_request_dedup(spark, SF, 60, source=_files(spark, tmp_path, "events", [spark.createDataFrame(f, schema) for f in files]))
+    assert got.count() > 100
+    sizes = [spark.read.parquet(f"{tmp_path}/stream_dedup-state/changes/epoch={n}").count() for n in (0, 1)]
+    assert sizes[0] > 100 and sizes[1] == 2
+
+
+def test_metrics_of_two_streams_in_any_order(spark, tmp_path):
+    """Page results before, with and after their jobs; some whose job never comes."""
+    from sitefold.operators.jobs import job_metrics
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    came = orders.where("o_orderkey % 4 <> 3")
+    o = _files(spark, tmp_path, "o", [came.where("o_orderkey % 4 = 2"), came.where("o_orderkey % 4 < 2").limit(0), came.where("o_orderkey % 4 < 2")])
+    x = _files(spark, tmp_path, "l", [lines.where(F.col("l_linenumber") % 3 == i) for i in range(3)])
+    got = X.stream_job_metrics(spark, SF, o, x).collect()
+    want = job_metrics(T.jobs_from_orders(spark, SF, came)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    none = _files(spark, tmp_path, "z", [orders.limit(0)])
+    nothing = _files(spark, tmp_path, "y", [lines.limit(0)])
+    assert tuple(X.stream_job_metrics(spark, SF, none, nothing).first()) == (0,) * 7
