@@ -41,6 +41,34 @@ def test_exact_dedup_directory_splits(spark):
     _check_exact(rows, exact_dedup.exact_dedup(frame(spark, rows), capacity=2).collect())
 
 
+def test_exact_dedup_deep_directory_and_hot_texts(spark, monkeypatch):
+    """Cells of two bits are overfull, so the directory goes deeper; a text with half of all rows is
+    chained by several tasks."""
+    monkeypatch.setattr(exact_dedup, "CELL_BITS", 2)
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 10)
+    rows = random_rows(6, 120) + [(1000 + i, "one  text\n" if i % 2 else "one text ") for i in range(130)]
+    docs = frame(spark, rows)
+    pointers, entries = exact_dedup.build_index(docs, capacity=1)
+    assert max(r["depth"] for r in pointers.collect()) > 6
+    sizes = {}
+    for r in entries.collect():
+        key = r["depth"], r["bucket"]
+        sizes.setdefault(key, set()).add(r["_h"])
+        assert (r["_h"] & 0xFFFFFFFFFFFFFFFF) >> (64 - r["depth"]) == r["bucket"]
+    assert all(len(own) == 1 for own in sizes.values())
+    _check_exact(rows, exact_dedup.exact_dedup(docs, capacity=1).collect())
+
+
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    """Every text has the same hash: bytes alone tell them apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long") + F.length(F.col(c[0])) * 0)
+    rows = [(i, f"text {i % 5}") for i in range(30)]
+    _check_exact(rows, exact_dedup.exact_dedup(frame(spark, rows)).collect())
+    assert sorted(r["link"] for r in exact_dedup.build_index(frame(spark, rows))[1].collect()) == [1, 2, 3, 4, 5]
+
+
 def test_survivors_keep_rows(spark):
     docs = frame(spark)
     out = exact_dedup.survivors(docs)
