@@ -122,3 +122,38 @@ def test_clean_and_proximity(spark):
     near = frame(spark, [(1, " ".join(w[:5] + ["filler"] + w[5:])), (2, prose(99, 30))])
     found = {r["doc_id"] for r in decontaminate.proximity_matches(near, items.where("item_id = 1")).collect()}
     assert 1 in found
+
+
+def _brute_near(rows, items, slop):
+    """(doc, item, start, gap) over all windows: rarest two terms by count, offset and name."""
+    words = [(i, [x.decode() for x in decontaminate.words_of((t or "").encode())]) for i, t in rows]
+    count = defaultdict(int)
+    for _, w in words:
+        for x in w:
+            count[x] += 1
+    out = set()
+    for item, t in items:
+        own = [x.decode() for x in decontaminate.words_of((t or "").encode())]
+        for p in range(max(1, len(own) - 9) if own else 0):
+            ranked = sorted((count[x], k, x) for k, x in enumerate(own[p:p + 10]))
+            (n, a, first), (_, b, second) = ranked[0], ranked[min(1, len(ranked) - 1)]
+            for doc, w in words if n else ():
+                starts = [i - b for i, x in enumerate(w) if x == second]
+                out |= {(doc, "" if item is None else str(item), i - a, s - i + a) for i, x in enumerate(w) if x == first for s in starts if abs(s - i + a) <= slop}
+    return out
+
+
+@pytest.mark.parametrize("block", [500_000, 7])
+def test_proximity_against_brute_force(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [r for r in _documents() if len(r[1] or "") < 10_000]
+    for i in range(25):  # passages with words put in and taken out
+        w = prose(50, 30).split()
+        at = int(rng.integers(2, 28))
+        rows.append((400 + i, " ".join(w[:at] + ["filler"] * int(rng.integers(0, 7)) + w[at + int(rng.integers(0, 2)):])))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.proximity_matches(frame(spark, rows), items, block_windows=block).collect()
+    want = _brute_near(rows, ITEMS, decontaminate.SLOP)
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    near = {r["doc_id"]: r["n_near"] for r in decontaminate.contamination(frame(spark, rows), items, block_windows=block).collect() if r["doc_id"] not in (9, None)}
+    assert near == {i: len({m[1] for m in want if m[0] == i}) for i in near}
