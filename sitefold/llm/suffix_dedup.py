@@ -20,12 +20,15 @@ offsets; neighbouring windows share theirs, and about one suffix in ``SPAN`` / 2
 4. Suffixes that share a gram are neighbours now.  For two of them the shared right prefix R and
    the shared left suffix L settle which windows are equal: offsets from SPAN - R to L.  Groups of
    many different contexts look their windows up by bytes, offset by offset.
-5. Grams that occur more than ``HOT_GRAM`` times stay out of the merge: the ends of a passage that a
-   third of all documents share would make one group of as many contexts.  Their windows are dealt
-   one by one, as 128-bit digests that Spark counts and joins, so no task holds such a group.
+5. The ends of a passage that a third of all documents share would make one group of as many contexts.
+   So suffixes whose gram occurs more than ``HOT_GRAM`` times are dealt by their next bytes as well: two
+   of them can only share a window at an offset from a to b if they agree in SPAN - b bytes to the
+   right and a bytes to the left.  Groups that are still larger than ``HOT_GRAM`` are halved, offsets a to
+   m and m + 1 to b, until they are small or hold one window, which all of them share then.  Small ones
+   are sorted by Spark and compared as in 4.
 6. Removed ranges return to their documents by row id, where their union is cut out.
 
-In the merge every comparison that decides a removal is of bytes; hashes only pick and deal anchors.
+Every comparison that decides a removal is of bytes; hashes only pick and deal anchors.
 
 Defined cases: a null text is empty; texts under ``SPAN`` bytes lose nothing; repeated rows are
 copies and lose everything from ``SPAN`` bytes on, each of them; a text may match itself.
@@ -34,7 +37,7 @@ copies and lose everything from ``SPAN`` bytes on, each of them; a text may matc
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -184,9 +187,9 @@ class LoserTree:
 
 # ---- equal windows of one group ---------------------------------------------------------------
 
-def equal_windows(group: list[tuple]) -> Iterator[tuple]:
-    """(rows, starts, ends) of the windows that occur twice among suffixes sharing their gram.
-    ``group``: merged (prefix shared with the one before, right, left, rows, places)."""
+def equal_windows(group: list[tuple], least: int = 0, most: int = SPAN) -> Iterator[tuple]:
+    """(rows, starts, ends) of the windows that occur twice among suffixes sharing their gram, at offsets
+    ``least`` to ``most``.  ``group``: merged (prefix shared with the one before, right, left, rows, places)."""
     contexts: dict[tuple[bytes, bytes], list] = {}
     prefix: list[int] = []  # of a context with the one before it
     running = SPAN
@@ -200,7 +203,7 @@ def equal_windows(group: list[tuple]) -> Iterator[tuple]:
         own[0].append(rows)
         own[1].append(places)
     keys = list(contexts)
-    low, high = [SPAN - len(r) for r, _ in keys], [len(x) for _, x in keys]  # offsets of their windows
+    low, high = [max(least, SPAN - len(r)) for r, _ in keys], [min(most, len(x)) for _, x in keys]  # offsets of their windows
     found: list[list[tuple[int, int]]] = [[(low[i], high[i])] if sum(map(len, own[0])) > 1 else [] for i, own in enumerate(contexts.values())]
     if 1 < len(keys) <= PAIRS:
         for i in range(len(keys)):
@@ -242,13 +245,13 @@ def _candidates(docs: DataFrame) -> DataFrame:
             for doc_id, key, raw in zip(cols["doc_id"], cols["key"], cols["raw"], strict=True):
                 if len(raw) >= SPAN:
                     h, n = np.unique(anchors(raw)[3], return_counts=True)
-                    yield doc_id, key, np.repeat(h, np.minimum(n, 2)).tolist()
+                    yield doc_id, key, h.tolist(), n.astype(np.int32).tolist()
 
         return work
 
-    table = stored(map_rows(docs.select("doc_id", "key", "raw"), make, f"doc_id {id_type}, key long, grams array<long>"), "suffix-anchors")
-    grams = table.select("doc_id", "key", F.explode("grams").alias("gram"))
-    twice = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > HOT_GRAM).alias("_hot"))
+    table = stored(map_rows(docs.select("doc_id", "key", "raw"), make, f"doc_id {id_type}, key long, grams array<long>, times array<int>"), "suffix-anchors")
+    grams = table.select("doc_id", "key", F.inline(F.arrays_zip(F.col("grams").alias("gram"), "times")))
+    twice = grams.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram", (F.col("n") > HOT_GRAM).alias("_hot"))
     chosen = grams.join(twice, "gram").groupBy("doc_id", "key").agg(
         F.collect_set(F.when(~F.col("_hot"), F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("_hot"), F.col("gram"))).alias("hot"))
     chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "grams", "hot").hint("shuffle_hash")
@@ -328,23 +331,90 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
     return runs.repartition(max(1, parts // 4), "part").sortWithinPartitions("part").mapInArrow(run, "rid long, `start` long, `end` long")
 
 
-def _hot_windows(rows: DataFrame) -> DataFrame:
-    """(rid, start, end): windows of hot grams that occur twice."""
+def _hot_contexts(rows: DataFrame) -> DataFrame:
+    """(right, left, rids, places): the contexts of hot grams, equal ones of a stretch of a task's rows folded."""
 
     def make():
+        def flush(held: dict) -> Iterator[tuple]:
+            for (right, left), own in held.items():
+                yield right, left, [r for r, _ in own], [p for _, p in own]
+
         def work(cols: dict) -> Iterator[tuple]:
+            held: dict[tuple[bytes, bytes], list] = {}
+            size = 0
             for rid, raw, hot in zip(cols["rid"], cols["raw"], cols["hot"], strict=True):
-                _, first, last, h = anchors(raw)
+                at, first, last, h = anchors(raw)
                 mine = np.isin(h, np.array(hot, np.int64))
-                for f, e in zip(first[mine].tolist(), last[mine].tolist(), strict=True):
-                    for p in range(f, e + 1):
-                        yield blake2b(raw[p:p + SPAN], digest_size=16).digest(), rid, p
+                for a, f, e in zip(at[mine].tolist(), first[mine].tolist(), last[mine].tolist(), strict=True):
+                    held.setdefault((raw[a:e + SPAN], raw[f:a]), []).append((rid, a))
+                    size += 1
+                if size >= RUN_PLACES // 10:
+                    yield from flush(held)
+                    held, size = {}, 0
+            yield from flush(held)
 
         return work
 
-    windows = stored(map_rows(rows.where(F.size("hot") > 0).select("rid", "raw", "hot"), make, "digest binary, rid long, `start` long", batch=16384), "suffix-windows")
-    twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    return windows.join(twice, "digest", "left_semi").select("rid", "start", (F.col("start") + SPAN).alias("end"))
+    chosen = rows.where(F.size("hot") > 0).select("rid", "raw", "hot")
+    return map_rows(chosen, make, "`right` binary, `left` binary, rids array<long>, places array<long>", batch=1024)
+
+
+def _hot_ranges(rows: DataFrame) -> DataFrame:
+    """(rid, start, end): ranges to remove, among the suffixes of hot grams."""
+    key = ["a", "b", "head", "tail"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        right, left = F.col("`right`"), F.col("`left`")
+        return df.withColumns({"head": F.substring(right, F.lit(1), F.lit(SPAN) - F.col("b")),
+                               "tail": F.substring(left, F.length(left) - F.col("a") + 1, F.col("a"))})
+
+    open_ = stored(_hot_contexts(rows).withColumns({"a": F.lit(0), "b": F.lit(REACH - 1)}), "suffix-hot")
+    small, found = [], []
+    while True:
+        now = keyed(open_)
+        large = stored(now.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_GRAM).select(*key), "suffix-large")
+        if large.isEmpty():
+            small.append(now)
+            break
+        small.append(now.join(large, key, "left_anti"))
+        split = now.join(large, key, "left_semi")
+        # one window, which all contexts of the group hold
+        one = split.where("a = b").select(F.inline(F.arrays_zip(F.col("rids").alias("rid"), F.col("places").alias("place"))), "a")
+        found.append(one.select("rid", (F.col("place") - F.col("a")).alias("start"), (F.col("place") - F.col("a") + SPAN).alias("end")))
+        middle = F.expr("(a + b) div 2").cast("int")
+        halves = split.where("a < b").withColumn("h", F.explode(F.array(F.struct(F.col("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b")))))
+        halves = halves.select("`right`", "`left`", "rids", "places", "h.a", "h.b")
+        open_ = stored(halves.where((F.lit(SPAN) - F.length("`right`") <= F.col("b")) & (F.length("`left`") >= F.col("a"))), "suffix-hot")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranges(group: list[dict]) -> pa.RecordBatch | None:
+            merged, last = [], b""
+            for g in group:
+                merged.append((_shared(last, g["right"], "big"), g["right"], g["left"], np.array(g["rids"], np.int64), np.array(g["places"], np.int64)))
+                last = g["right"]
+            out = list(equal_windows(merged, group[0]["a"], group[0]["b"]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["rid", "start", "end"]) if out else None
+
+        now, group = None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                for row in batch.slice(lo, 512).to_pylist():
+                    if (at := tuple(row[k] for k in key)) != now:
+                        if group and (out := ranges(group)) is not None:
+                            yield out
+                        now, group = at, []
+                    group.append(row)
+        if group and (out := ranges(group)) is not None:
+            yield out
+
+    columns = [*key, "`right`", "`left`", "rids", "places"]
+    todo = small[0].select(*columns)
+    for more in small[1:]:
+        todo = todo.unionByName(more.select(*columns))
+    out = todo.repartition(*key).sortWithinPartitions(*key, "`right`", "`left`").mapInArrow(solve, "rid long, `start` long, `end` long")
+    for more in found:
+        out = out.unionByName(more)
+    return out
 
 
 def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -363,7 +433,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # several to a task evens them out
     rows = _candidates(docs)
-    ranges = stored(_merged(_runs(rows, parts), parts).unionByName(_hot_windows(rows)), "suffix-ranges")
+    ranges = stored(_merged(_runs(rows, parts), parts).unionByName(_hot_ranges(rows)), "suffix-ranges")
     per_row = ranges.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -60,6 +60,19 @@ def test_hot_grams(spark, monkeypatch, most):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=str) == _brute(rows)
 
 
+def test_a_gram_in_a_third_of_all_documents(spark, monkeypatch):
+    """The ends of a common passage: contexts that differ after some bytes on either side, in groups that
+    are halved again and again, some down to one window."""
+    monkeypatch.setattr(S, "HOT_GRAM", 8)
+    rng = random.Random(8)
+    passage = prose(30, 80)
+    rows = [(i, prose(i, 30)) for i in range(60)]
+    rows += [(100 + i, prose(200 + i, rng.randint(1, 12)) + " " + passage[rng.choice([0, 0, 3, 40]):rng.choice([300, 420, 900])] + " " + prose(300 + i, 12)) for i in range(40)]
+    rows += [(200 + i, f"{i} " + (passage + " ") * 3) for i in range(12)]  # a gram that recurs in its documents
+    out = S.suffix_dedup(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=str) == _brute(rows)
+
+
 def test_empty_table(spark):
     assert S.suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
