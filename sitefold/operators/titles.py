@@ -60,7 +60,7 @@ def site_suffixes(meta: DataFrame) -> DataFrame:
     )
 
 
-def clean_title(title: Column, suffix: Column) -> Column:
+def without_suffix(title: Column, suffix: Column) -> Column:
     """Strip the suffix when the title ends with it, then strip whitespace."""
     stripped = py_strip(F.substring(title, F.lit(1), F.length(title) - F.length(suffix)))
     return F.when((suffix != "") & title.endswith(suffix), stripped).otherwise(title)
@@ -68,10 +68,10 @@ def clean_title(title: Column, suffix: Column) -> Column:
 
 def display_title(title: Column, h1: Column, url: Column, suffix: Column) -> Column:
     """T4: cleaned title when the title is non-empty (may become ''), else a non-empty h1, else url."""
-    return F.when(_nonempty(title), clean_title(title, suffix)).when(_nonempty(h1), h1).otherwise(url)
+    return F.when(_nonempty(title), without_suffix(title, suffix)).when(_nonempty(h1), h1).otherwise(url)
 
 
 def site_title(root_title: Column, root_h1: Column, root_netloc: Column, suffix: Column) -> Column:
     """Cleaned root title if non-empty, else root h1, else the raw netloc of the root url."""
-    cleaned = F.when(_nonempty(root_title), clean_title(root_title, suffix))
+    cleaned = F.when(_nonempty(root_title), without_suffix(root_title, suffix))
     return F.when(_nonempty(cleaned), cleaned).when(_nonempty(root_h1), root_h1).otherwise(root_netloc)

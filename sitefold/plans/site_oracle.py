@@ -76,7 +76,7 @@ def site_suffix_varied() -> str:
 
 
 def _site_title(title: str, h1: str, netloc: str, suffix: str) -> str:
-    cleaned = S.clean_title(title, suffix)
+    cleaned = S.without_suffix(title, suffix)
     return (f"(CASE WHEN {title} IS NOT NULL AND {title} != '' AND {cleaned} != '' THEN {cleaned} "
             f"WHEN {h1} IS NOT NULL AND {h1} != '' THEN {h1} ELSE {netloc} END)")
 
