@@ -10,16 +10,18 @@ shuffled as long as the wrappers can be broadcast (else it is, once for each joi
    preferred), which gives each reference node the block texts it has on the host's pages.  Pages of
    equal text count once, so copies are no evidence;
 3. a text that a node has on most of the distinct pages aligned there is template; a page loses the
-   blocks that have just that text at that node.
+   blocks that have just that text at that node.  Texts that differ in their numbers only are one text
+   there, if they have ``LEAST_WORDS`` words besides and are no heading.
 
 An explicit article (``article``, else ``main``) says where the main text is, not what it is: template
-in it goes too.  Since copies with small changes look like template, in an article a text has to be
-on ``LEAST_INSIDE`` distinct pages, and if template were more than ``COPIES`` of the text of all of a
-host's articles, these are copies of each other, and nothing in them is template.
+in it goes too.  Since copies with small changes look like template, a page whose article would be
+template by more than ``COPIES`` of its length is no evidence about texts in articles: these are
+counted again over the other pages, and need ``LEAST_INSIDE`` of them.
 
 The main text is the article less template; on pages without one it is the body less template and
-groups of links.  Elements that are page furniture by name, role or class (menus, page headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles) never count.
+groups of links.  Page furniture by element or role (menus, page headers, footers, sidebars, forms,
+scripts, styles) never counts.  A class or id marks furniture (notices, adverts, reader comments,
+...) only if all words of that one name say so: ``share-buttons`` does, ``share-price`` doesn't.
 
 Defined cases: null or empty html gives an empty text; a page without url belongs to the host ``''``;
 a host of one page has no template but its furniture; repeated rows are extracted alike; unclosed
@@ -31,8 +33,9 @@ from __future__ import annotations
 import html
 import re
 import sys
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -48,6 +51,7 @@ SAME = 0.8
 LEAST = 2
 LEAST_INSIDE = 3
 COPIES = 0.5
+LEAST_WORDS = 4
 #: Cells of an alignment table; larger ones are split.
 CELLS = 1 << 20
 _BIG = 1 << 20
@@ -74,7 +78,13 @@ _FURNITURE_ROLE = frozenset("navigation banner contentinfo complementary search
 _FURNITURE_WORDS = frozenset("""ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies
 disqus menu nav navbar navigation newsletter notice notices pagination popup promo promoted related replies share sharing sidebar
 signup social sponsor sponsored subscribe toolbar widget""".split())
-
+#: Words that leave a name of furniture what it is.
+_LAYOUT_WORDS = frozenset("""area articles bar block bottom box btn button buttons center col container content count float footer form
+global group head header icon icons id inline inner item items js label left link links list main media module outer page panel post
+posts primary right row secondary section site slot small sticky text thread title top unit wrap wrapper""".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NUMBER = re.compile(r"\d+")
+_LETTERS = re.compile(r"(?<![^\s])[^\W\d_]+")
 
 #: Furniture by these tags, or by role, class or id, may turn out to be a wrapper of the page.
 _WRAPPERS = frozenset("form menu".split())
@@ -93,22 +103,32 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if attributes and tag not in ("html", "body", "article", "main") or tag in ("article", "main") and "comment" in attributes.lower():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(a or b or c).lower()
-            if name in ("class", "id", "role") and (
-                    value in _FURNITURE_ROLE if name == "role" else not _FURNITURE_WORDS.isdisjoint(_WORDS.findall(value))):
+            if name == "role" and value in _FURNITURE_ROLE or name in ("class", "id") and any(map(_names_furniture, value.split())):
                 return True
     return False
 
 
+def _names_furniture(name: str) -> bool:
+    """One class or id: a word of furniture, and no word of anything else beside it."""
+    words = set(_WORDS.findall(name))
+    return not words.isdisjoint(_FURNITURE_WORDS) and words <= _FURNITURE_WORDS | _LAYOUT_WORDS
+
+
 def parse(page: str) -> Node:
     """The DOM tree; raw text elements (scripts, styles, ...) and comments are left out."""
     root = Node("html")
     stack, at = [root], 0
-    articles = 0
+    places: defaultdict[str, list[int]] = defaultdict(list, html=[0])  # where the open elements of a tag are in the stack
+
+    def close(cut: int) -> None:
+        while len(stack) > cut:
+            places[stack.pop().tag].pop()
+
     while (m := _TAG.search(page, at)) is not None:
         if m.start() > at:
             between = page[at:m.start()]
             if stack[-1].tag == "head" and not between.isspace():
-                stack.pop()
+                close(len(stack) - 1)
             stack[-1].children.append(between)
         at = m.end()
         tag = m[2] or m[5]
@@ -116,40 +136,32 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    articles -= sum(n.tag == "article" for n in stack[i:])
-                    del stack[i:]
-                    break
+            if tag in places and places[tag] and places[tag][-1]:
+                close(places[tag][-1])
             continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if stack[-1].tag == "head" and tag not in _IN_HEAD:
-            stack.pop()  # an open head ends at the first element that can't be in it
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            close(len(stack) - 1)  # an open head ends at the first element that can't be in it
+        if tag in ("html", "body") and places[tag]:
             continue
         ends, until = ({"p"}, {"table", "td", "th", "button"}) if tag in _CLOSES_P else _ENDS.get(tag, ((), ()))
-        if ends:
-            cut = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in until:
-                    break
-                if stack[i].tag in ends:
-                    cut = i
-            if cut:
-                articles -= sum(n.tag == "article" for n in stack[cut:])
-                del stack[cut:]
+        if any(places[t] for t in ends):
+            bound = max((places[t][-1] for t in until if places[t]), default=0)
+            above = [places[t][i] for t in ends if (i := bisect_right(places[t], bound)) < len(places[t])]
+            if above:
+                close(min(above))
         attributes = m[3] or ""
-        node = Node(tag, _is_furniture(tag, attributes, articles > 0))
+        node = Node(tag, _is_furniture(tag, attributes, bool(places["article"])))
         stack[-1].children.append(node)
         if tag not in _VOID and not attributes.endswith("/"):
+            places[tag].append(len(stack))
             stack.append(node)
-            articles += tag == "article"
     if at < len(page):
         if stack[-1].tag == "head" and not page[at:].isspace():
-            stack.pop()
+            close(len(stack) - 1)
         stack[-1].children.append(page[at:])
     _unmark(root)
     return root
@@ -183,16 +195,16 @@ def _unmark(root: Node) -> None:
         if _find(root, tag):
             return
     for tag in ("article", "main"):
-        best, stack = None, [(root, ())]
+        best, stack = None, [(root, None, False)]
         while stack:
-            n, above = stack.pop()
-            if n.tag == tag and n.length and (best is None or n.length > best[0].length):
-                around = (*above, n)
-                if 2 * n.length > root.length or not any(map(certain, around)):
-                    best = n, around
-            stack += [(c, (*above, n)) for c in reversed(n.children) if isinstance(c, Node)]
+            n, above, inside = stack.pop()
+            path, inside = (n, above), inside or certain(n)
+            if n.tag == tag and n.length and (best is None or n.length > best[0].length) and (2 * n.length > root.length or not inside):
+                best = path
+            stack += [(c, path, inside) for c in reversed(n.children) if isinstance(c, Node)]
         if best:
-            for n in best[1]:
+            while best:
+                n, best = best
                 n.furniture = False
             return
 
@@ -249,6 +261,13 @@ def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def unit_key(owner: Node, text: str) -> int:
+    """What a block is compared by at a node: its text, without the numbers in a longer line."""
+    if owner.tag not in _HEADINGS and _NUMBER.search(text) and len(_LETTERS.findall(text)) >= LEAST_WORDS:
+        text = _NUMBER.sub("0", text)
+    return digest(text)
+
+
 def _sign(n: Node) -> None:
     n.size = 1 + sum(k.size for k in n.kids)
     n.sign = hash((n.tag, *(k.sign for k in n.kids)))
@@ -436,14 +455,26 @@ class Page:
         digest and length in an article of its blocks."""
         at = self.seen(reference, known)
         have = sorted({at[id(o)] for o, _ in self.all if id(o) in at} | {i for i in at.values() if reference[i].tag in _BLOCK})
-        own = {(at[id(o)], digest(t)): len(t) if id(o) in self.inside else 0 for o, t in self.all if id(o) in at}
+        own = {(at[id(o)], unit_key(o, t)): len(t) if id(o) in self.inside else 0 for o, t in self.all if id(o) in at}
         text = digest("\n\n".join(t for _, t in self.main))
         long = sum(len(t) for o, t in self.main if id(o) in self.inside)
         return text, long, have, [i for i, _ in own], [d for _, d in own], list(own.values())
 
     def text(self, reference: list[Node], template: set[tuple[int, int]], known: dict) -> str:
         at = self.seen(reference, known) if template else {}
-        return "\n\n".join(t for o, t in self.main if id(o) not in at or (at[id(o)], digest(t)) not in template)
+        return "\n\n".join(t for o, t in self.main if id(o) not in at or (at[id(o)], unit_key(o, t)) not in template)
+
+
+def _usual(rows: Iterable[tuple], least: int) -> tuple[set, set]:
+    """Of observed pages the (node, text) that most pages with the node have, and those in articles."""
+    have, count, inside = Counter(), Counter(), set()
+    for _, nodes, *own in rows:
+        have.update(nodes)
+        for i, d, n in zip(*own, strict=True):
+            count[i, d] += 1
+            if n:
+                inside.add((i, d))
+    return {u for u, n in count.items() if n >= least and n >= SAME * have[u[0]]}, inside
 
 
 def extract(pages: list[str]) -> list[str]:
@@ -457,15 +488,10 @@ def extract(pages: list[str]) -> list[str]:
         for p in parsed:
             text, *rest = p.observe(reference, known)
             distinct[text] = min(distinct.get(text, rest), rest)
-        have = Counter(i for _, nodes, *_ in distinct.values() for i in nodes)
-        count, size = Counter(), Counter()
-        for _, _, nodes, texts, sizes in distinct.values():
-            for i, d, n in zip(nodes, texts, sizes, strict=True):
-                count[i, d] += 1
-                size[i, d] += n
-        template = {u for u, n in count.items() if n >= (LEAST_INSIDE if size[u] else LEAST) and n >= SAME * have[u[0]]}
-        if sum(size[u] for u in template) > COPIES * sum(r[0] for r in distinct.values()):
-            template = {u for u in template if not size[u]}
+        usual, inside = _usual(distinct.values(), LEAST)
+        among = usual & inside
+        others = [r for r in distinct.values() if sum(n for *u, n in zip(*r[2:], strict=True) if tuple(u) in among) <= COPIES * r[0]]
+        template = usual - inside | _usual(others, LEAST_INSIDE)[0] & among
     return [p.text(reference, template, known) for p in parsed]
 
 
@@ -515,22 +541,31 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     rows = map_rows(pages.join(frames, "host").select("host", "html", "frame"), make_rows,
                     "host string, text long, long long, have array<int>, nodes array<int>, texts array<long>, sizes array<int>", CHUNK)
-    distinct = rows.groupBy("host", "text").agg(F.min(F.struct("long", "have", "nodes", "texts", "sizes")).alias("r"))
-    # node -1 has the length of the host's articles
-    marker = F.struct(F.lit(-1).alias("node"), F.lit(None).cast("long").alias("text"), F.col("r.long").alias("size"))
-    have = F.transform("r.have", lambda i: F.struct(i.alias("node"), F.lit(None).cast("long").alias("text"), F.lit(0).cast("long").alias("size")))
-    own = F.transform(F.arrays_zip("r.nodes", "r.texts", "r.sizes"),
-                      lambda u: F.struct(u["nodes"].alias("node"), u["texts"].alias("text"), u["sizes"].cast("long").alias("size")))
-    seen = distinct.select("host", F.explode(F.concat(F.array(marker), have, own)).alias("u"))
-    counts = seen.groupBy("host", "u.node", "u.text").agg(F.count(F.lit(1)).alias("n"), F.sum("u.size").alias("size"))
-    counts = stored(counts.where((F.col("n") >= LEAST) | F.col("text").isNull()), "html-counts")
-    total = counts.where(F.col("text").isNull() & (F.col("node") >= 0)).select("host", "node", F.col("n").alias("total"))
-    least = F.when(F.col("size") > 0, LEAST_INSIDE).otherwise(LEAST)
-    same = counts.where(F.col("text").isNotNull() & (F.col("n") >= least)).join(total, ["host", "node"])
-    same = same.where(F.col("n") >= SAME * F.col("total"))
-    template = same.groupBy("host").agg(F.collect_list(F.struct("node", "text", "size")).alias("t"), F.sum("size").alias("size"))
-    template = template.join(counts.where("node = -1").select("host", F.col("size").alias("articles")), "host")
-    template = template.withColumn("t", F.when(F.col("size") > COPIES * F.col("articles"), F.filter("t", lambda u: u["size"] == 0)).otherwise(F.col("t")))
+    distinct = rows.groupBy("host", F.col("text").alias("page")).agg(F.min(F.struct("long", "have", "nodes", "texts", "sizes")).alias("r"))
+    distinct = stored(distinct.select("host", "page", "r.*"), "html-observed")
+
+    have = F.transform("have", lambda i: F.struct(i.alias("node"), F.lit(None).cast("long").alias("text"), F.lit(0).alias("size")))
+    own = F.transform(F.arrays_zip("nodes", "texts", "sizes"),
+                      lambda u: F.struct(u["nodes"].alias("node"), u["texts"].alias("text"), u["sizes"].alias("size")))
+
+    def usual(observed: DataFrame, least: int) -> DataFrame:
+        """(host, node, text, inside) that most pages with the node have."""
+        seen = observed.select("host", F.explode(F.concat(have, own)).alias("u"))
+        counts = seen.groupBy("host", "u.node", "u.text").agg(F.count(F.lit(1)).alias("n"), (F.max("u.size") > 0).alias("inside"))
+        counts = stored(counts.where((F.col("n") >= least) | F.col("text").isNull()), "html-counts")
+        total = counts.where(F.col("text").isNull()).select("host", "node", F.col("n").alias("total"))
+        return counts.where("text is not null").join(total, ["host", "node"]).where(F.col("n") >= SAME * F.col("total")).drop("n", "total")
+
+    found = stored(usual(distinct, LEAST), "html-usual")
+    among = found.where("inside").drop("inside")
+    # pages that are copies by these texts are no evidence about texts in articles
+    held = distinct.join(among.select("host").distinct(), "host", "left_semi")
+    shares = held.select("host", "page", "long", F.explode(own).alias("u")).select("host", "page", "long", "u.*")
+    shares = shares.join(among, ["host", "node", "text"]).groupBy("host", "page").agg(F.sum("size").alias("size"), F.first("long").alias("long"))
+    copies = shares.where(F.col("size") > COPIES * F.col("long")).select("host", "page")
+    others = usual(held.join(copies, ["host", "page"], "left_anti"), LEAST_INSIDE).drop("inside")
+    template = found.where("not inside").drop("inside").unionByName(others.join(among, ["host", "node", "text"], "left_semi"))
+    template = template.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("t"))
     # as many entries as a frame has blocks, over SAME at most
     template = template.select("host", F.col("t.node").alias("nodes"), F.col("t.text").alias("texts"))
     return stored(frames.join(template, "host"), "html-wrappers")

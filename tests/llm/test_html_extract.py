@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -128,6 +129,54 @@ def test_copies_of_an_article_with_small_changes_stay():
     assert all(t.endswith("a quoted line") for t in H.extract(two))
 
 
+@pytest.mark.parametrize("element", ['p class="share-price"', 'section class="social-history"', 'div id="notice-of-meeting"',
+                                     'p class="post comment-policy-text"', 'div class="has-ads"'])
+def test_names_with_other_words_keep_their_text(element):
+    page = f"<article><p>{prose(1, 9)}</p><{element}>real words</{element.split()[0]}></article>"
+    assert H.extract([page]) == [f"{prose(1, 9)}\n\nreal words"]
+
+
+@pytest.mark.parametrize("element", ['p class="big share-buttons"', 'section class="related_posts"', 'div id="cookie-notice-2"', 'div class="ad ad-slot"',
+                                     'div id="comments-area"', 'div role="alert"'])
+def test_names_of_furniture_only_go(element):
+    page = f"<article><p>{prose(1, 9)}</p><{element}>other words</{element.split()[0]}></article>"
+    assert H.extract([page]) == [prose(1, 9)]
+
+
+def _in_spark(spark, pages):
+    rows = [(i, f"https://h.com/{i}", p) for i, p in enumerate(pages)]
+    return [r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_lines_that_vary_by_number_go_but_headings_and_reports_stay(spark):
+    pages = [_article(f"This is the story number {i}", ["Please accept our policy 3%d." % i, prose(i, 30)]) for i in range(5)]
+    texts = [f"This is the story number {i}\n\n{prose(i, 30)}" for i in range(5)]
+    assert H.extract(pages) == texts and _in_spark(spark, pages) == texts
+    reports = [_article(f"Day {i}", [f"The highest temperature of the day was {i} degrees.", f"It was dry for {i} of the hours."]) for i in range(5)]
+    assert all("highest temperature of the day was" in t and "dry for" in t for t in H.extract(reports))
+
+
+def test_copies_are_no_evidence_but_lose_template(spark):
+    """One host with copies of an article with small changes and with other articles, a notice in each."""
+    notice = "Read our terms before you copy this."
+    paragraphs = [prose(k, 25) for k in range(5)]
+    pages = [_article("Same", [notice, *paragraphs, f"edit {'abcdefghijklmnopqrst'[i]}"]) for i in range(20)]
+    pages += [_article(f"T{i}", [notice, prose(50 + i, 60)]) for i in range(4)]
+    texts = ["\n\n".join(["Same", *paragraphs, f"edit {'abcdefghijklmnopqrst'[i]}"]) for i in range(20)]
+    texts += [f"T{i}\n\n{prose(50 + i, 60)}" for i in range(4)]
+    assert H.extract(pages) == texts and _in_spark(spark, pages) == texts
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<div>" * 20_000 + "a", "<p><table>" + "<div>" * 20_000 + "a", '<form><div class="ad">' + "<div>" * 20_000 + "<article>a", "<ul>" + "<li>a<ul>" * 10_000):
+        start = time.process_time()
+        H.parse(page)
+        assert time.process_time() - start < 2
+    start = time.process_time()
+    assert H.extract(["<div>" * 20_000 + "a", "<div>" * 20_000 + "b"]) == ["a", "b"]
+    assert time.process_time() - start < 4
+
+
 def _tree(rng, depth):
     n = H.Node(rng.choice("abc"))
     if depth:
