@@ -211,17 +211,26 @@ def edges() -> str:
     return f"SELECT * FROM ({inner}) UNION ALL SELECT * FROM ({extra})"
 
 
-def crawl_reach(max_depth: int = 3) -> str:
+def extracted_links() -> str:
+    """(site, src_norm, dst_url): E6 over the ranked pages and over their menus."""
+    anchor = "'<a href=\"' || replace(dst_url, '&', '&amp;') || '\">' || pos || '</a>'"
+    menus = f"SELECT site, src_norm AS norm_url, '<nav>' || string_agg({anchor}, '' ORDER BY pos) || '</nav>' AS html FROM ({edges()}) GROUP BY ALL"
+    menu = f"(SELECT page_id, url, m.html FROM ({ranked()}) JOIN ({menus}) m USING (site, norm_url))"
+    return (f"SELECT site, src_norm, url AS dst_url FROM ({S.page_links()} UNION ALL {S.page_links(menu)}) "
+            f"WHERE src_ord IN (SELECT page_id FROM ({ranked()}))")
+
+
+def crawl_reach(max_depth: int = 3, links: str | None = None) -> str:
     """Uncapped crawl: BFS reach by min depth through pages that were fetched (robots allowed,
     fetch ok), seeds from ``site_seeds``, no expansion for sitemap-seeded sites."""
-    seeds = site_seeds(1 << 30)
-    cand = f"SELECT DISTINCT site, url FROM (SELECT site, url FROM ({seeds}) UNION ALL SELECT site, dst_url FROM ({edges()}))"
+    seeds, links = site_seeds(1 << 30), links or edges()
+    cand = f"SELECT DISTINCT site, url FROM (SELECT site, url FROM ({seeds}) UNION ALL SELECT site, dst_url FROM ({links}))"
     cand = S.url_parts(cand, "url", "c")
     cand = (f"SELECT site, url, {S.normalized('c')} AS norm_url, lower(c_netloc) = site AS same_site, {S.crawlable('c')} AS crawlable "
             f"FROM ({cand})")
     ann = decisions(cand)
     return f"""
-    WITH RECURSIVE sd AS ({seeds}), e AS ({edges()}), o AS ({outcomes()}),
+    WITH RECURSIVE sd AS ({seeds}), e AS ({links}), o AS ({outcomes()}),
     a AS (SELECT ann.*, coalesce(o.ok, false) AS fetched, o.error FROM ({ann}) ann LEFT JOIN o USING (norm_url)),
     mode AS (SELECT site, bool_or(sitemap_seeded) AS seeded FROM sd GROUP BY site),
     reach(site, url, depth) AS (
@@ -233,7 +242,7 @@ def crawl_reach(max_depth: int = 3) -> str:
         JOIN e ON e.site = r.site AND e.src_norm = a.norm_url
       WHERE a.same_site AND a.crawlable AND a.allowed AND a.fetched AND NOT m.seeded AND r.depth < {max_depth}),
     firsts AS (SELECT r.site, a.norm_url, min(r.depth) AS depth FROM reach r JOIN a ON a.site = r.site AND a.url = r.url GROUP BY r.site, a.norm_url)
-    SELECT f.site, f.norm_url, CAST(f.depth AS INTEGER) AS depth,
+    SELECT DISTINCT f.site, f.norm_url, CAST(f.depth AS INTEGER) AS depth,
            CASE WHEN NOT a.allowed THEN 'skipped' WHEN a.fetched THEN 'ok' ELSE 'skipped' END AS outcome,
            CASE WHEN NOT a.allowed THEN {S.lit(C.ROBOTS_REASON)} WHEN a.fetched THEN NULL ELSE coalesce(a.error, {S.lit(C.MISSING_REASON)}) END AS reason
     FROM firsts f JOIN reach r ON r.site = f.site AND r.depth = f.depth
@@ -242,6 +251,10 @@ def crawl_reach(max_depth: int = 3) -> str:
     """
 
 
+def crawl_links() -> str:
+    return crawl_reach(links=extracted_links())
+
+
 ORACLE = {
     "robots_sitemaps": robots_sitemaps,
     "robots_rules": robots_rules,
@@ -250,6 +263,7 @@ ORACLE = {
     "site_seeds": site_seeds,
     "fetch_outcomes": fetch_outcomes,
     "crawl_reach": crawl_reach,
+    "crawl_links": crawl_links,
 }
 
 

@@ -10,7 +10,8 @@ from sitefold.operators import crawl as C
 from sitefold.operators import jobdetail as JD
 from sitefold.operators.documents import document_parts, joined_parts
 from sitefold.operators.fetchlog import fetch_outcomes
-from sitefold.operators.pages import META_COLUMNS, page_meta
+from sitefold.operators.linkcrawl import link_reach
+from sitefold.operators.pages import META_COLUMNS, page_links, page_meta
 from sitefold.operators.robots import robots_decisions, robots_rules, robots_sitemaps
 from sitefold.operators.sitemaps import site_seeds, sitemap_urls
 from sitefold.sources import derived as D
@@ -76,6 +77,17 @@ def q_crawl_reach(spark, sf_dir):
     return run.result.select("site", "norm_url", "depth", "outcome", "reason")
 
 
+def q_crawl_links(spark, sf_dir):
+    """C1, C2 on E6: the uncapped crawl over the links extracted from every page and from its menu."""
+    own = page_links(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    menu = page_links(D.link_pages(spark, sf_dir)).withColumn("pos", F.col("pos") + D.MENU_POS)
+    stored = D.ranked_pages(spark, sf_dir).select(F.col("page_id").alias("src_ord"))  # of pages under one url, the one that was fetched
+    links = own.unionByName(menu).join(stored, "src_ord", "left_semi")
+    outcomes = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir)).select("norm_url", "ok", "error")
+    seeds = _seeds(spark, sf_dir, D.crawl_jobs_table(spark, sf_dir, max_pages=None))
+    return link_reach(seeds, links, outcomes, robots_rules(D.robots_table(spark, sf_dir)), AGENT)
+
+
 def q_crawl_skips(spark, sf_dir):
     """Skip log of the capped crawl (50 pages, depth 3)."""
     result = _crawl_run(spark, sf_dir)[2].result
@@ -164,6 +176,7 @@ QUERIES = {
     "site_seeds": q_site_seeds,
     "fetch_outcomes": q_fetch_outcomes,
     "crawl_reach": q_crawl_reach,
+    "crawl_links": q_crawl_links,
     "crawl_skips": q_crawl_skips,
     "crawl_progress": q_crawl_progress,
     "crawl_level_progress": q_crawl_level_progress,

@@ -21,6 +21,7 @@ AGENT_TOKEN = "sitefold"
 RETRY_AFTER_DATE = "Wed, 21 Oct 2015 07:28:00 GMT"
 OFFSITE_HOST = "offsite.example.com"
 SITEMAP_CHUNK = 1000
+MENU_POS = 1 << 20  # a menu's links come after those of the page
 # ----------------------------------------------------------------------------------------------
 
 
@@ -173,6 +174,16 @@ def edges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(inner.unionByName(extra).select("site", "src_norm", F.col("pos").cast("int").alias("pos"), "dst_url", "dst_norm"))
 
 
+def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """link_pages(page_id, url, html): for each ranked page a menu, html with an anchor for each of its
+    ``edges`` (five at most), so that there are pages whose extracted links lead to other pages."""
+    anchor = F.concat(F.lit('<a href="'), F.replace(F.col("dst_url"), F.lit("&"), F.lit("&amp;")), F.lit('">'), F.col("pos").cast("string"), F.lit("</a>"))
+    menus = edges_table(spark, sf_dir).groupBy("site", F.col("src_norm").alias("norm_url")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", anchor.alias("a")))).alias("m"))
+    html = F.concat(F.lit("<nav>"), F.array_join(F.transform("m", lambda x: x["a"]), ""), F.lit("</nav>"))
+    return ranked_pages(spark, sf_dir).join(menus, ["site", "norm_url"]).select("page_id", "url", html.alias("html"))
+
+
 def crawl_jobs_table(spark: SparkSession, sf_dir: str, max_pages: int | None = 50, max_depth: int = 3) -> DataFrame:
     """crawl_jobs(site, root_url, max_pages, max_depth): one crawl per host from its first page."""
     first = ranked_pages(spark, sf_dir).filter(F.col("n") == 1)
