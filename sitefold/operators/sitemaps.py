@@ -59,6 +59,7 @@ def sitemap_urls(directives: DataFrame, docs: DataFrame, limits: DataFrame) -> D
     lists = found[0]
     for more in found[1:]:
         lists = lists.unionByName(more)
+    lists = materialize(lists)  # read twice, and the joins of all levels are in it
     before = Window.partitionBy("site").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     starts = lists.select("site", "path", F.size("locs").cast("long").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     lists = lists.join(starts.select("site", "path", "start"), ["site", "path"]).join(limits.select("site", F.col("max_pages").alias("_lim")), "site")
@@ -81,8 +82,7 @@ def site_seeds(jobs: DataFrame, directives: DataFrame, docs: DataFrame) -> DataF
     sm = sitemap_urls(directives.join(jobs.select("site"), "site", "left_semi"), docs, jobs)
     sm = U.add_url_parts(sm, "url", "s")
     sm = U.drop_url_parts(U.add_normalized(sm, "s", "norm"), "s")
-    sm = sm.join(jobs, "site")
-    sm = sm.select("site", "seq", "url", "norm")
+    sm = materialize(sm.join(jobs, "site").select("site", "seq", "url", "norm"))
     in_list = sm.join(jobs.select("site", "norm_root"), "site").filter(F.col("norm") == F.col("norm_root")).select("site", F.lit(True).alias("listed")).distinct()
     seeded = jobs.join(seeded_sites, "site", "left_semi").join(in_list, "site", "left").withColumn("shift", F.when(F.col("listed"), 0).otherwise(1))
     # a root that no sitemap lists comes first, the urls behind it

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
+from sitefold.functions.plan import materialize
 from sitefold.operators import crawl as C
 from sitefold.operators import jobdetail as JD
 from sitefold.operators.documents import document_parts, joined_parts
@@ -79,10 +80,13 @@ def q_crawl_reach(spark, sf_dir):
 
 def q_crawl_links(spark, sf_dir):
     """C1, C2 on E6: the uncapped crawl over the links extracted from every page and from its menu."""
-    own = page_links(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
-    menu = page_links(D.link_pages(spark, sf_dir)).withColumn("pos", F.col("pos") + D.MENU_POS)
-    stored = D.ranked_pages(spark, sf_dir).select(F.col("page_id").alias("src_ord"))  # of pages under one url, the one that was fetched
-    links = own.unionByName(menu).join(stored, "src_ord", "left_semi")
+    own = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    # one extraction for both: the last bit of a source's number says whether it is a menu
+    both = own.withColumn("menu", F.lit(0)).unionByName(D.link_pages(spark, sf_dir).withColumn("menu", F.lit(1)))
+    links = page_links(both.select((F.col("page_id") * 2 + F.col("menu")).alias("n"), "url", "html"), "n")
+    links = links.select("site", "src_norm", (F.col("pos") + F.col("src_ord").bitwiseAND(1) * D.MENU_POS).alias("pos"), "url", F.shiftright("src_ord", 1).alias("page_id"))
+    stored = D.ranked_pages(spark, sf_dir).select("page_id")  # of pages under one url, the one that was fetched
+    links = materialize(links.join(stored, "page_id", "left_semi"))
     outcomes = fetch_outcomes(D.fetch_attempts_table(spark, sf_dir)).select("norm_url", "ok", "error")
     seeds = _seeds(spark, sf_dir, D.crawl_jobs_table(spark, sf_dir, max_pages=None))
     return link_reach(seeds, links, outcomes, robots_rules(D.robots_table(spark, sf_dir)), AGENT)
