@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.functions import urls as U
-from sitefold.functions.plan import materialize
+from sitefold.functions.plan import fence, materialize
 from sitefold.operators import crawl as C
 from sitefold.operators import jobdetail as JD
 from sitefold.operators.documents import document_parts, joined_parts
@@ -83,7 +83,8 @@ def q_crawl_links(spark, sf_dir):
     own = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
     # one extraction for both: the last bit of a source's number says whether it is a menu
     both = own.withColumn("menu", F.lit(0)).unionByName(D.link_pages(spark, sf_dir).withColumn("menu", F.lit(1)))
-    links = page_links(both.select((F.col("page_id") * 2 + F.col("menu")).alias("n"), "url", "html"), "n")
+    # behind a fence, or Catalyst would write the extraction out for each side of the union
+    links = page_links(fence(both.select((F.col("page_id") * 2 + F.col("menu")).alias("n"), "url", "html")), "n")
     links = links.select("site", "src_norm", (F.col("pos") + F.col("src_ord").bitwiseAND(1) * D.MENU_POS).alias("pos"), "url", F.shiftright("src_ord", 1).alias("page_id"))
     stored = D.ranked_pages(spark, sf_dir).select("page_id")  # of pages under one url, the one that was fetched
     links = materialize(links.join(stored, "page_id", "left_semi"))
