@@ -1,10 +1,12 @@
 """The event log of jobs (J10, J11, C11): states folded from submit, start, cancel, end and fail events.
 
-An event is a function from states to states, so a stretch of events is one too, and composing
-functions is associative.  The log is numbered in the order (job, time, seq); every 1,024 neighbouring
-events of a job become one function, every 1,024 of those one more, until a job has a single one.
-No task holds more than 1,024 events or functions, however long a job's log is.  The same levels,
-walked back down, give the state in which each event found its job.
+A log of up to 1,024 events is one list and folded from its start.  Longer logs are told by their
+counts and folded in pieces: an event is a function from states to states, so a stretch of events is
+one too, and composing functions is associative.  Their events are numbered in the order (job, time,
+seq); every 1,024 neighbouring events of a job become one function, every 1,024 of those one more,
+until a job has a single one.  No list holds more than 1,024 events or functions, however long a job's
+log is, and only long logs pay for functions, which are eight times a state.  The same levels, walked
+back down, give the state in which each event found its job.
 
 Rules: a job is pending from its submission and running from its start.  A cancel request is accepted
 while the job is pending or running; the job then ends as cancelled, at its end event.  A
@@ -35,6 +37,8 @@ STEPS = {
 
 #: Events or functions composed by one task at a time, as a power of two.
 FAN_BITS = 10
+#: Ids of long logs that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 #: What a function says for one state it may start from: where it leads, and what it notes on the way.
 _ENTRY = ("struct<to:int,submitted_at:timestamp_ntz,started_at:timestamp_ntz,cancel_requested_at:timestamp_ntz,"
@@ -54,9 +58,12 @@ def _entry(**fields: Column) -> Column:
     return F.struct(*[fields[n].alias(n) for n in ("to", *_FIRST, *_COUNTS)]).cast(_ENTRY)
 
 
+def _unmoved(state: int) -> Column:
+    return _entry(to=F.lit(state), **{n: F.lit(None) for n in _FIRST}, **{n: F.lit(0) for n in _COUNTS})
+
+
 def _identity() -> Column:
-    none = {n: F.lit(None) for n in _FIRST} | {n: F.lit(0) for n in _COUNTS}
-    return F.array(*[_entry(to=F.lit(s), **none) for s in range(len(NAMES))])
+    return F.array(*[_unmoved(s) for s in range(len(NAMES))])
 
 
 def _after_event(x: Column, event: Column) -> Column:
@@ -83,6 +90,21 @@ def _after_function(x: Column, f: Column) -> Column:
     return _entry(to=y["to"], **{n: F.coalesce(x[n], y[n]) for n in _FIRST}, **{n: x[n] + y[n] for n in _COUNTS})
 
 
+def _logs(events: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(job_id, list): whole logs in order, of jobs with at most ``2 ** FAN_BITS`` events; and the
+    events of the other jobs, if there are any."""
+    log = materialize(events.select("job_id", "at", "seq", "kind", "error"))
+    counts = log.groupBy(F.col("job_id").alias("_long")).agg(F.count(F.lit(1)).alias("n"))
+    many = materialize(counts.where(F.col("n") > 1 << FAN_BITS).select("_long"))
+    short, rest, n = log, None, many.count()
+    if n:
+        many = F.broadcast(many) if n <= MOST_BROADCAST else many
+        same = F.col("job_id").eqNullSafe(F.col("_long"))
+        short, rest = log.join(many, same, "left_anti"), log.join(many, same, "left_semi")
+    lists = short.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "kind", "error"))).alias("list"))
+    return lists, rest
+
+
 def _levels(events: DataFrame) -> list[DataFrame]:
     """(job_id, at, list) by level, lists in order: of events at the bottom, of functions with their
     place above.  ``f`` is the list composed; in the last level a job has one row."""
@@ -103,7 +125,11 @@ def job_event_states(events: DataFrame) -> DataFrame:
     """One row per job of the log ``events`` (job_id, at, seq, kind, error): its state, times,
     duration and progress, and how many cancel requests were accepted and refused and how many other
     events came too late or twice.  (at, seq) orders a job's events."""
-    end = _levels(events)[-1].select("job_id", F.get("f", F.lit(UNKNOWN)).alias("e")).select("job_id", "e.*")
+    lists, rest = _logs(events)
+    end = lists.select("job_id", F.aggregate("list", _unmoved(UNKNOWN), _after_event).alias("e"))
+    if rest is not None:
+        end = end.unionByName(_levels(rest)[-1].select("job_id", F.get("f", F.lit(UNKNOWN)).alias("e")))
+    end = end.select("job_id", "e.*")
     state = F.get(F.array(*[F.lit(n) for n in NAMES]), F.col("to"))
     finished = F.col("to").isin(DONE, CANCELLED)
     return end.select(
@@ -117,23 +143,30 @@ def job_event_states(events: DataFrame) -> DataFrame:
 def cancel_outcomes(events: DataFrame) -> DataFrame:
     """One row per cancel request of the log: job_id, at, seq, the state it met and its outcome --
     'cancelling', 'already <state>' for a finished job, 'not found' for an unknown one."""
-    levels = _levels(events)
-    met = levels[-1].select("job_id", "chunk", F.lit(UNKNOWN).alias("state"))
-
-    def walked(lists: DataFrame, step) -> DataFrame:
-        """Every item of the lists with the state that it meets."""
+    def walked(lists: DataFrame, step, noted) -> DataFrame:
+        """The ``noted`` items of the lists with the state that each meets."""
         none = F.lit([]).cast("array<struct<item:int,state:int>>")
         n = F.transform("list", lambda e, i: F.struct(i.alias("i"), e.alias("e")))
         path = F.aggregate(n, F.struct(F.col("state").alias("now"), none.alias("met")), lambda acc, x: F.struct(
             step(acc["now"], x["e"]).alias("now"),
-            F.concat(acc["met"], F.array(F.struct(x["i"].alias("item"), acc["now"].alias("state")))).alias("met")))
+            F.when(noted(x["e"]), F.concat(acc["met"], F.array(F.struct(x["i"].alias("item"), acc["now"].alias("state")))))
+            .otherwise(acc["met"]).alias("met")))
         return lists.withColumn("m", F.explode(path["met"])).select("job_id", F.get("list", F.col("m.item")).alias("e"), F.col("m.state").alias("state"))
 
-    for level in reversed(levels[1:]):
-        items = walked(level.join(met, ["job_id", "chunk"]), lambda now, e: F.get(e["f"], now)["to"])
-        met = materialize(items.select("job_id", F.col("e.place").alias("chunk"), "state"))
-    items = walked(levels[0].join(met, ["job_id", "chunk"]), lambda now, e: F.coalesce(_next(now, e["kind"]), now))
+    def cancels(lists: DataFrame) -> DataFrame:
+        found = walked(lists, lambda now, e: F.coalesce(_next(now, e["kind"]), now), lambda e: e["kind"] == "cancel")
+        return found.select("job_id", "e.at", "e.seq", "state")
+
+    lists, rest = _logs(events.where(F.col("job_id").isNotNull()))
+    items = cancels(lists.withColumn("state", F.lit(UNKNOWN)))
+    if rest is not None:
+        levels = _levels(rest)
+        met = levels[-1].select("job_id", "chunk", F.lit(UNKNOWN).alias("state"))
+        for level in reversed(levels[1:]):
+            below = walked(level.join(met, ["job_id", "chunk"]), lambda now, e: F.get(e["f"], now)["to"], lambda e: F.lit(True))
+            met = materialize(below.select("job_id", F.col("e.place").alias("chunk"), "state"))
+        items = items.unionByName(cancels(levels[0].join(met, ["job_id", "chunk"])))
     name = F.get(F.array(*[F.lit(n) for n in NAMES]), F.col("state"))
     outcome = (F.when(F.col("state") == UNKNOWN, F.lit("not found"))
                .when(F.col("state").isin(DONE, ERROR, CANCELLED), F.concat(F.lit("already "), name)).otherwise(F.lit("cancelling")))
-    return items.where(F.col("e.kind") == "cancel").select("job_id", "e.at", "e.seq", name.alias("state_met"), outcome.alias("outcome"))
+    return items.select("job_id", "at", "seq", name.alias("state_met"), outcome.alias("outcome"))

@@ -52,6 +52,11 @@ def job_status(key: Column, order_status: Column) -> Column:
             .when(order_status == "F", F.lit("done")).when(order_status == "O", F.lit("running")).otherwise(F.lit("pending")))
 
 
+def _submitted() -> Column:
+    """When the job of an order with its ``batch_start`` is submitted."""
+    return F.when(F.col("o_orderkey") % 6 == 0, F.greatest("o_orderdate", "batch_start")).otherwise(F.col("o_orderdate"))
+
+
 def jobs_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     """The jobs rule applied to an orders frame (batch or streaming; the other tables are read static)."""
     lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"]).groupBy("l_orderkey").agg(
@@ -61,8 +66,7 @@ def jobs_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> Dat
     df = df.join(starts, df.o_custkey == starts.batch_id, "left")
     key = F.col("o_orderkey")
     status = job_status(key, F.col("o_orderstatus"))
-    submitted = F.when(key % 6 == 0, F.greatest("o_orderdate", "batch_start")).otherwise(F.col("o_orderdate"))
-    df = df.withColumns({"status": status, "submitted_at": submitted})
+    df = df.withColumns({"status": status, "submitted_at": _submitted()})
     df = df.withColumn("started_at", F.when(F.col("status") != "pending", F.col("submitted_at") + _secs(key % 50)))
     terminal = F.col("status").isin("done", "error", "cancelled")
     completed = F.when(terminal, F.col("started_at") + _secs(F.col("ok_lines") * 2 + key % 7 + F.lit(0.25)))
@@ -109,26 +113,28 @@ def job_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     to 80 s after the submission -- of a job that doesn't exist when its line number is 6."""
     jobs = jobs_table(spark, sf_dir)
     key, none = F.col("job_id"), F.lit(None).cast("string")
-
-    def events(rows: DataFrame, at: Column, seq: int, kind: str, error: Column = none) -> DataFrame:
-        return rows.select("job_id", at.alias("at"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), error.alias("error"))
-
-    ended = jobs.where(F.col("status").isin("done", "cancelled"))
-    failed = jobs.where(F.col("status") == "error")
-    out = events(jobs, F.col("submitted_at"), 0, "submit")
-    for more in (
-        events(jobs.where(key % 21 == 0), F.col("submitted_at") + _secs(F.lit(5)), 1, "submit"),
-        events(jobs.where(F.col("started_at").isNotNull()), F.col("started_at"), 10, "start"),
-        events(jobs.where(F.col("status") == "cancelled"), F.col("started_at"), 20, "cancel"),
-        events(ended, F.col("completed_at"), 30, "end"),
-        events(failed, F.col("completed_at"), 31, "fail", F.col("error")),
-        events(ended.unionByName(failed).where(key % 15 == 0), F.col("completed_at") + _secs(F.lit(10)), 32, "end"),
-    ):
-        out = out.unionByName(more)
+    status = F.col("status")
+
+    def event(when: Column, at: Column, seq: int, kind: str, error: Column = none) -> Column:
+        return F.when(when, F.struct(at.alias("at"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), error.alias("error")))
+
+    own = F.array(
+        event(F.lit(True), F.col("submitted_at"), 0, "submit"),
+        event(key % 21 == 0, F.col("submitted_at") + _secs(F.lit(5)), 1, "submit"),
+        event(F.col("started_at").isNotNull(), F.col("started_at"), 10, "start"),
+        event(status == "cancelled", F.col("started_at"), 20, "cancel"),
+        event(status.isin("done", "cancelled"), F.col("completed_at"), 30, "end"),
+        event(status == "error", F.col("completed_at"), 31, "fail", F.col("error")),
+        event(status.isin("done", "cancelled", "error") & (key % 15 == 0), F.col("completed_at") + _secs(F.lit(10)), 32, "end"),
+    )
+    out = jobs.select("job_id", F.explode(own).alias("e")).where(F.col("e").isNotNull()).select("job_id", "e.*")
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    starts = batch_starts(orders)
+    times = orders.join(starts, orders.o_custkey == starts.batch_id, "left").select(F.col("o_orderkey").alias("job_id"), _submitted().alias("submitted_at"))
     lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag"]).where(F.col("l_returnflag") == "R")
     number = F.col("l_linenumber")
     after = (F.col("l_orderkey") * 7 + number * 13) % 80 + F.when(number % 2 == 1, F.lit(0.25)).otherwise(F.lit(0))
-    asked = lines.join(jobs.select("job_id", "submitted_at"), F.col("l_orderkey") == F.col("job_id")).select(
+    asked = lines.join(times, F.col("l_orderkey") == F.col("job_id")).select(
         F.when(number == 6, -F.col("job_id")).otherwise(F.col("job_id")).alias("job_id"), (F.col("submitted_at") + _secs(after)).alias("at"),
         (number + 40).cast("int").alias("seq"), F.lit("cancel").alias("kind"), none.alias("error"))
     return out.unionByName(asked)
