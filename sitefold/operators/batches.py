@@ -30,10 +30,14 @@ def repaired_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+def read_uploads(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """(path, text) of the uploaded seed files at or under ``path``, scanned as bytes; an empty
-    file has no row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    file has no row.  With ``packed`` the folder is a table of (path, content) rows, each a whole
+    file: for uploads so many that files of their own would take longer to list and commit than to read."""
+    if packed:
+        files = spark.read.schema("path string, content binary").parquet(path).where(F.length("content") > 0)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", repaired_text(F.col("content")).alias("text"))
 
 

@@ -201,7 +201,8 @@ def submissions_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     """submissions(submission, max_pages, max_depth, submitted_at), uploads(submission, text) and
     forms(submission, text), from the orders with key % 5 = 2 of 25 customers each.  Even keys are in the
     file, odd keys and every third in the form, by key; some lines are junk, hold two urls or end in
-    broken UTF-8, and every ninth submission has no url.  Files are written as bytes and read back."""
+    broken UTF-8, and every ninth submission has no url.  Files are written as bytes, packed into a table
+    because there is one for every submission, and read back."""
     from sitefold.operators.batches import read_uploads
 
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]).where(F.col("o_orderkey") % 5 == 2)
@@ -219,8 +220,9 @@ def submissions_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
         return part.groupBy("submission").agg(F.array_join(own, "\n").alias("text"))
 
     path = scratch_path(spark, "uploads")
-    text(rows.where("key % 2 = 0")).select("submission", F.col("text").alias("value")).write.partitionBy("submission").text(path)
-    uploads = read_uploads(spark, path).select(F.regexp_extract("path", r"submission=([0-9]+)/", 1).cast("long").alias("submission"), "text")
+    file = F.concat(F.lit("submission="), F.col("submission").cast("string"), F.lit("/seeds.txt"))
+    text(rows.where("key % 2 = 0")).select(file.alias("path"), F.concat("text", F.lit("\n")).cast("binary").alias("content")).write.parquet(path)
+    uploads = read_uploads(spark, path, packed=True).select(F.regexp_extract("path", r"submission=([0-9]+)/", 1).cast("long").alias("submission"), "text")
     forms = text(rows.where("key % 2 = 1 or key % 3 = 0")).withColumn("text", F.make_valid_utf8("text"))
     table = rows.groupBy("submission").agg((F.max("o_orderdate") + _secs(F.lit(600))).alias("submitted_at"))
     limits = table.select("submission", (F.col("submission") * 37 % 230 - 10).cast("int").alias("max_pages"),
