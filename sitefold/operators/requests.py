@@ -8,15 +8,23 @@ requests in one task, so one url holding a third of all requests still spreads o
 1. ``next(r)``: the first request of the key at or after ``expiry(r)`` -- an as-of successor join,
    done with a streaming window inside (key, time chunk) plus a carry through the much smaller
    per-chunk summary for targets in later chunks;
-2. pointer doubling: J_0 = next, J_k = J_{k-1} o J_{k-1} (one join on request id per round);
-3. the kept set is the chain from the key's first request, expanded with the J_k from the largest
-   jump down (log rounds of joins);
-4. every request maps to the latest kept request at or before it (as-of predecessor, chunked the
+2. blocks: requests in the order (key, time, id), cut into blocks of at most 4,096 neighbours; inside a
+   block the pointers are followed to the request that leaves it, so a block is crossed in one step;
+3. pointer doubling only over the requests at which a chain may enter a block (J_0 = the step to the
+   next block, J_k = J_{k-1} o J_{k-1}), expanded from the key's first request with the J_k from the
+   largest jump down (rounds: log of the blocks of a key, not of its jobs);
+4. the blocks are walked from where the kept chains enter them;
+5. every request maps to the latest kept request at or before it (as-of predecessor, chunked the
    same way).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +36,7 @@ TTL_SECONDS = 3600
 MAX_PAGES_RANGE = (1, 200)
 MAX_DEPTH_RANGE = (1, 10)
 CHUNK_SECONDS = 86400  # time chunk of the as-of windows (a hot key spreads over its chunks)
+BLOCK_ROWS = 4096  # most requests whose pointers one step follows
 # ----------------------------------------------------------------------------------------------
 
 
@@ -59,17 +68,18 @@ def _micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def asof_successor(data: DataFrame, probes: DataFrame, chunk: int) -> DataFrame:
-    """For each probe (key, t, s, pid): the first data row (key, t, s, did) with (t, s) strictly
-    greater than the probe's (t, s).  Columns: pid, did (null when none)."""
-    d = data.select("key", "t", "s", F.col("did"), F.lit(None).cast("long").alias("pid"), F.lit(0).alias("typ"))
-    p = probes.select("key", "t", "s", F.lit(None).cast("long").alias("did"), "pid", F.lit(1).alias("typ"))
+def asof_successor(data: DataFrame, probes: DataFrame, chunk: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each probe (key, t, s, pid, ``keep`` of long): the first data row (key, t, s, did) with (t, s)
+    strictly greater than the probe's (t, s).  Columns: key, pid, did (null when none), ``keep``."""
+    none = F.lit(None).cast("long")
+    d = data.select("key", "t", "s", F.col("did"), none.alias("pid"), F.lit(0).alias("typ"), *[none.alias(c) for c in keep])
+    p = probes.select("key", "t", "s", none.alias("did"), "pid", F.lit(1).alias("typ"), *keep)
     both = d.unionByName(p).withColumn("chunk", F.floor(F.col("t") / (chunk * 1_000_000)))
     # inside (key, chunk): reverse running 'last non-null data id' = nearest data row after the probe
     w = Window.partitionBy("key", "chunk").orderBy(F.col("t").desc(), F.col("s").desc(), F.col("typ").desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("nd", F.last("did", ignorenulls=True).over(w))
-    found = both.filter(F.col("typ") == 1).select("key", "chunk", "pid", "nd")
+    found = both.filter(F.col("typ") == 1).select("key", "chunk", "pid", "nd", *keep)
     # carry: first data row of the nearest later chunk that has data (summary: one row per chunk)
     firsts = d.withColumn("chunk", F.floor(F.col("t") / (chunk * 1_000_000))).groupBy("key", "chunk") \
         .agg(F.min_by("did", F.struct("t", "s")).alias("first_did"))
@@ -78,7 +88,7 @@ def asof_successor(data: DataFrame, probes: DataFrame, chunk: int) -> DataFrame:
     ws = Window.partitionBy("key").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumn("later", F.last("first_did", ignorenulls=True).over(ws))
     out = found.join(summary.select("key", "chunk", "later"), ["key", "chunk"], "left")
-    return out.select("pid", F.coalesce(F.col("nd"), F.col("later")).alias("did"))
+    return out.select("key", "pid", F.coalesce(F.col("nd"), F.col("later")).alias("did"), *keep)
 
 
 def asof_predecessor(rows: DataFrame, chunk: int, keep: tuple[str, ...] = ("rid",)) -> DataFrame:
@@ -95,31 +105,85 @@ def asof_predecessor(rows: DataFrame, chunk: int, keep: tuple[str, ...] = ("rid"
     return out.select(*keep, F.coalesce(F.col("p"), F.col("earlier")).alias("prev"))
 
 
-def kept_chain(r: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """Steps 1 to 4 over (key, t, s, rid, exp), materialized: requests in the order (t, s), their
-    identity and the expiry of the job each would start.  The kept ids (rid), and of every id the
-    kept one that serves it (rid, prev)."""
-    data = r.select("key", "t", "s", F.col("rid").alias("did"))
-    # probe position: (exp, -1) when exp > t, else just after the request itself
-    probes = r.select("key", F.when(F.col("exp") > F.col("t"), F.col("exp")).otherwise(F.col("t")).alias("t"),
-                      F.when(F.col("exp") > F.col("t"), F.lit(-1).cast("long")).otherwise(F.col("s")).alias("s"),
-                      F.col("rid").alias("pid"))
-    nxt = asof_successor(data, probes, chunk_seconds).filter(F.col("did").isNotNull())
-    jump = materialize(nxt.select(F.col("pid").alias("rid"), F.col("did").alias("nxt")))
-    jumps = [jump]
+def _block_batch(block: int, rid: np.ndarray, nxt: np.ndarray) -> pa.RecordBatch:
+    """One block as a row: its ids, for each the place in the block that its pointer leads to (-1:
+    none, or not a single one further on), and the id reached by the pointer that leaves the block."""
+    n, order = len(rid), np.argsort(rid, kind="stable")
+    left, right = (np.searchsorted(rid[order], nxt, side) for side in ("left", "right"))
+    place = order[np.minimum(left, n - 1)]
+    at = np.where((right - left == 1) & (place > np.arange(n)), place, -1)
+    last = np.where(at >= 0, at, np.arange(n))
+    while not np.array_equal(further := last[last], last):
+        last = further
+    bounds = pa.array([0, n], pa.int32())
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (rid, at.astype("int32"), nxt[last])]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], names=["block", "rids", "places", "exits"])
+
+
+def _cut_blocks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            rid, nxt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "nxt"))
+            for i in range(0, len(rid), size):
+                yield _block_batch(block, rid[i:i + size], nxt[i:i + size])
+                block += 1
+
+    return run
+
+
+def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids met inside the blocks (rids, places) from the ids ``entered`` on."""
+    for batch in batches:
+        for rids, places, entered in zip(*(batch.column(c) for c in ("rids", "places", "entered")), strict=True):
+            rid, to = rids.values.to_numpy(), places.values.tolist()
+            met: set[int] = set()
+            for i in np.flatnonzero(np.isin(rid, entered.values.to_numpy())).tolist():
+                while (i := to[i]) >= 0 and i not in met:
+                    met.add(i)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[sorted(met)], pa.int64())], names=["rid"])
+
+
+def reached(heads: DataFrame, jump: DataFrame, order: list[str]) -> DataFrame:
+    """(rid): ``heads`` (rid) and all that the pointers ``jump`` (rid, nxt, columns of ``order``) lead to
+    from them, each once, materialized.  Pointers lead forward in ``order`` (steps 2 to 4)."""
+    laid = jump.where("rid IS NOT NULL AND nxt IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order).select("rid", "nxt")
+    blocks = materialize(laid.mapInArrow(_cut_blocks(BLOCK_ROWS), "block long, rids array<long>, places array<int>, exits array<long>"))
+    exits = blocks.select(F.explode(F.array_distinct("exits")).alias("rid"))
+    doors = exits.unionByName(heads.select("rid")).distinct()
+    steps = blocks.select("block", F.explode(F.arrays_zip("rids", "exits")).alias("x")).select("block", F.col("x.rids").alias("rid"), F.col("x.exits").alias("nxt"))
+    steps = materialize(steps.join(doors, "rid", "left_semi"))
+    jumps = [steps.select("rid", "nxt").distinct()]
     while True:
         j = jumps[-1]
         doubled = j.alias("a").join(j.alias("b"), F.col("a.nxt") == F.col("b.rid")).select(F.col("a.rid"), F.col("b.nxt"))
-        doubled = materialize(doubled)
+        doubled = materialize(doubled.distinct())
         if doubled.isEmpty():
             break
         jumps.append(doubled)
-    heads = r.groupBy("key").agg(F.min_by("rid", F.struct("t", "s")).alias("rid"))
-    kept = materialize(heads.select("rid"))
+    entered = materialize(heads.select("rid").distinct())
     # after the jumps of length >= 2^(k+1) the set holds the chain positions that are multiples of
-    # 2^(k+1); J_k adds those at 2^k past them -- disjoint, so no distinct is needed
+    # 2^(k+1); J_k adds those at 2^k past them
     for j in reversed(jumps):
-        kept = materialize(kept.unionByName(kept.join(j, "rid").select(F.col("nxt").alias("rid"))))
+        entered = materialize(entered.unionByName(entered.join(j, "rid").select(F.col("nxt").alias("rid"))).distinct())
+    doors = steps.join(entered, "rid", "left_semi").groupBy("block").agg(F.collect_set("rid").alias("entered"))
+    inside = blocks.join(doors, "block").select("rids", "places", "entered").mapInArrow(_walk_blocks, "rid long")
+    return materialize(entered.unionByName(inside).distinct())
+
+
+def kept_chain(r: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 to 5 over (key, t, s, rid, exp), materialized: requests in the order (t, s), their
+    identity and the expiry of the job each would start.  The kept ids (rid), each once, and of every
+    id the kept one that serves it (rid, prev)."""
+    data = r.select("key", "t", "s", F.col("rid").alias("did"))
+    # probe position: (exp, -1) when exp > t, else just after the request itself
+    probes = r.select("key", F.when(F.col("exp") > F.col("t"), F.col("exp")).otherwise(F.col("t")).alias("t"),
+                      F.when(F.col("exp") > F.col("t"), F.lit(-1).cast("long")).otherwise(F.col("s")).alias("s"),
+                      F.col("rid").alias("pid"), F.col("t").alias("own_t"), F.col("s").alias("own_s"))
+    nxt = asof_successor(data, probes, chunk_seconds, ("own_t", "own_s")).filter(F.col("did").isNotNull())
+    jump = materialize(nxt.select("key", "own_t", "own_s", F.col("pid").alias("rid"), F.col("did").alias("nxt")))
+    heads = r.groupBy("key").agg(F.min_by("rid", F.struct("t", "s")).alias("rid"))
+    kept = reached(heads, jump, ["key", "own_t", "own_s"])
     marked = r.join(kept.withColumn("mark", F.lit(True)), "rid", "left").select(
         "key", "t", "s", "rid", F.coalesce(F.col("mark"), F.lit(False)).alias("mark"))
     return kept, asof_predecessor(marked, chunk_seconds)
@@ -134,7 +198,8 @@ def ttl_dedup(requests: DataFrame, key: str, ts: str, run_seconds: str, failed:
         (_micros(F.col(ts)) + F.round(F.col(run_seconds) * 1_000_000).cast("long")
          + F.when(F.col(failed), F.lit(0)).otherwise(F.lit(int(ttl_seconds * 1_000_000)))).alias("exp"),
     )
-    r = materialize(r.withColumn("rid", F.col("s")))
+    # requests that repeat one another are decided once
+    r = materialize(r.distinct().withColumn("rid", F.col("s")))
     kept, prev = kept_chain(r, chunk_seconds)
     prev = prev.select(F.col("rid").alias("_rid"), F.col("prev").alias("_prev"))
     flags = kept.select(F.col("rid").alias("_kid"), F.lit(True).alias("_kept"))
@@ -153,5 +218,6 @@ def request_dedup(requests: DataFrame, ttl_seconds: float = TTL_SECONDS, key_col
     if key_cols:
         valid = valid.withColumn("_key", F.to_json(F.struct("norm_url", *key_cols)))
         key = "_key"
+    valid = materialize(valid)  # urls are split once, not for the chain and again for the rows
     out = ttl_dedup(valid, key, "requested_at", "run_seconds", "failed", "request_id", ttl_seconds)
     return out.drop("_key") if key_cols else out
