@@ -1,6 +1,7 @@
 """The event log of jobs (J10, J11, C11): states folded from submit, start, cancel, end and fail events.
 
-A log of up to 1,024 events is one list and folded from its start.  Longer logs are told by their
+A log of up to 1,024 events is one list and folded from its start; what its cancels met is read off
+its sorted rows, which are first written as a narrow table, as both the counts and the rows read it.  Longer logs are told by their
 counts and folded in pieces: an event is a function from states to states, so a stretch of events is
 one too, and composing functions is associative.  Their events are numbered in the order (job, time,
 seq); every 1,024 neighbouring events of a job become one function, every 1,024 of those one more,
@@ -16,11 +17,12 @@ job, and a job that was never submitted is not found.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions.plan import materialize, range_numbered
 from sitefold.operators.jobs import seconds_between
+from sitefold.sources.sinks import scratch_path
 
 # --- fixed values -----------------------------------------------------------------------------
 UNKNOWN, PENDING, PENDING_CANCEL, RUNNING, RUNNING_CANCEL, DONE, ERROR, CANCELLED = range(8)
@@ -90,19 +92,16 @@ def _after_function(x: Column, f: Column) -> Column:
     return _entry(to=y["to"], **{n: F.coalesce(x[n], y[n]) for n in _FIRST}, **{n: x[n] + y[n] for n in _COUNTS})
 
 
-def _logs(events: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(job_id, list): whole logs in order, of jobs with at most ``2 ** FAN_BITS`` events; and the
-    events of the other jobs, if there are any."""
-    log = materialize(events.select("job_id", "at", "seq", "kind", "error"))
+def _split(log: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The events of jobs with at most ``2 ** FAN_BITS`` of them, and those of the other jobs, if there are any."""
     counts = log.groupBy(F.col("job_id").alias("_long")).agg(F.count(F.lit(1)).alias("n"))
     many = materialize(counts.where(F.col("n") > 1 << FAN_BITS).select("_long"))
-    short, rest, n = log, None, many.count()
-    if n:
-        many = F.broadcast(many) if n <= MOST_BROADCAST else many
-        same = F.col("job_id").eqNullSafe(F.col("_long"))
-        short, rest = log.join(many, same, "left_anti"), log.join(many, same, "left_semi")
-    lists = short.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "kind", "error"))).alias("list"))
-    return lists, rest
+    n = many.count()
+    if not n:
+        return log, None
+    many = F.broadcast(many) if n <= MOST_BROADCAST else many
+    same = F.col("job_id").eqNullSafe(F.col("_long"))
+    return log.join(many, same, "left_anti"), log.join(many, same, "left_semi")
 
 
 def _levels(events: DataFrame) -> list[DataFrame]:
@@ -125,7 +124,8 @@ def job_event_states(events: DataFrame) -> DataFrame:
     """One row per job of the log ``events`` (job_id, at, seq, kind, error): its state, times,
     duration and progress, and how many cancel requests were accepted and refused and how many other
     events came too late or twice.  (at, seq) orders a job's events."""
-    lists, rest = _logs(events)
+    short, rest = _split(materialize(events.select("job_id", "at", "seq", "kind", "error")))
+    lists = short.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "kind", "error"))).alias("list"))
     end = lists.select("job_id", F.aggregate("list", _unmoved(UNKNOWN), _after_event).alias("e"))
     if rest is not None:
         end = end.unionByName(_levels(rest)[-1].select("job_id", F.get("f", F.lit(UNKNOWN)).alias("e")))
@@ -140,6 +140,28 @@ def job_event_states(events: DataFrame) -> DataFrame:
         F.col("accepted").alias("cancels_accepted"), F.col("refused").alias("cancels_refused"), F.col("ignored").alias("events_ignored"))
 
 
+def _cancels_met(events: DataFrame) -> DataFrame:
+    """(job_id, at, seq, state): the cancel requests of whole logs with the state that each meets, from the
+    places of the first submission, the first start after it and the first end after that.  The rows of
+    a job are sorted once; events at one (at, seq) come in the order of their kinds, as in a sorted list."""
+    kinds = sorted(STEPS)
+    rank = {k: i + 1 for i, k in enumerate(kinds)}
+    k = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in kinds]), F.col("kind")), F.lit(0))
+    df = events.select("job_id", "at", "seq", k.cast("int").alias("k"))
+    order = Window.partitionBy("job_id").orderBy("at", "seq", "k")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k = F.col("k")
+    df = df.withColumns({"place": F.row_number().over(order), "submitted": F.max(k == rank["submit"]).over(upto)})
+    df = df.withColumns({"started": F.max(F.col("submitted") & (k == rank["start"])).over(upto),
+                         "asked": F.min(F.when(F.col("submitted") & (k == rank["cancel"]), F.col("place"))).over(upto)})
+    ends = F.col("started") & k.isin(rank["end"], rank["fail"])
+    # the place of the end and its kind in one number
+    df = df.withColumn("ended", F.min(F.when(ends, F.col("place").cast("long") * 8 + k)).over(upto)).where(k == rank["cancel"])
+    state = (F.when(~F.col("submitted"), UNKNOWN).when(F.col("ended").isNull(), F.when(F.col("started"), RUNNING).otherwise(PENDING))
+             .when(F.col("ended") % 8 == rank["fail"], ERROR).when(F.col("asked").cast("long") * 8 < F.col("ended"), CANCELLED).otherwise(DONE))
+    return df.select("job_id", "at", "seq", state.alias("state"))
+
+
 def cancel_outcomes(events: DataFrame) -> DataFrame:
     """One row per cancel request of the log: job_id, at, seq, the state it met and its outcome --
     'cancelling', 'already <state>' for a finished job, 'not found' for an unknown one."""
@@ -153,19 +175,19 @@ def cancel_outcomes(events: DataFrame) -> DataFrame:
             .otherwise(acc["met"]).alias("met")))
         return lists.withColumn("m", F.explode(path["met"])).select("job_id", F.get("list", F.col("m.item")).alias("e"), F.col("m.state").alias("state"))
 
-    def cancels(lists: DataFrame) -> DataFrame:
-        found = walked(lists, lambda now, e: F.coalesce(_next(now, e["kind"]), now), lambda e: e["kind"] == "cancel")
-        return found.select("job_id", "e.at", "e.seq", "state")
-
-    lists, rest = _logs(events.where(F.col("job_id").isNotNull()))
-    items = cancels(lists.withColumn("state", F.lit(UNKNOWN)))
+    path = scratch_path(events.sparkSession, "job-log")
+    log = events.where(F.col("job_id").isNotNull()).select("job_id", "at", "seq", "kind")
+    log.write.parquet(path)
+    short, rest = _split(events.sparkSession.read.schema(log.schema).parquet(path))
+    items = _cancels_met(short)
     if rest is not None:
-        levels = _levels(rest)
+        levels = _levels(rest.withColumn("error", F.lit(None).cast("string")))
         met = levels[-1].select("job_id", "chunk", F.lit(UNKNOWN).alias("state"))
         for level in reversed(levels[1:]):
             below = walked(level.join(met, ["job_id", "chunk"]), lambda now, e: F.get(e["f"], now)["to"], lambda e: F.lit(True))
             met = materialize(below.select("job_id", F.col("e.place").alias("chunk"), "state"))
-        items = items.unionByName(cancels(levels[0].join(met, ["job_id", "chunk"])))
+        found = walked(levels[0].join(met, ["job_id", "chunk"]), lambda now, e: F.coalesce(_next(now, e["kind"]), now), lambda e: e["kind"] == "cancel")
+        items = items.unionByName(found.select("job_id", "e.at", "e.seq", "state"))
     name = F.get(F.array(*[F.lit(n) for n in NAMES]), F.col("state"))
     outcome = (F.when(F.col("state") == UNKNOWN, F.lit("not found"))
                .when(F.col("state").isin(DONE, ERROR, CANCELLED), F.concat(F.lit("already "), name)).otherwise(F.lit("cancelling")))
