@@ -138,11 +138,11 @@ def expand_items(items: DataFrame, jobs: DataFrame, ttl_seconds: float = TTL_SEC
     Every job counts, children of other batches included; a batch's own children are submitted
     after it looked, so at one instant the order is: jobs, batch urls, children.  The lookup is an
     as-of join: a window inside (url, time chunk) with a carry through the per-chunk summary, so a
-    url shared by many jobs and batches never pairs every item with every job.
+    url shared by many jobs and batches never pairs every item with every job.  ``items`` is read once.
     Columns: batch_id, pos, url, norm_url, action, reused_job_id.
     """
     items = items.select("batch_id", "submitted_at", F.col("pos").cast("int").alias("pos"), "url")
-    items = fence(_norm(fence(items), "url", "norm_url"))
+    items = materialize(_norm(fence(items), "url", "norm_url"))  # urls are split once, not for each use
     cache = fence(_norm(jobs.select("job_id", "url", "status", "submitted_at", "completed_at", "parent_batch_id"), "url", "c_norm"))
     none = F.lit(None).cast("long")
     turn = F.when(F.col("parent_batch_id").isNull(), F.lit(0)).otherwise(F.lit(2))

@@ -95,10 +95,12 @@ def asof_predecessor(rows: DataFrame, chunk: int, keep: tuple[str, ...] = ("rid"
     """For each row (key, t, s, rid, mark): the rid of the latest marked row at or before it
     (in (t, s) order).  Columns: ``keep``, prev."""
     df = rows.withColumn("chunk", F.floor(F.col("t") / (chunk * 1_000_000)))
-    w = Window.partitionBy("key", "chunk").orderBy("t", "s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("p", F.last(F.when(F.col("mark"), F.col("rid")), ignorenulls=True).over(w))
-    lasts = df.groupBy("key", "chunk").agg(F.max_by(F.when(F.col("mark"), F.col("rid")),
-                                                     F.when(F.col("mark"), F.struct("t", "s"))).alias("last_mark"))
+    # keys may begin alike for many characters; a number first makes their sort cheap
+    df = df.withColumn("_group", F.xxhash64("key", "chunk"))
+    w = Window.partitionBy("_group", "key", "chunk").orderBy("t", "s")
+    df = df.withColumns({"p": F.last(F.when(F.col("mark"), F.col("rid")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+                         "more": F.lead(F.lit(True)).over(w)})
+    lasts = df.where(F.col("more").isNull()).select("key", "chunk", F.col("p").alias("last_mark"))
     ws = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.withColumn("earlier", F.last("last_mark", ignorenulls=True).over(ws))
     out = df.join(lasts.select("key", "chunk", "earlier"), ["key", "chunk"], "left")
